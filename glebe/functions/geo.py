@@ -18,7 +18,8 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
     a = F.pow(F.sin(half_lat), F.lit(2.0)) + (
         F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(half_lon), F.lit(2.0))
     )
-    return F.lit(2 * EARTH_KM) * F.asin(F.sqrt(F.least(F.lit(1.0), a)))
+    # Rounding can push antipodes past 1; ``least`` would hide a missing coordinate.
+    return F.lit(2 * EARTH_KM) * F.asin(F.sqrt(F.when(a > 1.0, 1.0).otherwise(a)))
 
 
 def squared_degrees(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
