@@ -45,15 +45,13 @@ def group_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
         histogram = histogram.withColumns({f"_low_{name}": low, f"_high_{name}": high})
     rank_cols = [f"_{side}_{name}" for name in probs for side in ("low", "high")]
     holds = F.exists(F.array(*rank_cols), lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_in")))
-    wanted = histogram.filter(holds).drop("_in")
+    place = [*keys, "_slice"]
+    wanted = histogram.filter(holds).select(
+        *(F.col(k).alias(f"_at{i}") for i, k in enumerate(place)), "_before", "n", *rank_cols)
 
-    inner = Window.partitionBy(*keys, "_slice").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    match = [counted[k].eqNullSafe(wanted[k]) for k in (*keys, "_slice")]
-    located = (
-        counted.join(wanted, match)
-        .select(*(counted[k] for k in (*keys, "_slice")), "_v", "_n", "_before", "n", *rank_cols)
-        .withColumn("_first", F.col("_before") + F.coalesce(F.sum("_n").over(inner), F.lit(0)))
-    )
+    inner = Window.partitionBy(*place).orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    located = counted.join(wanted, [F.col(k).eqNullSafe(F.col(f"_at{i}")) for i, k in enumerate(place)]).withColumn(
+        "_first", F.col("_before") + F.coalesce(F.sum("_n").over(inner), F.lit(0)))
 
     def value_at(rank: str) -> Column:
         hit = (F.col(rank) >= F.col("_first")) & (F.col(rank) < F.col("_first") + F.col("_n"))

@@ -8,7 +8,6 @@ few points however many there are. Both are exact at cell borders, poles and the
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -173,10 +172,6 @@ class _Sphere:
 _METRICS = {"planar": _Plane, "haversine": _Sphere}
 
 
-def _axis_gap(x: Column, low: Column, high: Column) -> Column:
-    return F.greatest(low - x, x - high, F.lit(0.0))
-
-
 def nearest(sites: DataFrame, targets: DataFrame, k: int = 1, metric: str = "haversine",
             site_lat: str = "lat", site_lon: str = "lon",
             target_lat: str = "latitude", target_lon: str = "longitude",
@@ -200,104 +195,96 @@ def nearest(sites: DataFrame, targets: DataFrame, k: int = 1, metric: str = "hav
     order = [*order, *(c for c in targets.columns if c not in order)]
 
     # Targets: at most k rows per coordinate, with their leaf cell.
-    ranked_here = Window.partitionBy(target_lat, target_lon).orderBy(*order)
     points = targets.filter(_in_range(t_lat, t_lon))
-    points = (
-        points.groupBy(target_lat, target_lon).agg(F.min(F.struct(*order)).alias("_t"))
-        .select(*(F.col("_t")[c].alias(c) for c in targets.columns))
-        if k == 1
-        else points.withColumn("_here", F.row_number().over(ranked_here)).filter(F.col("_here") <= k).drop("_here")
-    )
+    if k == 1:
+        first = F.min(F.struct(*order)).alias("_t")
+        points = points.groupBy(target_lat, target_lon).agg(first).select("_t.*").select(*targets.columns)
+    else:
+        here = Window.partitionBy(target_lat, target_lon).orderBy(*order)
+        points = points.withColumn("_here", F.row_number().over(here)).filter(F.col("_here") <= k).drop("_here")
     leaf_size = space.root_size / (1 << (_FAN_BITS * depth))
-    coords = dict(zip(axes, space.coordinates(t_lat, t_lon)))
     leaf = [f"_c{a}" for a in axes]
-    points = points.withColumns(coords).withColumns(
-        {c: F.floor((F.col(a) + space.offset) / leaf_size) for c, a in zip(leaf, axes)}
-    )
+    points = points.select("*", *(c.alias(a) for a, c in zip(axes, space.coordinates(t_lat, t_lon)))).selectExpr(
+        "*", *(f"floor(({a} + {space.offset}D) / {leaf_size!r}D) AS {c}" for c, a in zip(leaf, axes)))
 
-    # Pyramid: per level one row per parent cell with the boxes of its non-empty cells.
+    # Pyramid: per level one row per parent cell with the boxes of its non-empty cells, at most 8 per axis.
+    # Each level is built from ``_children`` alone, so one shuffle serves the search and the level above.
+    low, high = [f"_lo{a}" for a in axes], [f"_hi{a}" for a in axes]
     leaves = points.groupBy(*leaf).agg(
-        F.count(F.lit(1)).alias("_n"),
-        *(F.min(a).alias(f"_lo{a}") for a in axes),
-        *(F.max(a).alias(f"_hi{a}") for a in axes),
-    )
-
-    def level_table(up: int) -> DataFrame:
-        boxes = leaves if up == 0 else leaves.groupBy(
-            *(F.shiftright(F.col(c), _FAN_BITS * up).alias(c) for c in leaf)
-        ).agg(
-            F.sum("_n").alias("_n"),
-            *(F.min(f"_lo{a}").alias(f"_lo{a}") for a in axes),
-            *(F.max(f"_hi{a}").alias(f"_hi{a}") for a in axes),
-        )
-        cell = F.struct(*leaf, "_n", *(f"_lo{a}" for a in axes), *(f"_hi{a}" for a in axes))
-        return boxes.groupBy(*(F.shiftright(F.col(c), _FAN_BITS).alias(f"_p{c}") for c in leaf)).agg(
-            F.collect_list(cell).alias("_children"))  # at most 8 cells per axis
-
-
-    def near(cell) -> Column:
-        return reduce(lambda x, y: x + y,
-                      (F.pow(_axis_gap(F.col(a), cell[f"_lo{a}"], cell[f"_hi{a}"]), F.lit(2.0)) for a in axes))
-
-    def far(cell) -> Column:
-        return reduce(lambda x, y: x + y,
-                      (F.pow(F.greatest(cell[f"_hi{a}"] - F.col(a), F.col(a) - cell[f"_lo{a}"]), F.lit(2.0))
-                       for a in axes))
-
+        F.count(F.lit(1)).alias("_n"), *(F.min(a).alias(c) for a, c in zip(axes, low)),
+        *(F.max(a).alias(c) for a, c in zip(axes, high)))
+    parent = [f"_p{c}" for c in leaf]
+    up_one = [F.expr(f"shiftright({c}, {_FAN_BITS})").alias(q) for c, q in zip(leaf, parent)]
+    children = F.expr(f"collect_list(struct({', '.join([*leaf, '_n', *low, *high])}))").alias("_children")
+    as_cells = [
+        *(f"{q} AS {c}" for c, q in zip(leaf, parent)),
+        "aggregate(_children, 0L, (n, c) -> n + c._n) AS _n",
+        *(f"array_min(transform(_children, c -> c.{c})) AS {c}" for c in low),
+        *(f"array_max(transform(_children, c -> c.{c})) AS {c}" for c in high),
+    ]
+    levels = [leaves.groupBy(*up_one).agg(children)]
+    while len(levels) < depth:
+        levels.append(levels[-1].selectExpr(*as_cells).groupBy(*up_one).agg(children))
+
+    # Squared distance from a place to the near and to the far side of a cell's box.
+    def near(cell: str) -> str:
+        return " + ".join(f"pow(greatest({cell}._lo{a} - {a}, {a} - {cell}._hi{a}, 0D), 2D)" for a in axes)
+
+    def far(cell: str) -> str:
+        return " + ".join(f"pow(greatest({cell}._hi{a} - {a}, {a} - {cell}._lo{a}), 2D)" for a in axes)
+
+    limit = "_bound * 1.000000001D + 1e-12D"
     # The search costs far more than its few bytes per place suggest, so its partitions stay as they are.
     tasks = int(sites.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # A text key, since partitioning by doubles is not kept from one level to the next.
-    place_key = F.concat_ws(" ", s_lat, s_lon)
+    place_key = F.concat_ws(" ", s_lat, s_lon).alias("_place")
     places = (
-        sites.filter(_in_range(s_lat, s_lon))
-        .select(place_key.alias("_place"), s_lat.alias("_slat"), s_lon.alias("_slon"))
+        sites.filter(_in_range(s_lat, s_lon)).select(place_key, s_lat.alias("_slat"), s_lon.alias("_slon"))
         .repartition(tasks, "_place")
         .groupBy("_place").agg(F.first("_slat").alias("_slat"), F.first("_slon").alias("_slon"))
     )
-    found = places.withColumns(dict(zip(axes, space.coordinates(F.col("_slat"), F.col("_slon")))))
-    # Level 0 is one cell that holds every point.
-    found = found.withColumns({f"_p{c}": F.lit(0).cast("bigint") for c in leaf}).withColumn("_bound", F.lit(math.inf))
+    found = places.select("*", *(c.alias(a) for a, c in zip(axes, space.coordinates(F.col("_slat"), F.col("_slon")))),
+                          F.lit(math.inf).alias("_bound"))
     place = ["_place", "_slat", "_slon"]
-    for up in reversed(range(depth)):
-        level = level_table(up)
+    for up, level in reversed(list(enumerate(levels))):
         if up == depth - 1:
-            level = F.broadcast(level)  # the root: one row of at most 8 cells per axis
-        step = found.join(level, [f"_p{c}" for c in leaf])
+            # The root is one cell that holds every point: one row of at most 8 cells per axis.
+            step = found.withColumn("_children", level.select("_children").scalar())
+        else:
+            step = found.join(level, parent)
         # A cell that holds k points bounds the k-th distance; cells beyond the bound are dropped at once.
         # The one-element explode keeps the bound from being worked out again for every child.
-        local = F.array_min(F.transform(F.filter("_children", lambda c: c["_n"] >= k), far))
-        step = step.withColumn("_bound", F.explode(F.array(F.least("_bound", F.coalesce(local, F.lit(math.inf))))))
-        step = step.withColumn("_kid", F.explode(
-            F.filter("_children", lambda c: near(c) <= F.col("_bound") * (1 + 1e-9) + 1e-12)))
-        step = step.select(*place, *axes, "_bound", "_kid", far(F.col("_kid")).alias("_far"))
+        local = f"array_min(transform(filter(_children, c -> c._n >= {k}), c -> {far('c')}))"
+        step = (
+            step.selectExpr(*place, *axes, "_children", f"explode(array(least(_bound, {local}))) AS _bound")
+            .selectExpr(*place, *axes, "_bound", f"explode(filter(_children, c -> {near('c')} <= {limit})) AS _kid")
+            .selectExpr(*place, *axes, "_bound", "_kid", f"{far('_kid')} AS _far")
+        )
         # The bound over all remaining cells of the place: cells in order of their far side up to k points.
-        kth = F.col("_far")
+        kth = "_far"
         if k > 1:
-            by_far = Window.partitionBy("_place").orderBy("_far")
-            step = step.withColumn("_upto", F.sum(F.col("_kid._n")).over(by_far))
-            kth = F.when(F.col("_upto") >= k, F.col("_far"))
-        step = step.withColumn("_bound", F.least("_bound", F.min(kth).over(Window.partitionBy("_place"))))
-        found = step.filter(near(F.col("_kid")) <= F.col("_bound") * (1 + 1e-9) + 1e-12).select(
-            *place, *axes, "_bound", *(F.col("_kid")[c].alias(f"_p{c}") for c in leaf))
+            step = step.selectExpr("*", "sum(_kid._n) OVER (PARTITION BY _place ORDER BY _far) AS _upto")
+            kth = f"IF(_upto >= {k}, _far, NULL)"
+        found = (
+            step.selectExpr(*place, *axes, "_kid", f"least(_bound, min({kth}) OVER (PARTITION BY _place)) AS _bound")
+            .filter(f"{near('_kid')} <= {limit}")
+            .selectExpr(*place, *axes, "_bound", *(f"_kid.{c} AS {q}" for c, q in zip(leaf, parent)))
+        )
 
     candidates = (
-        found.select(*place, *(F.col(f"_p{c}").alias(c) for c in leaf))
+        found.selectExpr(*place, *(f"{q} AS {c}" for c, q in zip(leaf, parent)))
         .join(points.drop(*axes), leaf)
-        .withColumn("distance", space.distance(F.col("_slat"), F.col("_slon"), t_lat, t_lon))
+        .select("_place", *targets.columns,
+                space.distance(F.col("_slat"), F.col("_slon"), t_lat, t_lon).alias("distance"))
     )
     if k == 1:
         row = F.struct("distance", *order)
-        best = candidates.groupBy("_place").agg(F.min(row).alias("_t")).select(
-            "_place", *(F.col("_t")[c].alias(c) for c in targets.columns),
-            F.col("_t")["distance"].alias("distance"), F.lit(1).alias("rank"))
+        best = candidates.groupBy("_place").agg(F.min(row).alias("_t")).select("_place", "_t.*").select(
+            "_place", *targets.columns, "distance", F.lit(1).alias("rank"))
     else:
         by_distance = Window.partitionBy("_place").orderBy("distance", *order)
-        best = (
-            candidates.withColumn("rank", F.row_number().over(by_distance))
-            .filter(F.col("rank") <= k)
-            .select("_place", *targets.columns, "distance", "rank")
-        )
-    return sites.withColumn("_place", place_key).join(best, "_place").drop("_place")
+        best = candidates.withColumn("rank", F.row_number().over(by_distance)).filter(F.col("rank") <= k)
+    return sites.select("*", place_key).join(best, "_place").drop("_place")
 
 
 def nearest_listing(df: DataFrame, n: int = 15, by: str = "distance_km", key: str = "code_bss") -> DataFrame:

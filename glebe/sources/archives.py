@@ -21,14 +21,14 @@ def archive_lines(spark: SparkSession, path: str | list[str], dialect: Dialect)
     An archive is unpacked by one task, member by member and in batches; it cannot be split. A broken
     archive or one without CSV members gives one row with ``error``.
     """
-    sample, on_tie = dialect.sample_bytes, dialect.semicolon_when_none
+    sample, on_tie, columns = dialect.sample_bytes, dialect.semicolon_when_none, _LINES
 
     def unzip(batches):
         import codecs
         import io
         import zipfile
 
-        import pandas as pd
+        import pyarrow as pa
 
         def separator_and_encoding(archive, name):
             valid, semicolons, commas, seen = True, 0, 0, 0
@@ -45,14 +45,21 @@ def archive_lines(spark: SparkSession, path: str | list[str], dialect: Dialect)
             wins = semicolons >= commas and (on_tie or semicolons > 0)
             return ";" if wins else ",", "utf-8-sig" if valid else "latin-1"
 
+        fields = [(name, pa.int64() if kind == "bigint" else pa.string())
+                  for name, kind in (column.split() for column in columns.split(", "))]
+
+        def output(rows):
+            return pa.RecordBatch.from_arrays(
+                [pa.array(values, kind) for values, (_, kind) in zip(zip(*rows), fields)], names=[n for n, _ in fields])
+
         def failure(source, message):
-            return pd.DataFrame([{"path": source, "error": message}]).reindex(columns=columns)
+            return output([(source, None, None, None, None, None, message)])
 
-        columns = ["path", "member", "line_no", "separateur", "entete", "line", "error"]
         for batch in batches:
-            for source, content in zip(batch["path"], batch["content"]):
+            for source, content in zip(batch.column("path"), batch.column("content")):
+                source = source.as_py()
                 try:
-                    archive = zipfile.ZipFile(io.BytesIO(content))
+                    archive = zipfile.ZipFile(io.BytesIO(content.as_buffer()))
                 except zipfile.BadZipFile:
                     yield failure(source, "not a ZIP archive")
                     continue
@@ -68,12 +75,12 @@ def archive_lines(spark: SparkSession, path: str | list[str], dialect: Dialect)
                             number += 1
                             held.append((source, member, number, separator, header, line.rstrip("\n"), None))
                             if len(held) == 10_000:
-                                yield pd.DataFrame(held, columns=columns)
+                                yield output(held)
                                 held = []
                         if held:
-                            yield pd.DataFrame(held, columns=columns)
+                            yield output(held)
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(unzip, _LINES)
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(unzip, _LINES)
 
 
 def read_archives(spark: SparkSession, path: str | list[str], dialect: Dialect,
