@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from glebe.functions.numbers import rounded
 from glebe.schemas import WEEKDAYS
 
 
@@ -87,4 +88,4 @@ def relative_date(c: Column, ref: Column) -> Column:
 
 def hours_between(start: Column, stop: Column) -> Column:
     """Hours between two timestamps, two decimals."""
-    return F.round(F.timestamp_diff("SECOND", start, stop) / F.lit(3600.0), 2)
+    return rounded(F.timestamp_diff("SECOND", start, stop) / F.lit(3600.0), 2)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from glebe.functions.numbers import rounded
 from glebe.functions import text
 from glebe.functions.dates import iso_date
 from glebe.schemas import (
@@ -119,7 +120,7 @@ def station_measures(raw: dict[str, Column]) -> list[Column]:
     out = []
     for field, (measure, factor) in STATION_FIELDS.items():
         value = text.lenient_double(raw[field])
-        out.append(F.round(F.nullif(value, F.lit(STATION_MISSING)) * F.lit(factor), 2).alias(measure))
+        out.append(rounded(F.nullif(value, F.lit(STATION_MISSING)) * F.lit(factor), 2).alias(measure))
     return out
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glebe.functions.numbers import rounded
 from glebe.operators.quantiles import group_quantiles
 from glebe.operators.spatial import nearest, radius_join
 
@@ -53,9 +54,9 @@ def climate_normals(weather: DataFrame, keys: list[str] | None = None, min_days_
         .filter(F.col("_days") >= min_days_per_year)
     )
     return yearly.groupBy(*keys).agg(
-        F.round(F.avg("_rain"), 1).alias("precip_mm"),
-        F.round(F.avg("_frost"), 0).cast("int").alias("freeze_days"),
-        F.round(F.avg("_etp"), 1).alias("etp_mm"),
+        rounded(F.avg("_rain"), 1).alias("precip_mm"),
+        rounded(F.avg("_frost"), 0).cast("int").alias("freeze_days"),
+        rounded(F.avg("_etp"), 1).alias("etp_mm"),
         F.count(F.lit(1)).alias("n_years"),
     )
 
@@ -92,7 +93,7 @@ def comparable_price(parcels: DataFrame, sales: DataFrame, radius_km: float = SA
     pairs = radius_join(_places(parcels), spots, radius_km)
     medians = group_quantiles(pairs, ["lat", "lon"], "prix_ha", {"prix_ha": 0.5}, "linear", weight="copies")
     return parcels.select("id", "lat", "lon").join(medians, ["lat", "lon"], "left").select(
-        "id", F.round("prix_ha", 0).alias("prix_ha"), F.coalesce("n", F.lit(0)).alias("n_sales"))
+        "id", rounded("prix_ha", 0).alias("prix_ha"), F.coalesce("n", F.lit(0)).alias("n_sales"))
 
 
 def wells_nearby(parcels: DataFrame, wells: DataFrame, radius_km: float = WELL_RADIUS_KM) -> DataFrame:

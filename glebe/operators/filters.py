@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glebe.functions.numbers import rounded
 from glebe.functions.text import clean_department
 from glebe.operators.spatial import within_box
 
@@ -76,8 +77,8 @@ def recent_measures(groundwater: DataFrame, ref_date: dt.date, n_days: int = 90,
     return kept.orderBy(
         F.col("code_bss").asc_nulls_last(), F.col("date_mesure").desc_nulls_last(), "profondeur_nappe", "niveau_eau_ngf",
     ).limit(limit).select(
-        "code_bss", F.col("date_mesure").alias("date_m"), F.round("profondeur_nappe", 2).alias("prof_m"),
-        F.round("niveau_eau_ngf", 2).alias("ngf_m"), "qualification",
+        "code_bss", F.col("date_mesure").alias("date_m"), rounded("profondeur_nappe", 2).alias("prof_m"),
+        rounded("niveau_eau_ngf", 2).alias("ngf_m"), "qualification",
     )
 
 

@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from glebe.functions.numbers import rounded
 from glebe.functions.dates import date_parts, duration_hours, hours_between, relative_date
 from glebe.functions.text import lenient_double
 
@@ -30,7 +31,7 @@ def entries_from_text(requests: DataFrame, ref_date: dt.date) -> DataFrame:
     error = F.when(hours.isNull(), "duree").when(day.isNull(), "jour")
     return requests.select(
         "id", day.alias("date"), F.lit("").alias("debut"), F.lit("").alias("fin"),
-        F.round(hours, 2).alias("duree_h"), "poste", F.coalesce("notes", F.lit("")).alias("notes"),
+        rounded(hours, 2).alias("duree_h"), "poste", F.coalesce("notes", F.lit("")).alias("notes"),
         F.lit("manuel").alias("source"), error.alias("error"),
     )
 

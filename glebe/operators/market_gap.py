@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from glebe.functions.numbers import rounded
 from glebe.operators.conform import concat
 from glebe.operators.quantiles import group_quantiles
 from glebe.operators.spatial import points_in_zones, radius_join
@@ -132,4 +133,4 @@ def water_balance(weather: DataFrame, every: str = "month", keys: list[str] | No
     keys = keys or ["latitude", "longitude"]
     rain, etp = F.sum("precipitation_sum"), F.sum("et0_fao_evapotranspiration")
     return weather.groupBy(*keys, F.trunc("date", every).alias("periode")).agg(
-        F.round(rain, 1).alias("pluie_mm"), F.round(etp, 1).alias("etp_mm"), F.round(rain - etp, 1).alias("bilan_mm"))
+        rounded(rain, 1).alias("pluie_mm"), rounded(etp, 1).alias("etp_mm"), rounded(rain - etp, 1).alias("bilan_mm"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from glebe.functions.numbers import rounded
 from glebe.functions.dates import period_start, slash_date
 from glebe.functions.text import first_word, map_label, short_label
 from glebe.operators.quantiles import group_quantiles
@@ -47,7 +48,7 @@ def selection_metrics(quotes: DataFrame, by: list[str] | None = None) -> DataFra
         F.count(F.lit(1)).alias("n_cotations"),
         F.min("date_cot").alias("premiere_date"),
         F.max("date_cot").alias("derniere_date"),
-        F.round(F.avg("prix_moyen"), 2).alias("prix_moyen"),
+        rounded(F.avg("prix_moyen"), 2).alias("prix_moyen"),
     )
 
 
@@ -101,8 +102,8 @@ def price_trend(quotes: DataFrame, by: list[str]) -> DataFrame:
     )
     change = F.try_divide(F.col("prix_fin") - F.col("prix_debut"), F.col("prix_debut")) * 100
     return ends.select(
-        *by, F.round("prix_debut", 3).alias("prix_debut"), F.round("prix_fin", 3).alias("prix_fin"),
-        F.round(F.coalesce(change, F.lit(0.0)), 1).alias("variation_pct"),
+        *by, rounded("prix_debut", 3).alias("prix_debut"), rounded("prix_fin", 3).alias("prix_fin"),
+        rounded(F.coalesce(change, F.lit(0.0)), 1).alias("variation_pct"),
     )
 
 
@@ -110,7 +111,7 @@ def price_series(quotes: DataFrame, every: str = "week") -> DataFrame:
     """Mean price per product and week (from Monday) or month, three decimals."""
     return (
         quotes.withColumn("periode", period_start(F.col("date_cot"), every))
-        .groupBy("produit", "periode").agg(F.round(F.avg("prix_moyen"), 3).alias("prix_moy"))
+        .groupBy("produit", "periode").agg(rounded(F.avg("prix_moyen"), 3).alias("prix_moy"))
     )
 
 
@@ -125,7 +126,7 @@ def price_series_wide(quotes: DataFrame, products: list[str], every: str = "week
         .withColumn("periode", period_start(F.col("date_cot"), every))
     )
     columns = list(dict.fromkeys(p if len(p) <= max_len else p[:max_len] + "…" for p in products))
-    return labelled.groupBy("periode").pivot("label", columns).agg(F.round(F.avg("prix_moyen"), 3)).orderBy("periode")
+    return labelled.groupBy("periode").pivot("label", columns).agg(rounded(F.avg("prix_moyen"), 3)).orderBy("periode")
 
 
 def price_distribution(quotes: DataFrame, method: str = "disc") -> DataFrame:
@@ -135,9 +136,9 @@ def price_distribution(quotes: DataFrame, method: str = "disc") -> DataFrame:
     """
     stats = quotes.groupBy("produit").agg(
         F.count(F.lit(1)).alias("n_cotations"),
-        F.round(F.min("prix_moyen"), 3).alias("prix_min"),
-        F.round(F.avg("prix_moyen"), 3).alias("prix_moyen"),
-        F.round(F.max("prix_moyen"), 3).alias("prix_max"),
+        rounded(F.min("prix_moyen"), 3).alias("prix_min"),
+        rounded(F.avg("prix_moyen"), 3).alias("prix_moyen"),
+        rounded(F.max("prix_moyen"), 3).alias("prix_max"),
         F.min(F.struct(F.coalesce("date_cot", F.lit("9999-12-31").cast("date")).alias("d"), "unite"))["unite"].alias("unite"),
     )
     quartiles = group_quantiles(quotes, ["produit"], "prix_moyen", {"p25": 0.25, "p75": 0.75}, method)
@@ -145,8 +146,8 @@ def price_distribution(quotes: DataFrame, method: str = "disc") -> DataFrame:
     ranks = quartiles.drop("n").join(middle, "produit")
     return stats.join(ranks, "produit").select(
         short_label(F.col("produit"), 50).alias("produit"), "n_cotations", "prix_min",
-        F.round("p25", 3).alias("p25"), F.round("mediane", 3).alias("mediane"), "prix_moyen",
-        F.round("p75", 3).alias("p75"), "prix_max", "unite",
+        rounded("p25", 3).alias("p25"), rounded("mediane", 3).alias("mediane"), "prix_moyen",
+        rounded("p75", 3).alias("p75"), "prix_max", "unite",
     )
 
 
@@ -154,7 +155,7 @@ def seasonality(quotes: DataFrame) -> DataFrame:
     """Mean price per product and calendar month, with the month label."""
     return (
         quotes.withColumn("mois", F.month("date_cot"))
-        .groupBy("produit", "mois").agg(F.round(F.avg("prix_moyen"), 3).alias("prix_moy"))
+        .groupBy("produit", "mois").agg(rounded(F.avg("prix_moyen"), 3).alias("prix_moy"))
         .withColumn("mois_label", month_label(F.col("mois")))
     )
 
@@ -168,7 +169,7 @@ def seasonality_wide(quotes: DataFrame) -> DataFrame:
     """One row per product, one column per calendar month; months without quotes are null."""
     wide = (
         quotes.withColumn("mois", F.month("date_cot")).groupBy("produit")
-        .pivot("mois", list(MONTH_LABELS)).agg(F.round(F.avg("prix_moyen"), 3))
+        .pivot("mois", list(MONTH_LABELS)).agg(rounded(F.avg("prix_moyen"), 3))
     )
     months = [F.col(f"`{number}`").alias(label) for number, label in MONTH_LABELS.items()]
     return wide.select(short_label(F.col("produit"), 50).alias("produit"), *months)
@@ -182,7 +183,7 @@ def latest_quotes(quotes: DataFrame, n: int = 200) -> DataFrame:
             F.col("date_cot").alias("Date"),
             short_label(F.col("produit"), 55).alias("Produit"),
             F.substring("marche", 1, 35).alias("Marché"),
-            F.round("prix_moyen", 3).alias("Prix moy. (€)"),
+            rounded("prix_moyen", 3).alias("Prix moy. (€)"),
             F.col("unite").alias("Unité"),
         )
     )

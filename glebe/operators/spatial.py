@@ -12,6 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from glebe.functions.numbers import rounded
 from glebe.functions import geo
 
 # More points than this in one cell are spread over several join keys.
@@ -33,7 +34,7 @@ def with_distance(df: DataFrame, lat: float, lon: float, lat_col: str = "latitud
                   lon_col: str = "longitude", decimals: int | None = None) -> DataFrame:
     """Add ``distance_km`` from one point; null where a coordinate is missing (0.0 is a coordinate)."""
     km = geo.haversine_km(F.lit(float(lat)), F.lit(float(lon)), F.col(lat_col), F.col(lon_col))
-    return df.withColumn("distance_km", km if decimals is None else F.round(km, decimals))
+    return df.withColumn("distance_km", km if decimals is None else rounded(km, decimals))
 
 
 def within_radius(df: DataFrame, lat: float, lon: float, radius_km: float,

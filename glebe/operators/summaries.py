@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glebe.functions.numbers import rounded
 from glebe.functions.dates import quote_date
 
 
@@ -15,9 +16,9 @@ def weather_summary(weather: DataFrame) -> DataFrame:
     return weather.agg(
         F.min("date").alias("premiere_date"), F.max("date").alias("derniere_date"),
         F.count(F.lit(1)).alias("n_jours"),
-        F.round(F.avg("temperature_2m_max"), 1).alias("tmax_moy_c"),
-        F.round(F.avg("temperature_2m_min"), 1).alias("tmin_moy_c"),
-        F.round(F.sum("precipitation_sum"), 0).alias("pluie_totale_mm"),
+        rounded(F.avg("temperature_2m_max"), 1).alias("tmax_moy_c"),
+        rounded(F.avg("temperature_2m_min"), 1).alias("tmin_moy_c"),
+        rounded(F.sum("precipitation_sum"), 0).alias("pluie_totale_mm"),
     )
 
 
@@ -50,9 +51,9 @@ def groundwater_summary(measures: DataFrame) -> DataFrame:
     return measures.agg(
         F.count(F.lit(1)).alias("n_mesures"), F.countDistinct("code_bss").alias("n_stations"),
         F.min("date_mesure").alias("premiere_date"), F.max("date_mesure").alias("derniere_date"),
-        F.round(F.avg("profondeur_nappe"), 2).alias("prof_moy_m"),
-        F.round(F.min("profondeur_nappe"), 2).alias("prof_min_m"),
-        F.round(F.max("profondeur_nappe"), 2).alias("prof_max_m"),
+        rounded(F.avg("profondeur_nappe"), 2).alias("prof_moy_m"),
+        rounded(F.min("profondeur_nappe"), 2).alias("prof_min_m"),
+        rounded(F.max("profondeur_nappe"), 2).alias("prof_max_m"),
     )
 
 
@@ -60,28 +61,28 @@ def groundwater_per_station(measures: DataFrame) -> DataFrame:
     """Per station: measures, span, mean depth; most measures first."""
     return measures.groupBy("code_bss").agg(
         F.count(F.lit(1)).alias("n"), F.min("date_mesure").alias("debut"), F.max("date_mesure").alias("fin"),
-        F.round(F.avg("profondeur_nappe"), 2).alias("prof_moy_m"),
+        rounded(F.avg("profondeur_nappe"), 2).alias("prof_moy_m"),
     ).orderBy(F.desc("n"), F.col("code_bss").asc_nulls_last())
 
 
 def wells_summary(wells: DataFrame) -> DataFrame:
     return wells.agg(
         F.count(F.lit(1)).alias("n_stations"), F.countDistinct("code_departement").alias("n_depts"),
-        F.round(F.min("distance_km"), 1).alias("dist_min_km"), F.round(F.max("distance_km"), 1).alias("dist_max_km"),
-        F.round(F.avg("profondeur_investigation"), 1).alias("prof_moy_m"),
+        rounded(F.min("distance_km"), 1).alias("dist_min_km"), rounded(F.max("distance_km"), 1).alias("dist_max_km"),
+        rounded(F.avg("profondeur_investigation"), 1).alias("prof_moy_m"),
         F.countDistinct("code_bdlisa").alias("n_masses_eau"),
     )
 
 
 def wells_per_department(wells: DataFrame) -> DataFrame:
     return wells.groupBy("nom_departement").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.avg("profondeur_investigation"), 1).alias("prof_moy_m"),
+        F.count(F.lit(1)).alias("n"), rounded(F.avg("profondeur_investigation"), 1).alias("prof_moy_m"),
     ).orderBy(F.desc("n"), F.col("nom_departement").asc_nulls_last())
 
 
 def crop_parcel_summary(parcels: DataFrame) -> DataFrame:
     return parcels.agg(
-        F.count(F.lit(1)).alias("n_parcelles"), F.round(F.sum("surface_ha"), 0).alias("surface_totale_ha"),
+        F.count(F.lit(1)).alias("n_parcelles"), rounded(F.sum("surface_ha"), 0).alias("surface_totale_ha"),
         F.countDistinct("code_culture").alias("n_cultures"),
     )
 
@@ -89,13 +90,13 @@ def crop_parcel_summary(parcels: DataFrame) -> DataFrame:
 def top_crops(parcels: DataFrame, n: int = 10) -> DataFrame:
     """Crops with the largest area: parcels and hectares (1 decimal)."""
     areas = parcels.groupBy("libelle_culture").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.sum("surface_ha"), 1).alias("ha"))
+        F.count(F.lit(1)).alias("n"), rounded(F.sum("surface_ha"), 1).alias("ha"))
     return areas.orderBy(F.desc("ha"), F.col("libelle_culture").asc_nulls_last()).limit(n)
 
 
 def hours_summary(hours: DataFrame) -> DataFrame:
     return hours.agg(
-        F.count(F.lit(1)).alias("n_entrees"), F.round(F.sum("duree_h"), 1).alias("total_heures"),
+        F.count(F.lit(1)).alias("n_entrees"), rounded(F.sum("duree_h"), 1).alias("total_heures"),
         F.min("date").alias("premiere_date"), F.max("date").alias("derniere_date"),
         F.countDistinct("poste").alias("n_postes"),
     )
@@ -103,7 +104,7 @@ def hours_summary(hours: DataFrame) -> DataFrame:
 
 def hours_per_task(hours: DataFrame) -> DataFrame:
     return hours.groupBy("poste").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.sum("duree_h"), 1).alias("heures"),
+        F.count(F.lit(1)).alias("n"), rounded(F.sum("duree_h"), 1).alias("heures"),
     ).orderBy(F.col("heures").desc_nulls_last(), F.col("poste").asc_nulls_last())
 
 

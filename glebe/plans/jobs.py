@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glebe.functions.numbers import rounded
 from glebe.functions.dates import since_date
 from glebe.operators import conform, enrichment, filters, hours, latest, prices, scoring, spatial, summaries
 from glebe.operators.conform import concat
@@ -115,7 +116,7 @@ def load_wells(spark: SparkSession, landing_path: str, table: str, lat: float, l
     """Wells within the radius of a site; returns wells and mean depth per department."""
     wells = records.read_wells(spark, landing_path, lat, lon, layout)
     near = spatial.within_radius(wells.drop("distance_km"), lat, lon, radius_km)
-    kept = near.withColumn("distance_km", F.round("distance_km", 2)).select(*WELLS.fieldNames())
+    kept = near.withColumn("distance_km", rounded("distance_km", 2)).select(*WELLS.fieldNames())
     tables.write_all(kept, table)
     return summaries.wells_per_department(spark.read.parquet(table))
 
