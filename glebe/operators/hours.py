@@ -37,8 +37,8 @@ def entries_from_text(requests: DataFrame, ref_date: dt.date) -> DataFrame:
 
 
 def hours_from_timer(events: DataFrame, worker: str = "worker", at: str = "ts", kind: str = "kind",
-                     task: str = "poste") -> DataFrame:
-    """Start/stop events paired per worker: task, day, start, stop, hours.
+                     task: str = "poste", seconds: bool = False) -> DataFrame:
+    """Start/stop events paired per worker: task, day, start, stop, hours (and whole ``secondes`` if asked).
 
     A start counts when the worker's next event is a stop; other starts and stray stops are dropped.
     Time is cut into months so that no worker's whole history has to sit in one task; a pair across the
@@ -57,11 +57,12 @@ def hours_from_timer(events: DataFrame, worker: str = "worker", at: str = "ts",
     order = Window.partitionBy(worker, "_month").orderBy("_at", "_kind", "_task")
     paired = rows.withColumn("_next", F.lead(F.struct("_at", "_kind")).over(order))
     kept = paired.filter(~F.col("_copy") & (F.col("_kind") == "start") & (F.col("_next._kind") == "stop"))
+    exact = [F.timestamp_diff("SECOND", F.col("_at"), F.col("_next._at")).alias("secondes")] if seconds else []
     return kept.select(
         worker, F.col("_task").alias("poste"), F.col("_at").cast("date").alias("date"),
         F.date_format("_at", "HH:mm").alias("debut"), F.date_format("_next._at", "HH:mm").alias("fin"),
         hours_between(F.col("_at"), F.col("_next._at")).alias("duree_h"),
-        F.lit("timer").alias("source"),
+        F.lit("timer").alias("source"), *exact,
     )
 
 

@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 
 from glebe.functions import text
 from glebe.operators.conform import concat, conform_quotes, conform_sales, fill_quote_year, fill_sale_period
-from glebe.sources.landing import QUOTE_DIALECT, SALE_DIALECT, Dialect, header_names, text_schema
+from glebe.sources.landing import QUOTE_DIALECT, SALE_DIALECT, Dialect, header_names
 
 _LINES = "path string, member string, line_no bigint, separateur string, entete string, line string, error string"
 
 
-def archive_lines(spark: SparkSession, path: str | list[str], dialect: Dialect) -> DataFrame:
-    """Lines of all CSV members of the archives, each with its member's separator and header.
+def unpack(files: DataFrame, dialect: Dialect) -> DataFrame:
+    """Lines of all CSV members of archives (``path``, ``content``), each with its member's separator and header.
 
     An archive is unpacked by one task, member by member and in batches; it cannot be split. A broken
     archive or one without CSV members gives one row with ``error``.
@@ -80,28 +80,29 @@ def archive_lines(spark: SparkSession, path: str | list[str], dialect: Dialect)
                         if held:
                             yield output(held)
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(unzip, _LINES)
+    return files.select("path", "content").mapInArrow(unzip, _LINES)
 
 
-def read_archives(spark: SparkSession, path: str | list[str], dialect: Dialect,
-                  conform: Callable[..., DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """(rows in the target schema with ``_file`` and ``_name``, error rows)."""
-    lines = archive_lines(spark, path, dialect)
+def archive_rows(files: Callable[[list[str] | None], DataFrame], dialect: Dialect,
+                 conform: Callable[..., DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """(rows in the target schema with ``_file`` and ``_name``, error rows).
+
+    ``files`` gives the archives (path, content): all of them, or those of the listed paths. Members are
+    parsed once per distinct header, from the archives it occurs in.
+    """
+    lines = unpack(files(None), dialect)
     errors = lines.filter(F.col("error").isNotNull()).select("path", "error")
-    # One row per member: the headers in use and the archives they occur in.
     heads = lines.filter(F.col("line_no") == 1).select("separateur", "entete", "path").distinct().collect()
     groups: dict[tuple[str, str], list[str]] = {}
     for row in heads:
-        groups.setdefault((row.separateur, row.entete), []).append(unquote(row.path))
+        groups.setdefault((row.separateur, row.entete), []).append(row.path)
     frames = []
     for (separator, header), paths in sorted(groups.items()):
         names = header_names(header, separator)
-        schema = text_schema([f"c{i}" for i in range(len(names))])
-        own = archive_lines(spark, paths, dialect).filter(
+        cells = ", ".join(f"c{i} string" for i in range(len(names)))
+        own = unpack(files(paths), dialect).filter(
             (F.col("separateur") == separator) & (F.col("entete") == header) & (F.trim("line") != ""))
-        cells = own.select("path", "member", F.from_csv("line", schema.simpleString()[7:-1].replace(":", " "),
-                                                        {"sep": separator}).alias("c"))
-        raw = cells.select(
+        raw = own.select("path", "member", F.from_csv("line", cells, {"sep": separator}).alias("c")).select(
             *(F.col(f"c.c{i}").alias(n) for i, n in enumerate(names)),
             F.concat_ws("!", "path", "member").alias("_file"),
             F.substring_index("path", "/", -1).alias("_name"))
@@ -111,6 +112,16 @@ def read_archives(spark: SparkSession, path: str | list[str], dialect: Dialect,
     return concat(frames), errors
 
 
+def read_archives(spark: SparkSession, path: str | list[str], dialect: Dialect,
+                  conform: Callable[..., DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """Rows and errors of the archives below a path."""
+
+    def files(paths: list[str] | None) -> DataFrame:
+        return spark.read.format("binaryFile").load([unquote(p) for p in paths] if paths else path)
+
+    return archive_rows(files, dialect, conform)
+
+
 def read_quote_archives(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, DataFrame]:
     """Market quotes from archives; the year is filled per member, at last from the archive name."""
     rows, errors = read_archives(spark, path, QUOTE_DIALECT, conform_quotes)

@@ -232,9 +232,12 @@ def parcel_rows(documents: DataFrame) -> DataFrame:
     return filled.withColumn("errors", F.concat("_wrong", broken_rules(PARCELS.fieldNames()))).drop("_wrong")
 
 
-def read_parcels(spark: SparkSession, path: str) -> DataFrame:
-    """All parcel documents, newest file first, with ``errors`` and ``fichier``; unreadable files are skipped."""
-    documents = spark.read.schema(_document_schema()).option("multiLine", True).json(path).select(
+def read_parcels(spark: SparkSession, path: str, layout: str = "document") -> DataFrame:
+    """All parcel documents, newest file first, with ``errors`` and ``fichier``; unreadable ones are skipped.
+
+    ``layout`` "document" is one record per file, "lines" one per line, as ``write_parcels`` leaves them.
+    """
+    documents = spark.read.schema(_document_schema()).option("multiLine", layout == "document").json(path).select(
         "*", F.col("_metadata.file_path").alias("fichier"), F.col("_metadata.file_modification_time").alias("modifie"))
     readable = documents.filter(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
     return parcel_rows(readable).orderBy(F.desc("modifie"), "fichier")

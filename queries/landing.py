@@ -1 +1,318 @@
-"""Placeholder."""
+"""Readers: the tables are first landed as CSV, JSON or ZIP, with drifting headers and number formats."""
+
+from __future__ import annotations
+
+import datetime as dt
+
+from pyspark.sql import functions as F
+
+from glebe.operators import filters, hours
+from glebe.operators.conform import conform_quotes, conform_sales, fill_quote_year, fill_sale_period
+from glebe.plans import jobs
+from glebe.schemas import CROP_LABELS, LAND_SALES, STRING, struct
+from glebe.session import scratch_path
+from glebe.sources import archives, landing, records, tables
+from queries.registry import query
+from queries.spatial import SITE_KM
+from queries.standins import SITE_LAT, SITE_LON, standin, table, with_tables
+
+
+def _comma(c: str):
+    return F.coalesce(F.replace(F.col(c).cast("string"), F.lit("."), F.lit(",")), F.lit("nd"))
+
+
+def landed_quotes(spark, sf) -> str:
+    """Three dialects: current names with ";" and decimal commas, old names with "," in Latin-1, no year."""
+    quotes = standin(spark, sf, "quotes")
+    path = scratch_path(spark, "quotes")
+    week = (F.col("annee") % 53).cast("string")
+    current = quotes.filter("annee % 2 = 0 AND marche <> 'MARCHE 0'").select(
+        "annee", week.alias("semaine"), F.col("date").alias("date_cotation"), F.col("produit").alias("produit_libelle"),
+        F.col("marche").alias("marche_libelle"), F.col("stade").alias("stade_libelle"), "unite",
+        _comma("prix_min").alias("prix_min"), _comma("prix_max").alias("prix_max"), _comma("prix_moyen").alias("prix_moyen"))
+    old = quotes.filter("annee % 2 = 1 AND marche <> 'MARCHE 0'").select(
+        F.col("annee").alias("Annee"), week.alias("Semaine"), F.col("date").alias("DateDebut"), F.col("produit").alias("Produit"),
+        F.col("marche").alias("Marche"), F.col("stade").alias("Stade"), F.lit("é").alias("catégorie"), F.col("unite").alias("Unité"),
+        F.col("prix_min").alias("Prix Min"), F.col("prix_max").alias("Prix Max"), F.col("prix_moyen").alias("Prix Moyen"))
+    no_year = quotes.filter("marche = 'MARCHE 0'").select(
+        "date", week.alias("semaine"), "produit", "marche", "stade", "unite", F.col("prix_min").alias("min"), F.col("prix_max").alias("max"),
+        F.col("prix_moyen").alias("moyen"))
+    current.write.option("header", True).option("sep", ";").csv(f"{path}/current")
+    old.write.option("header", True).option("encoding", "ISO-8859-1").csv(f"{path}/old")
+    no_year.write.option("header", True).option("sep", ";").csv(f"{path}/no_year")
+    return f"{path}/*"
+
+
+QUOTES = with_tables("quotes") + """, landed AS (SELECT annee, CAST(annee % 53 AS INT) AS semaine, date, produit, marche, stade,
+  CASE WHEN annee % 2 = 1 AND marche <> 'MARCHE 0' THEN 'é' END AS categorie, unite, prix_min, prix_max, prix_moyen FROM quotes)"""
+QUOTE_COLUMNS = ["annee", "semaine", "date", "produit", "marche", "stade", "categorie", "unite", "prix_min", "prix_max", "prix_moyen"]
+
+
+def _read_quotes(spark, path):
+    """Part files carry no year in their names, so only the dates can give a missing year."""
+    rows = landing.read_csv_files(spark, landing.quote_manifest(spark, path), conform_quotes)
+    return fill_quote_year(rows.withColumn("_file_year", F.lit(None).cast("int")))
+
+
+@query(QUOTES + " SELECT * FROM landed")
+def quotes_from_csv(spark, sf):
+    return _read_quotes(spark, landed_quotes(spark, sf)).select(QUOTE_COLUMNS)
+
+
+@query("""SELECT * FROM (VALUES (';', 'UTF-8', 'annee;semaine;date_cotation;produit_libelle;marche_libelle;stade_libelle;unite;prix_min;prix_max;prix_moyen', 'CSV'),
+  (',', 'ISO-8859-1', 'Annee,Semaine,DateDebut,Produit,Marche,Stade,catégorie,Unité,Prix Min,Prix Max,Prix Moyen', 'CSV'),
+  (';', 'UTF-8', 'date;semaine;produit;marche;stade;unite;min;max;moyen', 'CSV')) AS t(separateur, encodage, entete, format)""")
+def quote_file_dialects(spark, sf):
+    manifest = landing.quote_manifest(spark, landed_quotes(spark, sf))
+    return manifest.select("separateur", "encodage", "entete", "format").distinct()
+
+
+def zipped_lines(lines):
+    """CSV lines packed into one archive per batch: two members and a file that is no CSV."""
+    header = "annee;produit;marche;prix_moyen"
+
+    def pack(batches):
+        import io
+        import uuid
+        import zipfile
+
+        import pyarrow as pa
+
+        for batch in batches:
+            body = batch.column(0).to_pylist()
+            buffer = io.BytesIO()
+            with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as archive:
+                archive.writestr("a.csv", "\n".join([header, *body[::2]]) + "\n")
+                archive.writestr("sub/b.CSV", "\n".join([header.upper(), *body[1::2]]) + "\n")
+                archive.writestr("readme.txt", "x")
+            yield pa.RecordBatch.from_arrays([pa.array([f"{uuid.uuid4()}.zip"]), pa.array([buffer.getvalue()], pa.binary())], names=["path", "content"])
+
+    return lines.mapInArrow(pack, "path string, content binary")
+
+
+@query(with_tables("quotes") + " SELECT annee, produit, marche, prix_moyen, count(*) AS n FROM quotes GROUP BY ALL")
+def quotes_from_archives(spark, sf):
+    quotes = standin(spark, sf, "quotes").select(F.concat_ws(";", "annee", "produit", "marche", _comma("prix_moyen")).alias("line"))
+    path = scratch_path(spark, "archives")
+    zipped_lines(quotes).write.parquet(path)
+    stored = spark.read.parquet(path)
+    rows, _ = archives.archive_rows(lambda paths: stored if paths is None else stored.filter(F.col("path").isin(paths)),
+                                    landing.QUOTE_DIALECT, conform_quotes)
+    return rows.groupBy("annee", "produit", "marche", "prix_moyen").agg(F.count("*").alias("n"))
+
+
+def landed_sales(spark, sf) -> str:
+    part, key = table(spark, sf, "part"), F.col("p_partkey")
+    path = scratch_path(spark, "sales")
+    day = F.date_add(F.lit("2015-01-01").cast("date"), (key % 3000).cast("int"))
+    place = (F.lit(42.0) + (key * 6007 + 17) % 9000 / F.lit(1000.0), F.lit(-4.5) + (key * 15485863 + 5) % 12000 / F.lit(1000.0))
+    text = F.concat(F.col("p_size").cast("string"), F.lit(" "), F.lpad(((key * 7) % 1000).cast("string"), 3, "0"), F.lit(",5"))
+    columns = [day.cast("string").alias("date_mutation"), F.format_number(F.floor(F.col("p_retailprice") * 1000), 0).alias("VALEUR FONCIERE"),
+               F.lpad((key % 96).cast("string"), 3, "0").alias("code_dept"), key.cast("string").alias("id_parcel"),
+               F.when(key % 9 != 0, key % 7).alias("nombre_pieces"), place[0].alias("lat"), place[1].alias("lon"), text.alias("surface_terrain")]
+    part.filter("p_partkey % 2 = 0").select(columns).write.option("header", True).option("sep", ";").csv(f"{path}/a")
+    part.filter("p_partkey % 2 = 1").select(columns).write.option("header", True).csv(f"{path}/b")
+    return f"{path}/*"
+
+
+SALES = """WITH part_days AS (SELECT *, DATE '2015-01-01' + CAST(p_partkey % 3000 AS INT) AS d FROM part),
+ landed AS (SELECT CAST(year(d) AS INT) AS annee, CAST(quarter(d) AS INT) AS trimestre, CAST(d AS STRING) AS date_mutation, CAST(floor(p_retailprice * 1000) AS DOUBLE) AS valeur_fonciere,
+  lpad(CAST(p_partkey % 96 AS STRING), 3, '0') AS code_departement, CAST(p_partkey AS STRING) AS id_parcelle,
+  CASE WHEN p_partkey % 9 <> 0 THEN CAST(p_partkey % 7 AS INT) END AS nombre_pieces_principales,
+  42.0 + ((p_partkey * 6007 + 17) % 9000) / 1000.0::DOUBLE AS latitude, -4.5 + ((p_partkey * 15485863 + 5) % 12000) / 1000.0::DOUBLE AS longitude,
+  p_size * 1000 + (p_partkey * 7) % 1000 + 0.5::DOUBLE AS surface_terrain FROM part_days)"""
+SALE_COLUMNS = ["annee", "trimestre", "date_mutation", "valeur_fonciere", "code_departement", "id_parcelle", "nombre_pieces_principales",
+                "latitude", "longitude", "surface_terrain"]
+
+
+def _read_sales(spark, sf):
+    manifest = landing.sale_manifest(spark, landed_sales(spark, sf))
+    return fill_sale_period(landing.read_csv_files(spark, manifest, conform_sales)).select(LAND_SALES.fieldNames())
+
+
+@query(SALES + " SELECT * FROM landed")
+def sales_from_csv(spark, sf):
+    return _read_sales(spark, sf).select(SALE_COLUMNS)
+
+
+@query(SALES + " SELECT id_parcelle, code_departement FROM landed WHERE CAST(code_departement AS INT) IN (7, 72, 10)")
+def sales_of_departments(spark, sf):
+    return filters.in_departments(_read_sales(spark, sf), ["07", "072", "10"]).select("id_parcelle", "code_departement")
+
+
+@query(SALES + f""", kept AS (SELECT DISTINCT * FROM landed WHERE CAST(code_departement AS INT) BETWEEN 1 AND 89 AND latitude BETWEEN {SITE_LAT} - 300 / 111.32::DOUBLE AND {SITE_LAT} + 300 / 111.32::DOUBLE
+  AND longitude BETWEEN {SITE_LON} - 300 / (111.32::DOUBLE * cos(radians({SITE_LAT}))) AND {SITE_LON} + 300 / (111.32::DOUBLE * cos(radians({SITE_LAT}))))
+  SELECT annee, count(*) AS n FROM kept GROUP BY annee""")
+def stored_sales_per_year(spark, sf):
+    kept = filters.sales_of(_read_sales(spark, sf), [str(i) for i in range(90)], SITE_LAT, SITE_LON, 300)
+    path = scratch_path(spark, "sales_table")
+    tables.write_years(jobs.summaries.distinct_rows(kept.unionByName(kept)), path)
+    return jobs.summaries.rows_per(spark.read.parquet(path))
+
+
+@query(QUOTES + """ SELECT min(annee) AS premiere_annee, max(annee) AS derniere_annee, count(*) AS n_cotations, count(DISTINCT produit) AS n_produits,
+  count(DISTINCT marche) AS n_marches, 0 AS n_origines FROM landed WHERE stade = 'A'""")
+def stored_quotes_job(spark, sf):
+    path = scratch_path(spark, "quotes_table")
+    tables.write_years(filters.quotes_of(_read_quotes(spark, landed_quotes(spark, sf)).drop("_file", "_name"), None, ["a"]), path)
+    return jobs.summaries.quote_summary(spark.read.parquet(path)).withColumn("n_origines", F.col("n_origines").cast("int"))
+
+
+def landed_wells(spark, sf) -> str:
+    wells = standin(spark, sf, "wells")
+    lists = F.when(F.col("nb_mesures_piezo") % 5 == 0, F.array().cast("array<string>")).otherwise(F.array("code_bdlisa", F.lit("autre")))
+    record = F.struct("code_bss", "code_departement", "nom_departement", F.col("longitude").alias("x"), F.col("latitude").alias("y"),
+                      F.when(F.col("nb_mesures_piezo") % 4 == 0, F.lit("n.c.")).otherwise(F.col("nb_mesures_piezo").cast("string")).alias("altitude_station"),
+                      "profondeur_investigation", "nb_mesures_piezo", lists.alias("codes_bdlisa"))
+    path = scratch_path(spark, "wells")
+    wells.select(F.to_json(record).alias("value")).write.text(path)
+    return path
+
+
+WELLS = with_tables("wells") + f""", landed AS (SELECT code_bss, code_departement, nom_departement, longitude, latitude,
+  CASE WHEN nb_mesures_piezo % 4 <> 0 THEN CAST(nb_mesures_piezo AS DOUBLE) END AS altitude_station, profondeur_investigation, nb_mesures_piezo,
+  CASE WHEN nb_mesures_piezo % 5 <> 0 THEN code_bdlisa END AS code_bdlisa, round({SITE_KM}, 2) AS distance_km FROM wells)"""
+
+
+@query(WELLS + " SELECT * FROM landed")
+def wells_from_json(spark, sf):
+    wells = records.read_wells(spark, landed_wells(spark, sf), SITE_LAT, SITE_LON)
+    return wells.select("code_bss", "code_departement", "nom_departement", "longitude", "latitude", "altitude_station", "profondeur_investigation",
+                        "nb_mesures_piezo", "code_bdlisa", "distance_km")
+
+
+@query(WELLS + f" SELECT nom_departement, count(*) AS n, round(avg(profondeur_investigation), 1) AS prof_moy_m FROM landed WHERE {SITE_KM} <= 350 GROUP BY 1")
+def stored_wells_job(spark, sf):
+    return jobs.load_wells(spark, landed_wells(spark, sf), scratch_path(spark, "wells_table"), SITE_LAT, SITE_LON, 350)
+
+
+def landed_groundwater(spark, sf) -> str:
+    g, no = standin(spark, sf, "groundwater"), F.col("mesure")
+    day = F.col("date_mesure").cast("string")
+    record = F.struct(
+        F.coalesce("code_bss", F.lit("")).alias("code_bss"),
+        F.when(no % 11 == 0, F.lit("pas-une-date")).when(no % 2 == 0, F.concat(day, F.lit("T00:00:00"))).otherwise(day).alias("date_mesure"),
+        F.when(no % 13 == 0, F.lit("n.a.")).otherwise(F.col("profondeur_nappe").cast("string")).alias("profondeur_nappe"),
+        F.col("niveau_eau_ngf"), "qualification",
+        F.when(no % 3 == 0, F.lit("invalide")).otherwise((no % 4).cast("string")).alias("code_qualification"), F.lit("auto").alias("mode_obtention"))
+    path = scratch_path(spark, "groundwater")
+    g.select(F.to_json(record).alias("value")).write.text(path)
+    return path
+
+
+GROUNDWATER = with_tables("groundwater", "wells") + """, landed AS (SELECT code_bss, CASE WHEN mesure % 11 <> 0 THEN date_mesure END AS date_mesure,
+  CASE WHEN mesure % 13 <> 0 THEN profondeur_nappe END AS profondeur_nappe, niveau_eau_ngf, qualification,
+  CASE WHEN mesure % 3 <> 0 THEN mesure % 4 END AS code_qualification FROM groundwater)"""
+
+
+@query(GROUNDWATER + " SELECT code_bss, date_mesure, profondeur_nappe, niveau_eau_ngf, qualification, code_qualification FROM landed")
+def groundwater_from_json(spark, sf):
+    return records.read_groundwater(spark, landed_groundwater(spark, sf)).drop("mode_obtention")
+
+
+@query(GROUNDWATER + f""" SELECT code_bss, count(*) AS n, min(date_mesure) AS debut, max(date_mesure) AS fin, round(avg(profondeur_nappe), 2) AS prof_moy_m FROM landed
+  WHERE date_mesure BETWEEN DATE '1997-01-01' AND DATE '2000-06-30'
+    AND code_bss IN (SELECT code_bss FROM wells WHERE {SITE_KM} <= 350 ORDER BY round({SITE_KM}, 2), code_bss LIMIT 12) GROUP BY 1""")
+def stored_groundwater_job(spark, sf):
+    wells = scratch_path(spark, "wells_table")
+    jobs.load_wells(spark, landed_wells(spark, sf), wells, SITE_LAT, SITE_LON, 350)
+    return jobs.load_groundwater(spark, landed_groundwater(spark, sf), wells, scratch_path(spark, "groundwater_table"), dt.date(2000, 6, 30), 1997, 12)
+
+
+def landed_features(spark, sf) -> str:
+    """Squares of a tenth of a degree; every third one a MultiPolygon, some properties in upper case."""
+    crops = standin(spark, sf, "crops")
+    x, y, no = F.col("x"), F.col("y"), F.col("id_parcel").cast("bigint")
+    ring = F.array(F.array(x, y), F.array(x + 0.5, y), F.array(x + 0.5, y + 0.5), F.array(x, y))
+    shape = F.when(no % 3 == 0, F.to_json(F.array(F.array(ring)))).otherwise(F.to_json(F.array(ring)))
+    kind = F.when(no % 3 == 0, "MultiPolygon").otherwise("Polygon")
+    geometry = F.when(no % 50 == 0, F.lit('{"type":"Point","coordinates":[1.0,2.0]}')).otherwise(
+        F.concat(F.lit('{"type":"'), kind, F.lit('","coordinates":'), shape, F.lit("}")))
+    lower = F.to_json(F.struct("id_parcel", F.col("code_culture").alias("code_cultu"), F.col("surface_ha").alias("surf_parc")))
+    upper = F.to_json(F.struct(F.col("id_parcel").alias("ID_PARCEL"), F.col("code_culture").alias("CODE_CULTU"), F.col("surface_ha").alias("SURF_PARC")))
+    line = F.concat(F.lit('{"properties":'), F.when(no % 2 == 0, lower).otherwise(upper), F.lit(',"geometry":'), geometry, F.lit("}"))
+    path = scratch_path(spark, "features")
+    crops.select(line.alias("value")).write.text(path)
+    return path
+
+
+_CODES = ", ".join(f"('{k}', '{v}')" for k, v in CROP_LABELS.items())
+_P = [f"concat(CAST(x + {dx}::DOUBLE AS STRING), ' ', CAST(y + {dy}::DOUBLE AS STRING))" for dx, dy in ((0, 0), (.5, 0), (.5, .5), (0, 0))]
+_RING = "concat('((', " + ", ',', ".join(_P) + ", '))')"
+CROPS = with_tables("crops") + f""", codes(code, label) AS (VALUES {_CODES}), landed AS (SELECT id_parcel, code_culture, surface_ha, coalesce(label, 'Inconnu') AS libelle_culture, x, y,
+  CASE WHEN CAST(id_parcel AS BIGINT) % 50 = 0 THEN '' WHEN CAST(id_parcel AS BIGINT) % 3 = 0 THEN concat('MULTIPOLYGON(', {_RING}, ')') ELSE concat('POLYGON', {_RING}) END AS geometry_wkt
+  FROM crops LEFT JOIN codes ON code = code_culture)"""
+
+
+@query(CROPS + " SELECT id_parcel, code_culture, surface_ha, libelle_culture, geometry_wkt FROM landed")
+def crop_parcels_from_geojson(spark, sf):
+    return records.crop_parcel_rows(records.read_features(spark, landed_features(spark, sf)))
+
+
+IN_BOX = f"""geometry_wkt <> '' AND x <= {SITE_LON} + 100 / (111.32::DOUBLE * cos(radians({SITE_LAT}))) AND x + 0.5 >= {SITE_LON} - 100 / (111.32::DOUBLE * cos(radians({SITE_LAT})))
+  AND y <= {SITE_LAT} + 100 / 111.32::DOUBLE AND y + 0.5 >= {SITE_LAT} - 100 / 111.32::DOUBLE"""
+
+
+@query(CROPS + f" SELECT id_parcel FROM landed WHERE {IN_BOX}")
+def crop_parcels_in_box(spark, sf):
+    features = records.read_features(spark, landed_features(spark, sf))
+    return records.crop_parcel_rows(records.features_in_box(features, SITE_LAT, SITE_LON, 100)).select("id_parcel")
+
+
+@query(CROPS + f" SELECT libelle_culture, count(*) AS n, round(sum(surface_ha), 1) AS ha FROM landed WHERE {IN_BOX} GROUP BY 1 ORDER BY ha DESC, libelle_culture LIMIT 10")
+def stored_crop_parcels_job(spark, sf):
+    return jobs.load_crop_parcels(spark, landed_features(spark, sf), scratch_path(spark, "crops_table"), SITE_LAT, SITE_LON, 100)
+
+
+def landed_log(spark, sf) -> str:
+    h, no = standin(spark, sf, "hours"), F.col("id").cast("bigint")
+    path = scratch_path(spark, "log")
+    h.select("id", F.when(no % 17 == 0, F.lit("?")).otherwise(F.col("date").cast("string")).alias("date"), F.lit("").alias("debut"), F.lit("").alias("fin"),
+             F.when(no % 19 == 0, F.lit("x")).otherwise(F.col("duree_h").cast("string")).alias("duree_h"), "poste", F.lit("a,b").alias("notes"),
+             F.lit("manuel").alias("source")).write.option("header", True).csv(path)
+    return path
+
+
+LOG = with_tables("hours") + """, landed AS (SELECT id, CASE WHEN CAST(id AS BIGINT) % 17 <> 0 THEN date END AS date,
+  CASE WHEN CAST(id AS BIGINT) % 19 <> 0 THEN duree_h END AS duree_h, poste, 'a,b' AS notes FROM hours)"""
+
+
+@query(LOG + """ SELECT id, date, duree_h, poste, notes, CAST(year(date) AS INT) AS annee, CAST(month(date) AS INT) AS mois, CAST(week(date) AS INT) AS semaine,
+  CAST(isodow(date) AS INT) AS jour_semaine FROM landed""")
+def hours_from_csv(spark, sf):
+    log = landing.read_work_log(spark, landed_log(spark, sf))
+    return hours.typed_hours(log).select("id", "date", "duree_h", "poste", "notes", "annee", "mois", "semaine", "jour_semaine")
+
+
+@query(LOG + " SELECT poste, count(*) AS n, round(sum(duree_h), 1) AS heures FROM landed GROUP BY poste")
+def stored_hours_job(spark, sf):
+    return jobs.load_hours(spark, landed_log(spark, sf), scratch_path(spark, "hours_table"))[1]
+
+
+@query(with_tables("parcels") + " SELECT id, nom, surface_ha, lat, lon, prix_achat, pente_pct, risque_gel_tardif, meteo_jours_gel FROM parcels WHERE coalesce(prix_achat, 0) >= 0")
+def parcels_from_documents(spark, sf):
+    path = scratch_path(spark, "parcels")
+    records.write_parcels(standin(spark, sf, "parcels"), path)
+    valid = records.valid_parcels(records.read_parcels(spark, path, "lines"))
+    return valid.select("id", "nom", "surface_ha", "lat", "lon", "prix_achat", "pente_pct", "risque_gel_tardif", "meteo_jours_gel")
+
+
+@query(LOG + " SELECT poste, 2 * count(*) AS n, CAST(NULL AS STRING) AS fin FROM landed GROUP BY poste")
+def appended_log(spark, sf):
+    path = scratch_path(spark, "appended")
+    rows = hours.typed_hours(landing.read_work_log(spark, landed_log(spark, sf)))
+    tables.append_rows(rows, path)
+    tables.append_rows(rows, path)
+    stored, _ = tables.with_missing_columns(spark.read.parquet(path).drop("fin"), struct(("fin", STRING)))
+    return stored.groupBy("poste").agg(F.count("*").alias("n"), F.max("fin").alias("fin"))
+
+
+@query("""SELECT CAST(2000 + o_orderkey % 12 AS INT) AS annee, CAST(1 + o_orderkey % 4 AS INT) AS trimestre, count(*) AS n FROM orders WHERE o_orderkey % 12 IN (3, 5) AND o_orderkey % 3 <> 2 GROUP BY ALL""")
+def files_of_wanted_years(spark, sf):
+    """A manifest with one file per order."""
+    key = F.col("o_orderkey")
+    name = F.concat(F.lit("DVF "), (2000 + key % 12).cast("string"), F.lit(" T"), (1 + key % 4).cast("string"), F.lit(" "))
+    manifest = table(spark, sf, "orders").select(
+        name.alias("path"), landing.text.year_in_text(name).alias("annee"), landing.text.quarter_in_text(name).alias("trimestre"),
+        F.when(key % 3 == 0, "CSV").when(key % 3 == 1, "ZIP").otherwise("XLS").alias("format"))
+    return filters.files_of_years(manifest, [2003, 2005]).groupBy("annee", "trimestre").agg(F.count("*").alias("n"))

@@ -225,7 +225,7 @@ def test_parcel_documents(spark, tmp_path):
         "p1", 47.85, -0.94, "inconnu", "prospect", True, dt.datetime(2024, 1, 1, 10))
     out = str(tmp_path / "out")
     records.write_parcels(good, out)
-    back = records.valid_parcels(records.read_parcels(spark, out + "/*"))
+    back = records.valid_parcels(records.read_parcels(spark, out + "/*", "lines"))
     assert rows(back) == rows(good)
 
 
