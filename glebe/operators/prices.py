@@ -132,18 +132,21 @@ def price_series_wide(quotes: DataFrame, products: list[str], every: str = "week
 def price_distribution(quotes: DataFrame, method: str = "disc") -> DataFrame:
     """Per product: count, min, quartiles, median, mean, max and the unit of the earliest quote.
 
-    Quartiles by ``method``, the median always interpolated.
+    Quartiles by ``method``, the median always interpolated. Quotes are counted per product and price in
+    one pass; all figures come from those counts.
     """
-    stats = quotes.groupBy("produit").agg(
-        F.count(F.lit(1)).alias("n_cotations"),
+    day = F.coalesce("date_cot", F.lit("9999-12-31").cast("date"))
+    counted = quotes.groupBy("produit", "prix_moyen").agg(
+        F.count(F.lit(1)).alias("_n"), F.min(F.struct(day.alias("day"), "unite")).alias("_first"))
+    stats = counted.groupBy("produit").agg(
+        F.sum("_n").alias("n_cotations"),
         rounded(F.min("prix_moyen"), 3).alias("prix_min"),
-        rounded(F.avg("prix_moyen"), 3).alias("prix_moyen"),
+        rounded(F.sum(F.col("prix_moyen") * F.col("_n")) / F.sum("_n"), 3).alias("prix_moyen"),
         rounded(F.max("prix_moyen"), 3).alias("prix_max"),
-        F.min(F.struct(F.coalesce("date_cot", F.lit("9999-12-31").cast("date")).alias("d"), "unite"))["unite"].alias("unite"),
+        F.min("_first")["unite"].alias("unite"),
     )
-    quartiles = group_quantiles(quotes, ["produit"], "prix_moyen", {"p25": 0.25, "p75": 0.75}, method)
-    middle = group_quantiles(quotes, ["produit"], "prix_moyen", {"mediane": 0.5}, "linear").drop("n")
-    ranks = quartiles.drop("n").join(middle, "produit")
+    wanted = {"p25": (0.25, method), "mediane": (0.5, "linear"), "p75": (0.75, method)}
+    ranks = group_quantiles(counted, ["produit"], "prix_moyen", wanted, weight="_n").drop("n")
     return stats.join(ranks, "produit").select(
         short_label(F.col("produit"), 50).alias("produit"), "n_cotations", "prix_min",
         rounded("p25", 3).alias("p25"), rounded("mediane", 3).alias("mediane"), "prix_moyen",

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Slices per unit of ln(1 + |value|): one slice is about 0.02 % of the value wide.
-_SLICES = 4096
+# Slices per unit of ln(1 + |value|): one slice is about 0.4 % of the value wide, so prices between 0.01 and
+# a million need some 3,600 slices.
+_SLICES = 256
 
 
 def _slice_of(value: Column) -> Column:
@@ -14,11 +15,12 @@ def _slice_of(value: Column) -> Column:
     return F.floor(F.signum(value) * F.ln(F.lit(1.0) + F.abs(value)) * _SLICES)
 
 
-def group_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float],
+def group_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float | tuple[float, str]],
                     method: str = "disc", weight: str | None = None) -> DataFrame:
     """One row per group: the keys, ``n`` (non-null values) and one column per wanted quantile.
 
-    ``method`` is "disc" (smallest value that reaches the share), "linear" (interpolated) or "nearest".
+    ``method`` is "disc" (smallest value that reaches the share), "linear" (interpolated) or "nearest"; a
+    quantile given as (share, method) has its own.
     ``weight`` names a column that says how many copies of its value a row stands for.
 
     Equal values are counted before the shuffle. A histogram of narrow value slices then tells in which
@@ -40,9 +42,10 @@ def group_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
         .withColumn("_before", F.coalesce(F.sum("_in").over(before), F.lit(0)))
         .withColumn("n", F.sum("_in").over(group))
     )
-    ranks = {name: _rank_pair(F.col("n"), p, method) for name, p in probs.items()}
-    for name, (low, high, _) in ranks.items():
-        histogram = histogram.withColumns({f"_low_{name}": low, f"_high_{name}": high})
+    wishes = {name: p if isinstance(p, tuple) else (p, method) for name, p in probs.items()}
+    ranks = {name: _rank_pair(F.col("n"), *wish) for name, wish in wishes.items()}
+    histogram = histogram.withColumns(
+        {f"_{side}_{name}": pair[i] for name, pair in ranks.items() for i, side in enumerate(("low", "high"))})
     rank_cols = [f"_{side}_{name}" for name in probs for side in ("low", "high")]
     holds = F.exists(F.array(*rank_cols), lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_in")))
     place = [*keys, "_slice"]
