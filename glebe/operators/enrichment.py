@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glebe.functions.numbers import rounded
-from glebe.operators.quantiles import group_quantiles
-from glebe.operators.spatial import nearest, radius_join
+from glebe.operators.quantiles import group_quantiles, pick_quantiles, slice_of, wanted_slices
+from glebe.operators.spatial import CROWDED_CELL_SPOTS, nearest, radius_parts
 
 SALE_RADIUS_KM = 20.0
 WELL_RADIUS_KM = 5.0
@@ -81,6 +81,45 @@ def _places(parcels: DataFrame) -> DataFrame:
     return parcels.select("lat", "lon").distinct()
 
 
+def median_within(places: DataFrame, spots: DataFrame, radius_km: float, value: str, weight: str,
+                  crowded_cell_spots: int = CROWDED_CELL_SPOTS) -> DataFrame:
+    """Exact weighted median and count of the spots within the radius of each place (lat, lon).
+
+    Whole blocks of spots add their value histogram first; values are only read from the slice of the
+    histogram in which a place's median lies.
+    """
+    keys, wishes = ["lat", "lon"], {value: (0.5, "linear")}
+    parts = radius_parts(places, spots, radius_km, weight, crowded_cell_spots=crowded_cell_spots)
+    if parts.blocks is None:
+        return group_quantiles(parts.pairs, keys, value, wishes, weight=weight)
+    single = parts.pairs.groupBy(*keys, F.col(value).alias("_v")).agg(F.sum(weight).alias("_n")).withColumn("_slice", slice_of(F.col("_v")))
+    block = list(parts.block_key)
+    listed = parts.members.groupBy(*block, F.col(value).alias("_v")).agg(F.sum(weight).alias("_n")).withColumn("_slice", slice_of(F.col("_v")))
+    block_slices = listed.groupBy(*block, "_slice").agg(F.sum("_n").alias("_in"))
+    histogram = (
+        parts.blocks.join(block_slices, block).select(*keys, "_slice", "_in")
+        .unionByName(single.select(*keys, "_slice", F.col("_n").alias("_in")))
+        .groupBy(*keys, "_slice").agg(F.sum("_in").alias("_in"))
+    )
+    wanted = wanted_slices(histogram, keys, wishes)
+    from_blocks = parts.blocks.drop("_n").join(wanted, keys).join(listed, [*block, "_slice"]).drop(*block)
+    values = single.join(wanted, [*keys, "_slice"]).unionByName(from_blocks)
+    values = values.groupBy(*wanted.columns, "_v").agg(F.sum("_n").alias("_n"))
+    return pick_quantiles(values, keys, wishes)
+
+
+def count_within(places: DataFrame, spots: DataFrame, radius_km: float, weight: str,
+                 crowded_cell_spots: int = CROWDED_CELL_SPOTS) -> DataFrame:
+    """Spots (``n``) within the radius of each place (lat, lon) and km to the nearest of them."""
+    parts = radius_parts(places, spots, radius_km, weight, crowded_cell_spots=crowded_cell_spots)
+    hits = parts.pairs.select("lat", "lon", F.col(weight).alias("n"), F.col("distance_km").alias("nearest_km"))
+    if parts.blocks is not None:
+        closest = nearest(parts.blocks.select("lat", "lon").distinct(), spots.select("latitude", "longitude"), 1)
+        hits = hits.unionByName(parts.blocks.select("lat", "lon", F.col("_n").alias("n"), F.lit(None).cast("double").alias("nearest_km")))
+        hits = hits.unionByName(closest.select("lat", "lon", F.lit(0).cast("bigint").alias("n"), F.col("distance").alias("nearest_km")))
+    return hits.groupBy("lat", "lon").agg(F.sum("n").alias("n"), F.min("nearest_km").alias("nearest_km"))
+
+
 def comparable_price(parcels: DataFrame, sales: DataFrame, radius_km: float = SALE_RADIUS_KM) -> DataFrame:
     """Per parcel: median price per hectare of usable sales in the radius (whole euros) and their number.
 
@@ -90,8 +129,7 @@ def comparable_price(parcels: DataFrame, sales: DataFrame, radius_km: float = SA
         usable_sales(sales).select("latitude", "longitude", price_per_ha().alias("prix_ha"))
         .groupBy("latitude", "longitude", "prix_ha").agg(F.count(F.lit(1)).alias("copies"))
     )
-    pairs = radius_join(_places(parcels), spots, radius_km)
-    medians = group_quantiles(pairs, ["lat", "lon"], "prix_ha", {"prix_ha": 0.5}, "linear", weight="copies")
+    medians = median_within(_places(parcels), spots, radius_km, "prix_ha", "copies")
     return parcels.select("id", "lat", "lon").join(medians, ["lat", "lon"], "left").select(
         "id", rounded("prix_ha", 0).alias("prix_ha"), F.coalesce("n", F.lit(0)).alias("n_sales"))
 
@@ -99,8 +137,7 @@ def comparable_price(parcels: DataFrame, sales: DataFrame, radius_km: float = SA
 def wells_nearby(parcels: DataFrame, wells: DataFrame, radius_km: float = WELL_RADIUS_KM) -> DataFrame:
     """Per parcel: wells in the radius and km to the nearest of them (0 and null without one)."""
     spots = wells.groupBy("latitude", "longitude").agg(F.count(F.lit(1)).alias("copies"))
-    around = radius_join(_places(parcels), spots, radius_km).groupBy("lat", "lon").agg(
-        F.sum("copies").alias("n"), F.min("distance_km").alias("nearest_km"))
+    around = count_within(_places(parcels), spots, radius_km, "copies")
     return parcels.select("id", "lat", "lon").join(around, ["lat", "lon"], "left").select(
         "id", F.coalesce("n", F.lit(0)).alias("n_wells"), "nearest_km")
 

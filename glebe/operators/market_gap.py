@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from glebe.functions.numbers import rounded
 from glebe.operators.conform import concat
 from glebe.operators.quantiles import group_quantiles
-from glebe.operators.spatial import points_in_zones, radius_join
+from glebe.operators.enrichment import count_within
+from glebe.operators.spatial import nearest, points_in_zones
 
 # Activities that count as restaurants.
 RESTAURANT_ACTIVITIES = ["56.10A", "56.10B"]
@@ -107,18 +108,21 @@ def top_share(df: DataFrame, score: str, key: str, share: float = 0.2, n: int |
 
 
 def uncovered(cells: DataFrame, producers: DataFrame, radius_km: float, zone: str, population: str, cell: str) -> DataFrame:
-    """Per zone: population of the cells without a producer in range, and the number of such cells."""
+    """Per zone: population of the cells without a producer in range, and the number of such cells.
+
+    Only the nearest producer of a cell matters, so no cell is paired with all producers around it.
+    """
     spots = producers.select("latitude", "longitude").distinct()
-    reached = radius_join(cells.select(cell, "lat", "lon"), spots, radius_km).select(cell).distinct()
+    reached = nearest(cells.select(cell, "lat", "lon"), spots, 1).filter(F.col("distance") <= radius_km).select(cell)
     missed = cells.join(reached, cell, "left_anti")
     return missed.groupBy(zone).agg(F.sum(population).alias("pop_non_couverte"), F.count(F.lit(1)).alias("n_cellules"))
 
 
-def density(cells: DataFrame, producers: DataFrame, cell: str, radius_km: float = 15.0) -> DataFrame:
+def density(cells: DataFrame, producers: DataFrame, radius_km: float = 15.0) -> DataFrame:
     """Producers within the radius of each cell centre (0 without one)."""
     spots = producers.groupBy("latitude", "longitude").agg(F.count(F.lit(1)).alias("copies"))
-    counts = radius_join(cells.select(cell, "lat", "lon"), spots, radius_km).groupBy(cell).agg(F.sum("copies").alias("n"))
-    return cells.join(counts, cell, "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    counts = count_within(cells.select("lat", "lon").distinct(), spots, radius_km, "copies").drop("nearest_km")
+    return cells.join(counts, ["lat", "lon"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
 def producers_in_zones(producers: DataFrame, zones: DataFrame, shape: str, key: str, lat: str, lon: str, **grid) -> DataFrame:

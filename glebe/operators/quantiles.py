@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 _SLICES = 256
 
 
-def _slice_of(value: Column) -> Column:
+def slice_of(value: Column) -> Column:
     """A whole number that never falls as the value grows, so each slice is a run of the sorted values."""
     return F.floor(F.signum(value) * F.ln(F.lit(1.0) + F.abs(value)) * _SLICES)
 
@@ -33,28 +33,46 @@ def group_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
     counted = (
         df.filter(F.col(value).isNotNull())
         .groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(copies.alias("_n"))
-        .withColumn("_slice", _slice_of(F.col("_v")))
+        .withColumn("_slice", slice_of(F.col("_v")))
     )
+    histogram = counted.groupBy(*keys, "_slice").agg(F.sum("_n").alias("_in"))
+    wishes = _wishes(probs, method)
+    wanted = wanted_slices(histogram, keys, wishes)
+    place = [*keys, "_slice"]
+    aliased = wanted.withColumnsRenamed({k: f"_at{i}" for i, k in enumerate(place)})
+    values = counted.join(aliased, [F.col(k).eqNullSafe(F.col(f"_at{i}")) for i, k in enumerate(place)])
+    return pick_quantiles(values, keys, wishes)
+
+
+def _wishes(probs: dict, method: str) -> dict[str, tuple[float, str]]:
+    return {name: p if isinstance(p, tuple) else (p, method) for name, p in probs.items()}
+
+
+def _rank_columns(wishes: dict) -> list[str]:
+    return [f"_{side}_{name}" for name in wishes for side in ("low", "high")]
+
+
+def wanted_slices(histogram: DataFrame, keys: list[str], wishes: dict[str, tuple[float, str]]) -> DataFrame:
+    """Slices that hold a wanted rank: keys, ``_slice``, ``_before`` (values below it), ``n`` and the ranks.
+
+    ``histogram`` has one row per group and slice with ``_in``, the number of its values.
+    """
     group = Window.partitionBy(*keys)
     before = group.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    histogram = (
-        counted.groupBy(*keys, "_slice").agg(F.sum("_n").alias("_in"))
-        .withColumn("_before", F.coalesce(F.sum("_in").over(before), F.lit(0)))
-        .withColumn("n", F.sum("_in").over(group))
-    )
-    wishes = {name: p if isinstance(p, tuple) else (p, method) for name, p in probs.items()}
+    summed = histogram.select(*keys, "_slice", "_in", F.coalesce(F.sum("_in").over(before), F.lit(0)).alias("_before"),
+                              F.sum("_in").over(group).alias("n"))
     ranks = {name: _rank_pair(F.col("n"), *wish) for name, wish in wishes.items()}
-    histogram = histogram.withColumns(
+    ranked = summed.withColumns(
         {f"_{side}_{name}": pair[i] for name, pair in ranks.items() for i, side in enumerate(("low", "high"))})
-    rank_cols = [f"_{side}_{name}" for name in probs for side in ("low", "high")]
-    holds = F.exists(F.array(*rank_cols), lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_in")))
-    place = [*keys, "_slice"]
-    wanted = histogram.filter(holds).select(
-        *(F.col(k).alias(f"_at{i}") for i, k in enumerate(place)), "_before", "n", *rank_cols)
+    holds = F.exists(F.array(*_rank_columns(wishes)), lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_in")))
+    return ranked.filter(holds).drop("_in")
+
 
-    inner = Window.partitionBy(*place).orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    located = counted.join(wanted, [F.col(k).eqNullSafe(F.col(f"_at{i}")) for i, k in enumerate(place)]).withColumn(
-        "_first", F.col("_before") + F.coalesce(F.sum("_n").over(inner), F.lit(0)))
+def pick_quantiles(values: DataFrame, keys: list[str], wishes: dict[str, tuple[float, str]]) -> DataFrame:
+    """Quantiles from the values (``_v``, ``_n`` copies) of the wanted slices, joined with the slices' ranks."""
+    rank_cols = _rank_columns(wishes)
+    below = Window.partitionBy(*keys, "_slice").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    located = values.withColumn("_first", F.col("_before") + F.coalesce(F.sum("_n").over(below), F.lit(0)))
 
     def value_at(rank: str) -> Column:
         hit = (F.col(rank) >= F.col("_first")) & (F.col(rank) < F.col("_first") + F.col("_n"))
@@ -62,8 +80,9 @@ def group_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
 
     picked = located.groupBy(*keys).agg(F.first("n").alias("n"), *(value_at(r) for r in rank_cols))
     out = []
-    for name, (_, _, share) in ranks.items():
+    for name, wish in wishes.items():
         low, high = F.col(f"_low_{name}"), F.col(f"_high_{name}")
+        share = _rank_pair(F.col("n"), *wish)[2]
         out.append((low if share is None else low * (F.lit(1.0) - share) + high * share).alias(name))
     return picked.select(*keys, "n", *out)
 

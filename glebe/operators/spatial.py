@@ -8,6 +8,8 @@ few points however many there are. Both are exact at cell borders, poles and the
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -173,6 +175,51 @@ class _Sphere:
 _METRICS = {"planar": _Plane, "haversine": _Sphere}
 
 
+def _cell_columns(axes: tuple[str, ...]) -> tuple[list[str], list[str]]:
+    return [f"_c{a}" for a in axes], [f"_p_c{a}" for a in axes]
+
+
+def _with_leaf(points: DataFrame, space, lat: Column, lon: Column, depth: int) -> DataFrame:
+    """Points with their coordinates in the search space and their leaf cell."""
+    size = space.root_size / (1 << (_FAN_BITS * depth))
+    placed = points.select("*", *(c.alias(a) for a, c in zip(space.axes, space.coordinates(lat, lon))))
+    return placed.selectExpr("*", *(f"floor(({a} + {space.offset}D) / {size!r}D) AS _c{a}" for a in space.axes))
+
+
+def _pyramid(points: DataFrame, axes: tuple[str, ...], depth: int, weight: Column | None = None) -> list[DataFrame]:
+    """Per level, leaves first: parent cell -> its non-empty cells (index, weight, tight box), at most 8 per axis.
+
+    Each level is built from ``_children`` alone, so one shuffle serves the search and the level above.
+    """
+    leaf, parent = _cell_columns(axes)
+    low, high = [f"_lo{a}" for a in axes], [f"_hi{a}" for a in axes]
+    leaves = points.groupBy(*leaf).agg(
+        F.sum(F.lit(1) if weight is None else weight).cast("bigint").alias("_n"),
+        *(F.min(a).alias(c) for a, c in zip(axes, low)), *(F.max(a).alias(c) for a, c in zip(axes, high)))
+    up_one = [F.expr(f"shiftright({c}, {_FAN_BITS})").alias(q) for c, q in zip(leaf, parent)]
+    children = F.expr(f"collect_list(struct({', '.join([*leaf, '_n', *low, *high])}))").alias("_children")
+    as_cells = [
+        *(f"{q} AS {c}" for c, q in zip(leaf, parent)),
+        "aggregate(_children, 0L, (n, c) -> n + c._n) AS _n",
+        *(f"array_min(transform(_children, c -> c.{c})) AS {c}" for c in low),
+        *(f"array_max(transform(_children, c -> c.{c})) AS {c}" for c in high),
+    ]
+    levels = [leaves.groupBy(*up_one).agg(children)]
+    while len(levels) < depth:
+        levels.append(levels[-1].selectExpr(*as_cells).groupBy(*up_one).agg(children))
+    return levels
+
+
+def _near(axes: tuple[str, ...], cell: str) -> str:
+    """Squared distance from a place to the near side of a cell's box."""
+    return " + ".join(f"pow(greatest({cell}._lo{a} - {a}, {a} - {cell}._hi{a}, 0D), 2D)" for a in axes)
+
+
+def _far(axes: tuple[str, ...], cell: str) -> str:
+    """Squared distance from a place to the far side of a cell's box."""
+    return " + ".join(f"pow(greatest({cell}._hi{a} - {a}, {a} - {cell}._lo{a}), 2D)" for a in axes)
+
+
 def nearest(sites: DataFrame, targets: DataFrame, k: int = 1, metric: str = "haversine",
             site_lat: str = "lat", site_lon: str = "lon",
             target_lat: str = "latitude", target_lon: str = "longitude",
@@ -203,36 +250,15 @@ def nearest(sites: DataFrame, targets: DataFrame, k: int = 1, metric: str = "hav
     else:
         here = Window.partitionBy(target_lat, target_lon).orderBy(*order)
         points = points.withColumn("_here", F.row_number().over(here)).filter(F.col("_here") <= k).drop("_here")
-    leaf_size = space.root_size / (1 << (_FAN_BITS * depth))
-    leaf = [f"_c{a}" for a in axes]
-    points = points.select("*", *(c.alias(a) for a, c in zip(axes, space.coordinates(t_lat, t_lon)))).selectExpr(
-        "*", *(f"floor(({a} + {space.offset}D) / {leaf_size!r}D) AS {c}" for c, a in zip(leaf, axes)))
+    points = _with_leaf(points, space, t_lat, t_lon, depth)
+    leaf, parent = _cell_columns(axes)
+    levels = _pyramid(points, axes, depth)
 
-    # Pyramid: per level one row per parent cell with the boxes of its non-empty cells, at most 8 per axis.
-    # Each level is built from ``_children`` alone, so one shuffle serves the search and the level above.
-    low, high = [f"_lo{a}" for a in axes], [f"_hi{a}" for a in axes]
-    leaves = points.groupBy(*leaf).agg(
-        F.count(F.lit(1)).alias("_n"), *(F.min(a).alias(c) for a, c in zip(axes, low)),
-        *(F.max(a).alias(c) for a, c in zip(axes, high)))
-    parent = [f"_p{c}" for c in leaf]
-    up_one = [F.expr(f"shiftright({c}, {_FAN_BITS})").alias(q) for c, q in zip(leaf, parent)]
-    children = F.expr(f"collect_list(struct({', '.join([*leaf, '_n', *low, *high])}))").alias("_children")
-    as_cells = [
-        *(f"{q} AS {c}" for c, q in zip(leaf, parent)),
-        "aggregate(_children, 0L, (n, c) -> n + c._n) AS _n",
-        *(f"array_min(transform(_children, c -> c.{c})) AS {c}" for c in low),
-        *(f"array_max(transform(_children, c -> c.{c})) AS {c}" for c in high),
-    ]
-    levels = [leaves.groupBy(*up_one).agg(children)]
-    while len(levels) < depth:
-        levels.append(levels[-1].selectExpr(*as_cells).groupBy(*up_one).agg(children))
-
-    # Squared distance from a place to the near and to the far side of a cell's box.
     def near(cell: str) -> str:
-        return " + ".join(f"pow(greatest({cell}._lo{a} - {a}, {a} - {cell}._hi{a}, 0D), 2D)" for a in axes)
+        return _near(axes, cell)
 
     def far(cell: str) -> str:
-        return " + ".join(f"pow(greatest({cell}._hi{a} - {a}, {a} - {cell}._lo{a}), 2D)" for a in axes)
+        return _far(axes, cell)
 
     limit = "_bound * 1.000000001D + 1e-12D"
     # The search costs far more than its few bytes per place suggest, so its partitions stay as they are.
@@ -298,6 +324,84 @@ def by_distance(df: DataFrame, by: str = "distance_km", key: str = "code_bss") -
     return df.orderBy(F.col(by).asc_nulls_last(), F.col(key))
 
 
+# ---- radius aggregates ------------------------------------------------------------------------------
+
+# More distinct spots than this in one grid cell are no longer compared one by one.
+CROWDED_CELL_SPOTS = 5_000
+_COVER_DEPTH = 6  # smallest blocks about 100 m wide
+
+
+@dataclass(frozen=True)
+class RadiusParts:
+    """What lies within a radius of each place, for aggregates.
+
+    ``pairs``: place and spot columns of single hits. ``blocks``: place, block key and weight ``_n`` of
+    blocks of spots that lie inside the circle as a whole. ``members``: spots with the key of every
+    block they belong to. Without crowded cells there are only pairs.
+    """
+
+    pairs: DataFrame
+    blocks: DataFrame | None = None
+    members: DataFrame | None = None
+    block_key: tuple[str, ...] = ()
+
+
+def radius_parts(places: DataFrame, spots: DataFrame, radius_km: float, weight: str,
+                 place_lat: str = "lat", place_lon: str = "lon", spot_lat: str = "latitude", spot_lon: str = "longitude",
+                 crowded_cell_spots: int = CROWDED_CELL_SPOTS) -> RadiusParts:
+    """Split "all spots within the radius of each place" into single pairs and whole blocks.
+
+    A first small job counts the spots per grid cell. Without a crowded cell the radius join is all there
+    is. Spots of crowded cells go into a pyramid of blocks instead: blocks inside the circle are taken
+    whole, blocks outside are dropped, and only the smallest blocks on the rim are compared spot by spot.
+    A place next to a million spots thus yields some hundred blocks, not a million pairs.
+    """
+    grid = _LatLonGrid(radius_km)
+    p_lat, p_lon, s_lat, s_lon = (F.col(c) for c in (place_lat, place_lon, spot_lat, spot_lon))
+    cell = ["_band", "_cell"]
+    placed = spots.filter(_in_range(s_lat, s_lon)).withColumn("_band", grid.band(s_lat)).withColumn(
+        "_cell", grid.cell_of(F.col("_band"), s_lon))
+    crowded = placed.groupBy(*cell).agg(F.count(F.lit(1)).alias("_spots")).filter(
+        F.col("_spots") > crowded_cell_spots).select(*cell)
+    if crowded.isEmpty():
+        return RadiusParts(radius_join(places, spots, radius_km, place_lat, place_lon, spot_lat, spot_lon))
+
+    probes = (
+        places.filter(_in_range(p_lat, p_lon)).withColumn("_band", F.explode(grid.bands_around(p_lat)))
+        .withColumn("_cell", F.explode(grid.cells_around(F.col("_band"), p_lat, p_lon))))
+    single = radius_join(places, placed.join(crowded, cell, "left_anti").drop(*cell), radius_km,
+                         place_lat, place_lon, spot_lat, spot_lon)
+
+    axes = _Sphere.axes
+    leaf, parent = _cell_columns(axes)
+    dense = _with_leaf(placed.join(crowded, cell, "left_semi").drop(*cell), _Sphere, s_lat, s_lon, _COVER_DEPTH)
+    levels = _pyramid(dense, axes, _COVER_DEPTH, F.col(weight))
+    beside = probes.join(crowded, cell, "left_semi").drop(*cell).distinct()
+    found = beside.select(*places.columns, *(c.alias(a) for a, c in zip(axes, _Sphere.coordinates(p_lat, p_lon))))
+    chord = (2 * math.sin(min(radius_km / geo.EARTH_KM, math.pi) / 2)) ** 2
+    # Between the two limits rounding could tip the scale; such blocks are looked into.
+    inside, reach = chord * (1 - 1e-9) - 1e-15, chord * (1 + 1e-9) + 1e-15
+    blocks = []
+    for up, level in reversed(list(enumerate(levels))):
+        if up == _COVER_DEPTH - 1:
+            step = found.withColumn("_children", level.select("_children").scalar())
+        else:
+            step = found.join(level, parent)
+        step = (
+            step.selectExpr(*places.columns, *axes, f"explode(filter(_children, c -> {_near(axes, 'c')} <= {reach!r}D)) AS _kid")
+            .selectExpr(*places.columns, *axes, "_kid", f"{_far(axes, '_kid')} <= {inside!r}D AS _whole"))
+        whole = step.filter("_whole").selectExpr(*places.columns, f"{up} AS _up", *(f"_kid.{c}" for c in leaf), "_kid._n AS _n")
+        blocks.append(whole)
+        found = step.filter("NOT _whole").selectExpr(*places.columns, *axes, *(f"_kid.{c} AS {q}" for c, q in zip(leaf, parent)))
+    rim = found.selectExpr(*places.columns, *(f"{q} AS {c}" for c, q in zip(leaf, parent))).join(dense.drop(*axes), leaf)
+    rim = rim.withColumn("distance_km", geo.haversine_km(p_lat, p_lon, s_lat, s_lon)).filter(F.col("distance_km") <= radius_km)
+    columns = [*places.columns, *spots.columns, "distance_km"]
+    members = dense.withColumn("_up", F.explode(F.sequence(F.lit(0), F.lit(_COVER_DEPTH - 1)))).selectExpr(
+        *spots.columns, "_up", *(f"shiftright({c}, {_FAN_BITS} * _up) AS {c}" for c in leaf))
+    return RadiusParts(single.select(columns).unionByName(rim.select(columns)),
+                       reduce(DataFrame.unionByName, blocks), members, ("_up", *leaf))
+
+
 # ---- points in polygons -----------------------------------------------------------------------------
 
 

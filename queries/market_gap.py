@@ -102,4 +102,4 @@ def uncovered_population(spark, sf):
 
 @query(CELLS + f" SELECT id, count(nom) AS n FROM cells LEFT JOIN producers ON latitude BETWEEN lat - 0.2 AND lat + 0.2 AND {PAIR_KM} <= 15 GROUP BY id")
 def producer_density(spark, sf):
-    return market_gap.density(_cells(spark, sf), standin(spark, sf, "producers"), "id").select("id", "n")
+    return market_gap.density(_cells(spark, sf), standin(spark, sf, "producers")).select("id", "n")
