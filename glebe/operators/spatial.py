@@ -92,12 +92,12 @@ class _LatLonGrid:
 def radius_join(sites: DataFrame, targets: DataFrame, radius_km: float,
                 site_lat: str = "lat", site_lon: str = "lon",
                 target_lat: str = "latitude", target_lon: str = "longitude",
-                hot_cell_rows: int = HOT_CELL_ROWS) -> DataFrame:
+                hot_cell_rows: int | None = HOT_CELL_ROWS) -> DataFrame:
     """All (site, target) pairs within ``radius_km``, with ``distance_km``.
 
     Inputs must have different column names. Rows without valid coordinates never match. Cells with
     more than ``hot_cell_rows`` targets are split over several keys, and only the sites around them are
-    repeated. Give distinct places (see ``enrichment``) when many rows share one coordinate.
+    repeated; None says that no cell is that full. Give distinct places (see ``enrichment``) when many rows share one coordinate.
     """
     shared = set(sites.columns) & set(targets.columns)
     if shared:
@@ -111,32 +111,30 @@ def radius_join(sites: DataFrame, targets: DataFrame, radius_km: float,
         .withColumn("_band", grid.band(t_lat))
         .withColumn("_cell", grid.cell_of(F.col("_band"), t_lon))
     )
-    # Only crowded cells are listed: at most one row per ``hot_cell_rows`` targets.
-    crowded = (
-        placed.groupBy("_band", "_cell").agg(F.count(F.lit(1)).alias("_n"))
-        .filter(F.col("_n") > hot_cell_rows)
-        .select("_band", "_cell", F.ceil(F.col("_n") / hot_cell_rows).alias("_parts"))
-    )
-    parts = F.coalesce(F.col("_parts"), F.lit(1))
-    spread = (
-        placed.join(crowded, ["_band", "_cell"], "left")
-        .withColumn("_part", F.pmod(F.xxhash64(*targets.columns), parts))
-        .drop("_parts")
-    )
     probes = (
         sites.filter(_in_range(s_lat, s_lon))
         .withColumn("_band", F.explode(grid.bands_around(s_lat)))
         .withColumn("_cell", F.explode(grid.cells_around(F.col("_band"), s_lat, s_lon)))
-        .join(crowded, ["_band", "_cell"], "left")
-        .withColumn("_part", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)))
-        .drop("_parts")
     )
+    cell = ["_band", "_cell"]
+    if hot_cell_rows is not None:
+        # Only crowded cells are listed: at most one row per ``hot_cell_rows`` targets.
+        crowded = (
+            placed.groupBy(*cell).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_cell_rows)
+            .select(*cell, F.ceil(F.col("_n") / hot_cell_rows).alias("_parts"))
+        )
+        parts = F.coalesce(F.col("_parts"), F.lit(1))
+        placed = placed.join(crowded, cell, "left").withColumn(
+            "_part", F.pmod(F.xxhash64(*targets.columns), parts)).drop("_parts")
+        probes = probes.join(crowded, cell, "left").withColumn(
+            "_part", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1))).drop("_parts")
+        cell = [*cell, "_part"]
     km = geo.haversine_km(s_lat, s_lon, t_lat, t_lon)
     return (
-        probes.join(spread, ["_band", "_cell", "_part"])
+        probes.join(placed, cell)
         .withColumn("distance_km", km)
         .filter(F.col("distance_km") <= radius_km)
-        .drop("_band", "_cell", "_part")
+        .drop(*cell)
     )
 
 
@@ -364,13 +362,13 @@ def radius_parts(places: DataFrame, spots: DataFrame, radius_km: float, weight:
     crowded = placed.groupBy(*cell).agg(F.count(F.lit(1)).alias("_spots")).filter(
         F.col("_spots") > crowded_cell_spots).select(*cell)
     if crowded.isEmpty():
-        return RadiusParts(radius_join(places, spots, radius_km, place_lat, place_lon, spot_lat, spot_lon))
+        return RadiusParts(radius_join(places, spots, radius_km, place_lat, place_lon, spot_lat, spot_lon, None))
 
     probes = (
         places.filter(_in_range(p_lat, p_lon)).withColumn("_band", F.explode(grid.bands_around(p_lat)))
         .withColumn("_cell", F.explode(grid.cells_around(F.col("_band"), p_lat, p_lon))))
     single = radius_join(places, placed.join(crowded, cell, "left_anti").drop(*cell), radius_km,
-                         place_lat, place_lon, spot_lat, spot_lon)
+                         place_lat, place_lon, spot_lat, spot_lon, None)
 
     axes = _Sphere.axes
     leaf, parent = _cell_columns(axes)

@@ -3,7 +3,6 @@ from pyspark.sql import functions as F
 
 from glebe.functions import scoring as points
 from glebe.operators import scoring
-from glebe.operators.enrichment import enrich  # noqa: F401
 from glebe.schemas import PARCELS
 from helpers import rows, values
 
