@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glebe.functions.numbers import rounded
-from glebe.operators.quantiles import group_quantiles, pick_quantiles, slice_of, wanted_slices
+from glebe.operators.quantiles import group_quantiles, pick_quantiles, value_counts, wanted_slices
 from glebe.operators.spatial import CROWDED_CELL_SPOTS, nearest, radius_parts
 
 SALE_RADIUS_KM = 20.0
@@ -92,9 +92,9 @@ def median_within(places: DataFrame, spots: DataFrame, radius_km: float, value:
     parts = radius_parts(places, spots, radius_km, weight, crowded_cell_spots=crowded_cell_spots)
     if parts.blocks is None:
         return group_quantiles(parts.pairs, keys, value, wishes, weight=weight)
-    single = parts.pairs.groupBy(*keys, F.col(value).alias("_v")).agg(F.sum(weight).alias("_n")).withColumn("_slice", slice_of(F.col("_v")))
+    single = value_counts(parts.pairs, keys, value, weight)
     block = list(parts.block_key)
-    listed = parts.members.groupBy(*block, F.col(value).alias("_v")).agg(F.sum(weight).alias("_n")).withColumn("_slice", slice_of(F.col("_v")))
+    listed = value_counts(parts.members, block, value, weight)
     block_slices = listed.groupBy(*block, "_slice").agg(F.sum("_n").alias("_in"))
     histogram = (
         parts.blocks.join(block_slices, block).select(*keys, "_slice", "_in")
@@ -114,9 +114,11 @@ def count_within(places: DataFrame, spots: DataFrame, radius_km: float, weight:
     parts = radius_parts(places, spots, radius_km, weight, crowded_cell_spots=crowded_cell_spots)
     hits = parts.pairs.select("lat", "lon", F.col(weight).alias("n"), F.col("distance_km").alias("nearest_km"))
     if parts.blocks is not None:
-        closest = nearest(parts.blocks.select("lat", "lon").distinct(), spots.select("latitude", "longitude"), 1)
-        hits = hits.unionByName(parts.blocks.select("lat", "lon", F.col("_n").alias("n"), F.lit(None).cast("double").alias("nearest_km")))
-        hits = hits.unionByName(closest.select("lat", "lon", F.lit(0).cast("bigint").alias("n"), F.col("distance").alias("nearest_km")))
+        # A block counts as a whole, so places with blocks look up their nearest spot.
+        whole = parts.blocks.select("lat", "lon", F.col("_n").alias("n"))
+        closest = nearest(whole.select("lat", "lon").distinct(), spots.select("latitude", "longitude"), 1)
+        closest = closest.select("lat", "lon", F.lit(0).cast("bigint").alias("n"), F.col("distance").alias("nearest_km"))
+        hits = hits.unionByName(whole, allowMissingColumns=True).unionByName(closest)
     return hits.groupBy("lat", "lon").agg(F.sum("n").alias("n"), F.min("nearest_km").alias("nearest_km"))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from glebe.functions.numbers import rounded
 from glebe.functions.dates import period_start, slash_date
 from glebe.functions.text import first_word, map_label, short_label
-from glebe.operators.quantiles import group_quantiles
+from glebe.operators.quantiles import quantiles_of_counts, value_counts
 from glebe.schemas import MONTH_LABELS
 
 
@@ -132,22 +132,22 @@ def price_series_wide(quotes: DataFrame, products: list[str], every: str = "week
 def price_distribution(quotes: DataFrame, method: str = "disc") -> DataFrame:
     """Per product: count, min, quartiles, median, mean, max and the unit of the earliest quote.
 
-    Quartiles by ``method``, the median always interpolated. Quotes are counted per product and price in
-    one pass; all figures come from those counts.
+    Quartiles by ``method``, the median always interpolated. Quotes are counted per product and price
+    once; all price figures come from those counts.
     """
-    day = F.coalesce("date_cot", F.lit("9999-12-31").cast("date"))
-    counted = quotes.groupBy("produit", "prix_moyen").agg(
-        F.count(F.lit(1)).alias("_n"), F.min(F.struct(day.alias("day"), "unite")).alias("_first"))
+    counted = value_counts(quotes, ["produit"], "prix_moyen")
+    n = F.sum("_n")
     stats = counted.groupBy("produit").agg(
-        F.sum("_n").alias("n_cotations"),
-        rounded(F.min("prix_moyen"), 3).alias("prix_min"),
-        rounded(F.sum(F.col("prix_moyen") * F.col("_n")) / F.sum("_n"), 3).alias("prix_moyen"),
-        rounded(F.max("prix_moyen"), 3).alias("prix_max"),
-        F.min("_first")["unite"].alias("unite"),
-    )
+        n.alias("n_cotations"), rounded(F.min("_v"), 3).alias("prix_min"), rounded(F.max("_v"), 3).alias("prix_max"),
+        rounded(F.sum(F.col("_v") * F.col("_n")) / n, 3).alias("prix_moyen"))
     wanted = {"p25": (0.25, method), "mediane": (0.5, "linear"), "p75": (0.75, method)}
-    ranks = group_quantiles(counted, ["produit"], "prix_moyen", wanted, weight="_n").drop("n")
-    return stats.join(ranks, "produit").select(
+    ranks = quantiles_of_counts(counted, ["produit"], wanted).drop("n")
+    undated = F.lit("9999-12-31").cast("date")
+    units = (
+        quotes.groupBy("produit", "unite").agg(F.min(F.coalesce("date_cot", undated)).alias("_day"))
+        .groupBy("produit").agg(F.min(F.struct("_day", "unite"))["unite"].alias("unite"))
+    )
+    return stats.join(ranks, "produit").join(units, "produit").select(
         short_label(F.col("produit"), 50).alias("produit"), "n_cotations", "prix_min",
         rounded("p25", 3).alias("p25"), rounded("mediane", 3).alias("mediane"), "prix_moyen",
         rounded("p75", 3).alias("p75"), "prix_max", "unite",

@@ -29,12 +29,22 @@ def group_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
     """
     if not keys:
         return group_quantiles(df.withColumn("_all", F.lit(0)), ["_all"], value, probs, method, weight).drop("_all")
+    return quantiles_of_counts(value_counts(df, keys, value, weight), keys, probs, method)
+
+
+def value_counts(df: DataFrame, keys: list[str], value: str, weight: str | None = None) -> DataFrame:
+    """Non-null values per group, each once: ``_v``, its copies ``_n`` and its slice."""
     copies = F.sum(weight) if weight else F.count(F.lit(1))
-    counted = (
+    return (
         df.filter(F.col(value).isNotNull())
         .groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(copies.alias("_n"))
         .withColumn("_slice", slice_of(F.col("_v")))
     )
+
+
+def quantiles_of_counts(counted: DataFrame, keys: list[str], probs: dict[str, float | tuple[float, str]],
+                        method: str = "disc") -> DataFrame:
+    """``group_quantiles`` over ready value counts."""
     histogram = counted.groupBy(*keys, "_slice").agg(F.sum("_n").alias("_in"))
     wishes = _wishes(probs, method)
     wanted = wanted_slices(histogram, keys, wishes)
@@ -64,7 +74,8 @@ def wanted_slices(histogram: DataFrame, keys: list[str], wishes: dict[str, tuple
     ranks = {name: _rank_pair(F.col("n"), *wish) for name, wish in wishes.items()}
     ranked = summed.withColumns(
         {f"_{side}_{name}": pair[i] for name, pair in ranks.items() for i, side in enumerate(("low", "high"))})
-    holds = F.exists(F.array(*_rank_columns(wishes)), lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_in")))
+    upto = F.col("_before") + F.col("_in")
+    holds = F.exists(F.array(*_rank_columns(wishes)), lambda r: (r >= F.col("_before")) & (r < upto))
     return ranked.filter(holds).drop("_in")
 
 

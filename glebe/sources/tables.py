@@ -70,5 +70,5 @@ def upsert_table(spark: SparkSession, path: str, new: DataFrame, keys: list[str]
     if old is not None:
         old = old.join(new.select(year).distinct(), year, "left_semi")
     staged = scratch_path(spark, "upsert")
-    upsert(old, new, keys).write.parquet(staged)
+    upsert(old, new, keys, existing_unique=True).write.parquet(staged)
     write_years(spark.read.parquet(staged), path, year, [k for k in keys if k != year])
