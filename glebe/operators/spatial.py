@@ -9,13 +9,13 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glebe.functions.numbers import rounded
 from glebe.functions import geo
+from glebe.session import scratch_path
 
 # More points than this in one cell are spread over several join keys.
 HOT_CELL_ROWS = 200_000
@@ -379,25 +379,37 @@ def radius_parts(places: DataFrame, spots: DataFrame, radius_km: float, weight:
     chord = (2 * math.sin(min(radius_km / geo.EARTH_KM, math.pi) / 2)) ** 2
     # Between the two limits rounding could tip the scale; such blocks are looked into.
     inside, reach = chord * (1 - 1e-9) - 1e-15, chord * (1 + 1e-9) + 1e-15
-    blocks = []
+    mine = places.columns
+    cover = found.withColumns({**{q: F.lit(0).cast("bigint") for q in parent}, "_up": F.lit(None).cast("int"),
+                               "_n": F.lit(None).cast("bigint"), **{c: F.lit(None).cast("bigint") for c in leaf}})
     for up, level in reversed(list(enumerate(levels))):
         if up == _COVER_DEPTH - 1:
-            step = found.withColumn("_children", level.select("_children").scalar())
+            step = cover.withColumn("_children", level.select("_children").scalar())
         else:
-            step = found.join(level, parent)
-        step = (
-            step.selectExpr(*places.columns, *axes, f"explode(filter(_children, c -> {_near(axes, 'c')} <= {reach!r}D)) AS _kid")
-            .selectExpr(*places.columns, *axes, "_kid", f"{_far(axes, '_kid')} <= {inside!r}D AS _whole"))
-        whole = step.filter("_whole").selectExpr(*places.columns, f"{up} AS _up", *(f"_kid.{c}" for c in leaf), "_kid._n AS _n")
-        blocks.append(whole)
-        found = step.filter("NOT _whole").selectExpr(*places.columns, *axes, *(f"_kid.{c} AS {q}" for c, q in zip(leaf, parent)))
-    rim = found.selectExpr(*places.columns, *(f"{q} AS {c}" for c, q in zip(leaf, parent))).join(dense.drop(*axes), leaf)
-    rim = rim.withColumn("distance_km", geo.haversine_km(p_lat, p_lon, s_lat, s_lon)).filter(F.col("distance_km") <= radius_km)
-    columns = [*places.columns, *spots.columns, "distance_km"]
+            step = cover.join(level, parent, "left")
+        # A block taken whole has no parent key any more and passes through; an open one is replaced by
+        # its children within reach.
+        step = step.selectExpr(
+            *mine, *axes, "_up", "_n", *leaf,
+            f"explode_outer(filter(_children, c -> {_near(axes, 'c')} <= {reach!r}D)) AS _kid").filter(
+            "_up IS NOT NULL OR _kid IS NOT NULL")
+        step = step.selectExpr("*", f"_up IS NULL AND {_far(axes, '_kid')} <= {inside!r}D AS _whole")
+        cover = step.selectExpr(
+            *mine, *axes, f"IF(_whole, {up}, _up) AS _up", "IF(_whole, _kid._n, _n) AS _n",
+            *(f"IF(_whole, _kid.{c}, {c}) AS {c}" for c in leaf),
+            *(f"IF(_whole OR _up IS NOT NULL, NULL, _kid.{c}) AS {q}" for c, q in zip(leaf, parent)))
+    # Kept in the work folder, since several steps read it and the search should run once.
+    path = scratch_path(places.sparkSession, "cover")
+    cover.drop(*axes).write.parquet(path)
+    cover = places.sparkSession.read.parquet(path)
+    blocks = cover.filter("_up IS NOT NULL").select(*mine, "_up", *leaf, "_n")
+    rim = cover.filter("_up IS NULL").selectExpr(*mine, *(f"{q} AS {c}" for c, q in zip(leaf, parent)))
+    rim = rim.join(dense.drop(*axes), leaf).withColumn(
+        "distance_km", geo.haversine_km(p_lat, p_lon, s_lat, s_lon)).filter(F.col("distance_km") <= radius_km)
+    columns = [*mine, *spots.columns, "distance_km"]
     members = dense.withColumn("_up", F.explode(F.sequence(F.lit(0), F.lit(_COVER_DEPTH - 1)))).selectExpr(
         *spots.columns, "_up", *(f"shiftright({c}, {_FAN_BITS} * _up) AS {c}" for c in leaf))
-    return RadiusParts(single.select(columns).unionByName(rim.select(columns)),
-                       reduce(DataFrame.unionByName, blocks), members, ("_up", *leaf))
+    return RadiusParts(single.select(columns).unionByName(rim.select(columns)), blocks, members, ("_up", *leaf))
 
 
 # ---- points in polygons -----------------------------------------------------------------------------
