@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glebe.llm import mixing, packing, privacy, simhash, token_lengths
+from glebe.llm import mixing, packing, privacy, quality, simhash, token_lengths
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -59,6 +59,15 @@ def op2_source_mixing(spark, sf_dir):
     return mixing.mix(docs)
 
 
+@query()
+def op6_quality_rules(spark, sf_dir):
+    """Statistics and verdict of all documents, by rules learned from the labels."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    judged, _ = quality.judge(docs, table(spark, sf_dir, "labels"), carry=["doc_id"])
+    return judged.select("doc.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                         quality.base_failed().alias("base_failed"), "kept")
+
+
 @query()
 def op7_token_lengths(spark, sf_dir):
     """Totals under every context limit, from the lengths of all documents."""
