@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glebe.llm import mixing, packing, privacy, quality, simhash, token_lengths
+from glebe.llm import chunks, mixing, packing, privacy, quality, simhash, token_lengths, warc
+from glebe.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -59,6 +60,36 @@ def op2_source_mixing(spark, sf_dir):
     return mixing.mix(docs)
 
 
+@query("""
+WITH sums AS (
+    SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages),
+bare AS (
+    SELECT *, list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+        1 + (((('0x' || substr(hex, 1 + 5 * (i // 4), 5))::BIGINT >> (15 - 5 * (i % 4))) & 31))::INTEGER, 1)), 'string_agg', '')
+        AS payload_digest, max(page_id) OVER (PARTITION BY hex) AS largest
+    FROM sums)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN page_id = largest THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> largest THEN largest END AS refers_to
+FROM bare
+""")
+def op3_warc(spark, sf_dir):
+    """All pages written as archives and read back."""
+    path = scratch_path(spark, "archives")
+    warc.write_archives(table(spark, sf_dir, "pages").select("page_id", "url", "html"), path)
+    found = warc.records(warc.read_archives(spark, path, with_payload=False))
+    return found.select(F.col("key").cast("bigint").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+                        F.col("refers_to").cast("bigint").alias("refers_to"))
+
+
+@query()
+def op4_chunk_dedup(spark, sf_dir):
+    """Spans of all documents that repeat passages of other documents or of their own."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    spans = chunks.repeated_spans(chunks.numbered(docs, "doc_id", "text"))
+    return spans.select(F.col("id").alias("doc_id"), "start", "end", "words", F.col("first_ids").alias("first_doc_ids"))
+
+
 @query()
 def op6_quality_rules(spark, sf_dir):
     """Statistics and verdict of all documents, by rules learned from the labels."""
