@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glebe.llm import chunks, mixing, packing, privacy, quality, simhash, token_lengths, warc
+from glebe.llm import chunks, context_tree, mixing, packing, privacy, quality, simhash, token_lengths, warc
 from glebe.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,6 +90,14 @@ def op4_chunk_dedup(spark, sf_dir):
     return spans.select(F.col("id").alias("doc_id"), "start", "end", "words", F.col("first_ids").alias("first_doc_ids"))
 
 
+@query()
+def op5_context_tree(spark, sf_dir):
+    """Log probabilities of all documents, learned from six sevenths of them."""
+    scores = context_tree.score_texts(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return scores.select(F.col("id").alias("doc_id"), F.col("held").alias("held_out"), "n_tokens", "n_known", "train_tokens",
+                         "base_score", "score")
+
+
 @query()
 def op6_quality_rules(spark, sf_dir):
     """Statistics and verdict of all documents, by rules learned from the labels."""
