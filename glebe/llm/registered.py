@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glebe.llm import chunks, context_tree, mixing, packing, privacy, quality, simhash, token_lengths, warc
+from glebe.llm import chunks, context_tree, mixing, packing, partition_search, privacy, quality, simhash, token_lengths, warc
 from glebe.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -114,6 +114,14 @@ def op7_token_lengths(spark, sf_dir):
     return token_lengths.suffix_sums(token_lengths.histogram(lengths))
 
 
+@query()
+def op8_learned_partitions(spark, sf_dir):
+    """The 20 nearest of every twentieth vector among all others."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    found = partition_search.search(rows, F.col("vec_id") % 20 == 0)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
 @query()
 def op9_simhash(spark, sf_dir):
     """Fingerprint and near-duplicate component of all documents."""
