@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from glebe.llm import chunks, context_tree, mixing, packing, partition_search, privacy, quality, simhash, token_lengths, warc
 from glebe.session import scratch_path
 
@@ -141,3 +142,8 @@ def op10_sanitisation(spark, sf_dir):
               for kind in privacy.KINDS]
     return spans.select("doc.doc_id", *counts, F.sha2(privacy.spans_text(F.col("base")), 256).alias("base_sha256"),
                         privacy.spans_text(F.col("spans")).alias("spans"))
+
+
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
