@@ -92,9 +92,8 @@ def _graph(points, k: int):
     import numpy as np
 
     near = np.empty((len(points), k), np.int64)
-    low = points.astype(np.float32)
     for at in range(0, len(points), 512):
-        products = low[at:at + 512] @ low.T
+        products = points[at:at + 512] @ points.T
         products[np.arange(len(products)), np.arange(at, at + len(products))] = -np.inf
         near[at:at + 512] = np.argpartition(-products, k - 1, axis=1)[:, :k] if k else near[at:at + 512]
     return near
@@ -208,6 +207,7 @@ def search(rows: DataFrame, queries: Column, id_col: str = "vec_id", vector: str
     A query's own row (its id) is no candidate; ties go to the smaller id; scores are exact, in double precision.
     Vectors that are not usable, and rows without an id, take no part. Vectors of another length than the sample's
     are compared with none. Every other row is in one part, and a part of any size is compared block by block.
+    Rows that share an id are candidates and queries each.
     """
     kind = rows.schema[id_col].dataType.simpleString()
     sound = stage(rows.filter(usable(vector) & F.col(id_col).isNotNull()).select(
@@ -230,35 +230,38 @@ def search(rows: DataFrame, queries: Column, id_col: str = "vec_id", vector: str
         b.alias("block"), F.pmod(own, F.col("groups")).alias("group")))).otherwise(F.transform(
             F.sequence(F.lit(0).cast("bigint"), F.col("groups") - 1), lambda g: F.struct(
                 F.pmod(own, F.col("blocks")).alias("block"), g.alias("group"))))
-    dealt = dealt.select("part", "asking", "id", "v", F.explode(units).alias("unit")).select("part", "unit.*", "asking", "id", "v")
+    dealt = dealt.select("part", "asking", "row", "id", "v", F.explode(units).alias("unit")).select(
+        "part", "unit.*", "asking", "row", "id", "v")
 
     def nearest(table):
         import numpy as np
         import pyarrow as pa
 
         asking = table.column("asking").to_numpy(zero_copy_only=False)
-        ids = table.column("id").to_numpy()
+        ids, rows_ = table.column("id").to_numpy(), table.column("row").to_numpy()
         vectors = table.column("v").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
         order = np.argsort(ids[~asking], kind="stable")
         names, held = ids[~asking][order], vectors[~asking][order]
         found = []
         for at in range(0, int(asking.sum()), 128):
-            who, what = ids[asking][at:at + 128], vectors[asking][at:at + 128]
+            who, what, row_ = (c[asking][at:at + 128] for c in (ids, vectors, rows_))
             products = what @ held.T
             products[who[:, None] == names[None, :]] = -np.inf
-            for name, row in zip(who, products, strict=True):
+            for of, name, row in zip(row_, who, products, strict=True):
                 best = np.argpartition(-row, k)[:k] if len(row) > k else np.arange(len(row))
                 if len(row) > k:  # all that tie with the last, then the smaller ids
                     best = np.flatnonzero(row >= row[best].min())
                 best = best[row[best] > -np.inf]
                 best = best[np.lexsort((names[best], -row[best]))][:k]
-                found += [(name, names[i], float(row[i])) for i in best]
-        q, i, s = zip(*found, strict=True) if found else ((), (), ())
+                found += [(of, name, names[i], row[i]) for i in best]
+        r, q, i, s = zip(*found, strict=True) if found else ((), (), (), ())
         types = table.schema.field("id").type
-        return pa.table([pa.array(q, types), pa.array(i, types), pa.array(s, pa.float64())], ["query_id", "id", "score"])
+        return pa.table([pa.array(r, pa.int64()), pa.array(q, types), pa.array(i, types), pa.array(s, pa.float64())],
+                        ["row", "query_id", "id", "score"])
 
-    hits = dealt.groupBy("part", "block", "group").applyInArrow(nearest, f"query_id {kind}, id {kind}, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    hits = dealt.groupBy("part", "block", "group").applyInArrow(
+        nearest, f"row bigint, query_id {kind}, id {kind}, score double")
+    order = Window.partitionBy("row").orderBy(F.desc("score"), "id")
     return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(
         "query_id", "rank", "id", "score")
 

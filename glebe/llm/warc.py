@@ -24,8 +24,8 @@ DATE = "1970-01-01T00:00:00Z"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _ROW = "urn:x-row:"
 _MEMBER = b"\x1f\x8b\x08"
-_START = re.compile(rb"\x1f\x8b\x08|(?:(?<=\n)|\A)WARC/[0-9]\.[0-9]\r\n")
 _VERSION = re.compile(rb"WARC/[0-9]\.[0-9]\r\n")
+_START = re.compile(re.escape(_MEMBER) + b"|" + _VERSION.pattern)
 _END = b"\r\n\r\n"
 
 
@@ -155,7 +155,7 @@ def _member(data: bytes, at: int) -> tuple[list[Piece], int]:
             pieces += found
         except _Damaged as problem:
             bad = bad or str(problem)
-            again = re.compile(rb"(?<=\n)" + _VERSION.pattern).search(content, inner + 1)
+            again = _VERSION.search(content, inner + 1)
             inner = again.start() if again else len(content)
     if bad and not pieces:
         raise _Damaged(bad)
