@@ -27,6 +27,16 @@ def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+#: Bytes of rows handed to Python at a time, so that a worker's memory does not hang on how long texts are.
+BATCH_BYTES = "4m"
+
+
+def in_batches(df: DataFrame, function, schema) -> DataFrame:
+    """``mapInArrow`` with batches bounded in bytes; a longer row is a batch of its own."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return df.mapInArrow(function, schema)
+
+
 def rows_of(batch, *columns: str):
     """Python values of some columns of an Arrow batch, row by row."""
     return zip(*(batch.column(c).to_pylist() for c in columns), strict=True)

@@ -12,7 +12,7 @@ from bisect import bisect_left, bisect_right
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from glebe.llm.common import byte_pair_encoding, rows_of, stage, text_or_empty
+from glebe.llm.common import byte_pair_encoding, in_batches, rows_of, stage, text_or_empty
 
 CAPACITY = 2048
 END_ID = 0
@@ -59,8 +59,8 @@ def encode_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     key = F.col(id_col)
     kind = docs.select(key).schema[0].dataType.simpleString()
     kind = "string" if kind == "void" else kind
-    return docs.select(key.cast(kind).alias("key"), text_or_empty(text_col).alias("text")).mapInArrow(
-        encoded, f"`{id_col}` {kind}, piece int, start bigint, length bigint, ids binary")
+    keyed = docs.select(key.cast(kind).alias("key"), text_or_empty(text_col).alias("text"))
+    return in_batches(keyed, encoded, f"`{id_col}` {kind}, piece int, start bigint, length bigint, ids binary")
 
 
 def pack(pieces: DataFrame, length_col: str = "length", capacity: int = CAPACITY) -> DataFrame:

@@ -12,7 +12,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glebe.llm.common import stage, text_or_empty, whole_row
+from glebe.llm.common import in_batches, stage, text_or_empty, whole_row
 from glebe.llm.components import components
 
 SHINGLE = 3
@@ -68,8 +68,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     kind = docs.select(F.col(id_col)).schema[0].dataType.simpleString()
     kind = "string" if kind == "void" else kind
-    return docs.select(F.col(id_col).cast(kind).alias("id"), text_or_empty(text_col).alias("text")).mapInArrow(
-        hashed, f"id {kind}, fp bigint")
+    keyed = docs.select(F.col(id_col).cast(kind).alias("id"), text_or_empty(text_col).alias("text"))
+    return in_batches(keyed, hashed, f"id {kind}, fp bigint")
 
 
 def links(prints: DataFrame, radius: int = RADIUS, tree_size: int = TREE_SIZE) -> DataFrame:
@@ -119,7 +119,7 @@ def links(prints: DataFrame, radius: int = RADIUS, tree_size: int = TREE_SIZE) -
         if held and len(held[0]) > 1:
             yield told(held, [(0, len(held[0]))])
 
-    return dealt.mapInArrow(linked, "a bigint, b bigint").distinct()
+    return in_batches(dealt, linked, "a bigint, b bigint").distinct()
 
 
 def tree_links(prints: list[int], asking: list[bool], alone: bool, radius: int) -> list[tuple[int, int]]:
