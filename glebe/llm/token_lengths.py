@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from glebe.llm.common import byte_pair_encoding, text_or_empty
+from glebe.llm.common import byte_pair_encoding, in_batches, stage, text_or_empty
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-_BUCKET = 4096
+_BUCKET = 256
 
 
 def encoded_lengths(docs: DataFrame, text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
@@ -22,7 +22,7 @@ def encoded_lengths(docs: DataFrame, text_col: str = "text", vocabulary: str = V
             counts = [len(encoder.encode_ordinary(text)) for text in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(counts, pa.int64())], ["length"])
 
-    return docs.select(text_or_empty(text_col).alias("text")).mapInArrow(lengths, "length bigint")
+    return in_batches(docs.select(text_or_empty(text_col).alias("text")), lengths, "length bigint")
 
 
 def histogram(lengths: DataFrame) -> DataFrame:
@@ -38,7 +38,7 @@ def suffix_sums(bars: DataFrame) -> DataFrame:
     of documents not above L. Sums run within buckets of lengths, then over the few buckets, so that no task holds
     the whole histogram. An empty corpus has no rows.
     """
-    bars = bars.withColumn("bucket", F.floor(F.col("length") / _BUCKET))
+    bars = stage(bars, "lengths").withColumn("bucket", F.floor(F.col("length") / _BUCKET))
     bars = bars.withColumn("tokens", F.col("length") * F.col("n_docs"))
     above = Window.partitionBy("bucket").orderBy(F.desc("length")).rowsBetween(Window.unboundedPreceding, -1)
     sums = bars.groupBy("bucket").agg(F.sum("n_docs").alias("docs"), F.sum("tokens").alias("all_tokens"))
