@@ -51,3 +51,11 @@ def work_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path below the work folder; never shared between two runs."""
     return os.path.join(work_dir(spark), f"{name}-{uuid.uuid4().hex}")
+
+
+def drop_scratch(spark: SparkSession, path: str) -> None:
+    """Delete a path of the work folder that nobody reads any more; a missing one is fine."""
+    if not path.startswith(work_dir(spark) + "/"):
+        raise ValueError(f"{path} is not below the work folder")
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
