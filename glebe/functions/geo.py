@@ -87,21 +87,30 @@ def envelope(shape: Column) -> dict[str, Column]:
     }
 
 
-def inside(shape: Column, lon: Column, lat: Column) -> Column:
-    """Even-odd test of a point against all rings of a polygon list (holes count as outside)."""
+def edges(shape: Column) -> Column:
+    """All edges of all rings of a polygon list: array of (x1, y1, x2, y2)."""
 
-    def edge_crossings(ring: Column) -> Column:
+    def of_ring(ring: Column) -> Column:
         ends = F.slice(ring, F.lit(2), F.greatest(F.size(ring) - 1, F.lit(0)))
         starts = F.slice(ring, F.lit(1), F.greatest(F.size(ring) - 1, F.lit(0)))
+        return F.zip_with(starts, ends, lambda a, b: F.struct(a[0].alias("x1"), a[1].alias("y1"), b[0].alias("x2"), b[1].alias("y2")))
+
+    return F.flatten(F.transform(F.flatten(shape), of_ring))
+
 
-        def crosses(a: Column, b: Column) -> Column:
-            spans = (a[1] > lat) != (b[1] > lat)
-            # The division is only reached when the edge is not horizontal.
-            at = F.when(spans, a[0] + (lat - a[1]) * (b[0] - a[0]) / F.nullif(b[1] - a[1], F.lit(0.0)))
-            return F.when(spans & (lon < at), 1).otherwise(0)
+def within_edges(sides: Column, lon: Column, lat: Column) -> Column:
+    """Even-odd test of a point against edges (holes count as outside). Only edges that reach the point's latitude and
+    do not lie to its left matter."""
 
-        return F.aggregate(F.zip_with(starts, ends, crosses), F.lit(0), lambda n, x: n + x)
+    def crosses(e: Column) -> Column:
+        spans = (e.y1 > lat) != (e.y2 > lat)
+        # The division is only reached when the edge is not horizontal.
+        at = F.when(spans, e.x1 + (lat - e.y1) * (e.x2 - e.x1) / F.nullif(e.y2 - e.y1, F.lit(0.0)))
+        return spans & (lon < at)
 
-    rings = F.flatten(shape)
-    total = F.aggregate(F.transform(rings, edge_crossings), F.lit(0), lambda n, x: n + x)
-    return total % 2 == 1
+    return F.size(F.filter(sides, crosses)) % 2 == 1
+
+
+def inside(shape: Column, lon: Column, lat: Column) -> Column:
+    """Even-odd test of a point against all rings of a polygon list (holes count as outside)."""
+    return within_edges(edges(shape), lon, lat)

@@ -68,17 +68,38 @@ def weather_of_points(weather: DataFrame, points: DataFrame) -> DataFrame:
 
 def nearest_weather(parcels: DataFrame, weather: DataFrame, metric: str = "planar") -> DataFrame:
     """Climate normals of the weather point nearest to each parcel: id, ref_latitude, ref_longitude, normals."""
-    normals = climate_normals(weather)
-    closest = nearest(parcels.select("id", "lat", "lon"), weather.select("latitude", "longitude").distinct(), 1, metric)
+    return parcels.select("id", "lat", "lon").join(_weather_at(_places(parcels), weather, metric), ["lat", "lon"]).drop("lat", "lon")
+
+
+def _places(parcels: DataFrame) -> DataFrame:
+    return parcels.select("lat", "lon").distinct()
+
+
+# What follows gives one row per place at most, so that it can be joined to parcels whose ids repeat.
+
+
+def _weather_at(places: DataFrame, weather: DataFrame, metric: str) -> DataFrame:
+    closest = nearest(places, weather.select("latitude", "longitude").distinct(), 1, metric)
     return (
-        closest.select("id", "latitude", "longitude")
-        .join(normals, ["latitude", "longitude"])
+        closest.select("lat", "lon", "latitude", "longitude")
+        .join(climate_normals(weather), ["latitude", "longitude"])
         .withColumnsRenamed({"latitude": "ref_latitude", "longitude": "ref_longitude"})
     )
 
 
-def _places(parcels: DataFrame) -> DataFrame:
-    return parcels.select("lat", "lon").distinct()
+def _price_at(places: DataFrame, sales: DataFrame, radius_km: float) -> DataFrame:
+    # Equal prices at one coordinate are counted before the join.
+    spots = (
+        usable_sales(sales).select("latitude", "longitude", price_per_ha().alias("prix_ha"))
+        .groupBy("latitude", "longitude", "prix_ha").agg(F.count(F.lit(1)).alias("copies"))
+    )
+    medians = median_within(places, spots, radius_km, "prix_ha", "copies")
+    return medians.select("lat", "lon", rounded("prix_ha", 0).alias("prix_ha"), F.col("n").alias("n_sales"))
+
+
+def _wells_at(places: DataFrame, wells: DataFrame, radius_km: float) -> DataFrame:
+    spots = wells.groupBy("latitude", "longitude").agg(F.count(F.lit(1)).alias("copies"))
+    return count_within(places, spots, radius_km, "copies").select("lat", "lon", F.col("n").alias("n_wells"), "nearest_km")
 
 
 def median_within(places: DataFrame, spots: DataFrame, radius_km: float, value: str, weight: str,
@@ -125,23 +146,18 @@ def count_within(places: DataFrame, spots: DataFrame, radius_km: float, weight:
 def comparable_price(parcels: DataFrame, sales: DataFrame, radius_km: float = SALE_RADIUS_KM) -> DataFrame:
     """Per parcel: median price per hectare of usable sales in the radius (whole euros) and their number.
 
-    Equal prices at one coordinate are counted before the join. Without a sale: null and 0.
+    Without a sale: null and 0.
     """
-    spots = (
-        usable_sales(sales).select("latitude", "longitude", price_per_ha().alias("prix_ha"))
-        .groupBy("latitude", "longitude", "prix_ha").agg(F.count(F.lit(1)).alias("copies"))
-    )
-    medians = median_within(_places(parcels), spots, radius_km, "prix_ha", "copies")
-    return parcels.select("id", "lat", "lon").join(medians, ["lat", "lon"], "left").select(
-        "id", rounded("prix_ha", 0).alias("prix_ha"), F.coalesce("n", F.lit(0)).alias("n_sales"))
+    prices = _price_at(_places(parcels), sales, radius_km)
+    return parcels.select("id", "lat", "lon").join(prices, ["lat", "lon"], "left").select(
+        "id", "prix_ha", F.coalesce("n_sales", F.lit(0)).alias("n_sales"))
 
 
 def wells_nearby(parcels: DataFrame, wells: DataFrame, radius_km: float = WELL_RADIUS_KM) -> DataFrame:
     """Per parcel: wells in the radius and km to the nearest of them (0 and null without one)."""
-    spots = wells.groupBy("latitude", "longitude").agg(F.count(F.lit(1)).alias("copies"))
-    around = count_within(_places(parcels), spots, radius_km, "copies")
+    around = _wells_at(_places(parcels), wells, radius_km)
     return parcels.select("id", "lat", "lon").join(around, ["lat", "lon"], "left").select(
-        "id", F.coalesce("n", F.lit(0)).alias("n_wells"), "nearest_km")
+        "id", F.coalesce("n_wells", F.lit(0)).alias("n_wells"), "nearest_km")
 
 
 def _fill(old: str, new: Column, overwrite: bool) -> Column:
@@ -158,23 +174,19 @@ def enrich(parcels: DataFrame, weather: DataFrame | None, sales: DataFrame | Non
     ``surface_terrain`` leaves its fields as they are and adds a warning. Point without any rain total:
     none of the weather fields is filled.
     """
-    ids = parcels.select("id", "lat", "lon")
-    empty = ids.select("id").limit(0)
-    if weather is None:
-        climate = empty.select("id", *(F.lit(None).cast(t).alias(n) for n, t in (
-            ("precip_mm", "double"), ("freeze_days", "int"), ("etp_mm", "double"), ("n_years", "bigint"),
-            ("ref_latitude", "double"), ("ref_longitude", "double"))))
-    else:
-        climate = nearest_weather(ids, weather, weather_metric).filter(F.col("precip_mm").isNotNull())
+    places = _places(parcels)
+    joined = parcels
+    found = {"precip_mm": "double", "freeze_days": "int", "etp_mm": "double", "n_years": "bigint", "ref_latitude": "double",
+             "ref_longitude": "double", "prix_ha": "double", "n_sales": "bigint", "n_wells": "bigint", "nearest_km": "double"}
     no_price = sales is None or "surface_terrain" not in sales.columns
-    if no_price:
-        price = empty.select("id", F.lit(None).cast("double").alias("prix_ha"), F.lit(None).cast("bigint").alias("n_sales"))
-    else:
-        price = comparable_price(ids, sales, sale_radius_km)
-    if wells is None:
-        near = empty.select("id", F.lit(None).cast("bigint").alias("n_wells"), F.lit(None).cast("double").alias("nearest_km"))
-    else:
-        near = wells_nearby(ids, wells, well_radius_km)
+    tables = [] if weather is None else [_weather_at(places, weather, weather_metric).filter(F.col("precip_mm").isNotNull())]
+    tables += [] if no_price else [_price_at(places, sales, sale_radius_km)]
+    tables += [] if wells is None else [_wells_at(places, wells, well_radius_km)]
+    for table in tables:
+        joined = joined.join(table, ["lat", "lon"], "left")
+    joined = joined.withColumns({n: F.lit(None).cast(t) for n, t in found.items() if n not in joined.columns})
+    if wells is not None:
+        joined = joined.withColumn("n_wells", F.coalesce("n_wells", F.lit(0)))
 
     weather_warning = F.lit(NO_WEATHER_TABLE) if weather is None else F.when(F.col("precip_mm").isNull(), NO_WEATHER)
     if sales is None:
@@ -184,7 +196,6 @@ def enrich(parcels: DataFrame, weather: DataFrame | None, sales: DataFrame | Non
     else:
         sale_warning = F.when(F.col("prix_ha").isNull(), NO_SALE)
     well_warning = F.lit(NO_WELLS_TABLE if wells is None else None).cast("string")
-    joined = parcels.join(climate, "id", "left").join(price, "id", "left").join(near, "id", "left")
     filled = {
         "meteo_precip_annuelle_mm": F.col("precip_mm"),
         "meteo_jours_gel": F.col("freeze_days"),

@@ -125,9 +125,9 @@ def density(cells: DataFrame, producers: DataFrame, radius_km: float = 15.0) ->
     return cells.join(counts, ["lat", "lon"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
-def producers_in_zones(producers: DataFrame, zones: DataFrame, shape: str, key: str, lat: str, lon: str, **grid) -> DataFrame:
+def producers_in_zones(producers: DataFrame, zones: DataFrame, shape: str, lat: str, lon: str, **grid) -> DataFrame:
     """Producers with the zone that holds them; null outside every zone."""
-    return points_in_zones(producers, zones, shape, key, lat, lon, **grid)
+    return points_in_zones(producers, zones, shape, lat, lon, **grid)
 
 
 def water_balance(weather: DataFrame, every: str = "month", keys: list[str] | None = None) -> DataFrame:

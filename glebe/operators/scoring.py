@@ -22,7 +22,8 @@ AXIS_TITLES = {
     "topographie": "Topographie & Exposition",
 }
 
-MAX_SCENARIOS = 1000
+# A scenario table is dealt over this many keys, and the parcels over that many.
+_SCENARIO_PARTS, _PARCEL_PARTS = 8, 32
 SCENARIO = T.StructType([
     T.StructField("scenario", T.StringType(), False),
     *(T.StructField(f"poids_{axis}", T.DoubleType(), False) for axis in DEFAULT_WEIGHTS),
@@ -99,19 +100,20 @@ def score_scenarios(parcels: DataFrame, scenarios: dict[str, dict[str, float]] |
     """Every parcel under every weighting: ``scenario``, its weights and ``score_global``.
 
     Scenarios are a dict of weightings or a table (scenario, poids_economique, poids_eau,
-    poids_topographie) of at most 1000 rows; a longer table or a sum off 1 stops the query.
+    poids_topographie) of any length; a sum off 1 stops the query. A table is joined on salted keys, so that both
+    sides are spread over tasks however long either is.
     """
     scored = score_axes(parcels, **options)
     if isinstance(scenarios, DataFrame):
-        fields = SCENARIO.fieldNames()
-        rows = scenarios.select(*(F.col(f.name).cast(f.dataType) for f in SCENARIO)).limit(MAX_SCENARIOS + 1)
-        listed = rows.select(F.collect_list(F.struct(*fields)).alias("all")).select(
-            F.when(F.size("all") <= MAX_SCENARIOS, F.col("all"))
-            .otherwise(F.raise_error(F.lit(f"more than {MAX_SCENARIOS} scenarios")))).scalar()
-        total = sum((F.col(f"_s.poids_{axis}") for axis in DEFAULT_WEIGHTS), F.lit(0.0))
-        spread = scored.withColumn("_all", listed).withColumn("_s", F.explode("_all")).drop("_all")
-        spread = spread.withColumn("_s", F.when(total.between(0.99, 1.01), F.col("_s")).otherwise(
-            F.raise_error(F.lit("weights must sum to 1.0"))))
+        rows = scenarios.select(*(F.col(f.name).cast(f.dataType) for f in SCENARIO))
+        total = sum((F.col(f"poids_{axis}") for axis in DEFAULT_WEIGHTS), F.lit(0.0))
+        checked = F.when(total.between(0.99, 1.01), F.struct(*SCENARIO.fieldNames())).otherwise(
+            F.raise_error(F.lit("weights must sum to 1.0")))
+        salt = [F.pmod(F.xxhash64(*SCENARIO.fieldNames()), F.lit(_SCENARIO_PARTS)).alias("_i"),
+                F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(_PARCEL_PARTS - 1).cast("bigint"))).alias("_j")]
+        dealt = rows.select(checked.alias("_s"), *salt)
+        spread = scored.withColumn("_j", F.pmod(F.monotonically_increasing_id(), F.lit(_PARCEL_PARTS))).withColumn(
+            "_i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(_SCENARIO_PARTS - 1).cast("bigint")))).join(dealt, ["_i", "_j"])
     else:
         rows = [
             F.struct(F.lit(name).alias("scenario"),

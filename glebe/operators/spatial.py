@@ -415,19 +415,21 @@ def radius_parts(places: DataFrame, spots: DataFrame, radius_km: float, weight:
 # ---- points in polygons -----------------------------------------------------------------------------
 
 
-def points_in_zones(points: DataFrame, zones: DataFrame, shape_col: str, key: str, lat_col: str, lon_col: str,
+def points_in_zones(points: DataFrame, zones: DataFrame, shape_col: str, lat_col: str, lon_col: str,
                     cell_degrees: float = 0.1, max_cells_per_zone: int = 4096,
                     hot_cell_rows: int = HOT_CELL_ROWS) -> DataFrame:
-    """Each point with the zones that hold it (left join, "within"); ``key`` identifies a point.
+    """Each point with the zones that hold it (left join, "within"): the columns of both but the shape.
 
-    A zone is listed under the cells its envelope touches. A zone too large for ``max_cells_per_zone``
-    uses coarser cells (twice the size until it fits), and points look it up at that size, so no zone is
-    lost. Crowded cells are split by a hash of the point; their zones are repeated.
+    A zone is listed under the cells its envelope touches, in each with just the edges that decide there. A zone
+    too large for ``max_cells_per_zone`` uses coarser cells (twice the size until it fits), and points look it up at
+    that size, so no zone is lost. Each place is looked up once, however many points share it; crowded cells are split
+    by a hash of the place, and their zones are repeated.
     """
     shared = set(points.columns) & set(zones.columns)
     if shared:
         raise ValueError(f"both sides have columns {sorted(shared)}")
-    lat, lon = F.col(lat_col), F.col(lon_col)
+    lat, lon = F.col("_lat"), F.col("_lon")
+    places = points.select(F.col(lat_col).alias("_lat"), F.col(lon_col).alias("_lon")).dropna().distinct()
     box = geo.envelope(F.col(shape_col))
     boxed = zones.withColumn("_box", F.struct(*(v.alias(n) for n, v in box.items()))).filter("_box.lon_min is not null")
     width = (F.col("_box.lon_max") - F.col("_box.lon_min")) / cell_degrees + 1
@@ -440,14 +442,21 @@ def points_in_zones(points: DataFrame, zones: DataFrame, shape_col: str, key: st
     def cells(low: str, high: str) -> Column:
         return F.sequence(F.floor(F.col(f"_box.{low}") / size), F.floor(F.col(f"_box.{high}") / size))
 
+    # A little more than the cell, so that rounding at its border does not matter.
+    slack = size * 1e-6
+    bottom, top, left = F.col("_y") * size - slack, (F.col("_y") + 1) * size + slack, F.col("_x") * size - slack
     listed = (
-        boxed.withColumn("_x", F.explode(cells("lon_min", "lon_max")))
+        boxed.withColumn("_edges", geo.edges(F.col(shape_col))).drop(shape_col)
         .withColumn("_y", F.explode(cells("lat_min", "lat_max")))
+        .withColumn("_edges", F.filter("_edges", lambda e: (F.greatest(e.y1, e.y2) >= bottom) & (F.least(e.y1, e.y2) <= top)))
+        .withColumn("_x", F.explode(cells("lon_min", "lon_max")))
+        .withColumn("_edges", F.filter("_edges", lambda e: F.greatest(e.x1, e.x2) >= left))
+        .filter(F.size("_edges") > 0)
     )
     # Few sizes are ever in use: one per doubling of the largest zone.
-    sizes = listed.select(F.sort_array(F.collect_set("_level")).alias("levels")).scalar()
+    sizes = boxed.select(F.sort_array(F.collect_set("_level")).alias("levels")).scalar()
     tagged = (
-        points.withColumn("_level", F.explode_outer(sizes))
+        places.withColumn("_level", F.explode(sizes))
         .withColumn("_x", F.floor(lon / size))
         .withColumn("_y", F.floor(lat / size))
     )
@@ -459,7 +468,7 @@ def points_in_zones(points: DataFrame, zones: DataFrame, shape_col: str, key: st
     parts = F.coalesce(F.col("_parts"), F.lit(1))
     spread = (
         tagged.join(crowded, cell, "left")
-        .withColumn("_part", F.pmod(F.xxhash64(*points.columns), parts)).drop("_parts")
+        .withColumn("_part", F.pmod(F.xxhash64("_lat", "_lon"), parts)).drop("_parts")
     )
     listed = (
         listed.join(crowded, cell, "left")
@@ -469,7 +478,7 @@ def points_in_zones(points: DataFrame, zones: DataFrame, shape_col: str, key: st
         spread.join(listed, [*cell, "_part"])
         .filter(lon.between(F.col("_box.lon_min"), F.col("_box.lon_max"))
                 & lat.between(F.col("_box.lat_min"), F.col("_box.lat_max")))
-        .filter(geo.inside(F.col(shape_col), lon, lat))
-        .select(key, *zones.columns)
+        .filter(geo.within_edges(F.col("_edges"), lon, lat))
+        .select("_lat", "_lon", *(c for c in zones.columns if c != shape_col))
     )
-    return points.join(hits, key, "left")
+    return points.join(hits, (F.col(lat_col) == lat) & (F.col(lon_col) == lon), "left").drop("_lat", "_lon")

@@ -102,13 +102,26 @@ def measures_of_nearest_wells(spark, sf):
     return jobs.measures_of_nearest(standin(spark, sf, "groundwater"), wells, 10).select("mesure", "code_bss", "date_mesure")
 
 
-@query(with_tables("bare_parcels") + """, zones AS (SELECT n_name AS zone, -4.0005::DOUBLE + n_nationkey % 5 * 2.4::DOUBLE AS x, 42.5003::DOUBLE + floor(n_nationkey / 5) * 1.8::DOUBLE AS y FROM nation)
-  SELECT id, zone FROM bare_parcels LEFT JOIN zones ON lon > x AND lon < x + 2.0::DOUBLE AND lat > y AND lat - y < (lon - x) * 0.75::DOUBLE""")
-def parcels_in_triangular_zones(spark, sf):
+_ZONES_SQL = with_tables("bare_parcels") + """, zones AS (SELECT n_name AS zone, -4.0005::DOUBLE + n_nationkey % 5 * 2.4::DOUBLE AS x, 42.5003::DOUBLE + floor(n_nationkey / 5) * 1.8::DOUBLE AS y FROM nation)
+  SELECT id, zone FROM {} LEFT JOIN zones ON lon > x AND lon < x + 2.0::DOUBLE AND lat > y AND lat - y < (lon - x) * 0.75::DOUBLE"""
+
+
+def _triangles(spark, sf):
     x, y = F.col("x"), F.col("y")
     corners = F.array(F.array(x, y), F.array(x + 2.0, y), F.array(x + 2.0, y + 1.5), F.array(x, y))
-    zones = table(spark, sf, "nation").select(
+    return table(spark, sf, "nation").select(
         F.col("n_name").alias("zone"), (F.lit(-4.0005) + F.col("n_nationkey") % 5 * F.lit(2.4)).alias("x"),
         (F.lit(42.5003) + F.floor(F.col("n_nationkey") / 5) * F.lit(1.8)).alias("y"),
     ).select("zone", F.array(F.array(corners)).alias("shape"))
-    return spatial.points_in_zones(standin(spark, sf, "bare_parcels"), zones, "shape", "id", "lat", "lon").select("id", "zone")
+
+
+@query(_ZONES_SQL.format("bare_parcels"))
+def parcels_in_triangular_zones(spark, sf):
+    return spatial.points_in_zones(standin(spark, sf, "bare_parcels"), _triangles(spark, sf), "shape", "lat", "lon").select("id", "zone")
+
+
+@query(_ZONES_SQL.format("(SELECT * FROM bare_parcels UNION ALL SELECT * FROM bare_parcels)"))
+def repeated_parcels_in_zones(spark, sf):
+    """Every point twice under one id."""
+    parcels = standin(spark, sf, "bare_parcels")
+    return spatial.points_in_zones(parcels.unionAll(parcels), _triangles(spark, sf), "shape", "lat", "lon").select("id", "zone")

@@ -89,11 +89,11 @@ def test_points_in_zones(spark):
     zones = spark.createDataFrame([("small", square(0., 0., .3)), ("large", square(-20., -20., 60.)), ("far", square(100., 10., 1.))],
                                   "zone string, shape array<array<array<array<double>>>>")
     rng = random.Random(2)
-    pts = [(i, rng.uniform(-25, 45), rng.uniform(-25, 45)) for i in range(300)] + [(300, .1, .1), (301, 80., 80.)]
+    pts = [(i, rng.uniform(-25, 45), rng.uniform(-25, 45)) for i in range(300)] + [(300, .1, .1), (300, .1, .1), (301, 80., 80.), (302, None, 1.)]
     points = spark.createDataFrame(pts, "pid int, plat double, plon double")
-    got = rows(spatial.points_in_zones(points, zones, "shape", "pid", "plat", "plon", max_cells_per_zone=16, hot_cell_rows=20).select("pid", "zone"))
+    got = rows(spatial.points_in_zones(points, zones, "shape", "plat", "plon", max_cells_per_zone=16, hot_cell_rows=20).select("pid", "zone"))
     expected = []
     for i, lat, lon in pts:
-        inside = [z for z, x, y, w in (("small", 0, 0, .3), ("large", -20, -20, 60), ("far", 100, 10, 1)) if x < lon < x + w and y < lat < y + w]
+        inside = [] if lat is None else [z for z, x, y, w in (("small", 0, 0, .3), ("large", -20, -20, 60), ("far", 100, 10, 1)) if x < lon < x + w and y < lat < y + w]
         expected += [(i, z) for z in inside] or [(i, None)]
     assert sorted(got, key=str) == sorted(expected, key=str)
