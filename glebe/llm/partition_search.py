@@ -19,12 +19,13 @@ from glebe.llm.common import in_batches, stage
 K = 20
 #: Vectors the index is fitted on, at most. They are the ones with the least hashes of their ids.
 SAMPLE = 8_000
-#: Rows per part that the number of parts aims at, and the most parts.
-PART_ROWS = 1_500
-MOST_PARTS = 64
+#: The number of parts is the square root of the rows over this, at most MOST_PARTS. More parts mean less to compare and
+#: more partial results to merge.
+ROOT_SHARE = 8
+MOST_PARTS = 256
 NEIGHBOURS = 16
 #: Share of the sample's true neighbours that the routed parts must hold.
-WANTED = 0.98
+WANTED = 0.95
 #: Rows of a part compared by one call; a larger part is several blocks.
 BLOCK_ROWS = 4_096
 QUERY_ROWS = 1_024
@@ -79,7 +80,7 @@ def fit(vectors: DataFrame, n_rows: int, sample: int = SAMPLE) -> Index | None:
     points = np.array([r.v for r in rows.collect()], np.float64)
     if not len(points):
         return None
-    parts = int(max(1, min(MOST_PARTS, n_rows // PART_ROWS, len(points) // (2 * NEIGHBOURS))))
+    parts = int(max(1, min(MOST_PARTS, n_rows**0.5 // ROOT_SHARE, len(points) // (2 * NEIGHBOURS))))
     near = _graph(points, min(NEIGHBOURS, len(points) - 1))
     of = _balanced_parts(near, parts)
     weights = _classifier(_inputs(points), of, near, parts)
