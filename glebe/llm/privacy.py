@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from glebe.llm.common import rows_of, stage, text_or_empty
+from glebe.llm.common import in_batches, rows_of, stage, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
 #: Words on each side of a protected value that may reveal it.
@@ -38,6 +38,7 @@ _MAY_BE_IP = re.compile(r"[0-9]\.[0-9]")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+_MARKS = b".,;:!?()[]{}<>\"'"
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -103,8 +104,8 @@ def _neighbours(text: str, spans: list[tuple[str, int, int]], window: int):
 
 
 def _term(word: str) -> str:
-    """A word without the marks around it, lower-cased."""
-    return word.strip(".,;:!?()[]{}<>\"'«»¿¡").lower()
+    """A word without the marks around it, A-Z lower-cased."""
+    return word.encode().strip(_MARKS).lower().decode()
 
 
 def find_personal(docs: DataFrame, carry: list[str], text_col: str = "text", window: int = WINDOW) -> DataFrame:
@@ -133,7 +134,7 @@ def find_personal(docs: DataFrame, carry: list[str], text_col: str = "text", win
     schema = T.StructType([T.StructField("doc", kind), T.StructField("mark", T.StringType())])
     for name, form in (("base", _SPANS), ("near", "array<struct<term:string,value:string>>")):
         schema.add(name, T.DataType.fromDDL(form))
-    return docs.select(doc.alias("doc"), F.md5(text).alias("mark"), text.alias("text")).mapInArrow(found, schema)
+    return in_batches(docs.select(doc.alias("doc"), F.md5(text).alias("mark"), text.alias("text")), found, schema)
 
 
 def disclosing_terms(found: DataFrame, docs: DataFrame, text_col: str = "text", support: int = SUPPORT,
@@ -143,8 +144,10 @@ def disclosing_terms(found: DataFrame, docs: DataFrame, text_col: str = "text",
     Copies of one text count once, in the co-occurrence and in the texts that hold a term.
     """
     pairs = found.filter(F.size("near") > 0).select("mark", F.explode("near").alias("n")).select("mark", "n.*").distinct()
-    together = stage(pairs.groupBy("term", "value").agg(F.count("*").alias("together"))
-                     .filter(F.col("together") >= support), "together")
+    together = pairs.groupBy("term", "value").agg(F.count("*").alias("together")).filter(F.col("together") >= support)
+    # Texts that have the term near any value are some of those that hold it: common words are out before any text is read.
+    least = pairs.select("term", "mark").distinct().groupBy("term").agg(F.count("*").alias("least"))
+    together = stage(together.join(least, "term").filter(F.col("together") >= disclosure * F.col("least")), "together")
     holding = term_spans(docs, together.select("term").distinct(), text_col)
     texts = holding.select("term", "mark").distinct().groupBy("term").agg(F.count("*").alias("texts"))
     told = together.join(texts, "term").filter(F.col("together") >= disclosure * F.col("texts"))
@@ -152,68 +155,67 @@ def disclosing_terms(found: DataFrame, docs: DataFrame, text_col: str = "text",
 
 
 def term_spans(docs: DataFrame, terms: DataFrame, text_col: str = "text") -> DataFrame:
-    """(term, mark, start, end): where each of the terms stands in which text, without a shuffle of texts.
+    """(term, mark, places): where each of the terms stands in which text, without a shuffle of texts.
 
     Words pass a Bloom filter of the terms, and what passes is joined with the terms themselves.
     """
-    words = _bloom(terms)
-    shape = "term string, mark string, start int, end int"
-    if not words:
+    bits = _bloom(terms)
+    shape = "term string, mark string, places array<struct<start:int,end:int>>"
+    if not bits:
         return docs.sparkSession.createDataFrame([], shape)
 
     def holding(batches):
         import pyarrow as pa
 
-        sieve = _Sieve(words)
         for batch in batches:
             out = []
-            for text, mark in rows_of(batch, "text", "mark"):
-                hits = {word for word in set(text.encode().split()) if sieve.term(word)}
-                if hits:
-                    for m in _WORD.finditer(text):
-                        if (word := m.group().encode()) in hits:
-                            out.append((sieve.term(word), mark, *m.span()))
-            columns = zip(*out, strict=True) if out else ((), (), (), ())
-            types = (pa.string(), pa.string(), pa.int32(), pa.int32())
+            texts = [(text, mark, text.encode().split()) for text, mark in rows_of(batch, "text", "mark")]
+            passing = _passing(set().union(*(words for _, _, words in texts)), bits)
+            for text, mark, words in texts:
+                hits = passing.keys() & words
+                places: dict[str, list] = {}
+                for m in _WORD.finditer(text) if hits else ():
+                    if (word := m.group().encode()) in hits:
+                        places.setdefault(passing[word], []).append({"start": m.start(), "end": m.end()})
+                out += [(term, mark, at) for term, at in places.items()]
+            columns = zip(*out, strict=True) if out else ((), (), ())
+            types = (pa.string(), pa.string(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)],
-                                             ["term", "mark", "start", "end"])
+                                             ["term", "mark", "places"])
 
     text = text_or_empty(text_col)
-    hits = docs.select(text.alias("text"), F.md5(text).alias("mark")).mapInArrow(holding, shape)
+    hits = in_batches(docs.select(text.alias("text"), F.md5(text).alias("mark")), holding, shape)
     return hits.join(terms, "term", "left_semi")
 
 
-def _bloom(terms: DataFrame) -> dict[int, int]:
-    """A Bloom filter of the terms as the 64-bit words that are not 0: at most 2^FILTER_BITS / 64 rows."""
+def _bloom(terms: DataFrame) -> bytes:
+    """A Bloom filter of the terms, empty if there are none; at most 2^FILTER_BITS / 8 bytes come to the driver."""
     hashed = terms.select(F.xxhash64("term").alias("h"))
     mask = F.lit((1 << FILTER_BITS) - 1)
     places = hashed.select(F.explode(F.array(*(
         F.shiftrightunsigned("h", i * FILTER_BITS).bitwiseAND(mask) for i in range(3)))).alias("at"))
-    words = places.groupBy(F.shiftright("at", 6).alias("word")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits"))
-    return {r.word: r.bits & 0xFFFFFFFFFFFFFFFF for r in words.collect()}
-
-
-class _Sieve:
-    """Tells which words may be among the terms; remembers the words it has met, up to a bound."""
-
-    def __init__(self, words: dict[int, int], most: int = 200_000):
-        self.words, self.most, self.met = words, most, {}
-
-    def term(self, word: bytes) -> str | None:
-        """The term of a word if the filter holds it, else None."""
-        if word in self.met:
-            return self.met[word]
-        from xxhash import xxh64_intdigest
-
-        term = _term(word.decode())
-        h = xxh64_intdigest(term.encode(), 42)
-        places = [(h >> i * FILTER_BITS) & ((1 << FILTER_BITS) - 1) for i in range(3)]
-        held = term if term and all(self.words.get(at >> 6, 0) >> (at & 63) & 1 for at in places) else None
-        if len(self.met) >= self.most:
-            self.met.clear()
-        self.met[word] = held
-        return held
+    found = places.groupBy(F.shiftright("at", 3).alias("byte")).agg(
+        F.bit_or(F.expr("shiftleft(1, cast(at & 7 as int))")).alias("bits")).collect()
+    bits = bytearray((1 << FILTER_BITS) // 8 if found else 0)
+    for r in found:
+        bits[r.byte] = r.bits
+    return bytes(bits)
+
+
+def _passing(found: set[bytes], bits: bytes) -> dict[bytes, str]:
+    """The words whose term the Bloom filter holds, with the term."""
+    from xxhash import xxh64_intdigest
+
+    out, mask = {}, (1 << FILTER_BITS) - 1
+    for word in found:
+        term = word.strip(_MARKS).lower()
+        h = xxh64_intdigest(term, 42)
+        at = h & mask
+        if bits[at >> 3] >> (at & 7) & 1 and term:
+            rest = ((h >> FILTER_BITS) & mask, (h >> 2 * FILTER_BITS) & mask)
+            if all(bits[at >> 3] >> (at & 7) & 1 for at in rest):
+                out[word] = term.decode()
+    return out
 
 
 def all_spans(docs: DataFrame, carry: list[str], text_col: str = "text", window: int = WINDOW, support: int = SUPPORT,
@@ -225,9 +227,10 @@ def all_spans(docs: DataFrame, carry: list[str], text_col: str = "text", window:
     """
     found = stage(find_personal(docs, carry, text_col, window), "personal")
     terms = disclosing_terms(found, docs, text_col, support, disclosure).select("term").distinct()
-    spans = term_spans(docs, terms, text_col).select(
-        "mark", F.struct(F.lit("term").alias("kind"), "start", "end").alias("span")).distinct()
-    added = spans.groupBy("mark").agg(F.collect_list("span").alias("added"))
+    places = term_spans(docs, terms, text_col).select("mark", F.explode("places").alias("at"))
+    spans = places.select("mark", F.struct(F.lit("term").alias("kind"), "at.start", "at.end").alias("span")).distinct()
+    # Staged, so that Spark knows its size: the rows that carry texts are only shuffled if it is large.
+    added = stage(spans.groupBy("mark").agg(F.collect_list("span").alias("added")), "added")
     both = F.concat("base", F.coalesce("added", F.array().cast(_SPANS)))
     ordered = F.array_sort(both, lambda a, b: F.coalesce(
         F.nullif(F.signum(a.start - b.start), F.lit(0.0)), F.signum(_rank(a.kind) - _rank(b.kind))).cast("int"))
@@ -276,7 +279,7 @@ def sanitise(docs: DataFrame, text_col: str = "text", labels: dict[str, str] | N
                       for i, f in enumerate(doc.type)]
             yield pa.RecordBatch.from_arrays(fields, [f.name for f in doc.type])
 
-    return spans.select("doc", F.col(f"doc.{text_col}").alias("text"), "spans").mapInArrow(cleaned, schema)
+    return in_batches(spans.select("doc", F.col(f"doc.{text_col}").alias("text"), "spans"), cleaned, schema)
 
 
 def spans_text(spans) -> Column:
