@@ -25,21 +25,15 @@ def keep_latest(df: DataFrame, keys: list[str], order: Column) -> DataFrame:
         *(F.col(c) if c in keys else F.col("_row")[c].alias(c) for c in df.columns))
 
 
-def upsert(existing: DataFrame | None, new: DataFrame, keys: list[str] | None = None,
-           existing_unique: bool = False) -> DataFrame:
+def upsert(existing: DataFrame | None, new: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Old and new rows, the new row winning per key; columns missing on one side become null.
 
-    With ``existing_unique`` (a table this function has written) the old rows are only checked against
-    the new keys: a small batch is broadcast by Spark and the old rows are not shuffled at all.
+    One row per key remains, also of keys that the old rows repeat.
     """
     keys = keys or WEATHER_KEYS
     newest = keep_latest(new.withColumn("_new", F.lit(1)), keys, F.col("_new")).drop("_new")
     if existing is None:
         return newest
-    if existing_unique:
-        replaced = newest.select(*(F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)))
-        same = [F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys)]
-        return concat([existing.join(replaced, same, "left_anti"), newest], relaxed=True)
     both = concat([existing.withColumn("_new", F.lit(0)), new.withColumn("_new", F.lit(1))], relaxed=True)
     return keep_latest(both, keys, F.col("_new")).drop("_new")
 

@@ -130,6 +130,9 @@ FRESH, OLD, FAILED = "✅ À jour", "⚠️ Ancien", "❌ Erreur"
 MAX_AGE_DAYS = {"meteo": 3, "prix": 10, "rpg": 365}
 
 
+STATUS = "source string, last_update date, days_old int, row_count bigint, status string, alert string"
+
+
 def source_status(df: DataFrame, source: str, last: Column, ref_date: dt.date, max_age: int | None = None) -> DataFrame:
     """One status row: last update, age, rows, status, alert. ``last`` is the date column to take the maximum of."""
     limit = MAX_AGE_DAYS.get(source, 365) if max_age is None else max_age

@@ -6,17 +6,19 @@ Each job takes paths and parameters, writes its table and returns the summary it
 from __future__ import annotations
 
 import datetime as dt
-from functools import reduce
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from glebe.functions.dates import since_date
 from glebe.functions.numbers import rounded
 from glebe.operators import conform, enrichment, filters, hours, latest, prices, scoring, spatial, summaries
 from glebe.operators.conform import concat
 from glebe.operators.validate import split_parcels
-from glebe.schemas import GRID_MEASURES, WELLS
+from glebe.schemas import GRID_MEASURES, GROUNDWATER, LAND_SALES, PRICE_QUOTES, WELLS
 from glebe.sources import archives, landing, records, tables
 
 
@@ -36,7 +38,7 @@ def refresh_weather(spark: SparkSession, landing_path: str, table: str, points:
                     measures: tuple[str, ...] = GRID_MEASURES, layout: str = "lines") -> DataFrame:
     """Gridded weather: plan the window per point, read landed payloads, merge, store by year."""
     keys = ["latitude", "longitude"]
-    plan = latest.refresh_plan(points, tables.read_table(spark, table), end, backfill_years, lookback_days, force_full)
+    plan = latest.refresh_plan(points, tables.last_days(spark, table, keys), end, backfill_years, lookback_days, force_full)
     rows, _ = records.read_weather(spark, landing_path, measures, layout)
     tables.upsert_table(spark, table, _inside_window(rows, plan, keys), latest.WEATHER_KEYS)
     return summaries.weather_summary(tables.read_table(spark, table))
@@ -54,7 +56,7 @@ def refresh_station_weather(spark: SparkSession, stations_path: str, records_pat
     chosen = spatial.nearest(sites, stations, 1, "haversine", tie_break=["id_station"])
     chosen = chosen.select("id_station", "latitude", "longitude").distinct()
     keys = ["latitude", "longitude"]
-    plan = latest.refresh_plan(chosen.select(*keys).distinct(), tables.read_table(spark, table), end, backfill_years,
+    plan = latest.refresh_plan(chosen.select(*keys).distinct(), tables.last_days(spark, table, keys), end, backfill_years,
                                lookback_days, force_full)
     observed = records.read_station_records(spark, records_path, records_layout, keep=(station_key,))
     placed = observed.join(chosen, observed[station_key] == chosen["id_station"]).drop(station_key, "id_station")
@@ -71,44 +73,64 @@ def _readable(manifest: DataFrame, years: list[int]) -> dict[str, list[str]]:
 
 
 def _load_landed(spark: SparkSession, path: str, years: list[int], file_year, manifest_of, read_files,
-                 read_archives) -> DataFrame:
+                 read_archives) -> tuple[DataFrame, DataFrame]:
+    """Rows of the wanted years and the files or archive members that could not be read (path, member, error)."""
     paths = _readable(landing.file_manifest(spark, path, file_year), years)
-    frames = []
+    rows, errors = read_archives(spark, paths.get("ZIP", []))
     if "CSV" in paths:
-        frames.append(read_files(spark, manifest_of(spark, paths["CSV"])))
-    if "ZIP" in paths:
-        frames.append(read_archives(spark, paths["ZIP"])[0])
-    return concat(frames)
+        rows = concat([read_files(spark, manifest_of(spark, paths["CSV"])), rows])
+    return rows, errors
+
+
+def _quarantine(errors: DataFrame, path: str | None) -> None:
+    if path is not None:
+        tables.write_all(errors, path)
+
+
+def _summary_of(spark: SparkSession, table: str, schema: T.StructType, summary) -> DataFrame:
+    return summary(tables.read_table(spark, table, schema))
 
 
 def load_quotes(spark: SparkSession, landing_path: str, table: str, years: list[int],
-                markets: list[str] | None = None, stages: list[str] | None = None) -> DataFrame:
-    """Market quotes of the wanted years: files and archives, one schema, filters, stored by year."""
-    quotes = _load_landed(spark, landing_path, years, landing.text.quote_file_year, landing.quote_manifest,
-                          landing.read_quotes, archives.read_quote_archives)
-    tables.write_years(filters.quotes_of(quotes, markets, stages), table, order=["produit", "marche"])
-    return summaries.quote_summary(spark.read.parquet(table))
+                markets: list[str] | None = None, stages: list[str] | None = None,
+                quarantine: str | None = None) -> DataFrame:
+    """Market quotes of the wanted years: files and archives, one schema, filters, stored by year.
+
+    What cannot be read is skipped, and listed in the table ``quarantine`` if given; without a row the stored table
+    stays as it is. No file of these years, of whatever format, is an error.
+    """
+    quotes, errors = _load_landed(spark, landing_path, years, landing.text.quote_file_year, landing.quote_manifest,
+                                  landing.read_quotes, archives.read_quote_archives)
+    _quarantine(errors, quarantine)
+    tables.replace_unless_empty(filters.quotes_of(quotes, markets, stages), table, "annee", ["produit", "marche"])
+    return _summary_of(spark, table, PRICE_QUOTES, summaries.quote_summary)
 
 
 def load_sales(spark: SparkSession, landing_path: str, table: str, years: list[int],
                departments: list[str] | None = None, lat: float | None = None, lon: float | None = None,
-               radius_km: float | None = None, dedupe: bool = True) -> DataFrame:
-    """Land sales of the wanted years: filters, optional full-row distinct, stored by year."""
-    sales = _load_landed(spark, landing_path, years, landing.text.year_in_text, landing.sale_manifest,
-                         landing.read_sales, archives.read_sale_archives)
+               radius_km: float | None = None, dedupe: bool = True, quarantine: str | None = None) -> DataFrame:
+    """Land sales of the wanted years: filters, optional full-row distinct, stored by year. Else as ``load_quotes``."""
+    sales, errors = _load_landed(spark, landing_path, years, landing.text.year_in_text, landing.sale_manifest,
+                                 landing.read_sales, archives.read_sale_archives)
+    _quarantine(errors, quarantine)
     kept = filters.sales_of(sales, departments, lat, lon, radius_km)
     if dedupe:
         kept = summaries.distinct_rows(kept)
-    tables.write_years(kept, table, order=["code_departement", "latitude"])
-    return summaries.rows_per(spark.read.parquet(table))
+    tables.replace_unless_empty(kept, table, "annee", ["code_departement", "latitude"])
+    return _summary_of(spark, table, LAND_SALES, summaries.rows_per)
 
 
-def load_crop_parcels(spark: SparkSession, landing_path: str, table: str, lat: float, lon: float, radius_km: float,
-                      layout: str = "lines") -> DataFrame:
-    """Crop parcels in the box around a site; returns the ten largest crops."""
+def load_crop_parcels(spark: SparkSession, landing_path: str, table: str, year: int, lat: float, lon: float,
+                      radius_km: float, layout: str = "lines") -> DataFrame:
+    """Crop parcels of a year in the box around a site, stored by year; returns that year's ten largest crops.
+
+    Other years stay, and so does this year's if nothing was found.
+    """
     features = records.features_in_box(records.read_features(spark, landing_path, layout), lat, lon, radius_km)
-    tables.write_all(records.crop_parcel_rows(features), table)
-    return summaries.top_crops(spark.read.parquet(table))
+    rows = records.crop_parcel_rows(features).withColumn("annee", F.lit(year))
+    tables.replace_unless_empty(rows, table, "annee")
+    stored = tables.read_table(spark, table, rows.schema)
+    return summaries.top_crops(stored.filter(F.col("annee") == year))
 
 
 def load_wells(spark: SparkSession, landing_path: str, table: str, lat: float, lon: float, radius_km: float = 25.0,
@@ -117,8 +139,8 @@ def load_wells(spark: SparkSession, landing_path: str, table: str, lat: float, l
     wells = records.read_wells(spark, landing_path, lat, lon, layout)
     near = spatial.within_radius(wells.drop("distance_km"), lat, lon, radius_km)
     kept = near.withColumn("distance_km", rounded("distance_km", 2)).select(*WELLS.fieldNames())
-    tables.write_all(kept, table)
-    return summaries.wells_per_department(spark.read.parquet(table))
+    tables.replace_unless_empty(kept, table, order=["distance_km"])
+    return _summary_of(spark, table, WELLS, summaries.wells_per_department)
 
 
 def nearest_well_codes(wells: DataFrame, n: int | None = None) -> DataFrame:
@@ -140,8 +162,9 @@ def load_groundwater(spark: SparkSession, landing_path: str, wells_table: str, t
         raise FileNotFoundError(f"no wells table at {wells_table}; load wells first")
     measures = records.read_groundwater(spark, landing_path, layout)
     window = F.col("date_mesure").between(since_date(until, since_year), F.lit(until))
-    tables.write_all(measures_of_nearest(measures, wells, n_stations).filter(window), table)
-    return summaries.groundwater_per_station(spark.read.parquet(table))
+    kept = measures_of_nearest(measures, wells, n_stations).filter(window)
+    tables.replace_unless_empty(kept, table, order=["code_bss", "date_mesure"])
+    return _summary_of(spark, table, GROUNDWATER, summaries.groundwater_per_station)
 
 
 def load_hours(spark: SparkSession, log_path: str, table: str) -> tuple[DataFrame, DataFrame]:
@@ -181,16 +204,26 @@ def price_dashboard(quotes: DataFrame, products: list[str], markets: list[str] |
 def lake_status(spark: SparkSession, sources: dict[str, tuple[str, Column]], ref_date: dt.date) -> DataFrame:
     """Freshness of each source: name -> (table path, date column to take the latest of).
 
-    A table that cannot be read gives an error row instead of stopping the report.
+    Each source is worked out by itself, so one that cannot be read, for whatever reason (no files, a damaged file, a
+    missing column), gives an error row and the others stay.
     """
     rows = []
     for name, (path, last) in sources.items():
-        df = tables.read_table(spark, path)
-        if df is None:
-            rows.append(summaries.failed_source(spark, name, f"no files found at {path}"))
-        else:
-            rows.append(summaries.source_status(df, name, last, ref_date))
-    return reduce(DataFrame.unionByName, rows)
+        try:
+            df = tables.read_table(spark, path)
+            if df is None:
+                status = summaries.failed_source(spark, name, f"no files found at {path}")
+            else:
+                status = summaries.source_status(df, name, last, ref_date)
+            rows.append(status.first())
+        except (PySparkException, Py4JJavaError) as problem:
+            rows.append(summaries.failed_source(spark, name, _first_words(problem)).first())
+    return spark.createDataFrame(rows, summaries.STATUS)
+
+
+def _first_words(problem: Exception) -> str:
+    named = problem.getCondition() if isinstance(problem, PySparkException) else None
+    return named or str(problem).splitlines()[0]
 
 
 def weather_series(grid: DataFrame, station: DataFrame | None = None, start: dt.date | None = None,

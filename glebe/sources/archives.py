@@ -10,28 +10,38 @@ from pyspark.sql import functions as F
 
 from glebe.functions import text
 from glebe.operators.conform import concat, conform_quotes, conform_sales, fill_quote_year, fill_sale_period
-from glebe.sources.landing import QUOTE_DIALECT, SALE_DIALECT, Dialect, header_names
+from glebe.session import scratch_path
+from glebe.sources.landing import QUOTE_DIALECT, SALE_DIALECT, Dialect, no_rows, unique_names
 
-_LINES = "path string, member string, line_no bigint, separateur string, entete string, line string, error string"
+_RECORDS = "path string, member string, entete array<string>, cellules array<string>, error string"
 
 
 def unpack(files: DataFrame, dialect: Dialect) -> DataFrame:
-    """Lines of all CSV members of archives (``path``, ``content``), each with its member's separator and header.
+    """Records of all CSV members of archives (``path``, ``content``): the cells, with the header of their member.
 
-    An archive is unpacked by one task, member by member and in batches; it cannot be split. A broken
-    archive or one without CSV members gives one row with ``error``.
+    Quoted cells may hold line breaks; an empty cell is null. An archive is unpacked by one task, member by member and
+    in batches; it cannot be split. A broken archive, one without CSV members, and each member that cannot be read as
+    a whole give one row with ``error`` and nothing else; the other members stay.
     """
-    sample, on_tie, columns = dialect.sample_bytes, dialect.semicolon_when_none, _LINES
+    by_header, on_tie = dialect.by_header, dialect.semicolon_when_none
 
     def unzip(batches):
         import codecs
+        import csv
         import io
         import zipfile
+        import zlib
 
         import pyarrow as pa
 
+        unreadable = (zipfile.BadZipFile, zlib.error, EOFError, OSError, NotImplementedError, RuntimeError, UnicodeError,
+                      csv.Error, ValueError)
+        cells = pa.list_(pa.string())
+        names = [column.split()[0] for column in _RECORDS.split(", ")]
+
         def separator_and_encoding(archive, name):
-            valid, semicolons, commas, seen = True, 0, 0, 0
+            """Reads the member to its end, so a damaged one fails here."""
+            valid, semicolons, commas, header_done = True, 0, 0, False
             decoder = codecs.getincrementaldecoder("utf-8")()
             with archive.open(name) as stream:
                 while chunk := stream.read(1 << 20):
@@ -40,85 +50,91 @@ def unpack(files: DataFrame, dialect: Dialect) -> DataFrame:
                             decoder.decode(chunk)
                         except UnicodeDecodeError:
                             valid = False
-                    counted = chunk if sample is None else chunk[: max(0, sample - seen)]
-                    semicolons, commas, seen = semicolons + counted.count(b";"), commas + counted.count(b","), seen + len(chunk)
+                    counted = chunk
+                    if by_header:
+                        counted = b"" if header_done else chunk.split(b"\n", 1)[0]
+                        header_done = header_done or b"\n" in chunk
+                    semicolons, commas = semicolons + counted.count(b";"), commas + counted.count(b",")
             wins = semicolons >= commas and (on_tie or semicolons > 0)
             return ";" if wins else ",", "utf-8-sig" if valid else "latin-1"
 
-        fields = [(name, pa.int64() if kind == "bigint" else pa.string())
-                  for name, kind in (column.split() for column in columns.split(", "))]
-
-        def output(rows):
+        def output(source, member, header, rows):
+            n = len(rows)
             return pa.RecordBatch.from_arrays(
-                [pa.array(values, kind) for values, (_, kind) in zip(zip(*rows), fields)], names=[n for n, _ in fields])
-
-        def failure(source, message):
-            return output([(source, None, None, None, None, None, message)])
+                [pa.array([source] * n), pa.array([member] * n, pa.string()), pa.array([header] * n, cells),
+                 pa.array([[c or None for c in row] for row in rows], cells), pa.nulls(n, pa.string())], names)
 
+        def failure(source, member, message):
+            return pa.RecordBatch.from_arrays(
+                [pa.array([source]), pa.array([member], pa.string()), pa.nulls(1, cells), pa.nulls(1, cells),
+                 pa.array([str(message)[:200]])], names)
+
+        def records(archive, source, member):
+            separator, encoding = separator_and_encoding(archive, member)
+            with io.TextIOWrapper(archive.open(member), encoding=encoding, newline="") as lines:
+                rows = csv.reader(lines, delimiter=separator)
+                header = next(rows, [])
+                held = []
+                for row in rows:
+                    if row:
+                        held.append(row)
+                    if len(held) == 10_000:
+                        yield output(source, member, header, held)
+                        held = []
+                if held:
+                    yield output(source, member, header, held)
+
+        csv.field_size_limit(1 << 30)
         for batch in batches:
             for source, content in zip(batch.column("path"), batch.column("content")):
                 source = source.as_py()
                 try:
                     archive = zipfile.ZipFile(io.BytesIO(content.as_buffer()))
-                except zipfile.BadZipFile:
-                    yield failure(source, "not a ZIP archive")
+                    members = [m for m in archive.namelist() if m.lower().endswith(".csv")]
+                except unreadable:
+                    yield failure(source, None, "not a ZIP archive")
                     continue
-                members = [m for m in archive.namelist() if m.lower().endswith(".csv")]
                 if not members:
-                    yield failure(source, "no CSV member")
+                    yield failure(source, None, "no CSV member")
                 for member in members:
-                    separator, encoding = separator_and_encoding(archive, member)
-                    with io.TextIOWrapper(archive.open(member), encoding=encoding, newline=None) as lines:
-                        header = next(lines, "").rstrip("\n")
-                        number, held = 0, []
-                        for line in lines:
-                            number += 1
-                            held.append((source, member, number, separator, header, line.rstrip("\n"), None))
-                            if len(held) == 10_000:
-                                yield output(held)
-                                held = []
-                        if held:
-                            yield output(held)
-
-    return files.select("path", "content").mapInArrow(unzip, _LINES)
-
-
-def archive_rows(files: Callable[[list[str] | None], DataFrame], dialect: Dialect,
-                 conform: Callable[..., DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """(rows in the target schema with ``_file`` and ``_name``, error rows).
-
-    ``files`` gives the archives (path, content): all of them, or those of the listed paths. Members are
-    parsed once per distinct header, from the archives it occurs in.
+                    try:
+                        yield from records(archive, source, member)
+                    except unreadable as problem:
+                        yield failure(source, member, problem)
+
+    return files.select("path", "content").mapInArrow(unzip, _RECORDS)
+
+
+def archive_rows(files: DataFrame, dialect: Dialect, conform: Callable[..., DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """(rows in the target schema with ``_file`` and ``_name``, error rows) of archives (``path``, ``content``).
+
+    The archives are unpacked once, into the work folder; only the distinct headers come to the driver.
     """
-    lines = unpack(files(None), dialect)
-    errors = lines.filter(F.col("error").isNotNull()).select("path", "error")
-    heads = lines.filter(F.col("line_no") == 1).select("separateur", "entete", "path").distinct().collect()
-    groups: dict[tuple[str, str], list[str]] = {}
-    for row in heads:
-        groups.setdefault((row.separateur, row.entete), []).append(row.path)
+    spark = files.sparkSession
+    path = scratch_path(spark, "unpacked")
+    unpack(files, dialect).write.parquet(path)
+    unpacked = spark.read.parquet(path)
+    errors = unpacked.filter(F.col("error").isNotNull()).select("path", "member", "error")
+    headers = sorted(tuple(r.entete) for r in unpacked.filter(F.col("entete").isNotNull()).select("entete").distinct().collect())
     frames = []
-    for (separator, header), paths in sorted(groups.items()):
-        names = header_names(header, separator)
-        cells = ", ".join(f"c{i} string" for i in range(len(names)))
-        own = unpack(files(paths), dialect).filter(
-            (F.col("separateur") == separator) & (F.col("entete") == header) & (F.trim("line") != ""))
-        raw = own.select("path", "member", F.from_csv("line", cells, {"sep": separator}).alias("c")).select(
-            *(F.col(f"c.c{i}").alias(n) for i, n in enumerate(names)),
+    for header in headers:
+        own = unpacked.filter(F.col("entete") == F.array(*(F.lit(h) for h in header)))
+        raw = own.select(
+            *(F.get("cellules", F.lit(i)).alias(n) for i, n in enumerate(unique_names(header))),
             F.concat_ws("!", "path", "member").alias("_file"),
             F.substring_index("path", "/", -1).alias("_name"))
         frames.append(conform(raw, keep=("_file", "_name")))
-    if not frames:
-        raise ValueError("no archive with CSV rows")
-    return concat(frames), errors
+    return (concat(frames) if frames else no_rows(spark, conform)), errors
 
 
 def read_archives(spark: SparkSession, path: str | list[str], dialect: Dialect,
                   conform: Callable[..., DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """Rows and errors of the archives below a path."""
-
-    def files(paths: list[str] | None) -> DataFrame:
-        return spark.read.format("binaryFile").load([unquote(p) for p in paths] if paths else path)
-
+    """Rows and errors of the archives below a path, or of the listed ones."""
+    paths = [unquote(p) for p in path] if isinstance(path, list) else path
+    if not paths:
+        files = spark.createDataFrame([], "path string, content binary")
+    else:
+        files = spark.read.format("binaryFile").load(paths).select("path", "content")
     return archive_rows(files, dialect, conform)
 
 

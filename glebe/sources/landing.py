@@ -18,9 +18,9 @@ from glebe.schemas import WORK_LOG_FIELDS
 
 @dataclass(frozen=True)
 class Dialect:
-    """How the separator of a source is told: from the first bytes or the whole file, and on a tie."""
+    """How the separator of a source is told: from the header or the whole file, and on a tie."""
 
-    sample_bytes: int | None
+    by_header: bool
     semicolon_when_none: bool
 
     def separator(self, semicolons: Column, commas: Column) -> Column:
@@ -30,8 +30,8 @@ class Dialect:
         return F.when(wins, ";").otherwise(",")
 
 
-QUOTE_DIALECT = Dialect(sample_bytes=2048, semicolon_when_none=True)
-SALE_DIALECT = Dialect(sample_bytes=None, semicolon_when_none=False)
+QUOTE_DIALECT = Dialect(by_header=True, semicolon_when_none=True)
+SALE_DIALECT = Dialect(by_header=False, semicolon_when_none=False)
 
 
 def _bytes_of(c: Column, char: str) -> Column:
@@ -40,7 +40,8 @@ def _bytes_of(c: Column, char: str) -> Column:
 
 
 def csv_manifest(spark: SparkSession, path: str, dialect: Dialect, file_year: Callable[[Column], Column]) -> DataFrame:
-    """One row per CSV file: path, name, format, year, quarter, separator, encoding, header line.
+    """One row per CSV file: path, name, format, year, quarter, separator, encoding, header line, and ``coupe``: whether
+    a quoted cell may hold a line break (a line has an odd number of quotes).
 
     Files are scanned as lines, so a large file is shared by many tasks and only counts are gathered.
     """
@@ -54,28 +55,17 @@ def csv_manifest(spark: SparkSession, path: str, dialect: Dialect, file_year: Ca
         F.bool_and(F.is_valid_utf8("value")).alias("_utf8"),
         F.sum(_bytes_of(F.col("value"), ";")).alias("_semicolons"),
         F.sum(_bytes_of(F.col("value"), ",")).alias("_commas"),
+        F.bool_or(_bytes_of(F.col("value"), '"') % 2 == 1).alias("coupe"),
         F.min(F.when(head, F.struct("_line", "value"))).alias("_first"),
     )
-    if dialect.sample_bytes is not None:
-        n = dialect.sample_bytes
-        # A line takes at least one byte, so later lines cannot lie in the sample.
-        firsts = files.select("path", F.col("_first._line").alias("_start"))
-        near = lines.filter(head).join(firsts, "path").filter(F.col("_line") - F.col("_start") < n)
-        ahead = Window.partitionBy("path").orderBy("_line").rowsBetween(Window.unboundedPreceding, -1)
-        offset = F.coalesce(F.sum(F.octet_length("value") + 1).over(ahead), F.lit(0))
-        sample = near.withColumn("_offset", offset).filter(F.col("_offset") < n)
-        cut = F.substr(F.col("value").cast("binary"), F.lit(1), (F.lit(n) - F.col("_offset")).cast("int")).cast("string")
-        counts = sample.withColumn("_cut", cut).groupBy("path").agg(
-            F.sum(_bytes_of(F.col("_cut"), ";")).alias("_semicolons"), F.sum(_bytes_of(F.col("_cut"), ",")).alias("_commas"))
-        files = files.drop("_semicolons", "_commas").join(counts, "path")
     encoding = F.when(F.col("_utf8"), "UTF-8").otherwise("ISO-8859-1")
     first = F.col("_first.value").cast("binary")
     header = F.when(F.col("_utf8"), first.cast("string")).otherwise(F.decode(first, "ISO-8859-1"))
+    counted = [_bytes_of(F.col("_first.value"), c) if dialect.by_header else F.col(n) for c, n in ((";", "_semicolons"), (",", "_commas"))]
     return files.select(
         "path", "name", F.lit("CSV").alias("format"), file_year(F.col("name")).alias("annee"),
         text.quarter_in_text(F.col("name")).alias("trimestre"),
-        dialect.separator(F.col("_semicolons"), F.col("_commas")).alias("separateur"),
-        encoding.alias("encodage"), header.alias("entete"),
+        dialect.separator(*counted).alias("separateur"), encoding.alias("encodage"), header.alias("entete"), "coupe",
     )
 
 
@@ -98,9 +88,13 @@ def sale_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 def header_names(header: str, separator: str) -> list[str]:
     """Column names of a header line, made unique by a number where they repeat."""
+    return unique_names(next(csv.reader([header], delimiter=separator), []))
+
+
+def unique_names(cells: list[str]) -> list[str]:
     names, seen = [], {}
-    for name in next(csv.reader([header.lstrip("﻿")], delimiter=separator), []):
-        name = name.strip()
+    for name in cells:
+        name = name.lstrip("\ufeff").strip()
         seen[name.lower()] = seen.get(name.lower(), 0) + 1
         names.append(name if seen[name.lower()] == 1 else f"{name}_{seen[name.lower()]}")
     return names
@@ -110,30 +104,36 @@ def text_schema(names: list[str]) -> T.StructType:
     return T.StructType([T.StructField(n, T.StringType()) for n in names])
 
 
-def dialect_groups(manifest: DataFrame) -> dict[tuple[str, str, str], list[str]]:
-    """(separator, encoding, header) -> files. Only this list of files comes to the driver, as for any scan."""
-    groups: dict[tuple[str, str, str], list[str]] = {}
-    for row in manifest.select("separateur", "encodage", "entete", "path").collect():
-        groups.setdefault((row.separateur, row.encodage, row.entete), []).append(unquote(row.path))
-    return groups
+def dialect_groups(manifest: DataFrame) -> dict[tuple[str, str, str, bool], list[str]]:
+    """(separator, encoding, header, broken lines) -> files: one row per group comes to the driver, with the paths
+    that the scan will list there anyway."""
+    keys = ("separateur", "encodage", "entete", "coupe")
+    groups = manifest.groupBy(*keys).agg(F.collect_list("path").alias("paths")).collect()
+    return {tuple(g[k] for k in keys): sorted(map(unquote, g.paths)) for g in groups}
 
 
 def read_csv_files(spark: SparkSession, manifest: DataFrame, conform: Callable[..., DataFrame]) -> DataFrame:
     """All files of a manifest in the target schema, plus ``_file`` and ``_name``.
 
     All cells are read as text; ragged lines are cut or filled with nulls. Files are grouped by dialect
-    and header, so there are as many reads as distinct headers, not as files.
+    and header, so there are as many reads as distinct headers, not as files. Only files whose quoted cells may hold
+    line breaks are read whole; the others are split.
     """
     frames = []
-    for (separator, encoding, header), paths in sorted(dialect_groups(manifest).items()):
+    for (separator, encoding, header, broken), paths in sorted(dialect_groups(manifest).items()):
         raw = (
             spark.read.schema(text_schema(header_names(header, separator)))
             .option("header", True).option("sep", separator).option("encoding", encoding)
-            .option("mode", "PERMISSIVE").csv(paths)
+            .option("mode", "PERMISSIVE").option("multiLine", broken).option("escape", '"').csv(paths)
             .select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_name").alias("_name"))
         )
         frames.append(conform(raw, keep=("_file", "_name")))
-    return concat(frames)
+    return concat(frames) if frames else no_rows(spark, conform)
+
+
+def no_rows(spark: SparkSession, conform: Callable[..., DataFrame]) -> DataFrame:
+    """The target schema with ``_file`` and ``_name``, and no rows."""
+    return conform(spark.createDataFrame([], text_schema(["annee", "_file", "_name"])), keep=("_file", "_name"))
 
 
 def read_quotes(spark: SparkSession, manifest: DataFrame) -> DataFrame:

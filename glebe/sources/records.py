@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from glebe.functions import geo, text
 from glebe.functions.dates import iso_date
 from glebe.operators.conform import crop_label, place_constant, station_measures
-from glebe.operators.spatial import by_distance, with_distance
+from glebe.operators.spatial import with_distance
 from glebe.operators.validate import broken_rules, with_defaults
 from glebe.schemas import GRID_MEASURES, GROUNDWATER, PARCELS, STATION_FIELDS, WELLS
 
@@ -127,7 +127,7 @@ _WELL_RECORD = T.StructType([
 
 
 def well_rows(records: DataFrame, lat: float, lon: float) -> DataFrame:
-    """Well records to the 17-column table with the distance (2 decimals) from a site, nearest first."""
+    """Well records to the 17-column table with the distance (2 decimals) from a site."""
     number = {c: text.lenient_double(F.col(s)) for c, s in (
         ("longitude", "x"), ("latitude", "y"), ("altitude_station", "altitude_station"),
         ("profondeur_investigation", "profondeur_investigation"))}
@@ -137,7 +137,7 @@ def well_rows(records: DataFrame, lat: float, lon: float) -> DataFrame:
         "code_bdlisa": text.first_item(F.col("codes_bdlisa")),
         "nom_masse_eau": text.first_item(F.col("noms_masse_eau_edl")),
     })
-    return by_distance(with_distance(typed, lat, lon, decimals=2).select(*WELLS.fieldNames()))
+    return with_distance(typed, lat, lon, decimals=2).select(*WELLS.fieldNames())
 
 
 def read_wells(spark: SparkSession, path: str, lat: float, lon: float, layout: str = "lines") -> DataFrame:
@@ -155,9 +155,9 @@ def groundwater_rows(records: DataFrame) -> DataFrame:
 
 
 def read_groundwater(spark: SparkSession, path: str, layout: str = "lines") -> DataFrame:
-    """Groundwater measures by station and date."""
+    """Groundwater measures."""
     schema = T.StructType([T.StructField(f, T.StringType()) for f in GROUNDWATER.fieldNames()])
-    return groundwater_rows(_records(spark, path, schema, layout)).orderBy("code_bss", "date_mesure")
+    return groundwater_rows(_records(spark, path, schema, layout))
 
 
 # ---- crop parcels -----------------------------------------------------------------------------------
@@ -233,14 +233,19 @@ def parcel_rows(documents: DataFrame) -> DataFrame:
 
 
 def read_parcels(spark: SparkSession, path: str, layout: str = "document") -> DataFrame:
-    """All parcel documents, newest file first, with ``errors`` and ``fichier``; unreadable ones are skipped.
+    """All parcel documents, with ``errors``, ``fichier`` and ``modifie``; unreadable ones are skipped.
 
     ``layout`` "document" is one record per file, "lines" one per line, as ``write_parcels`` leaves them.
     """
     documents = spark.read.schema(_document_schema()).option("multiLine", layout == "document").json(path).select(
         "*", F.col("_metadata.file_path").alias("fichier"), F.col("_metadata.file_modification_time").alias("modifie"))
     readable = documents.filter(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
-    return parcel_rows(readable).orderBy(F.desc("modifie"), "fichier")
+    return parcel_rows(readable)
+
+
+def newest_first(parcels: DataFrame) -> DataFrame:
+    """Parcel documents in the order they are listed: newest file first."""
+    return parcels.orderBy(F.desc("modifie"), "fichier")
 
 
 def valid_parcels(parcels: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from glebe.operators.latest import upsert
-from glebe.session import scratch_path
+from glebe.session import drop_scratch, scratch_path
 
 # Conditions Spark reports for a path without readable files.
 _NO_FILES = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
@@ -57,18 +57,64 @@ def append_rows(df: DataFrame, path: str) -> None:
     df.write.mode("append").option("compression", "zstd").parquet(path)
 
 
+def staged(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """The rows written once to the work folder, for steps that read them several times; and their path."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path), path
+
+
+def replace_unless_empty(df: DataFrame, path: str, year: str | None = None, order: list[str] | None = None) -> bool:
+    """Replace the table, or with ``year`` the years present; nothing fetched leaves it as it is. Tells if it wrote."""
+    rows, scratch = staged(df, "load")
+    some = not rows.isEmpty()
+    if some and year:
+        write_years(rows, path, year, order)
+    elif some:
+        write_all(rows.sortWithinPartitions(*order) if order else rows, path)
+    drop_scratch(df.sparkSession, scratch)
+    return some
+
+
+def _last_path(path: str) -> str:
+    return f"{path.rstrip('/')}_last_days"
+
+
+def last_days(spark: SparkSession, path: str, keys: list[str], date: str = "date") -> DataFrame | None:
+    """Last known ``date`` per key of a stored table, None without a table.
+
+    ``upsert_table`` keeps these few rows beside the table. Where they are missing they are read from the table.
+    """
+    known = read_table(spark, _last_path(path))
+    if known is not None and set(known.columns) == {*keys, date}:
+        return known
+    table = read_table(spark, path)
+    return None if table is None else table.groupBy(*keys).agg(F.max(date).alias(date))
+
+
 def upsert_table(spark: SparkSession, path: str, new: DataFrame, keys: list[str], date: str = "date",
                  year: str = "annee") -> None:
-    """Merge new rows into a table partitioned by year, newest row per key.
+    """Merge new rows into a table partitioned by year, newest row per key; keys that the table repeats are merged too.
 
-    Only the touched years are read and rewritten. The merged years are first written to the shared work
-    folder: the table is never read and overwritten by one job, and a lost executor is recovered from
-    files that stay.
+    The batch is worked out once. Only the touched years are read and rewritten. The merged years are first written to
+    the shared work folder: the table is never read and overwritten by one job, and a lost executor is recovered from
+    files that stay. The last day per key without its date is kept beside the table; if the job stops before that, a
+    later refresh starts a little earlier.
     """
-    new = new.withColumn(year, F.year(date))
-    old = read_table(spark, path)
-    if old is not None:
-        old = old.join(new.select(year).distinct(), year, "left_semi")
-    staged = scratch_path(spark, "upsert")
-    upsert(old, new, keys, existing_unique=True).write.parquet(staged)
-    write_years(spark.read.parquet(staged), path, year, [k for k in keys if k != year])
+    batch, batch_path = staged(new.withColumn(year, F.year(date)), "batch")
+    if not batch.isEmpty():
+        places = [k for k in keys if k != date]
+        known = last_days(spark, path, places, date)
+        days = batch.groupBy(*places).agg(F.max(date).alias(date))
+        if known is not None:
+            days = known.unionByName(days).groupBy(*places).agg(F.max(date).alias(date))
+        days, days_path = staged(days, "last-days")
+        old = read_table(spark, path)
+        if old is not None:
+            old = old.join(batch.select(year).distinct(), year, "left_semi")
+        merged, merged_path = staged(upsert(old, batch, keys), "upsert")
+        write_years(merged, path, year, [k for k in keys if k != year])
+        write_all(days, _last_path(path))
+        drop_scratch(spark, days_path)
+        drop_scratch(spark, merged_path)
+    drop_scratch(spark, batch_path)

@@ -9,13 +9,16 @@ from pyspark.sql.streaming import StreamingQuery
 from glebe.operators.latest import WEATHER_KEYS
 from glebe.schemas import GRID_MEASURES
 from glebe.sources.records import weather_payload_schema, weather_rows
-from glebe.sources.tables import read_table, upsert_table
+from glebe.sources.tables import last_days, upsert_table
 
 POINT = ["latitude", "longitude"]
 
 
 def accept_recent(new: DataFrame, existing: DataFrame | None, lookback_days: int) -> DataFrame:
-    """New rows not older than the lookback before their point's last known day; unknown points keep all."""
+    """New rows not older than the lookback before their point's last known day; unknown points keep all.
+
+    ``existing`` needs the points and their days, or just their last days.
+    """
     if existing is None:
         return new
     last = existing.groupBy(*POINT).agg(F.max("date").alias("_last"))
@@ -26,7 +29,7 @@ def accept_recent(new: DataFrame, existing: DataFrame | None, lookback_days: int
 def merge_batch(spark: SparkSession, rows: DataFrame, table: str, lookback_days: int = 30) -> None:
     """Merge one batch of weather rows; running it again leaves the same table."""
     dated = rows.filter(F.col("date").isNotNull())
-    recent = accept_recent(dated, read_table(spark, table), lookback_days)
+    recent = accept_recent(dated, last_days(spark, table, POINT), lookback_days)
     upsert_table(spark, table, recent, WEATHER_KEYS)
 
 

@@ -6,6 +6,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from glebe.functions.numbers import rounded
 from glebe.operators import filters, hours
 from glebe.operators.conform import conform_quotes, conform_sales, fill_quote_year, fill_sale_period
 from glebe.plans import jobs
@@ -59,12 +60,16 @@ def quotes_from_csv(spark, sf):
     return _read_quotes(spark, landed_quotes(spark, sf)).select(QUOTE_COLUMNS)
 
 
-@query("""SELECT * FROM (VALUES (';', 'UTF-8', 'annee;semaine;date_cotation;produit_libelle;marche_libelle;stade_libelle;unite;prix_min;prix_max;prix_moyen', 'CSV'),
-  (',', 'ISO-8859-1', 'Annee,Semaine,DateDebut,Produit,Marche,Stade,catégorie,Unité,Prix Min,Prix Max,Prix Moyen', 'CSV'),
-  (';', 'UTF-8', 'date;semaine;produit;marche;stade;unite;min;max;moyen', 'CSV')) AS t(separateur, encodage, entete, format)""")
+@query(QUOTES + """, dialects(kind, separateur, encodage, entete, format) AS (VALUES ('even', ';', 'UTF-8', 'annee;semaine;date_cotation;produit_libelle;marche_libelle;stade_libelle;unite;prix_min;prix_max;prix_moyen', 'CSV'),
+  ('odd', ',', 'ISO-8859-1', 'Annee,Semaine,DateDebut,Produit,Marche,Stade,catégorie,Unité,Prix Min,Prix Max,Prix Moyen', 'CSV'),
+  ('none', ';', 'UTF-8', 'date;semaine;produit;marche;stade;unite;min;max;moyen', 'CSV'))
+  SELECT separateur, encodage, entete, format, count(*) AS n FROM landed JOIN dialects ON kind = CASE WHEN marche = 'MARCHE 0' THEN 'none' WHEN annee % 2 = 1 THEN 'odd' ELSE 'even' END GROUP BY ALL""")
 def quote_file_dialects(spark, sf):
-    manifest = landing.quote_manifest(spark, landed_quotes(spark, sf))
-    return manifest.select("separateur", "encodage", "entete", "format").distinct()
+    """The dialects told, with the rows that files of each hold."""
+    path = landed_quotes(spark, sf)
+    manifest = landing.quote_manifest(spark, path)
+    lines = spark.read.text(path).groupBy(F.col("_metadata.file_path").alias("path")).agg((F.count("*") - 1).alias("n"))
+    return manifest.join(lines, "path").groupBy("separateur", "encodage", "entete", "format").agg(F.sum("n").alias("n"))
 
 
 def zipped_lines(lines):
@@ -96,8 +101,7 @@ def quotes_from_archives(spark, sf):
     path = scratch_path(spark, "archives")
     zipped_lines(quotes).write.parquet(path)
     stored = spark.read.parquet(path)
-    rows, _ = archives.archive_rows(lambda paths: stored if paths is None else stored.filter(F.col("path").isin(paths)),
-                                    landing.QUOTE_DIALECT, conform_quotes)
+    rows, _ = archives.archive_rows(stored, landing.QUOTE_DIALECT, conform_quotes)
     return rows.groupBy("annee", "produit", "marche", "prix_moyen").agg(F.count("*").alias("n"))
 
 
@@ -135,6 +139,97 @@ def sales_from_csv(spark, sf):
     return _read_sales(spark, sf).select(SALE_COLUMNS)
 
 
+def _landed_files(rows, path, header: str, packed: bool):
+    """Real files: one CSV or ZIP per row of ``rows`` (name, lines), with that header and quoted line breaks."""
+
+    def write(batches):
+        import io
+        import zipfile
+
+        import pyarrow as pa
+
+        for batch in batches:
+            names, bodies = [], []
+            for name, lines in zip(batch.column("name").to_pylist(), batch.column("lines").to_pylist(), strict=True):
+                body = "\n".join([header, *lines]).encode()
+                if packed:
+                    buffer = io.BytesIO()
+                    with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as archive:
+                        archive.writestr("a.csv", body)
+                        archive.writestr("notes.txt", "x")
+                    # A text file ends with a line break; what follows an archive is no part of it.
+                    body = buffer.getvalue()
+                names.append(name)
+                bodies.append(body)
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(bodies, pa.binary())], ["name", "body"])
+
+    files = rows.mapInArrow(write, "name string, body binary").select("name", F.col("body").cast("string").alias("value"))
+    for name in sorted(r.name for r in rows.select("name").collect()):
+        files.filter(F.col("name") == name).select("value").coalesce(1).write.option("lineSep", "\n").text(f"{path}/{name}")
+    return files
+
+
+def _named_files(spark, path: str) -> str:
+    """Each folder's one part file, moved to the folder's name: jobs tell years and formats from file names."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    fs = hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    out = f"{path}-named"
+    fs.mkdirs(hadoop.Path(out))
+    for folder in fs.listStatus(hadoop.Path(path)):
+        part = fs.globStatus(hadoop.Path(folder.getPath(), "part-*"))[0].getPath()
+        fs.rename(part, hadoop.Path(out, folder.getPath().getName()))
+    return out
+
+
+_QUOTE_FILES = with_tables("quotes") + """, named AS (SELECT annee + 10 AS annee, produit, marche, prix_moyen, CASE WHEN marche = 'MARCHE 1' THEN concat(marche, chr(10), 'HALLE "B"') ELSE marche END AS place FROM quotes)"""
+
+
+@query(_QUOTE_FILES + """ SELECT count(*) AS n_cotations, min(annee) AS premiere_annee, max(annee) AS derniere_annee, count(DISTINCT produit) AS n_produits, count(DISTINCT place) AS n_marches,
+  CAST(count(*) FILTER (WHERE contains(place, chr(10))) AS BIGINT) AS n_coupes, 1 AS n_illisibles FROM named""")
+def loaded_quotes_job(spark, sf):
+    """Files and archives by year with line breaks in cells, beside a broken archive and a foreign format."""
+    quotes = standin(spark, sf, "quotes").withColumn("annee", F.col("annee") + 10)
+    place = F.when(F.col("marche") == "MARCHE 1", F.concat(F.lit('"'), "marche", F.lit('\nHALLE ""B"""'))).otherwise(F.col("marche"))
+    line = F.concat_ws(";", "annee", "produit", place, F.coalesce(F.replace(F.col("prix_moyen").cast("string"), F.lit("."), F.lit(",")), F.lit("")))
+    path = scratch_path(spark, "deliveries")
+    header = "annee;produit;marche;prix_moyen"
+    for packed, ending in ((False, "csv"), (True, "zip")):
+        part = quotes.filter(F.pmod("annee", F.lit(2)) == int(packed))
+        lines = part.groupBy(F.concat(F.lit("rnm_"), F.col("annee"), F.lit(f".{ending}")).alias("name")).agg(F.collect_list(line).alias("lines"))
+        _landed_files(lines, path, header, packed)
+    first = quotes.agg(F.min("annee")).first()[0]
+    for name in (f"rnm_{first}_suite.zip", f"rnm_{first}.xlsx"):
+        spark.range(1).select(F.lit("no archive").alias("value")).coalesce(1).write.text(f"{path}/{name}")
+    years = [r.annee for r in quotes.select("annee").distinct().collect()]
+    out, bad = scratch_path(spark, "quotes_table"), scratch_path(spark, "quarantine")
+    summary = jobs.load_quotes(spark, _named_files(spark, path), out, years, quarantine=bad)
+    stored = spark.read.parquet(out)
+    return summary.select("n_cotations", "premiere_annee", "derniere_annee", "n_produits", "n_marches").withColumns({
+        "n_coupes": stored.filter(F.col("marche").contains("\n")).agg(F.count("*")).scalar(),
+        "n_illisibles": spark.read.parquet(bad).agg(F.count("*").cast("int")).scalar()})
+
+
+_SALE_YEARS = "WITH s AS (SELECT CAST(2015 + p_partkey % 4 AS INT) AS annee, p_partkey, p_retailprice FROM part)"
+
+
+@query(_SALE_YEARS + """ SELECT annee, count(*) AS n, CAST(sum(floor(p_retailprice)) AS DOUBLE) AS total FROM s WHERE annee IN (2015, 2016, 2017) GROUP BY annee""")
+def loaded_sales_job(spark, sf):
+    """Three of four years, each row delivered twice, half of them zipped."""
+    key = F.col("p_partkey")
+    sales = table(spark, sf, "part").withColumn("annee", (2015 + key % 4).cast("int"))
+    line = F.concat_ws(",", F.concat(F.col("annee"), F.lit("-03-01")), F.floor("p_retailprice").cast("string"), F.lit("72"), key.cast("string"),
+                       F.concat(F.lit('"x\n'), key, F.lit('"')))
+    path = scratch_path(spark, "sale_files")
+    for packed, ending in ((False, "csv"), (True, "zip")):
+        part = sales.filter(F.col("annee") % 2 == int(packed))
+        lines = part.unionAll(part).groupBy(F.concat(F.lit("dvf_"), F.col("annee"), F.lit(f"_T1.{ending}")).alias("name")).agg(F.collect_list(line).alias("lines"))
+        _landed_files(lines, path, "date_mutation,valeur_fonciere,code_departement,id_parcelle,nature_mutation", packed)
+    out = scratch_path(spark, "sales_table")
+    counts = jobs.load_sales(spark, _named_files(spark, path), out, [2015, 2016, 2017], ["72"])
+    totals = spark.read.parquet(out).groupBy("annee").agg(F.sum("valeur_fonciere").alias("total"))
+    return counts.join(totals, "annee")
+
+
 @query(SALES + " SELECT id_parcelle, code_departement FROM landed WHERE CAST(code_departement AS INT) IN (7, 72, 10)")
 def sales_of_departments(spark, sf):
     return filters.in_departments(_read_sales(spark, sf), ["07", "072", "10"]).select("id_parcelle", "code_departement")
@@ -261,7 +356,21 @@ def crop_parcels_in_box(spark, sf):
 
 @query(CROPS + f" SELECT libelle_culture, count(*) AS n, round(sum(surface_ha), 1) AS ha FROM landed WHERE {IN_BOX} GROUP BY 1 ORDER BY ha DESC, libelle_culture LIMIT 10")
 def stored_crop_parcels_job(spark, sf):
-    return jobs.load_crop_parcels(spark, landed_features(spark, sf), scratch_path(spark, "crops_table"), SITE_LAT, SITE_LON, 100)
+    return jobs.load_crop_parcels(spark, landed_features(spark, sf), scratch_path(spark, "crops_table"), 2023, SITE_LAT, SITE_LON, 100)
+
+
+@query(CROPS + f""" SELECT annee, libelle_culture, count(*) AS n, round(sum(surface_ha), 1) AS ha FROM landed, (VALUES (2022), (2023)) AS y(annee)
+  WHERE {IN_BOX} AND (annee = 2023 OR CAST(id_parcel AS BIGINT) % 2 = 0) GROUP BY ALL""")
+def stored_crop_years_job(spark, sf):
+    """Two yearly loads, and one that finds nothing: every year stays."""
+    path = scratch_path(spark, "crop_years")
+    everything = landed_features(spark, sf)
+    even = scratch_path(spark, "features")
+    spark.read.text(everything).filter(F.regexp_extract(F.lower("value"), '"id_parcel":"([0-9]+)"', 1).cast("bigint") % 2 == 0).write.text(even)
+    jobs.load_crop_parcels(spark, even, path, 2022, SITE_LAT, SITE_LON, 100)
+    jobs.load_crop_parcels(spark, everything, path, 2023, SITE_LAT, SITE_LON, 100)
+    jobs.load_crop_parcels(spark, everything, path, 2023, -SITE_LAT, SITE_LON, 100)
+    return spark.read.parquet(path).groupBy("annee", "libelle_culture").agg(F.count("*").alias("n"), rounded(F.sum("surface_ha"), 1).alias("ha"))
 
 
 def landed_log(spark, sf) -> str:

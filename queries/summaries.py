@@ -97,10 +97,14 @@ def rows_per_year(spark, sf):
     return summaries.rows_per(table(spark, sf, "orders").withColumn("annee", F.year("o_orderdate")))
 
 
-@query("SELECT count(*) AS n FROM orders")
+@query("SELECT CAST(o_orderkey % 5 AS BIGINT) AS lot, count(*) AS n FROM orders GROUP BY 1")
 def rows_per_file(spark, sf):
-    counts = summaries.rows_per(table(spark, sf, "orders"), "_file")
-    return counts.agg(F.sum("n").alias("n"))
+    """One file per lot."""
+    orders, path = table(spark, sf, "orders").withColumn("lot", F.col("o_orderkey") % 5), scratch_path(spark, "lots")
+    for lot in range(5):
+        orders.filter(F.col("lot") == lot).coalesce(1).write.parquet(f"{path}/lot-{lot}")
+    counts = summaries.rows_per(spark.read.parquet(f"{path}/*").drop("lot"), "_file")
+    return counts.select(F.regexp_extract("_file", "lot-([0-9])", 1).cast("bigint").alias("lot"), "n")
 
 
 @query("SELECT DISTINCT l_suppkey, l_returnflag, l_linestatus, l_quantity FROM lineitem")
@@ -118,7 +122,8 @@ def _status_sql(source: str, last: str, table_: str, limit: int) -> str:
 @query(with_tables("weather", "groundwater", "quotes") + " " + _status_sql("meteo", "date", "weather", 3) + " UNION ALL "
        + _status_sql("prix", "TRY_CAST(try_strptime(date, '%d/%m/%Y') AS DATE)", "quotes", 10)
        + " UNION ALL " + _status_sql("nappes", "date_mesure", "groundwater", 365)
-       + f" UNION ALL SELECT 'absent', NULL, NULL, 0, '{summaries.FAILED}', 'no files found at nowhere'")
+       + f" UNION ALL SELECT 'absent', NULL, NULL, 0, '{summaries.FAILED}', 'no files found at nowhere'"
+       + f" UNION ALL SELECT unnest(['sans_date', 'illisible']), NULL, NULL, 0, '{summaries.FAILED}', 'unreadable'")
 def lake_status(spark, sf):
     last = {"weather": F.col("date"), "quotes": summaries.quote_last_date(), "groundwater": F.col("date_mesure")}
     names = {"meteo": "weather", "prix": "quotes", "nappes": "groundwater"}
@@ -127,5 +132,9 @@ def lake_status(spark, sf):
         path = scratch_path(spark, name)
         tables.write_all(standin(spark, sf, standin_name), path)
         sources[name] = (path, last[standin_name])
-    status = jobs.lake_status(spark, {**sources, "absent": (scratch_path(spark, "nowhere"), F.col("date"))}, dt.date(2024, 2, 1))
-    return status.withColumn("alert", F.regexp_replace("alert", "found at .*", "found at nowhere"))
+    damaged = scratch_path(spark, "damaged")
+    spark.range(1).select(F.lit("PAR1 and no more").alias("value")).write.text(damaged)
+    broken = {"absent": (scratch_path(spark, "nowhere"), F.col("date")), "sans_date": (sources["meteo"][0], F.col("jour")), "illisible": (damaged, F.col("date"))}
+    status = jobs.lake_status(spark, {**sources, **broken}, dt.date(2024, 2, 1))
+    return status.withColumn("alert", F.when(F.col("source").isin("sans_date", "illisible"), "unreadable").otherwise(
+        F.regexp_replace("alert", "found at .*", "found at nowhere")))

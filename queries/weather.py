@@ -110,6 +110,53 @@ def refreshed_weather_job(spark, sf):
                                 weather.select("latitude", "longitude").distinct(), END, backfill_years=2)
 
 
+_TWICE = """, taken AS (SELECT * FROM weather WHERE date >= DATE '{first}'),
+  known AS (SELECT latitude, longitude, max(date) AS last FROM taken WHERE date <= DATE '2023-12-31' GROUP BY ALL)
+  SELECT date, latitude, round(CASE WHEN last IS NULL OR date >= last - 30 THEN temperature_2m_max + 1 ELSE temperature_2m_max END, 6) AS temperature_2m_max
+  FROM taken LEFT JOIN known USING (latitude, longitude)"""
+
+
+def _two_deliveries(spark, sf):
+    """All days up to New Year's Eve, then all days again, a degree warmer."""
+    weather = standin(spark, sf, "weather")
+    first = landed_payloads(spark, weather.filter("date <= '2023-12-31'"))
+    second = landed_payloads(spark, weather.withColumn("temperature_2m_max", F.col("temperature_2m_max") + 1))
+    return weather, first, second
+
+
+@query(WEATHER + _TWICE.format(first="2023-01-01") + " WHERE date <= DATE '2024-02-15'")
+def weather_refreshed_twice(spark, sf):
+    """A first load and an incremental one, which only takes what its lookback covers."""
+    weather, first, second = _two_deliveries(spark, sf)
+    points, path = weather.select("latitude", "longitude").distinct(), scratch_path(spark, "grid")
+    jobs.refresh_weather(spark, first, path, points, END, backfill_years=2)
+    jobs.refresh_weather(spark, second, path, points, END, backfill_years=2)
+    return tables.read_table(spark, path).select("date", "latitude", rounded("temperature_2m_max", 6).alias("temperature_2m_max"))
+
+
+@query(WEATHER + _TWICE.format(first="1900-01-01"))
+def weather_streamed_twice(spark, sf):
+    """A second batch whose rows before the lookback are refused."""
+    _, first, second = _two_deliveries(spark, sf)
+    store, marks, landing = scratch_path(spark, "streamed"), scratch_path(spark, "marks"), scratch_path(spark, "landing")
+    for delivery in (first, second):
+        spark.read.text(delivery).write.mode("append").text(landing)
+        stream_weather(spark, landing, store, marks, lookback_days=30).awaitTermination()
+    return tables.read_table(spark, store).select("date", "latitude", rounded("temperature_2m_max", 6).alias("temperature_2m_max"))
+
+
+@query(WEATHER + f", {MERGED} SELECT * FROM merged")
+def merged_into_repeated_keys(spark, sf):
+    """A stored table that holds every key twice."""
+    old, new = _slices(standin(spark, sf, "weather").select("date", "latitude", "longitude", "temperature_2m_max", "precipitation_sum"))
+    path = scratch_path(spark, "repeated")
+    tables.write_years(old.unionAll(old).withColumn("annee", F.year("date")), path)
+    # A batch that touches every year of the table.
+    tables.upsert_table(spark, path, new.unionByName(old.groupBy(F.year("date").alias("_y"), "latitude", "longitude").agg(
+        F.min_by(F.struct(*old.columns), "date").alias("r")).select("r.*")), latest.WEATHER_KEYS)
+    return tables.read_table(spark, path).drop("annee")
+
+
 # Raw station fields the records are written with, and the factor back from project units.
 RAW = {"TX": "temperature_2m_max", "TN": "temperature_2m_min", "RR": "precipitation_sum"}
 

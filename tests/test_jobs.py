@@ -13,7 +13,7 @@ from glebe.sources import tables
 from glebe.streaming.weather import stream_weather
 from helpers import rows
 from test_scoring import PARCEL_ROWS
-from test_sources import DATED, NEW, NO_YEAR, OLD, PAYLOAD, WELL_RECORDS
+from test_sources import DATED, NEW, NO_YEAR, OLD, PAYLOAD, WELL_RECORDS, damaged_zip
 
 D = dt.date
 
@@ -36,12 +36,44 @@ def test_quotes_job(spark, tmp_path):
     assert (summary.premiere_annee, summary.derniere_annee, summary.n_cotations, summary.n_produits) == (2022, 2026, 9, 8)
     years = {r.annee: r.n for r in summaries.rows_per(spark.read.parquet(out)).collect()}
     assert years == {2022: 4, 2023: 3, 2026: 1, None: 1}
-    filtered = jobs.load_quotes(spark, str(tmp_path / "in"), str(tmp_path / "t2"), [2022, 2023], ["RUNGIS"], ["gros"]).first()
+    filtered = jobs.load_quotes(spark, str(tmp_path / "in"), str(tmp_path / "t2"), [2022, 2023], ["LYON"], ["gros"]).first()
     assert filtered.n_cotations == 5
     with pytest.raises(ValueError):
         jobs.load_quotes(spark, str(tmp_path / "in"), out, [1999])
 
 
+def test_bad_files_do_not_stop_a_load(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "rnm_2023.csv").write_text(NEW)
+    (tmp_path / "in" / "rnm_2022.csv").write_text("")
+    (tmp_path / "in" / "COT-A22.zip").write_bytes(b"no archive")
+    damaged_zip(tmp_path / "in" / "COT-A23.zip")
+    out, bad = str(tmp_path / "table"), str(tmp_path / "bad")
+    assert jobs.load_quotes(spark, str(tmp_path / "in"), out, [2022, 2023], quarantine=bad).first().n_cotations == 603
+    assert sorted((r.path[-11:], r.member) for r in spark.read.parquet(bad).collect()) == [("COT-A22.zip", None), ("COT-A23.zip", "b.csv")]
+    # Only unreadable or unsupported files: nothing is fetched, and the table stays.
+    (tmp_path / "in" / "rnm_2021.xlsx").write_text("x")
+    for year in (2021, 2022):
+        assert jobs.load_quotes(spark, str(tmp_path / "in"), out, [year]).first().n_cotations == 603
+    assert jobs.load_sales(spark, str(tmp_path / "in"), str(tmp_path / "sales"), [2021]).count() == 0
+
+
+def test_crop_years(spark, tmp_path):
+    ring = [[0.0, 0.0], [1.0, 0.0], [1.0, 1.0], [0.0, 0.0]]
+
+    def land(name, ids):
+        lines = [{"properties": {"id_parcel": i, "code_cultu": "15", "surf_parc": 2.0}, "geometry": {"type": "Polygon", "coordinates": [ring]}} for i in ids]
+        (tmp_path / name).write_text("\n".join(map(json.dumps, lines)))
+        return str(tmp_path / name)
+
+    table = str(tmp_path / "t")
+    assert jobs.load_crop_parcels(spark, land("a.json", ["1", "2"]), table, 2022, 0.5, 0.5, 50).first().n == 2
+    assert jobs.load_crop_parcels(spark, land("b.json", ["3"]), table, 2023, 0.5, 0.5, 50).first().n == 1
+    assert jobs.load_crop_parcels(spark, land("c.json", ["3"]), table, 2023, 40.0, 0.5, 50).first().n == 1
+    assert {(r.id_parcel, r.annee) for r in spark.read.parquet(table).collect()} == {("1", 2022), ("2", 2022), ("3", 2023)}
+    assert jobs.load_crop_parcels(spark, land("d.json", []), str(tmp_path / "none"), 2023, 0.5, 0.5, 50).count() == 0
+
+
 def test_sales_job(spark, tmp_path):
     (tmp_path / "in").mkdir()
     line = "2024-03-01;125000;72;47.8;-0.9\n"
@@ -59,12 +91,12 @@ def test_water_jobs(spark, tmp_path):
     wells = str(tmp_path / "wells")
     with pytest.raises(FileNotFoundError):
         jobs.load_groundwater(spark, str(tmp_path), wells, str(tmp_path / "g"), D(2024, 6, 1))
-    assert jobs.load_wells(spark, str(tmp_path / "w.json"), wells, 47.8474, -0.9416, 10, "data").first().n == 3
-    measures = [{"code_bss": "07548X0009/S", "date_mesure": d, "profondeur_nappe": 5.0} for d in ("2024-03-15", "2010-01-01", "2023-01-01")]
-    measures += [{"code_bss": "07548X0042/F", "date_mesure": "2024-01-01"}]
+    assert jobs.load_wells(spark, str(tmp_path / "w.json"), wells, 45.2, 3.1, 10, "data").first().n == 3
+    measures = [{"code_bss": "W-12/B", "date_mesure": d, "profondeur_nappe": 5.0} for d in ("2024-03-15", "2010-01-01", "2023-01-01")]
+    measures += [{"code_bss": "W-31/A", "date_mesure": "2024-01-01"}]
     (tmp_path / "g.json").write_text("\n".join(map(json.dumps, measures)))
     got = jobs.load_groundwater(spark, str(tmp_path / "g.json"), wells, str(tmp_path / "g"), D(2024, 6, 1), n_stations=1)
-    assert rows(got) == [("07548X0009/S", 2, D(2023, 1, 1), D(2024, 3, 15), 5.0)]
+    assert rows(got) == [("W-12/B", 2, D(2023, 1, 1), D(2024, 3, 15), 5.0)]
 
 
 def test_weather_job(spark, tmp_path):
@@ -114,7 +146,7 @@ def test_evaluation(spark):
     ranked, quarantine = jobs.evaluate_parcels(parcels.unionByName(bad), None, None, None)
     assert [r.id for r in quarantine.collect()] == ["bad"]
     assert {r.id: (r.score_global, r.rang) for r in ranked.collect()} == {
-        "ideal_01": (91, 1), "sable_001": (89, 2), "test_001": (78, 3), "mulsanne_002": (66, 4), "brains_003": (65, 5)}
+        "best_1": (92, 1), "north_7": (82, 2), "plain_2": (72, 3), "dry_5": (61, 4), "hill_3": (48, 5)}
 
 
 def test_dashboard_and_status(spark, tmp_path):
@@ -127,6 +159,13 @@ def test_dashboard_and_status(spark, tmp_path):
     tables.write_all(quotes, path)
     status = jobs.lake_status(spark, {"prix": (path, summaries.quote_last_date()), "rpg": (path, summaries.file_date()), "meteo": (str(tmp_path / "none"), F.col("date"))}, dt.date.today())
     by = {r.source: r for r in status.collect()}
+    # A missing column, a damaged file, and a good source.
+    damaged = tmp_path / "damaged"
+    damaged.mkdir()
+    (damaged / "part-0.parquet").write_bytes(b"PAR1 is not enough PAR1")
+    report = jobs.lake_status(spark, {"a": (path, F.col("no_such_date")), "b": (str(damaged), F.col("date")), "prix": (path, summaries.quote_last_date())},
+                              dt.date(2024, 1, 25))
+    assert [(r.source, r.status) for r in report.collect()] == [("a", summaries.FAILED), ("b", summaries.FAILED), ("prix", summaries.FRESH)]
     assert by["prix"].last_update == D(2024, 1, 20) and by["prix"].status == summaries.OLD
     assert by["rpg"].status == summaries.FRESH and by["meteo"].status == summaries.FAILED
 
@@ -135,6 +174,19 @@ def test_work_dir(spark):
     assert work_dir(spark) == work_dir(spark) and scratch_path(spark, "a") != scratch_path(spark, "a")
 
 
+def test_a_table_with_repeated_keys_is_merged(spark, tmp_path):
+    path = str(tmp_path / "t")
+    old = spark.createDataFrame([(1., 1., D(2024, 3, 1), 5., 2024)] * 2, "latitude double, longitude double, date date, rain double, annee int")
+    tables.write_years(old, path)
+    new = spark.createDataFrame([(1., 1., D(2024, 3, 2), 6.)], "latitude double, longitude double, date date, rain double")
+    tables.upsert_table(spark, path, new, latest.WEATHER_KEYS)
+    assert spark.read.parquet(path).count() == 2
+    assert rows(tables.last_days(spark, path, ["latitude", "longitude"])) == [(1., 1., D(2024, 3, 2))]
+    before = rows(spark.read.parquet(path), "date")
+    tables.upsert_table(spark, path, new.limit(0), latest.WEATHER_KEYS)
+    assert rows(spark.read.parquet(path), "date") == before
+
+
 def test_empty_merge(spark):
     empty = spark.createDataFrame([], WEATHER_DAILY)
     assert latest.upsert(empty, empty).count() == 0

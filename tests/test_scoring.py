@@ -17,15 +17,16 @@ def parcel(id, price, comparable, water, flow, market, access, slope, aspect, al
 
 
 PARCEL_ROWS = [
-    parcel("sable_001", 8500., 10000., "reseau", None, 8., "facile", 1.5, "S", 50., False, 450., 2),
-    parcel("mulsanne_002", 9000., 8500., "forage", 1.8, 18., "limite", 12., "NE", 120., True, 480., 8),
-    parcel("brains_003", 6500., 8000., "aucun", None, 22., "facile", 2., "plat", 80., False, 420., 4),
-    parcel("ideal_01", 8000., 10000., "reseau", 2.5, 5., "facile", 1., "S", 50., False, 450., 3),
-    parcel("test_001", 10000., 12000., "forage", 3.0, 15., "facile", 5., "S", 100., None, None, None),
+    parcel("north_7", 12600., 14000., "riviere", None, 11., "facile", 2.4, "SE", 130., False, 520., 4),
+    parcel("hill_3", 7700., 7000., "forage", 0.6, 24., "difficile", 17., "N", 310., True, 650., 12),
+    parcel("dry_5", 5200., 8000., "aucun", None, 27., "facile", 6., "O", 220., False, 380., 7),
+    parcel("best_1", 9000., 12500., "reseau", 4.0, 3., "facile", 0.9, "S", 90., False, 460., 2),
+    parcel("plain_2", 15000., 15500., "forage", 2.2, 13., "limite", 3.5, "plat", 60., None, None, None),
 ]
+# Worked out by hand from the bands: the three axes, then the global score under each of the scenarios below.
 EXPECTED = {
-    "sable_001": (89, 91, 89, 89, 90, 89), "mulsanne_002": (61, 76, 61, 66, 70, 64),
-    "brains_003": (81, 37, 81, 65, 54, 70), "ideal_01": (94, 91, 89, 91, 91, 90), "test_001": (85, 68, 82, 78, 74, 79),
+    "north_7": (85, 79, 85, 82, 81, 83), "hill_3": (44, 58, 42, 48, 51, 46), "dry_5": (84, 31, 72, 61, 49, 64),
+    "best_1": (98, 91, 89, 92, 92, 91), "plain_2": (71, 68, 78, 72, 70, 73),
 }
 SCENARIOS = {
     "standard": {"economique": 0.35, "eau": 0.35, "topographie": 0.30},
@@ -93,17 +94,17 @@ def test_weights():
 def test_rank_and_tables(parcels):
     scored = scoring.score_parcels(parcels)
     ranked = scoring.rank_scores(scored)
-    assert {r.id: r.rang for r in ranked.collect()} == {"ideal_01": 1, "sable_001": 2, "test_001": 3, "mulsanne_002": 4, "brains_003": 5}
-    assert [r.ID for r in scoring.summary_table(scored).collect()] == ["ideal_01", "sable_001", "test_001", "mulsanne_002", "brains_003"]
-    wide = scoring.axis_table(scored, ["Parcelle sable_001", "Parcelle test_001"])
-    assert sorted(tuple(r) for r in wide.collect()) == [("Eau", 91, 68), ("Topographie", 89, 82), ("Économique", 89, 85)]
-    criteria = scoring.criteria_rows(scored).filter("id = 'sable_001'")
+    assert {r.id: r.rang for r in ranked.collect()} == {"best_1": 1, "north_7": 2, "plain_2": 3, "dry_5": 4, "hill_3": 5}
+    assert [r.ID for r in scoring.summary_table(scored).collect()] == ["best_1", "north_7", "plain_2", "dry_5", "hill_3"]
+    wide = scoring.axis_table(scored, ["Parcelle north_7", "Parcelle plain_2"])
+    assert sorted(tuple(r) for r in wide.collect()) == [("Eau", 79, 68), ("Topographie", 85, 78), ("Économique", 85, 71)]
+    criteria = scoring.criteria_rows(scored).filter("id = 'north_7'")
     assert criteria.count() == 9
-    assert tuple(criteria.filter("critere = 'Distance Marche'").first())[2:] == ("Économique", "Distance Marche", 84, "Favorable")
-    assert {r.axe: r.id for r in scoring.best_per_axis(scored).collect()} == {"Économique": "ideal_01", "Eau": "ideal_01", "Topographie": "ideal_01"}
-    report = scoring.report_rows(scored).filter("id = 'test_001'").first()
+    assert tuple(criteria.filter("critere = 'Distance Marche'").first())[2:] == ("Économique", "Distance Marche", 78, "Favorable")
+    assert {r.axe: r.id for r in scoring.best_per_axis(scored).collect()} == {"Économique": "best_1", "Eau": "best_1", "Topographie": "best_1"}
+    report = scoring.report_rows(scored).filter("id = 'plain_2'").first()
     assert report.axes[1].criteres == {"acces_eau": 80, "precipitation": 50} and report.identite.commune == "x"
-    assert [r.id for r in scoring.choose(parcels, ["test_001", "brains_003"]).collect()] == ["brains_003", "test_001"]
+    assert [r.id for r in scoring.choose(parcels, ["plain_2", "dry_5"]).collect()] == ["dry_5", "plain_2"]
 
 
 def test_ranks_with_ties(spark):

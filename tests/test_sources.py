@@ -6,23 +6,24 @@ import pytest
 from pyspark.sql import functions as F
 
 from glebe.operators import conform, filters
+from glebe.operators.spatial import by_distance
 from glebe.schemas import LAND_SALES, PRICE_QUOTES, WEATHER_DAILY, WELLS
 from glebe.sources import archives, landing, records, tables
 from helpers import rows
 
 D = dt.date
 NEW = """annee;semaine;produit_libelle;marche_libelle;stade_libelle;categorie;calibre;variete;origine;unite;prix_min;prix_max;prix_moyen
-2023;1;TOMATE RONDE;RUNGIS;GROS;I;57/67;ROUGE;FRANCE;KG;0.80;1.20;1.00
-2023;1;COURGETTE;NANTES SAINT LUCE;GROS;I;15/20;;FRANCE;KG;0.60;0.90;0.75
-2023;2;CAROTTE;RUNGIS;GROS;I;30/40;;FRANCE;KG;0.40;0.70;0.55
+2023;14;RADIS BOTTE;LYON;GROS;II;10/12;;BELGIQUE;BOTTE;1.10;1.50;1.25
+2023;15;FENOUIL;LILLE;GROS;I;;;ITALIE;KG;1.35;1.95;1.70
+2023;15;PANAIS;LYON;GROS;I;;BLANC;FRANCE;KG;0.95;1.45;1.15
 """
 OLD = """Annee,Semaine,Produit,Marche,Stade,Categorie,Calibre,Variete,Origine,Unite,Prix Min,Prix Max,Prix Moyen
-2022,5,SALADE BATAVIA,RUNGIS,GROS,I,,,FRANCE,PIECE,0.30,0.60,0.45
+2022,41,MACHE,LYON,GROS,I,,,FRANCE,BARQUETTE,0.75,1.05,0.90
 """
 NO_YEAR = """produit_libelle;marche_libelle;stade_libelle;unite;prix_min;prix_max;prix_moyen
-POIREAU;RUNGIS;GROS;KG;0,80;1,20;1,00
-AIL;RUNGIS;GROS;KG;nd;-;NA
-OIGNON;RUNGIS
+POIREAU;LYON;GROS;KG;0,80;1,20;1,00
+AIL;LYON;GROS;KG;nd;-;NA
+OIGNON;LYON
 """
 DATED = """date_cotation;produit;marche;stade;unite;valeur en euro(s)
 08/01/2026;KIWI;Bassin;Expédition;KG;2,5
@@ -48,17 +49,17 @@ def test_quote_manifest_and_files(spark, quotes_dir):
     assert quotes.columns == PRICE_QUOTES.fieldNames()
     by = {(r.produit, r.date): r for r in quotes.collect()}
     assert len(by) == 9
-    assert (by["TOMATE RONDE", None].annee, by["TOMATE RONDE", None].semaine, by["TOMATE RONDE", None].prix_moyen) == (2023, 1, 1.0)
-    assert (by["SALADE BATAVIA", None].annee, by["SALADE BATAVIA", None].calibre) == (2022, None)
+    assert (by["RADIS BOTTE", None].annee, by["RADIS BOTTE", None].semaine, by["RADIS BOTTE", None].prix_moyen) == (2023, 14, 1.25)
+    assert (by["MACHE", None].annee, by["MACHE", None].calibre) == (2022, None)
     assert (by["POIREAU", None].annee, by["POIREAU", None].prix_moyen, by["POIREAU", None].prix_min) == (2021, 1.0, 0.8)
     assert (by["AIL", None].prix_min, by["AIL", None].prix_max, by["AIL", None].prix_moyen) == (None, None, None)
-    assert (by["OIGNON", None].marche, by["OIGNON", None].prix_min) == ("RUNGIS", None)
+    assert (by["OIGNON", None].marche, by["OIGNON", None].prix_min) == ("LYON", None)
     kiwi = by["KIWI", "08/01/2026"]
     assert (kiwi.annee, kiwi.stade, kiwi.prix_min, kiwi.prix_moyen) == (2026, "Expédition", None, 2.5)
     assert by["KIWI", "inconnue"].annee is None
-    assert filters.quotes_of(quotes, ["rungis "], ["gros"]).count() == 5
+    assert filters.quotes_of(quotes, ["lyon "], ["gros"]).count() == 5
     assert filters.quotes_of(quotes, [], None).count() == 9 and filters.quotes_of(quotes, ["?"]).count() == 0
-    listed = spark.createDataFrame([("Rungis",)], "m string")
+    listed = spark.createDataFrame([("Lyon",)], "m string")
     assert filters.quotes_of(quotes, listed).count() == 6
 
 
@@ -120,7 +121,46 @@ def test_archives(spark, tmp_path):
     assert sorted((r.path[-11:], r.error) for r in errors.collect()) == [("COT-A19.zip", "not a ZIP archive"), ("COT-A20.zip", "no CSV member")]
     got = [(r.produit, r.annee, r.stade) for r in quotes.collect()]
     assert len(got) == 8 and ("KIWI", 2026, "Expédition") in got
-    assert ("POIREAU", 2024, "GROS") in got and ("TOMATE RONDE", 2023, "GROS") in got
+    assert ("POIREAU", 2024, "GROS") in got and ("RADIS BOTTE", 2023, "GROS") in got
+
+
+BROKEN_LINES = 'annee;produit;marche;prix_moyen\n2024;"TO\nMATE; ""X""";LYON;1,5\n2024;"a ""b""";"LILLE\r\nEST";2,5\n2024;plain;LYON;3\n'
+
+
+def test_quoted_line_breaks(spark, tmp_path):
+    (tmp_path / "rnm_2024.csv").write_bytes(BROKEN_LINES.encode())
+    (tmp_path / "rnm_2025.csv").write_text(NEW)
+    with zipfile.ZipFile(tmp_path / "COT-A24.zip", "w") as z:
+        z.writestr("a.csv", BROKEN_LINES)
+    manifest = landing.quote_manifest(spark, str(tmp_path / "*.csv"))
+    assert {r.name: r.coupe for r in manifest.collect()} == {"rnm_2024.csv": True, "rnm_2025.csv": False}
+    expected = {('TO\nMATE; "X"', "LYON", 1.5), ('a "b"', "LILLE\r\nEST", 2.5), ("plain", "LYON", 3.0)}
+    plain = landing.read_quotes(spark, manifest).filter("annee = 2024")
+    assert {(r.produit, r.marche.replace("\r\n", "\n"), r.prix_moyen) for r in plain.collect()} == {(a, b.replace("\r\n", "\n"), c) for a, b, c in expected}
+    zipped, errors = archives.read_quote_archives(spark, str(tmp_path / "*.zip"))
+    assert {(r.produit, r.marche, r.prix_moyen) for r in zipped.collect()} == expected and errors.count() == 0
+
+
+def damaged_zip(path):
+    """Three members, the second of them damaged."""
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for name in ("a.csv", "b.csv", "c.csv"):
+            z.writestr(name, "annee;produit\n" + "".join(f"2024;{name} {i * 7919 % 1000}\n" for i in range(300)))
+        start = z.getinfo("b.csv").header_offset
+    data = bytearray(path.read_bytes())
+    for i in range(start + 200, start + 230):
+        data[i] ^= 0x5A
+    path.write_bytes(bytes(data))
+
+
+def test_a_damaged_member_leaves_the_others(spark, tmp_path):
+    damaged_zip(tmp_path / "COT-A24.zip")
+    (tmp_path / "COT-A23.zip").write_bytes(b"PK not really")
+    quotes, errors = archives.read_quote_archives(spark, str(tmp_path / "*.zip"))
+    assert quotes.count() == 600 and {r.produit[:5] for r in quotes.collect()} == {"a.csv", "c.csv"}
+    assert sorted((r.path[-11:], r.member) for r in errors.collect()) == [("COT-A23.zip", None), ("COT-A24.zip", "b.csv")]
+    rows_, errors = archives.read_quote_archives(spark, str(tmp_path / "COT-A23.zip"))
+    assert rows_.count() == 0 and rows_.columns == PRICE_QUOTES.fieldNames() and errors.count() == 1
 
 
 PAYLOAD = {"latitude": 46.0, "longitude": 2.0, "daily": {
@@ -159,22 +199,22 @@ def test_stations(spark, tmp_path):
 
 
 WELL_RECORDS = [
-    {"code_bss": "07548X0042/F", "x": -0.88, "y": 47.87, "altitude_station": "55.5", "profondeur_investigation": 120.0, "nb_mesures_piezo": 3201,
-     "codes_bdlisa": ["GF002"], "noms_masse_eau_edl": ["Alluvions de la Sarthe"]},
-    {"code_bss": "07548X0009/S", "x": -0.92, "y": 47.835, "altitude_station": "35.0", "profondeur_investigation": 42.0, "nb_mesures_piezo": 15243,
-     "codes_bdlisa": ["GF002", "X"], "noms_masse_eau_edl": []},
-    {"code_bss": "07548X0101/P", "x": -0.98, "y": 47.86, "altitude_station": None, "nb_mesures_piezo": 0, "codes_bdlisa": []},
-    {"code_bss": "greenwich", "x": 0.0, "y": 47.86}, {"code_bss": "nowhere"}]
+    {"code_bss": "W-31/A", "x": 3.16, "y": 45.23, "altitude_station": "380.5", "profondeur_investigation": 64.0, "nb_mesures_piezo": 812,
+     "codes_bdlisa": ["AQ7"], "noms_masse_eau_edl": ["Sables du plateau"]},
+    {"code_bss": "W-12/B", "x": 3.11, "y": 45.19, "altitude_station": "412.5", "profondeur_investigation": 18.5, "nb_mesures_piezo": 95,
+     "codes_bdlisa": ["AQ7", "Z"], "noms_masse_eau_edl": []},
+    {"code_bss": "W-77/C", "x": 3.06, "y": 45.22, "altitude_station": None, "nb_mesures_piezo": 0, "codes_bdlisa": []},
+    {"code_bss": "greenwich", "x": 0.0, "y": 45.2}, {"code_bss": "nowhere"}]
 
 
 def test_wells(spark, tmp_path):
     (tmp_path / "w.json").write_text(json.dumps({"count": 3, "data": WELL_RECORDS}))
-    wells = records.read_wells(spark, str(tmp_path), 47.8474, -0.9416, "data")
-    got = wells.collect()
+    wells = records.read_wells(spark, str(tmp_path), 45.2, 3.1, "data")
+    got = by_distance(wells).collect()
     assert wells.columns == WELLS.fieldNames() and len(wells.columns) == 17
-    assert [r.code_bss for r in got] == ["07548X0009/S", "07548X0101/P", "07548X0042/F", "greenwich", "nowhere"]
+    assert [r.code_bss for r in got] == ["W-12/B", "W-77/C", "W-31/A", "greenwich", "nowhere"]
     assert all(r.distance_km < 10 for r in got[:3]) and got[3].distance_km > 60 and got[4].distance_km is None
-    assert (got[0].code_bdlisa, got[0].nom_masse_eau, got[0].altitude_station, got[1].code_bdlisa) == ("GF002", None, 35.0, None)
+    assert (got[0].code_bdlisa, got[0].nom_masse_eau, got[0].altitude_station, got[1].code_bdlisa) == ("AQ7", None, 412.5, None)
 
 
 def test_groundwater(spark, tmp_path):
@@ -183,7 +223,7 @@ def test_groundwater(spark, tmp_path):
             {"code_bss": "a", "date_mesure": "pas-une-date", "profondeur_nappe": "n.a.", "code_qualification": "invalide"}]
     (tmp_path / "g.json").write_text("\n".join(map(json.dumps, recs)))
     got = records.read_groundwater(spark, str(tmp_path)).select("code_bss", "date_mesure", "profondeur_nappe", "code_qualification")
-    assert rows(got) == [("a", None, None, None), ("a", D(2024, 1, 8), 6.1, 1), ("b", D(2024, 2, 14), 11.75, 1)]
+    assert rows(got, "code_bss", "date_mesure") == [("a", None, None, None), ("a", D(2024, 1, 8), 6.1, 1), ("b", D(2024, 2, 14), 11.75, 1)]
 
 
 @pytest.mark.parametrize("layout", ["lines", "collection"])
