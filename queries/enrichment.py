@@ -76,6 +76,19 @@ def enriched_parcels(spark, sf):
                                               "prix_comparable_eur_ha", "forages_brgm_count")
 
 
+_TWICE = "(SELECT * FROM parcels UNION ALL SELECT * FROM parcels) AS parcels" + JOINED.removeprefix("parcels")
+
+
+@query(ALL_CONTEXT + f""" SELECT id, coalesce(meteo_precip_annuelle_mm, precip_mm) AS meteo_precip_annuelle_mm, coalesce(prix_comparable_eur_ha, prix_ha) AS prix_comparable_eur_ha,
+  CAST(n_wells AS INT) AS forages_brgm_count FROM {_TWICE}""")
+def enriched_repeated_parcels(spark, sf):
+    """Every parcel twice under one id."""
+    parcels = standin(spark, sf, "parcels")
+    out = enrichment.enrich(parcels.unionAll(parcels), standin(spark, sf, "weather"), standin(spark, sf, "sales"), standin(spark, sf, "wells"),
+                            False, RADIUS_KM, WELL_KM)
+    return out.select("id", "meteo_precip_annuelle_mm", "prix_comparable_eur_ha", "forages_brgm_count")
+
+
 @query(ALL_CONTEXT + f""" SELECT id, CAST(n_years AS INT) AS weather_years, ref_latitude AS weather_latitude, ref_longitude AS weather_longitude,
   CAST(n_sales AS INT) AS dvf_transactions, CAST(n_wells AS INT) AS bss_stations, nearest_km AS nearest_bss_km,
   CASE WHEN prix_ha IS NULL THEN '{enrichment.NO_SALE}' ELSE '' END AS warnings FROM {JOINED}""")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from glebe.operators import filters, prices
 from glebe.operators.quantiles import group_quantiles
 from glebe.plans import jobs
-from queries.registry import query
+from queries.registry import ORACLES, query
 from queries.standins import standin, table, with_tables
 
 QUOTES = with_tables("quotes") + """, shown AS (SELECT *, TRY_CAST(try_strptime(date, '%d/%m/%Y') AS DATE) AS date_cot, split_part(produit, ' ', 1) AS famille
@@ -143,6 +143,43 @@ def dashboard_metrics(spark, sf):
     return jobs.price_dashboard(families, ["ECONOMY", "PROMO"])["metrics"]
 
 
+def _picked(sql: str) -> str:
+    """The same over the two families of the dashboard, each as one product."""
+    picked = ", picked AS (SELECT * REPLACE (famille AS produit) FROM shown WHERE famille IN ('ECONOMY', 'PROMO'))"
+    return QUOTES + picked + sql.removeprefix(QUOTES).replace("FROM shown", "FROM picked")
+
+
+def _dashboard(spark, sf, name):
+    families = standin(spark, sf, "quotes").withColumn("produit", F.substring_index("produit", " ", 1))
+    return jobs.price_dashboard(families, ["ECONOMY", "PROMO"])[name]
+
+
+@query(_picked(_trend_sql("")))
+def dashboard_trend(spark, sf):
+    return _dashboard(spark, sf, "trend")
+
+
+@query(_picked(" SELECT CAST(date_trunc('week', date_cot) AS DATE) AS periode, "
+       + ", ".join(f"round(avg(prix_moyen) FILTER (WHERE produit = '{f}'), 3) AS \"{f}\"" for f in ("ECONOMY", "PROMO")) + " FROM shown GROUP BY ALL"))
+def dashboard_series(spark, sf):
+    return _dashboard(spark, sf, "series")
+
+
+@query(_picked(_distribution_sql("quantile_disc")))
+def dashboard_distribution(spark, sf):
+    return _dashboard(spark, sf, "distribution")
+
+
+@query(_picked(ORACLES["seasonality_wide"]))
+def dashboard_seasonality(spark, sf):
+    return _dashboard(spark, sf, "seasonality")
+
+
+@query(_picked(ORACLES["latest_quotes"]))
+def dashboard_latest(spark, sf):
+    return _dashboard(spark, sf, "latest")
+
+
 @query(with_tables("quotes") + " SELECT marche, stade, count(*) AS n FROM quotes WHERE upper(trim(marche)) IN ('MARCHE 3', 'MARCHE 7') AND stade IN ('A', 'N') GROUP BY ALL")
 def quotes_of_markets(spark, sf):
     kept = filters.quotes_of(standin(spark, sf, "quotes"), [" marche 3", "Marche 7 "], ["a", "N"])
