@@ -85,21 +85,25 @@ def pack(pieces: DataFrame, length_col: str = "length", capacity: int = CAPACITY
     if any(length is None or not 1 <= length <= capacity for length in histogram):
         raise ValueError(f"piece lengths must lie between 1 and {capacity}")
     plan = spark.createDataFrame(packing_plan(histogram, capacity),
-                                 "length bigint, low bigint, high bigint, base bigint, offset bigint")
+                                 "length bigint, low bigint, high bigint, base bigint, offset bigint, copies bigint")
     order = Window.partitionBy("length", "part").orderBy("row")
     numbered = (staged.withColumn("nth", F.row_number().over(order))
                 .join(starts.select("length", "part", "first"), ["length", "part"])
                 .withColumn("nth", F.col("first") + F.col("nth") - 1))
-    # The plan's size depends on the capacity alone, not on the corpus.
+    # The plan's size is bounded by the capacity alone, see packing_plan.
     placed = numbered.join(F.broadcast(plan), (numbered.length == plan.length) & (F.col("nth") >= F.col("low"))
                            & (F.col("nth") < F.col("high")))
-    return placed.select("piece.*", (F.col("base") + F.col("nth") - F.col("low")).alias("sequence_id"), "offset")
+    at = F.col("nth") - F.col("low")
+    return placed.select("piece.*", (F.col("base") + F.floor(at / F.col("copies"))).alias("sequence_id"),
+                         (F.col("offset") + F.pmod(at, F.col("copies")) * plan.length).alias("offset"))
 
 
-def packing_plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
-    """Where the pieces of each length go: rows (length, low, high, base, offset).
+def packing_plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
+    """Where the pieces of each length go: rows (length, low, high, base, offset, copies).
 
-    The pieces of that length numbered low to high - 1 go to sequences base, base + 1, ... at that offset.
+    The pieces of that length numbered low to high - 1 go to sequences base, base + 1, ..., so many copies to each, from
+    that offset on. A length adds at most four patterns to the plan, and a pattern has fewer different lengths than the
+    square root of twice the capacity: under 4 * 2048 * 64 rows for a capacity of 2048, whatever the corpus.
     """
     left = {size: n for size, n in histogram.items() if n}
     patterns = _dominating_sets(left, capacity)
@@ -107,15 +111,19 @@ def packing_plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, in
     plan, used, base = [], dict.fromkeys(histogram, 0), 0
     for sizes, times in patterns:
         offset = 0
-        for size in sizes:
-            plan.append((size, used[size], used[size] + times, base, offset))
-            used[size] += times
-            offset += size
+        for size, copies in sizes:
+            plan.append((size, used[size], used[size] + times * copies, base, offset, copies))
+            used[size] += times * copies
+            offset += size * copies
         base += times
     return plan
 
 
-def _dominating_sets(left: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
+#: Lengths with their copies in one sequence.
+Pattern = tuple[tuple[int, int], ...]
+
+
+def _dominating_sets(left: dict[int, int], capacity: int) -> list[tuple[Pattern, int]]:
     """Sets that dominate every other set holding their largest piece; taken out of ``left`` for good.
 
     A set dominates another if the other's pieces, grouped, fit into its pieces one for one, so an optimal packing
@@ -124,7 +132,7 @@ def _dominating_sets(left: dict[int, int], capacity: int) -> list[tuple[tuple[in
     fixed = []
 
     def fix(sizes: tuple[int, ...], times: int) -> None:
-        fixed.append((sizes, times))
+        fixed.append((tuple((size, sizes.count(size)) for size in dict.fromkeys(sizes)), times))
         for size in sizes:
             left[size] -= times
             if not left[size]:
@@ -195,18 +203,19 @@ def _largest_pair(sizes: list[int], counts: dict[int, int], room: int) -> int:
     return best
 
 
-def _best_fit(left: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
+def _best_fit(left: dict[int, int], capacity: int) -> list[tuple[Pattern, int]]:
     """Best fit, largest first, of what is left; equal sequences are handled as one pattern with a multiplicity."""
-    open_: dict[int, list[tuple[tuple[int, ...], int]]] = {}
+    open_: dict[int, list[tuple[Pattern, int]]] = {}
 
-    def put(sizes: tuple[int, ...], room: int, size: int, bins: int, count: int) -> int:
+    def put(sizes: Pattern, room: int, size: int, bins: int, count: int) -> int:
         """Fill equal sequences with up to ``count`` pieces, one sequence after another; the pieces used."""
         each = room // size
         full = min(bins, count // each)
         rest = min(count - full * each, each - 1) if full < bins else 0
         for times, copies in ((full, each), (1 if rest else 0, rest), (bins - full - bool(rest), 0)):
             if times:
-                open_.setdefault(room - copies * size, []).append((sizes + (size,) * copies, times))
+                more = ((size, copies),) if copies else ()
+                open_.setdefault(room - copies * size, []).append((sizes + more, times))
         return full * each + rest
 
     for size in sorted(left, reverse=True):

@@ -14,9 +14,9 @@ from glebe.llm import packing
 def expand(plan):
     """Lengths in each sequence, with their offsets."""
     bins = defaultdict(list)
-    for length, low, high, base, offset in plan:
+    for length, low, high, base, offset, copies in plan:
         for i in range(high - low):
-            bins[base + i].append((offset, length))
+            bins[base + i // copies].append((offset + i % copies * length, length))
     return bins
 
 
@@ -30,7 +30,7 @@ def check_plan(histogram, capacity):
             at += length
         assert at <= capacity
     intervals = defaultdict(list)
-    for length, low, high, _, _ in packing.packing_plan(dict(histogram), capacity):
+    for length, low, high, *_ in packing.packing_plan(dict(histogram), capacity):
         intervals[length].append((low, high))
     for length, n in histogram.items():
         bounds = sorted(intervals[length])
@@ -77,6 +77,7 @@ def test_plan_of_a_large_histogram():
     histogram = {k: v for k, v in histogram.items() if v}
     bins = check_plan(histogram, 2048)
     total = sum(k * v for k, v in histogram.items())
+    assert len(packing.packing_plan(histogram, 2048)) < 4 * 2048 * 64
     assert bins <= 1.02 * -(-total // 2048)
 
 
