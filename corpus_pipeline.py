@@ -1,28 +1,51 @@
 """A training corpus from raw documents: quality rules, near-duplicates, personal data, source mixture, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next
-one's documents. All but the last return the columns of the documents they get, whatever those are.
+one's documents. All but the last return the columns of the documents they get, whatever those are. What a stage has
+staged for its result is deleted when the next stage starts, since its result has been written by then.
 """
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glebe.llm import mixing, packing, privacy, quality, simhash
-from glebe.llm.common import stage
+from glebe.llm.common import forget_staged, stage, staged_so_far
+
+_last: list[tuple[int, int]] = []
+
+
+def _tidy(function):
+    """A stage that deletes what the stage before it has staged."""
+
+    @wraps(function)
+    def tidy(spark, docs, sf_dir):
+        while _last:
+            forget_staged(spark, *_last.pop())
+        first = staged_so_far()
+        out = function(spark, docs, sf_dir)
+        _last.append((first, staged_so_far()))
+        return out
+
+    return tidy
 
 
+@_tidy
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the rules learned from the labels keep; a null text is rejected."""
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+@_tidy
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group whose fingerprints of three-word shingles link at two bits: the least doc_id."""
     return simhash.keep_one(docs, shingle=3, radius=2)
 
 
+@_tidy
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with personal data generalised and disclosing terms removed; n_chars follows the text."""
     clean = privacy.sanitise(docs)
@@ -32,11 +55,13 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return clean.withColumn("n_chars", length.cast(docs.schema["n_chars"].dataType))
 
 
+@_tidy
 def source_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated by their Poisson draws towards weights that even the sources out, in random order."""
     return mixing.mix(docs, copy_col=None)
 
 
+@_tidy
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents with their ids, packed into sequences of 2048 tokens."""
     return packing.pack(packing.encode_pieces(docs))
@@ -52,6 +77,12 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of a folder; each stage's rows are staged in the shared work folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, function in STAGES[:-1]:
-        docs = stage(function(spark, docs, sf_dir), name)
+        out = function(spark, docs, sf_dir)
+        mark = staged_so_far()
+        docs = stage(out, name)
+        if before is not None:
+            forget_staged(spark, before, before + 1)
+        before = mark
     return STAGES[-1][1](spark, docs, sf_dir)

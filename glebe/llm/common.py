@@ -8,16 +8,32 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glebe.session import scratch_path
+from glebe.session import drop_scratch, scratch_path
+
+_staged: list[str] = []
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
     """The rows written to the shared work folder and read again: a cut lineage that survives lost executors."""
     path = scratch_path(df.sparkSession, name)
+    _staged.append(path)
     df.withColumns({c: F.col(f"`{c}`").cast("string") for c, kind in df.dtypes if kind == "void"}).write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
+def staged_so_far() -> int:
+    """A mark for ``forget_staged``."""
+    return len(_staged)
+
+
+def forget_staged(spark, first: int, last: int | None = None) -> None:
+    """Delete what was staged from one mark on, up to another; what reads it must have been written by now."""
+    for path in _staged[first:last]:
+        if path:
+            drop_scratch(spark, path)
+    _staged[first:last] = [""] * len(_staged[first:last])
+
+
 def whole_row(df: DataFrame) -> Column:
     """All columns of a row as one struct, so that they travel beside an operator's own columns without clashes."""
     return F.struct(*(F.col(f"`{c}`") for c in df.columns))

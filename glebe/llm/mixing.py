@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glebe.llm.common import whole_row
+from glebe.llm.common import stage, whole_row
 
 #: Without given weights, a source weighs as its number of documents to this power: below 1 evens sources out.
 EVENNESS = 0.5
@@ -66,7 +66,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source",
     partition and a place in it by hash; a document repeated in many rows is spread, not sent to one partition.
     """
     row = "mix_row"
-    rates = repetition_rates(docs, source_col, weights, total)
+    # Staged, so that Spark knows its size and sends a small one to all tasks instead of shuffling texts by source.
+    rates = stage(repetition_rates(docs, source_col, weights, total), "rates")
     keyed = docs.select(whole_row(docs.drop(copy_col) if copy_col else docs).alias(row), F.col(id_col).alias("mix_id"), F.col(source_col).alias("mix_from"),
                         F.pmod(F.monotonically_increasing_id(), F.lit(_SPREAD)).alias("mix_salt"))
     counted = keyed.join(rates, F.col("mix_from").eqNullSafe(F.col("mix_source")))
