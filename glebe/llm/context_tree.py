@@ -6,15 +6,17 @@ same data: P_w = (P_kt + product of the children's P_w) / 2, and P_w = P_kt at f
 mixing the estimates along its path with the weights that follow from that. The counts are those of the training texts
 and stay fixed while texts are scored.
 
-Spark counts the (DEPTH + 1)-grams of bytes, works out the trees of each last two bytes apart, and brings to each block
-of texts the figures of just those grams and words that stand in it. Nothing that grows with the corpus is broadcast.
+Texts are scored block by block. Each block tells its (DEPTH + 1)-grams of bytes and its words with their training
+counts, sorted into buckets: grams by their last two context bytes, words by hash. A bucket sums what all blocks told,
+works out its trees, and answers each block for just what that block has. Tables and counts travel packed, so the model
+grows with the corpus while no task holds more than a bucket or a block of it; nothing of it is broadcast.
 """
 
 from __future__ import annotations
 
 from math import lgamma, log, pi
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,8 +24,10 @@ from glebe.llm.common import in_batches, rows_of, stage, text_or_empty
 
 DEPTH = 5
 #: Bytes of text in a block, the unit that is scored by one call.
-BLOCK_BYTES = 24 << 20
-#: Grams whose trees are worked out by one call, about.
+BLOCK_BYTES = 16 << 20
+#: Buckets of grams, and as many of words, at most; they are read as streams, so more blocks only take longer.
+MOST_BUCKETS = 4096
+#: Grams whose trees are worked out at a time, about; those of one pair of last bytes stay together.
 SLOT_GRAMS = 100_000
 #: Stands before and after each text; no byte of UTF-8.
 _EDGE = 0xFF
@@ -37,75 +41,202 @@ def held_out(id_col: str = "doc_id", folds: int = 7, fold: int = 2) -> Column:
 
 
 def blocks_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held: Column | None = None) -> DataFrame:
-    """Staged (block, id, held, data): the lower-cased bytes of each text; null is empty. Blocks end by bytes."""
+    """Staged texts, some to a row: (block, ids, held, sizes, data). ``data`` has the lower-cased bytes of the texts,
+    compressed; a null text is empty. Blocks and rows end by bytes."""
 
     def blocked(batches):
         import pyarrow as pa
         from pyspark import TaskContext
+        from zstandard import ZstdCompressor
+
+        pack = ZstdCompressor(level=3).compress
+        block, block_size, size, texts, ids, holds, kind = TaskContext.get().partitionId() << 20, 0, 0, [], [], [], None
+
+        def row():
+            return pa.RecordBatch.from_arrays(
+                [pa.array([block], pa.int64()), pa.array([ids], pa.list_(kind)), pa.array([holds], pa.list_(pa.bool_())),
+                 pa.array([[len(t) for t in texts]], pa.list_(pa.int64())), pa.array([pack(b"".join(texts))], pa.binary())],
+                ["block", "ids", "held", "sizes", "data"])
 
-        block, size = TaskContext.get().partitionId() << 20, 0
         for batch in batches:
-            data = [t.encode().lower() for t in batch.column("text").to_pylist()]
-            blocks = []
-            for text in data:
-                if size > BLOCK_BYTES:
-                    block, size = block + 1, 0
-                size += len(text) + 64
-                blocks.append(block)
-            yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), batch.column("id"), batch.column("held"),
-                                              pa.array(data, pa.binary())], ["block", "id", "held", "data"])
+            kind = batch.schema.field("id").type
+            for id_, is_held, text in rows_of(batch, "id", "held", "text"):
+                texts.append(text.encode().lower())
+                ids.append(id_)
+                holds.append(is_held)
+                size += len(texts[-1]) + 64
+                if size > _CHUNK:
+                    yield row()
+                    block_size += size
+                    if block_size > BLOCK_BYTES:
+                        block, block_size = block + 1, 0
+                    size, texts, ids, holds = 0, [], [], []
+        if texts:
+            yield row()
 
     held = held_out(id_col) if held is None else held
     rows = docs.select(F.col(id_col).alias("id"), held.alias("held"), text_or_empty(text_col).alias("text"))
-    schema = T.StructType([T.StructField("block", T.LongType()), rows.schema["id"], rows.schema["held"],
-                           T.StructField("data", T.BinaryType())])
+    schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("ids", T.ArrayType(rows.schema["id"].dataType))])
+    for field in T.DataType.fromDDL("held array<boolean>, sizes array<bigint>, data binary").fields:
+        schema.add(field)
     return stage(in_batches(rows, blocked, schema), "blocks")
 
 
-def _by_block(batches, columns: list[str]):
-    """Runs of rows of one block: (block, lists of the columns)."""
-    for batch in batches:
-        run: list[list] = []
-        of = None
-        for block, *values in rows_of(batch, "block", *columns):
-            if block != of and run:
-                yield of, list(zip(*run, strict=True))
-                run = []
-            of = block
-            run.append(values)
-        if run:
-            yield of, list(zip(*run, strict=True))
+def _texts(sizes: list[int], data: bytes) -> list[bytes]:
+    from zstandard import ZstdDecompressor
+
+    joined = ZstdDecompressor().decompress(data) if sum(sizes) else b""
+    out, at = [], 0
+    for size in sizes:
+        out.append(joined[at:at + size])
+        at += size
+    return out
+
+
+def _pack_ints(numbers) -> bytes:
+    """Whole numbers, as their differences, byte plane by byte plane; small and sorted ones shrink well."""
+    import numpy as np
+    from zstandard import ZstdCompressor
+
+    steps = np.diff(numbers, prepend=0).astype("<i8")
+    return ZstdCompressor(level=1).compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes())
+
+
+def _unpack_ints(packed: bytes):
+    import numpy as np
+    from zstandard import ZstdDecompressor
+
+    planes = np.frombuffer(ZstdDecompressor().decompress(packed), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<i8").ravel())
+
+
+def _pack_words(words: list[bytes]) -> bytes:
+    from zstandard import ZstdCompressor
+
+    return ZstdCompressor(level=1).compress(b" ".join(words))
+
 
+def _unpack_words(packed: bytes) -> list[bytes]:
+    from zstandard import ZstdDecompressor
 
-def block_words(blocks: DataFrame) -> DataFrame:
-    """(block, word, n): the words of each block and how often its training texts have them, 0 included."""
+    return ZstdDecompressor().decompress(packed).split(b" ")
+
+
+def _summed(parts):
+    """Distinct sorted keys and their sums, of pairs of arrays."""
+    import numpy as np
+
+    keys, n = (np.concatenate(p) for p in zip(*parts, strict=True))
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[first], np.add.reduceat(n[order], first)
+
+
+def block_counts(blocks: DataFrame, buckets: int, depth: int = DEPTH) -> DataFrame:
+    """(bucket, block, keys, n): the grams and the words of each block, with the times its training texts have them, 0
+    included, packed. Grams have the buckets below ``buckets``, words those from there on."""
 
     def counted(batches):
-        from collections import Counter
+        from collections import Counter, defaultdict
+        from zlib import crc32
+
+        import numpy as np
+        import pandas as pd
+        import pyarrow as pa
 
+        def told(block, words, seen, parts):
+            rows = []
+            keys, n = _summed(parts)
+            of = _pair_hash((keys >> _BITS) & 0xFFFF) % buckets
+            order = np.argsort(of, kind="stable")
+            ends = np.searchsorted(of[order], np.arange(buckets + 1))
+            for bucket in np.unique(of).tolist():
+                own = order[ends[bucket]:ends[bucket + 1]]
+                rows.append((bucket, _pack_ints(keys[own]), _pack_ints(n[own])))
+            for word in seen:
+                words.setdefault(word, 0)
+            lists = defaultdict(list)
+            for word in words:
+                lists[crc32(word) % buckets].append(word)
+            for bucket, own in lists.items():
+                own.sort()
+                rows.append((buckets + bucket, _pack_words(own), _pack_ints(np.array([words[w] for w in own]))))
+            names, keys, n = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array([block] * len(rows), pa.int64()),
+                                              pa.array(keys, pa.binary()), pa.array(n, pa.binary())], ["bucket", "block", "keys", "n"])
+
+        of, words, seen, parts = None, Counter(), set(), []
+        for batch in batches:
+            for block, held, sizes, data in rows_of(batch, "block", "held", "sizes", "data"):
+                if block != of and parts:
+                    yield from told(of, words, seen, parts)
+                    words, seen, parts = Counter(), set(), []
+                of, texts = block, _texts(sizes, data)
+                for is_held, text in zip(held, texts, strict=True):
+                    (seen if is_held else words).update(text.split())
+                training = ~np.array(held)
+                for first, last, keys, lengths in _gram_chunks(texts, depth):
+                    codes, distinct = pd.factorize(keys)
+                    weight = np.repeat(training[first:last].astype(np.float64), lengths)
+                    parts.append((distinct, np.bincount(codes, weight, len(distinct)).astype(np.int64)))
+                if len(parts) > 8:
+                    parts = [_summed(parts)]
+        if parts:
+            yield from told(of, words, seen, parts)
+
+    return in_batches(blocks, counted, "bucket int, block bigint, keys binary, n binary")
+
+
+def _pair_hash(pairs):
+    return (pairs * 2654435761 >> 8) & 0xFFFFFF
+
+
+def bucket_sums(counts: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, keys, n, total, kinds): per bucket its distinct keys and sums over all blocks, packed; and for words
+    the sum of all and the number of those that are not 0."""
+
+    def summed(batches):
+        import numpy as np
         import pyarrow as pa
 
-        counts: Counter = Counter()
-        seen: set[bytes] = set()
-        of = None
+        of, parts, words = None, [], {}
 
         def told():
-            words = [*counts, *(seen - counts.keys())]
-            n = [*counts.values(), *[0] * (len(words) - len(counts))]
-            for i in range(0, len(words), 50_000):
-                part = words[i:i + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array([of] * len(part), pa.int64()), pa.array(part, pa.binary()),
-                                                  pa.array(n[i:i + 50_000], pa.int64())], ["block", "word", "n"])
-
-        for block, (held, data) in _by_block(batches, ["held", "data"]):
-            if block != of:
-                yield from told()
-                counts, seen, of = Counter(), set(), block
-            for is_held, text in zip(held, data, strict=True):
-                (seen if is_held else counts).update(text.split())
-        yield from told()
+            if of < buckets:
+                keys, n = _summed(parts)
+                row = (of, _pack_ints(keys), _pack_ints(n), 0, 0)
+            else:
+                own = sorted(words)
+                n = np.array([words[w] for w in own])
+                row = (of, _pack_words(own), _pack_ints(n), int(n.sum()), int((n > 0).sum()))
+            kinds = (pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds, strict=True)],
+                                              ["bucket", "keys", "n", "total", "kinds"])
 
-    return in_batches(blocks, counted, "block bigint, word binary, n bigint")
+        for batch in batches:
+            for bucket, keys, n in rows_of(batch, "bucket", "keys", "n"):
+                if bucket != of:
+                    if of is not None:
+                        yield told()
+                    of, parts, words = bucket, [], {}
+                if of < buckets:
+                    parts.append((_unpack_ints(keys), _unpack_ints(n)))
+                    if len(parts) > 16:
+                        parts = [_summed(parts)]
+                else:
+                    for word, times in zip(_unpack_words(keys), _unpack_ints(n).tolist(), strict=True):
+                        words[word] = words.get(word, 0) + times
+        if of is not None:
+            yield told()
+
+    dealt = counts.select("bucket", "keys", "n").repartition(_tasks(counts), "bucket").sortWithinPartitions("bucket")
+    return stage(in_batches(dealt, summed, "bucket int, keys binary, n binary, total bigint, kinds bigint"), "sums")
+
+
+def _tasks(df: DataFrame) -> int:
+    """A packed table takes more work than its size tells, so its partitions are not to be joined again."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def _gram_chunks(data, depth: int):
@@ -135,47 +266,6 @@ def _gram_chunks(data, depth: int):
         first = last
 
 
-def block_grams(blocks: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(block, gram, n): the grams of each block and how often its training texts have them, 0 included."""
-
-    def counted(batches):
-        import numpy as np
-        import pandas as pd
-        import pyarrow as pa
-
-        parts: list = []
-        of = None
-
-        def merged():
-            keys, n = (np.concatenate(p) for p in zip(*parts, strict=True))
-            codes, keys = pd.factorize(keys)
-            return keys, np.bincount(codes, n, len(keys)).astype(np.int64)
-
-        def told():
-            if parts:
-                keys, n = merged()
-                order = np.argsort(keys)
-                for at in range(0, len(keys), 100_000):
-                    part = order[at:at + 100_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), of, np.int64)), pa.array(keys[part]),
-                                                      pa.array(n[part])], ["block", "gram", "n"])
-
-        for block, (held, data) in _by_block(batches, ["held", "data"]):
-            if block != of:
-                yield from told()
-                parts, of = [], block
-            held = np.array(held)
-            for first, last, keys, sizes in _gram_chunks(data, depth):
-                codes, keys = pd.factorize(keys)
-                training = np.repeat((~held[first:last]).astype(np.float64), sizes)
-                parts.append((keys, np.bincount(codes, training, len(keys))))
-            if len(parts) > 8:
-                parts = [merged()]
-        yield from told()
-
-    return in_batches(blocks, counted, "block bigint, gram bigint, n bigint")
-
-
 _SMALL = 64
 
 
@@ -249,44 +339,92 @@ class Trees:
         return predicted
 
 
-def gram_scores(grams: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(gram, score): log10 of the probability of a gram's last byte after the bytes before it.
+def _slices(keys):
+    """Places of keys whose trees are worked out together: all of some pairs of last context bytes."""
+    import numpy as np
 
-    ``grams`` has distinct (gram, n); those with n = 0 only ask. ``depth`` is at least 2.
-    """
-    grams = stage(grams, "grams")
-    # All grams with one pair of last context bytes meet in one call: at most 256^(depth - 1), however large the corpus.
-    slots = max(1, -(-grams.count() // SLOT_GRAMS))
-    pair = F.shiftright("gram", _BITS).bitwiseAND(F.lit(0xFFFF))
-    dealt = grams.withColumn("slot", F.pmod(F.xxhash64(pair), F.lit(slots)))
+    pair = (keys >> _BITS) & 0xFFFF
+    order = np.argsort(pair, kind="stable")
+    starts = np.flatnonzero(np.concatenate([[True], np.diff(pair[order]) != 0]))
+    first = 0
+    for start, end in zip(starts, [*starts[1:], len(keys)], strict=True):
+        if end - first >= SLOT_GRAMS or end == len(keys):
+            yield order[first:end]
+            first = end
 
-    def tops(table):
-        import pyarrow as pa
 
-        trees = Trees(table.column("gram").to_numpy(), table.column("n").to_numpy(), depth)
-        return pa.table({"node": trees.tops, "zeros": trees.zeros, "ones": trees.ones, "weighted": trees.weighted})
+def top_nodes(sums: DataFrame, depth: int = DEPTH) -> list:
+    """The zeros and ones of each node with a context of one byte, and the log of its children's P_w: at most 256 * 255
+    rows, whatever the corpus."""
+
+    def tops(batches):
+        import pyarrow as pa
 
-    pairs = dealt.filter("n > 0").groupBy("slot").applyInArrow(tops, "node bigint, zeros double, ones double, weighted double")
-    # One row for each last byte and prefix: at most 256 * 255.
-    singles = pairs.groupBy(F.col("node").bitwiseAND(F.lit(0xFFFF)).alias("node")).agg(
+        for batch in batches:
+            for keys, n in rows_of(batch, "keys", "n"):
+                keys, n = _unpack_ints(keys), _unpack_ints(n)
+                keys, n = keys[n > 0], n[n > 0]
+                for own in _slices(keys) if len(keys) else ():
+                    trees = Trees(keys[own], n[own], depth)
+                    yield pa.RecordBatch.from_arrays([pa.array(v) for v in (trees.tops, trees.zeros, trees.ones, trees.weighted)],
+                                                     ["node", "zeros", "ones", "weighted"])
+
+    pairs = in_batches(sums, tops, "node bigint, zeros double, ones double, weighted double")
+    return pairs.groupBy(F.col("node").bitwiseAND(F.lit(0xFFFF)).alias("node")).agg(
         F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("weighted").alias("below")).orderBy("node").collect()
-    upper = _upper(singles)
 
-    def scored(table):
-        import numpy as np
-        import pyarrow as pa
 
-        keys = table.column("gram").to_numpy()
-        trees = Trees(keys, table.column("n").to_numpy(), depth)
-        share, estimate, root_share, root_estimate = upper
-        node = np.repeat((keys >> _BITS) & 0xFF, _BITS) << _BITS | trees.prefix
+def gram_scores(keys, counts, upper, depth: int = DEPTH):
+    """log10 of the probability of each gram's last byte after the bytes before it.
+
+    ``keys`` are all grams of some pairs of last context bytes; those with count 0 only ask. ``upper`` is what
+    ``_upper`` makes of the nodes above.
+    """
+    import numpy as np
+
+    out = np.empty(len(keys))
+    share, estimate, root_share, root_estimate = upper
+    for own in _slices(keys):
+        trees = Trees(keys[own], counts[own], depth)
+        node = np.repeat((keys[own] >> _BITS) & 0xFF, _BITS) << _BITS | trees.prefix
         predicted = share[node] * estimate[node] + (1 - share[node]) * trees.ones_predicted()
-        root = trees.prefix
-        predicted = root_share[root] * root_estimate[root] + (1 - root_share[root]) * predicted
+        predicted = root_share[trees.prefix] * root_estimate[trees.prefix] + (1 - root_share[trees.prefix]) * predicted
         chances = np.where(trees.bit == 1, predicted, 1 - predicted)
-        return pa.table({"gram": keys, "score": np.log10(chances).reshape(-1, _BITS).sum(axis=1)})
+        out[own] = np.log10(chances).reshape(-1, _BITS).sum(axis=1)
+    return out
+
 
-    return dealt.groupBy("slot").applyInArrow(scored, "gram bigint, score double")
+def block_answers(counts: DataFrame, sums: DataFrame, upper, buckets: int, depth: int = DEPTH) -> DataFrame:
+    """(block, bucket, keys, figures): for the keys a block told, the scores of grams and the counts of words."""
+
+    def answered(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        keys = figures = words = None
+        for batch in batches:
+            out = []
+            for bucket, block, told, n in rows_of(batch, "bucket", "block", "keys", "n"):
+                if block is None:  # the bucket's own row comes first
+                    if bucket < buckets:
+                        keys = _unpack_ints(told)
+                        figures = gram_scores(keys, _unpack_ints(n), upper, depth)
+                    else:
+                        words = dict(zip(_unpack_words(told), _unpack_ints(n).tolist(), strict=True))
+                elif bucket < buckets:
+                    own = figures[np.searchsorted(keys, _unpack_ints(told))]
+                    out.append((block, bucket, told, own.astype("<f4").tobytes()))
+                else:
+                    out.append((block, bucket, told, _pack_ints(np.array([words[w] for w in _unpack_words(told)]))))
+            if out:
+                kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)],
+                                                 ["block", "bucket", "keys", "figures"])
+
+    own = sums.select("bucket", F.lit(None).cast("bigint").alias("block"), "keys", "n")
+    asked = counts.select("bucket", "block", "keys", F.lit(None).cast("binary").alias("n"))
+    dealt = own.union(asked).repartition(_tasks(counts), "bucket").sortWithinPartitions("bucket", F.col("block").asc_nulls_first())
+    return in_batches(dealt, answered, "block bigint, bucket int, keys binary, figures binary")
 
 
 def _upper(singles):
@@ -314,51 +452,55 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     counts over words and one end per text. A null text is empty; repeated rows are scored and counted each.
     """
     blocks = blocks_of(docs, id_col, text_col, held)
-    grams = stage(block_grams(blocks, depth), "block-grams")
-    scores = gram_scores(grams.groupBy("gram").agg(F.sum("n").alias("n")), depth)
-    of_word = Window.partitionBy("word")
-    words = stage(block_words(blocks).withColumns({
-        "n": F.sum("n").over(of_word), "first": F.col("block") == F.min("block").over(of_word)}), "words")
-    totals = words.filter("first").agg(F.sum("n").alias("n"), F.count_if(F.col("n") > 0).alias("v")).first()
-    texts = blocks.agg(F.count_if(~F.col("held")).alias("n")).first().n
+    seen = blocks.agg(F.count_distinct("block").alias("blocks"),
+                      F.sum(F.size(F.filter("held", lambda h: ~h))).alias("texts")).first()
+    buckets, texts = min(MOST_BUCKETS, max(8, 2 * seen.blocks)), seen.texts or 0
+    counts = stage(block_counts(blocks, buckets, depth), "block-counts")
+    sums = bucket_sums(counts, buckets)
+    totals = sums.agg(F.sum("total").alias("n"), F.sum("kinds").alias("v")).first()
     train, kinds = (totals.n or 0) + texts, (totals.v or 0) + (texts > 0)
-    known = words.select("block", "word", "n", F.lit(None).cast("bigint").alias("gram"), F.lit(None).cast("double").alias("score"))
-    asked = grams.select("block", "gram").join(scores, "gram").select(
-        "block", F.lit(None).cast("binary").alias("word"), F.lit(None).cast("bigint").alias("n"), "gram", "score")
-    figures = known.union(asked)
+    upper = _upper(top_nodes(sums.filter(F.col("bucket") < buckets), depth))
+    answers = block_answers(counts, sums, upper, buckets, depth)
 
     def scored(rows, model):
         import numpy as np
         import pandas as pd
         import pyarrow as pa
-        import pyarrow.compute as pc
-
-        of_words = model.filter(pc.is_valid(model.column("word")))
-        count = dict(zip(of_words.column("word").to_pylist(), of_words.column("n").to_pylist(), strict=True))
-        of_grams = model.filter(pc.is_valid(model.column("gram")))
-        keys, values = of_grams.column("gram").to_numpy(), of_grams.column("score").to_numpy()
-        order = np.argsort(keys)
-        keys, values = keys[order], values[order]
-        data = rows.column("data").to_pylist()
-        n_tokens, n_known, base, score = [], [], [], []
-        for text in data:
-            found = text.split()
-            c = np.fromiter(map(count.__getitem__, found), np.int64, len(found))
-            n_tokens.append(len(c) + 1)
-            n_known.append(int((c > 0).sum()) + (texts > 0))
-            base.append(float(np.log10(c + 1.0).sum() + np.log10(texts + 1.0) - (len(c) + 1) * np.log10(train + kinds + 1.0)))
-        for _, _, grams_, sizes in _gram_chunks(data, depth):
-            codes, distinct = pd.factorize(grams_)
-            each = values[np.searchsorted(keys, distinct)][codes]
-            score += np.add.reduceat(each, np.concatenate([[0], np.cumsum(sizes)[:-1]])).tolist()
-        return pa.table({"id": rows.column("id"), "held": rows.column("held"),
-                         "n_bytes": pa.array([len(t) for t in data], pa.int64()),
-                         "n_tokens": pa.array(n_tokens, pa.int64()), "n_known": pa.array(n_known, pa.int64()),
-                         "train_tokens": pa.array([train] * len(data), pa.int64()),
-                         "base_score": pa.array(base, pa.float64()), "score": pa.array(score, pa.float64())})
-
-    schema = T.StructType([blocks.schema["id"], blocks.schema["held"]])
+
+        count: dict[bytes, int] = {}
+        keys, values = [np.empty(0, np.int64)], [np.empty(0, "<f4")]
+        for bucket, told, figures in zip(*(model.column(c).to_pylist() for c in ("bucket", "keys", "figures")), strict=True):
+            if bucket < buckets:
+                keys.append(_unpack_ints(told))
+                values.append(np.frombuffer(figures, "<f4"))
+            else:
+                count.update(zip(_unpack_words(told), _unpack_ints(figures).tolist(), strict=True))
+        keys, values = np.concatenate(keys), np.concatenate(values)
+        order = np.argsort(keys, kind="stable")
+        keys, values = keys[order], values[order].astype(np.float64)
+        out: list[list] = [[] for _ in range(7)]
+        for ids, is_held, sizes, data in zip(*(rows.column(c).to_pylist() for c in ("ids", "held", "sizes", "data")), strict=True):
+            data = _texts(sizes, data)
+            for text in data:
+                found = text.split()
+                c = np.fromiter(map(count.__getitem__, found), np.int64, len(found))
+                out[3].append(len(c) + 1)
+                out[4].append(int((c > 0).sum()) + (texts > 0))
+                out[5].append(float(np.log10(c + 1.0).sum() + np.log10(texts + 1.0) - (len(c) + 1) * np.log10(train + kinds + 1.0)))
+            for _, _, grams, lengths in _gram_chunks(data, depth):
+                codes, distinct = pd.factorize(grams)
+                each = values[np.searchsorted(keys, distinct)][codes]
+                out[6] += np.add.reduceat(each, np.concatenate([[0], np.cumsum(lengths)[:-1]])).tolist()
+            out[0] += ids
+            out[1] += is_held
+            out[2] += sizes
+        types = [rows.schema.field("ids").type.value_type, pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+        names = ["id", "held", "n_bytes", "n_tokens", "n_known", "base_score", "score"]
+        table = pa.table([pa.array(v, t) for v, t in zip(out, types, strict=True)], names)
+        return table.add_column(5, "train_tokens", pa.array([train] * len(out[0]), pa.int64()))
+
+    schema = T.StructType([T.StructField("id", blocks.schema["ids"].dataType.elementType), T.StructField("held", T.BooleanType())])
     for field in T.DataType.fromDDL("n_bytes bigint, n_tokens bigint, n_known bigint, train_tokens bigint, "
                                     "base_score double, score double").fields:
         schema.add(field)
-    return blocks.groupBy("block").cogroup(figures.groupBy("block")).applyInArrow(scored, schema)
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(scored, schema)
