@@ -121,7 +121,7 @@ def uncovered(cells: DataFrame, producers: DataFrame, radius_km: float, zone: st
 def density(cells: DataFrame, producers: DataFrame, radius_km: float = 15.0) -> DataFrame:
     """Producers within the radius of each cell centre (0 without one)."""
     spots = producers.groupBy("latitude", "longitude").agg(F.count(F.lit(1)).alias("copies"))
-    counts = count_within(cells.select("lat", "lon").distinct(), spots, radius_km, "copies").drop("nearest_km")
+    counts = count_within(cells.select("lat", "lon").distinct(), spots, radius_km, "copies")
     return cells.join(counts, ["lat", "lon"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 

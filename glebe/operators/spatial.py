@@ -15,10 +15,11 @@ from pyspark.sql import functions as F
 
 from glebe.functions import geo
 from glebe.functions.numbers import rounded
-from glebe.session import scratch_path
 
 # More points than this in one cell are spread over several join keys.
 HOT_CELL_ROWS = 200_000
+# A cell with more pairs to compare than this is split on both sides.
+CELL_PAIRS = 2_000_000
 
 
 def _in_range(lat: Column, lon: Column) -> Column:
@@ -92,12 +93,13 @@ class _LatLonGrid:
 def radius_join(sites: DataFrame, targets: DataFrame, radius_km: float,
                 site_lat: str = "lat", site_lon: str = "lon",
                 target_lat: str = "latitude", target_lon: str = "longitude",
-                hot_cell_rows: int | None = HOT_CELL_ROWS) -> DataFrame:
+                cell_pairs: int = CELL_PAIRS) -> DataFrame:
     """All (site, target) pairs within ``radius_km``, with ``distance_km``.
 
-    Inputs must have different column names. Rows without valid coordinates never match. Cells with
-    more than ``hot_cell_rows`` targets are split over several keys, and only the sites around them are
-    repeated; None says that no cell is that full. Give distinct places (see ``enrichment``) when many rows share one coordinate.
+    Inputs must have different column names. Rows without valid coordinates never match. A cell with more than
+    ``cell_pairs`` pairs to compare is split on both sides, so that no task gets more of them, whichever side is
+    crowded; either side is repeated for the parts of the other. Give distinct places (see ``enrichment``) when many
+    rows share one coordinate.
     """
     shared = set(sites.columns) & set(targets.columns)
     if shared:
@@ -117,18 +119,27 @@ def radius_join(sites: DataFrame, targets: DataFrame, radius_km: float,
         .withColumn("_cell", F.explode(grid.cells_around(F.col("_band"), s_lat, s_lon)))
     )
     cell = ["_band", "_cell"]
-    if hot_cell_rows is not None:
-        # Only crowded cells are listed: at most one row per ``hot_cell_rows`` targets.
-        crowded = (
-            placed.groupBy(*cell).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_cell_rows)
-            .select(*cell, F.ceil(F.col("_n") / hot_cell_rows).alias("_parts"))
-        )
-        parts = F.coalesce(F.col("_parts"), F.lit(1))
-        placed = placed.join(crowded, cell, "left").withColumn(
-            "_part", F.pmod(F.xxhash64(*targets.columns), parts)).drop("_parts")
-        probes = probes.join(crowded, cell, "left").withColumn(
-            "_part", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1))).drop("_parts")
-        cell = [*cell, "_part"]
+    # Only crowded cells are listed: at most one row per ``cell_pairs`` pairs. Parts of a side go with the root of its
+    # share, which repeats the fewest rows.
+    counts = placed.groupBy(*cell).agg(F.count(F.lit(1)).alias("_t")).join(
+        probes.groupBy(*cell).agg(F.count(F.lit(1)).alias("_s")), cell)
+    wanted = F.col("_t").cast("double") * F.col("_s") / cell_pairs
+    crowded = counts.filter(wanted > 1).select(
+        *cell, F.least("_t", F.greatest(F.lit(1), F.ceil(F.sqrt(wanted * F.col("_t") / F.col("_s"))))).cast("int").alias("_tparts"),
+        F.least("_s", F.greatest(F.lit(1), F.ceil(F.sqrt(wanted * F.col("_s") / F.col("_t"))))).cast("int").alias("_sparts"))
+    t_parts, s_parts = (F.coalesce(F.col(c), F.lit(1)) for c in ("_tparts", "_sparts"))
+
+    def every(parts: Column) -> Column:
+        return F.explode(F.sequence(F.lit(0), parts - 1))
+
+    def own(columns: list[str], parts: Column) -> Column:
+        return F.pmod(F.xxhash64(*columns, F.monotonically_increasing_id()), parts).cast("int")
+
+    placed = placed.join(crowded, cell, "left").withColumn("_tpart", own(targets.columns, t_parts)).withColumn(
+        "_spart", every(s_parts)).drop("_tparts", "_sparts")
+    probes = probes.join(crowded, cell, "left").withColumn("_spart", own(sites.columns, s_parts)).withColumn(
+        "_tpart", every(t_parts)).drop("_tparts", "_sparts")
+    cell = [*cell, "_tpart", "_spart"]
     km = geo.haversine_km(s_lat, s_lon, t_lat, t_lon)
     return (
         probes.join(placed, cell)
@@ -141,6 +152,9 @@ def radius_join(sites: DataFrame, targets: DataFrame, radius_km: float,
 # ---- k nearest --------------------------------------------------------------------------------------
 
 _FAN_BITS = 3  # each cell has 8 cells per axis below it
+# A smallest cell with more targets than this is divided further, by _MORE_LEVELS levels.
+CROWDED_LEAF = 512
+_DEPTH, _MORE_LEVELS = 4, 3
 
 
 class _Plane:
@@ -221,13 +235,15 @@ def _far(axes: tuple[str, ...], cell: str) -> str:
 def nearest(sites: DataFrame, targets: DataFrame, k: int = 1, metric: str = "haversine",
             site_lat: str = "lat", site_lon: str = "lon",
             target_lat: str = "latitude", target_lon: str = "longitude",
-            tie_break: list[str] | None = None, depth: int = 4) -> DataFrame:
+            tie_break: list[str] | None = None, depth: int = _DEPTH, crowded_leaf: int = CROWDED_LEAF) -> DataFrame:
     """The k nearest targets of every site: site columns, target columns, ``distance``, ``rank``.
 
     ``distance`` is km for "haversine" and squared degrees for "planar". Ties go to the smallest
     ``tie_break`` columns (default: the target coordinates, then all target columns). Sites or targets
     without valid coordinates never match. Each place is searched once, however many sites share it;
     at one coordinate only the k first targets can win, so the others are dropped before the search.
+    ``depth`` levels of cells are searched everywhere, and three more below the smallest cells with over
+    ``crowded_leaf`` targets, where cells are some ten metres wide.
     """
     shared = set(sites.columns) & set(targets.columns)
     if shared:
@@ -251,6 +267,11 @@ def nearest(sites: DataFrame, targets: DataFrame, k: int = 1, metric: str = "hav
     points = _with_leaf(points, space, t_lat, t_lon, depth)
     leaf, parent = _cell_columns(axes)
     levels = _pyramid(points, axes, depth)
+    crowded = points.groupBy(*leaf).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > crowded_leaf).select(
+        *(F.col(c).alias(q) for c, q in zip(leaf, parent)))
+    deeper = depth + _MORE_LEVELS
+    finer = _with_leaf(points.drop(*axes).withColumnsRenamed(dict(zip(leaf, parent))).join(crowded, parent, "left_semi").drop(*parent),
+                       space, t_lat, t_lon, deeper)
 
     def near(cell: str) -> str:
         return _near(axes, cell)
@@ -271,37 +292,43 @@ def nearest(sites: DataFrame, targets: DataFrame, k: int = 1, metric: str = "hav
     found = places.select("*", *(c.alias(a) for a, c in zip(axes, space.coordinates(F.col("_slat"), F.col("_slon")))),
                           F.lit(math.inf).alias("_bound"))
     place = ["_place", "_slat", "_slon"]
-    for up, level in reversed(list(enumerate(levels))):
-        if up == depth - 1:
-            # The root is one cell that holds every point: one row of at most 8 cells per axis.
-            step = found.withColumn("_children", level.select("_children").scalar())
-        else:
-            step = found.join(level, parent)
-        # A cell that holds k points bounds the k-th distance; cells beyond the bound are dropped at once.
-        # The one-element explode keeps the bound from being worked out again for every child.
-        local = f"array_min(transform(filter(_children, c -> c._n >= {k}), c -> {far('c')}))"
-        step = (
-            step.selectExpr(*place, *axes, "_children", f"explode(array(least(_bound, {local}))) AS _bound")
-            .selectExpr(*place, *axes, "_bound", f"explode(filter(_children, c -> {near('c')} <= {limit})) AS _kid")
-            .selectExpr(*place, *axes, "_bound", "_kid", f"{far('_kid')} AS _far")
-        )
-        # The bound over all remaining cells of the place: cells in order of their far side up to k points.
-        kth = "_far"
-        if k > 1:
-            step = step.selectExpr("*", "sum(_kid._n) OVER (PARTITION BY _place ORDER BY _far) AS _upto")
-            kth = f"IF(_upto >= {k}, _far, NULL)"
-        found = (
-            step.selectExpr(*place, *axes, "_kid", f"least(_bound, min({kth}) OVER (PARTITION BY _place)) AS _bound")
-            .filter(f"{near('_kid')} <= {limit}")
-            .selectExpr(*place, *axes, "_bound", *(f"_kid.{c} AS {q}" for c, q in zip(leaf, parent)))
-        )
-
-    candidates = (
-        found.selectExpr(*place, *(f"{q} AS {c}" for c, q in zip(leaf, parent)))
-        .join(points.drop(*axes), leaf)
-        .select("_place", *targets.columns,
-                space.distance(F.col("_slat"), F.col("_slon"), t_lat, t_lon).alias("distance"))
-    )
+
+    def descend(found: DataFrame, levels: list[DataFrame], from_root: bool) -> DataFrame:
+        """The cells below, level by level, that can hold one of the k nearest."""
+        for up, level in reversed(list(enumerate(levels))):
+            if from_root and up == len(levels) - 1:
+                # The root is one cell that holds every point: one row of at most 8 cells per axis.
+                step = found.withColumn("_children", level.select("_children").scalar())
+            else:
+                step = found.join(level, parent)
+            # A cell that holds k points bounds the k-th distance; cells beyond the bound are dropped at once.
+            # The one-element explode keeps the bound from being worked out again for every child.
+            local = f"array_min(transform(filter(_children, c -> c._n >= {k}), c -> {far('c')}))"
+            step = (
+                step.selectExpr(*place, *axes, "_children", f"explode(array(least(_bound, {local}))) AS _bound")
+                .selectExpr(*place, *axes, "_bound", f"explode(filter(_children, c -> {near('c')} <= {limit})) AS _kid")
+                .selectExpr(*place, *axes, "_bound", "_kid", f"{far('_kid')} AS _far")
+            )
+            # The bound over all remaining cells of the place: cells in order of their far side up to k points.
+            kth = "_far"
+            if k > 1:
+                step = step.selectExpr("*", "sum(_kid._n) OVER (PARTITION BY _place ORDER BY _far) AS _upto")
+                kth = f"IF(_upto >= {k}, _far, NULL)"
+            found = (
+                step.selectExpr(*place, *axes, "_kid", f"least(_bound, min({kth}) OVER (PARTITION BY _place)) AS _bound")
+                .filter(f"{near('_kid')} <= {limit}")
+                .selectExpr(*place, *axes, "_bound", *(f"_kid.{c} AS {q}" for c, q in zip(leaf, parent)))
+            )
+        return found
+
+    def compared(found: DataFrame, points: DataFrame) -> DataFrame:
+        cells = found.selectExpr(*place, *(f"{q} AS {c}" for c, q in zip(leaf, parent)))
+        return cells.join(points.drop(*axes), leaf).select(
+            "_place", *targets.columns, space.distance(F.col("_slat"), F.col("_slon"), t_lat, t_lon).alias("distance"))
+
+    found = descend(found, levels, True)
+    dense = descend(found.join(crowded, parent, "left_semi"), _pyramid(finer, axes, _MORE_LEVELS), False)
+    candidates = compared(found.join(crowded, parent, "left_anti"), points).unionByName(compared(dense, finer))
     if k == 1:
         row = F.struct("distance", *order)
         best = candidates.groupBy("_place").agg(F.min(row).alias("_t")).select("_place", "_t.*").select(
@@ -326,22 +353,20 @@ def by_distance(df: DataFrame, by: str = "distance_km", key: str = "code_bss") -
 
 # More distinct spots than this in one grid cell are no longer compared one by one.
 CROWDED_CELL_SPOTS = 5_000
-_COVER_DEPTH = 6  # smallest blocks about 100 m wide
 
 
 @dataclass(frozen=True)
 class RadiusParts:
     """What lies within a radius of each place, for aggregates.
 
-    ``pairs``: place and spot columns of single hits. ``blocks``: place, block key and weight ``_n`` of
-    blocks of spots that lie inside the circle as a whole. ``members``: spots with the key of every
-    block they belong to. Without crowded cells there are only pairs.
+    ``pairs``: place and spot columns of single hits. ``blocks``: place, block key and weight ``_n`` of blocks of spots
+    that lie inside the circle as a whole. ``members``: spots of crowded cells with the key of every block they belong to.
     """
 
     pairs: DataFrame
-    blocks: DataFrame | None = None
-    members: DataFrame | None = None
-    block_key: tuple[str, ...] = ()
+    blocks: DataFrame
+    members: DataFrame
+    block_key: tuple[str, ...]
 
 
 def radius_parts(places: DataFrame, spots: DataFrame, radius_km: float, weight: str,
@@ -349,10 +374,11 @@ def radius_parts(places: DataFrame, spots: DataFrame, radius_km: float, weight:
                  crowded_cell_spots: int = CROWDED_CELL_SPOTS) -> RadiusParts:
     """Split "all spots within the radius of each place" into single pairs and whole blocks.
 
-    A first small job counts the spots per grid cell. Without a crowded cell the radius join is all there
-    is. Spots of crowded cells go into a pyramid of blocks instead: blocks inside the circle are taken
-    whole, blocks outside are dropped, and only the smallest blocks on the rim are compared spot by spot.
-    A place next to a million spots thus yields some hundred blocks, not a million pairs.
+    Spots of grid cells with up to ``crowded_cell_spots`` spots are joined one by one. A crowded cell, about one radius
+    wide, is divided into 64 blocks and each of those into 64 more: blocks inside the circle are taken whole, blocks
+    outside are dropped, and only the smallest blocks on the rim are compared spot by spot. A place next to a million
+    spots thus yields some hundred blocks and the spots of a thin rim, not a million pairs. It is one lazy plan whatever
+    the data; without crowded cells its second part is empty.
     """
     grid = _LatLonGrid(radius_km)
     p_lat, p_lon, s_lat, s_lon = (F.col(c) for c in (place_lat, place_lon, spot_lat, spot_lon))
@@ -361,55 +387,58 @@ def radius_parts(places: DataFrame, spots: DataFrame, radius_km: float, weight:
         "_cell", grid.cell_of(F.col("_band"), s_lon))
     crowded = placed.groupBy(*cell).agg(F.count(F.lit(1)).alias("_spots")).filter(
         F.col("_spots") > crowded_cell_spots).select(*cell)
-    if crowded.isEmpty():
-        return RadiusParts(radius_join(places, spots, radius_km, place_lat, place_lon, spot_lat, spot_lon, None))
-
     probes = (
         places.filter(_in_range(p_lat, p_lon)).withColumn("_band", F.explode(grid.bands_around(p_lat)))
         .withColumn("_cell", F.explode(grid.cells_around(F.col("_band"), p_lat, p_lon))))
     single = radius_join(places, placed.join(crowded, cell, "left_anti").drop(*cell), radius_km,
-                         place_lat, place_lon, spot_lat, spot_lon, None)
+                         place_lat, place_lon, spot_lat, spot_lon)
 
     axes = _Sphere.axes
-    leaf, parent = _cell_columns(axes)
-    dense = _with_leaf(placed.join(crowded, cell, "left_semi").drop(*cell), _Sphere, s_lat, s_lon, _COVER_DEPTH)
-    levels = _pyramid(dense, axes, _COVER_DEPTH, F.col(weight))
-    beside = probes.join(crowded, cell, "left_semi").drop(*cell).distinct()
-    found = beside.select(*places.columns, *(c.alias(a) for a, c in zip(axes, _Sphere.coordinates(p_lat, p_lon))))
+    low, high = [f"_lo{a}" for a in axes], [f"_hi{a}" for a in axes]
+    boxes = [*(F.min(a).alias(c) for a, c in zip(axes, low)), *(F.max(a).alias(c) for a, c in zip(axes, high))]
+    n = grid.cells_in_band(F.col("_band"))
+
+    def part(inside: Column) -> Column:
+        return F.greatest(F.lit(0), F.least(F.lit(63), F.floor(inside * 64))).cast("int")
+
+    dense = placed.join(crowded, cell, "left_semi").select(
+        *spots.columns, *cell, *(c.alias(a) for a, c in zip(axes, _Sphere.coordinates(s_lat, s_lon))),
+        part((s_lat + 90.0) / grid.step - F.col("_band")).alias("_y"),
+        part(F.pmod(s_lon + 180.0, F.lit(360.0)) * n / 360.0 - F.col("_cell")).alias("_x"))
+    small = dense.groupBy(*cell, "_x", "_y").agg(F.sum(weight).cast("bigint").alias("_n"), *boxes)
+
+    def grouped(blocks: DataFrame, by: list[str]) -> DataFrame:
+        """At most 64 blocks to a row."""
+        return blocks.groupBy(*by).agg(F.collect_list(F.struct("_x", "_y", "_n", *low, *high)).alias("_kids"))
+
+    of_large = small.withColumns({"_bx": F.shiftright("_x", 3), "_by": F.shiftright("_y", 3)})
+    large = of_large.groupBy(*cell, "_bx", "_by").agg(
+        F.sum("_n").alias("_n"), *(F.min(c).alias(c) for c in low), *(F.max(c).alias(c) for c in high))
+    of_cell = grouped(large.withColumnsRenamed({"_bx": "_x", "_by": "_y"}), cell)
+    of_large = grouped(of_large, [*cell, "_bx", "_by"])
+
     chord = (2 * math.sin(min(radius_km / geo.EARTH_KM, math.pi) / 2)) ** 2
     # Between the two limits rounding could tip the scale; such blocks are looked into.
     inside, reach = chord * (1 - 1e-9) - 1e-15, chord * (1 + 1e-9) + 1e-15
     mine = places.columns
-    cover = found.withColumns({**{q: F.lit(0).cast("bigint") for q in parent}, "_up": F.lit(None).cast("int"),
-                               "_n": F.lit(None).cast("bigint"), **{c: F.lit(None).cast("bigint") for c in leaf}})
-    for up, level in reversed(list(enumerate(levels))):
-        if up == _COVER_DEPTH - 1:
-            step = cover.withColumn("_children", level.select("_children").scalar())
-        else:
-            step = cover.join(level, parent, "left")
-        # A block taken whole has no parent key any more and passes through; an open one is replaced by
-        # its children within reach.
-        step = step.selectExpr(
-            *mine, *axes, "_up", "_n", *leaf,
-            f"explode_outer(filter(_children, c -> {_near(axes, 'c')} <= {reach!r}D)) AS _kid").filter(
-            "_up IS NOT NULL OR _kid IS NOT NULL")
-        step = step.selectExpr("*", f"_up IS NULL AND {_far(axes, '_kid')} <= {inside!r}D AS _whole")
-        cover = step.selectExpr(
-            *mine, *axes, f"IF(_whole, {up}, _up) AS _up", "IF(_whole, _kid._n, _n) AS _n",
-            *(f"IF(_whole, _kid.{c}, {c}) AS {c}" for c in leaf),
-            *(f"IF(_whole OR _up IS NOT NULL, NULL, _kid.{c}) AS {q}" for c, q in zip(leaf, parent)))
-    # Kept in the work folder, since several steps read it and the search should run once.
-    path = scratch_path(places.sparkSession, "cover")
-    cover.drop(*axes).write.parquet(path)
-    cover = places.sparkSession.read.parquet(path)
-    blocks = cover.filter("_up IS NOT NULL").select(*mine, "_up", *leaf, "_n")
-    rim = cover.filter("_up IS NULL").selectExpr(*mine, *(f"{q} AS {c}" for c, q in zip(leaf, parent)))
-    rim = rim.join(dense.drop(*axes), leaf).withColumn(
+
+    def reached(found: DataFrame) -> DataFrame:
+        kids = found.selectExpr(*mine, *cell, *axes, f"explode(filter(_kids, c -> {_near(axes, 'c')} <= {reach!r}D)) AS _kid")
+        return kids.selectExpr(*mine, *cell, *axes, "_kid._x", "_kid._y", "_kid._n", f"{_far(axes, '_kid')} <= {inside!r}D AS _whole")
+
+    beside = probes.select(*mine, *cell, *(c.alias(a) for a, c in zip(axes, _Sphere.coordinates(p_lat, p_lon))))
+    above = reached(beside.join(of_cell, cell))
+    below = above.filter("NOT _whole").drop("_n", "_whole").withColumnsRenamed({"_x": "_bx", "_y": "_by"})
+    below = reached(below.join(of_large, [*cell, "_bx", "_by"]).drop("_bx", "_by"))
+    key = [*cell, "_size", "_x", "_y"]
+    blocks = above.filter("_whole").withColumn("_size", F.lit(1)).select(*mine, *key, "_n").unionByName(
+        below.filter("_whole").withColumn("_size", F.lit(0)).select(*mine, *key, "_n"))
+    rim = below.filter("NOT _whole").select(*mine, *cell, "_x", "_y").join(dense.drop(*axes), [*cell, "_x", "_y"]).withColumn(
         "distance_km", geo.haversine_km(p_lat, p_lon, s_lat, s_lon)).filter(F.col("distance_km") <= radius_km)
     columns = [*mine, *spots.columns, "distance_km"]
-    members = dense.withColumn("_up", F.explode(F.sequence(F.lit(0), F.lit(_COVER_DEPTH - 1)))).selectExpr(
-        *spots.columns, "_up", *(f"shiftright({c}, {_FAN_BITS} * _up) AS {c}" for c in leaf))
-    return RadiusParts(single.select(columns).unionByName(rim.select(columns)), blocks, members, ("_up", *leaf))
+    members = dense.withColumn("_size", F.explode(F.array(F.lit(0), F.lit(1)))).select(
+        *spots.columns, *cell, "_size", *(F.expr(f"shiftright({c}, 3 * _size)").alias(c) for c in ("_x", "_y")))
+    return RadiusParts(single.select(columns).unionByName(rim.select(columns)), blocks, members, tuple(key))
 
 
 # ---- points in polygons -----------------------------------------------------------------------------

@@ -306,4 +306,10 @@ def test_crowded_areas(spark):
     assert set(medians) == set(counts) == set(expected)
     for a, (n, median, closest) in expected.items():
         assert medians[a].n == counts[a].n == n
-        assert medians[a].prix == pytest.approx(median) and counts[a].nearest_km == pytest.approx(closest, abs=1e-9)
+        assert medians[a].prix == pytest.approx(median)
+    wells = spots.select("latitude", "longitude", "copies").withColumn("copies", F.explode(F.sequence(F.lit(1), "copies"))).drop("copies")
+    found = enrichment._wells_at(places, wells, 12.0).collect()
+    assert {(r.lat, r.lon) for r in found} == set(expected)
+    for r in found:
+        n, _, closest = expected[r.lat, r.lon]
+        assert r.n_wells == n and r.nearest_km == pytest.approx(closest, abs=1e-9)

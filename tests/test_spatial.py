@@ -34,7 +34,7 @@ def clouds(spark):
 @pytest.mark.parametrize("radius", [0.5, 20.0, 3000.0])
 def test_radius_join_equals_brute_force(clouds, radius):
     sites, targets, s, t = clouds
-    joined = spatial.radius_join(s, t, radius, hot_cell_rows=50).select("sid", "tid")
+    joined = spatial.radius_join(s, t, radius, cell_pairs=50).select("sid", "tid")
     expected = sorted((a[0], b[0]) for a in sites for b in targets if km(*a[1:], *b[1:]) <= radius)
     assert rows(joined, "sid", "tid") == expected
     assert "NestedLoop" not in plan_of(joined) and "Cartesian" not in plan_of(joined)
@@ -97,3 +97,38 @@ def test_points_in_zones(spark):
         inside = [] if lat is None else [z for z, x, y, w in (("small", 0, 0, .3), ("large", -20, -20, 60), ("far", 100, 10, 1)) if x < lon < x + w and y < lat < y + w]
         expected += [(i, z) for z in inside] or [(i, None)]
     assert sorted(got, key=str) == sorted(expected, key=str)
+
+
+@pytest.mark.parametrize("n_sites, n_targets", [(3000, 40), (40, 3000), (400, 400)])
+def test_a_crowded_cell_is_split_on_both_sides(spark, n_sites, n_targets):
+    """All points lie in one cell and all pairs match; no task may hold them all."""
+    place = lambda n, seed: [(i, 47.05 + random.Random(seed + i).random() / 1e3, 0.05 + random.Random(seed - i).random() / 1e3) for i in range(n)]
+    s = spark.createDataFrame(place(n_sites, 1), "sid int, lat double, lon double").repartition(4)
+    t = spark.createDataFrame(place(n_targets, 9), "tid int, latitude double, longitude double").repartition(4)
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        pairs = spatial.radius_join(s, t, 30.0, cell_pairs=2000).withColumn("task", F.spark_partition_id())
+        tasks = [r["count"] for r in pairs.groupBy("task").count().collect()]
+        assert sum(tasks) == n_sites * n_targets and len(tasks) > 8 and max(tasks) < 0.3 * sum(tasks)
+        assert pairs.select("sid", "tid").distinct().count() == n_sites * n_targets
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("metric", ["haversine", "planar"])
+@pytest.mark.parametrize("k", [1, 3])
+def test_nearest_in_a_dense_town(spark, metric, k):
+    """Most points within some hundred metres: cells with over ten targets are searched further down."""
+    rng = random.Random(5)
+    spot = lambda: (47 + rng.gauss(0, 5e-4), 2 + rng.gauss(0, 5e-4)) if rng.random() < .8 else (47 + rng.uniform(-2, 2), 2 + rng.uniform(-2, 2))
+    t, s = [spot() for _ in range(500)], [spot() for _ in range(60)]
+    targets = spark.createDataFrame([(i, *p) for i, p in enumerate(t)], "tid int, latitude double, longitude double")
+    sites = spark.createDataFrame([(i, *p) for i, p in enumerate(s)], "sid int, lat double, lon double")
+    distance = km if metric == "haversine" else lambda a, b, c, d: (c - a) ** 2 + (d - b) ** 2
+    got = spatial.nearest(sites, targets, k, metric, crowded_leaf=10).select("sid", "rank", "tid")
+    expected = [(i, r, j) for i, p in enumerate(s) for r, (_, j) in enumerate(sorted((distance(*p, *q), j) for j, q in enumerate(t))[:k], 1)]
+    assert rows(got, "sid", "rank") == expected
