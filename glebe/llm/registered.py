@@ -49,16 +49,15 @@ steps AS (
     FROM rates, (SELECT unnest(range(0, 60)) AS k)),
 upto AS (SELECT source, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS f FROM steps),
 drawn AS (
-    SELECT d.doc_id, d.source, d.lang, d.n_chars, count(u.k) AS n
+    SELECT d.doc_id, d.text, d.source, d.lang, d.n_chars, count(u.k) AS n
     FROM documents d JOIN upto u
     ON d.source IS NOT DISTINCT FROM u.source AND u.f <= {_DRAW.format(seed=17, key="d.doc_id")}
     GROUP BY ALL)
-SELECT doc_id, source, lang, n_chars, unnest(range(0, n))::INTEGER AS copy FROM drawn
+SELECT doc_id, text, source, lang, n_chars, unnest(range(0, n))::INTEGER AS copy FROM drawn
 """)
 def op2_source_mixing(spark, sf_dir):
     """All documents repeated so that sources weigh as the square roots of their sizes."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars")
-    return mixing.mix(docs)
+    return mixing.mix(table(spark, sf_dir, "documents"))
 
 
 @query("""
