@@ -57,6 +57,12 @@ def since_date(until: dt.date, since_year: int | None = None, years: int = 10) -
     return F.add_months(F.lit(until), -12 * years)
 
 
+# The accepted forms of a duration, as patterns.
+HOURS_MINUTES_FORM = r"^(\d+)h(\d+)m?$"
+HOURS_FORM = r"^(\d+(?:\.\d+)?)h$"
+MINUTES_FORM = r"^(\d+)(?:min|m)$"
+
+
 def duration_hours(c: Column) -> Column:
     """Hours from "2h30", "2h30m", "1.5h", "90min" or "90m"; any other text gives null."""
     t = F.lower(F.trim(c))
@@ -64,11 +70,10 @@ def duration_hours(c: Column) -> Column:
     def part(pattern: str, group: int) -> Column:
         return F.nullif(F.regexp_extract(t, pattern, group), F.lit("")).try_cast("double")
 
-    hours_minutes = r"^(\d+)h(\d+)m?$"
     return F.coalesce(
-        part(hours_minutes, 1) + part(hours_minutes, 2) / 60,
-        part(r"^(\d+(?:\.\d+)?)h$", 1),
-        part(r"^(\d+)(?:min|m)$", 1) / 60,
+        part(HOURS_MINUTES_FORM, 1) + part(HOURS_MINUTES_FORM, 2) / 60,
+        part(HOURS_FORM, 1),
+        part(MINUTES_FORM, 1) / 60,
     )
 
 

@@ -73,7 +73,10 @@ def flow_adjustment(flow: Column, access: Column) -> Column:
 
 
 def rain_score(mm: Column) -> Column:
-    """Annual rain; flat or rising away from the middle inside the good bands."""
+    """Annual rain; flat or rising away from the middle inside the good bands.
+
+    Fixed values: the millimetres and points of the bands.
+    """
     p = mm.cast("double")
     near_middle = F.least(F.lit(5.0), F.abs(F.lit(500.0) - p) / 100)
     to_edge = F.least(F.abs(F.lit(300.0) - p), F.abs(F.lit(700.0) - p)) / 150
@@ -96,7 +99,10 @@ def aspect_score(aspect: Column) -> Column:
 
 
 def frost_score(flag: Column, days: Column) -> Column:
-    """Frost days decide when known, else the declared flag, else 70."""
+    """Frost days decide when known, else the declared flag, else 70.
+
+    Fixed values: the days and points of the bands.
+    """
     d = days.cast("double")
     return (
         F.when(d < 5, _whole(F.lit(75.0) + F.least(F.lit(5.0), (F.lit(5.0) - d) / 5 * 5)))

@@ -75,21 +75,26 @@ def clean_department(c: Column) -> Column:
     return F.ltrim(F.trim(c.cast("string")), F.lit("0"))
 
 
+# The accepted forms of a year, a short year and a quarter in file names, as patterns.
+YEAR_FORM = r"(?<![0-9])20[0-9]{2}(?![0-9])"
+SHORT_YEAR_FORM = r"(?i)A([0-9]{2})(?![0-9])"
+QUARTER_FORMS = (r"[Tt]([1-4])", r"[Qq]([1-4])", r"([1-4])[eè]me trimestre", r"([1-4])er trimestre")
+
+
 def year_in_text(c: Column) -> Column:
     """A year 20xx that stands alone among digits, else null."""
-    return F.regexp_substr(c, F.lit(r"(?<![0-9])20[0-9]{2}(?![0-9])")).try_cast("int")
+    return F.regexp_substr(c, F.lit(YEAR_FORM)).try_cast("int")
 
 
 def quote_file_year(c: Column) -> Column:
     """Year of a quote file: 20xx in the name, else the short form "A24" = 2024."""
-    short = F.nullif(F.regexp_extract(c, r"(?i)A([0-9]{2})(?![0-9])", 1), F.lit(""))
+    short = F.nullif(F.regexp_extract(c, SHORT_YEAR_FORM, 1), F.lit(""))
     return F.coalesce(year_in_text(c), F.lit(2000) + short.try_cast("int"))
 
 
 def quarter_in_text(c: Column) -> Column:
     """Quarter named as T2, Q2, "2ème trimestre" or "1er trimestre"; the first form found wins."""
-    forms = (r"[Tt]([1-4])", r"[Qq]([1-4])", r"([1-4])[eè]me trimestre", r"([1-4])er trimestre")
-    found = [F.nullif(F.regexp_extract(c, form, 1), F.lit("")).try_cast("int") for form in forms]
+    found = [F.nullif(F.regexp_extract(c, form, 1), F.lit("")).try_cast("int") for form in QUARTER_FORMS]
     return F.coalesce(*found)
 
 

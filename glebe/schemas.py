@@ -12,6 +12,7 @@ def struct(*fields: tuple[str, T.DataType]) -> T.StructType:
 
 
 # Measures both weather sources share.
+# Names and order of measures and columns, here and in the tables below.
 SHARED_MEASURES = (
     "temperature_2m_max",
     "temperature_2m_min",
@@ -128,6 +129,7 @@ GROUNDWATER = struct(
     ("mode_obtention", STRING), ("qualification", STRING), ("code_qualification", LONG),
 )
 
+# Columns of the work log.
 WORK_LOG_FIELDS = ("id", "date", "debut", "fin", "duree_h", "poste", "notes", "source")
 WORK_HOURS = struct(
     ("id", STRING), ("date", DATE), ("debut", STRING), ("fin", STRING), ("duree_h", DOUBLE),

@@ -53,6 +53,7 @@ def latest_event_per_user(spark, sf):
   SELECT latitude, longitude, CASE WHEN d IS NULL THEN DATE '2020-01-01' ELSE greatest(DATE '2020-01-01', d - 30) END AS debut, DATE '2024-02-15' AS fin,
     CASE WHEN d IS NULL THEN 'full' ELSE 'incremental' END AS mode, FALSE AS a_jour FROM wanted LEFT JOIN known USING (latitude, longitude)""")
 def refresh_plan(spark, sf):
+    """Points from the 46th degree on are not stored yet, so that both modes occur."""
     weather = standin(spark, sf, "weather")
     return latest.refresh_plan(weather.select("latitude", "longitude").distinct(), weather.filter("latitude < 46"), END)
 
