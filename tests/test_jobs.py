@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from glebe.operators import latest, summaries
 from glebe.plans import jobs
 from glebe.schemas import WEATHER_DAILY
-from glebe.session import scratch_path, work_dir
+from glebe.session import drop_scratch, scratch_path, work_dir
 from glebe.sources import tables
 from glebe.streaming.weather import stream_weather
 from helpers import rows
@@ -174,6 +174,18 @@ def test_work_dir(spark):
     assert work_dir(spark) == work_dir(spark) and scratch_path(spark, "a") != scratch_path(spark, "a")
 
 
+def test_scratch_is_dropped_in_the_work_folder_only(spark, tmp_path):
+    path = scratch_path(spark, "x")
+    spark.range(3).write.parquet(path)
+    drop_scratch(spark, path)
+    drop_scratch(spark, path)
+    assert tables.read_table(spark, path) is None
+    spark.range(3).write.parquet(str(tmp_path / "t"))
+    with pytest.raises(ValueError):
+        drop_scratch(spark, str(tmp_path / "t"))
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 3
+
+
 def test_a_table_with_repeated_keys_is_merged(spark, tmp_path):
     path = str(tmp_path / "t")
     old = spark.createDataFrame([(1., 1., D(2024, 3, 1), 5., 2024)] * 2, "latitude double, longitude double, date date, rain double, annee int")

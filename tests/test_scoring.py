@@ -85,6 +85,15 @@ def test_scenario_table(spark, parcels):
         scoring.score_scenarios(parcels, wrong).collect()
 
 
+def test_thousands_of_scenarios(spark, parcels):
+    table = spark.range(2500).select(F.col("id").cast("string").alias("scenario"), (F.col("id") % 70 / 100).alias("poids_economique"),
+                                     F.lit(0.3).alias("poids_eau"), (F.lit(0.7) - F.col("id") % 70 / 100).alias("poids_topographie"))
+    scored = scoring.score_scenarios(parcels, table)
+    assert scored.count() == 2500 * parcels.count() and scored.select("id", "scenario").distinct().count() == scored.count()
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
 def test_weights():
     with pytest.raises(ValueError):
         scoring.check_weights({"economique": 0.5, "eau": 0.3, "topographie": 0.1})
