@@ -112,7 +112,8 @@ def score_scenarios(parcels: DataFrame, scenarios: dict[str, dict[str, float]] |
         salt = [F.pmod(F.xxhash64(*SCENARIO.fieldNames()), F.lit(_SCENARIO_PARTS)).alias("_i"),
                 F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(_PARCEL_PARTS - 1).cast("bigint"))).alias("_j")]
         dealt = rows.select(checked.alias("_s"), *salt)
-        spread = scored.withColumn("_j", F.pmod(F.monotonically_increasing_id(), F.lit(_PARCEL_PARTS))).withColumn(
+        # Salts come from the rows alone, so that a task that runs again deals its rows alike.
+        spread = scored.withColumn("_j", F.pmod(F.xxhash64(*parcels.columns), F.lit(_PARCEL_PARTS))).withColumn(
             "_i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(_SCENARIO_PARTS - 1).cast("bigint")))).join(dealt, ["_i", "_j"])
     else:
         rows = [

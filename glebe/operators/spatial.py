@@ -133,7 +133,8 @@ def radius_join(sites: DataFrame, targets: DataFrame, radius_km: float,
         return F.explode(F.sequence(F.lit(0), parts - 1))
 
     def own(columns: list[str], parts: Column) -> Column:
-        return F.pmod(F.xxhash64(*columns, F.monotonically_increasing_id()), parts).cast("int")
+        # From the row alone, so that a task that runs again deals its rows alike.
+        return F.pmod(F.xxhash64(*columns), parts).cast("int")
 
     placed = placed.join(crowded, cell, "left").withColumn("_tpart", own(targets.columns, t_parts)).withColumn(
         "_spart", every(s_parts)).drop("_tparts", "_sparts")
