@@ -63,7 +63,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source",
     Returns the columns of the input and the copy's number from 0 in ``copy_col``, which replaces an input column of
     that name; None leaves it out. The draw hangs on the seed and the id alone, so a
     repeated row draws alike and all documents with a null id share a draw. Texts are not read. Each copy goes to a
-    partition and a place in it by hash; a document repeated in many rows is spread, not sent to one partition.
+    partition and a place in it by hash; a document repeated in many rows is spread, not sent to one partition, by the
+    rows' places in their files. So ``docs`` should be a stored table, which a task that runs again reads alike.
     """
     row = "mix_row"
     # Staged, so that Spark knows its size and sends a small one to all tasks instead of shuffling texts by source.
