@@ -122,12 +122,16 @@ def learn_rules(labelled: DataFrame) -> list[Rule]:
 
 
 def _thresholds(labelled: DataFrame) -> dict[str, list[float]]:
-    """Per statistic, quantiles of either kind of rows, without those that part nothing."""
+    """Per statistic, the middles between neighbouring quantiles of either kind of rows.
+
+    Where the kinds lie apart, a rule so cuts in the middle of the gap, not at the last row of good quality seen.
+    """
     steps = [i / BINS for i in range(BINS + 1)]
     quantiles = labelled.groupBy("low").agg(*(F.percentile_approx(s, steps).alias(s) for s in TESTED)).collect()
     if len(quantiles) < 2:
         return {}
-    return {s: sorted({value for row in quantiles for value in row[s]})[:-1] for s in TESTED}
+    seen = {s: sorted({float(value) for row in quantiles for value in row[s]}) for s in TESTED}
+    return {s: [(a + b) / 2 for a, b in zip(values, values[1:], strict=False)] for s, values in seen.items()}
 
 
 def _grow(rows: DataFrame, thresholds: dict[str, list[float]]) -> Rule | None:
