@@ -9,6 +9,7 @@ with every row.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
@@ -74,12 +75,14 @@ def fit(vectors: DataFrame, n_rows: int, sample: int = SAMPLE) -> Index | None:
     """
     import numpy as np
 
-    # Distinct vectors only: copies would be each other's only neighbours. One copied vector has one hash.
-    keep = F.pmod(F.xxhash64("v"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, 1.3 * sample / max(1, n_rows)))
-    rows = vectors.filter(keep).groupBy(F.xxhash64("v").alias("h")).agg(F.first("v").alias("v")).orderBy("h").limit(sample)
-    points = np.array([r.v for r in rows.collect()], np.float64)
-    if not len(points):
+    # Distinct vectors only: copies would be each other's only neighbours. One copied vector has one hash. Hashes alone
+    # are made distinct and ordered; vectors are gathered only for the least ones.
+    hashed = vectors.withColumn("h", F.xxhash64("v"))
+    least = [r.h for r in hashed.select("h").distinct().orderBy("h").limit(sample).collect()]
+    if not least:
         return None
+    rows = hashed.filter(F.col("h") <= least[-1]).groupBy("h").agg(F.first("v").alias("v")).orderBy("h")
+    points = np.array([r.v for r in rows.collect()], np.float64)
     parts = int(max(1, min(MOST_PARTS, n_rows**0.5 // ROOT_SHARE, len(points) // (2 * NEIGHBOURS))))
     near = _graph(points, min(NEIGHBOURS, len(points) - 1))
     of = _balanced_parts(near, parts)
@@ -206,24 +209,31 @@ def search(rows: DataFrame, queries: Column, id_col: str = "vec_id", vector: str
     """(query_id, rank, id, score): for each row that ``queries`` picks, its k rows of largest inner product found.
 
     A query's own row (its id) is no candidate; ties go to the smaller id; scores are exact, in double precision.
-    Vectors that are not usable, and rows without an id, take no part. Vectors of another length than the sample's
-    are compared with none. Every other row is in one part, and a part of any size is compared block by block.
+    Vectors that are not usable, and rows without an id, take no part. Vectors are compared with those of their own
+    length. Every row is in one part, and a part of any size is compared block by block.
     Rows that share an id are candidates and queries each.
     """
     kind = rows.schema[id_col].dataType.simpleString()
     sound = stage(rows.filter(usable(vector) & F.col(id_col).isNotNull()).select(
         F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("v"),
         F.coalesce(queries, F.lit(False)).alias("asks"), F.monotonically_increasing_id().alias("row")), "vectors")
-    n_rows = sound.count()
+    lengths = {r.length: r.n_rows for r in sound.groupBy(F.size("v").alias("length")).agg(F.count("*").alias("n_rows")).collect()}
+    if not lengths:
+        return rows.sparkSession.createDataFrame([], f"query_id {kind}, rank int, id {kind}, score double")
+    # Inner products are of vectors of one length; each length is a table with its own index.
+    parts = [_search_length(sound.filter(F.size("v") == length) if len(lengths) > 1 else sound, n_rows, kind, k, sample)
+             for length, n_rows in sorted(lengths.items())]
+    return reduce(DataFrame.unionAll, parts)
+
+
+def _search_length(sound: DataFrame, n_rows: int, kind: str, k: int, sample: int) -> DataFrame:
+    """``search`` over ``sound`` (id, v, asks, row) of ``n_rows`` rows, with vectors of one length."""
     index = fit(sound, n_rows, sample)
-    result = f"query_id {kind}, rank int, id {kind}, score double"
-    if index is None:
-        return rows.sparkSession.createDataFrame([], result)
     placed = stage(_placed(sound, index, kind), "placed")
     sizes = placed.groupBy("part").agg(F.count_if(~F.col("asking")).alias("rows"), F.count_if("asking").alias("queries"))
     counts = {r.part: (-(-r.rows // BLOCK_ROWS), -(-r.queries // QUERY_ROWS)) for r in sizes.collect()}
-    table = rows.sparkSession.createDataFrame([(p, max(1, b), max(1, q)) for p, (b, q) in counts.items()],
-                                              "part int, blocks bigint, groups bigint")
+    table = sound.sparkSession.createDataFrame([(p, max(1, b), max(1, q)) for p, (b, q) in counts.items()],
+                                               "part int, blocks bigint, groups bigint")
     # At most one row per part.
     dealt = placed.join(F.broadcast(table), "part")
     own = F.xxhash64("row")

@@ -89,3 +89,15 @@ def test_repeated_ids_and_large_components(spark):
     assert [i for i, _ in got[3]] == [1, 1, 2, 2]
     got = found(table(spark, vectors, ids=[1, 2, 3, 3]), F.col("vec_id") == 2)
     assert [i for i, _ in got[2]] == [1, 3, 3]
+
+
+def test_many_copies_of_few_vectors(spark):
+    few = np.random.default_rng(4).standard_normal((3, 6)).tolist()
+    got = found(table(spark, few * 700), F.col("vec_id") < 3, sample=2)
+    assert sorted(got) == [0, 1, 2] and all(len(rows) == 20 for rows in got.values())
+
+
+def test_vectors_of_two_lengths(spark):
+    vectors = [[1.0, 2.0], [1.0, 2.0, 3.0], [3.0, 1.0], [0.5, 1.0, 1.0], [2.0, 2.0]]
+    got = found(table(spark, vectors), F.lit(True))
+    assert {q: [i for i, _ in rows] for q, rows in got.items()} == {0: [4, 2], 1: [3], 2: [4, 0], 3: [1], 4: [2, 0]}
