@@ -25,8 +25,9 @@ SAMPLE = 8_000
 ROOT_SHARE = 8
 MOST_PARTS = 256
 NEIGHBOURS = 16
-#: Share of the sample's true neighbours that the routed parts must hold.
-WANTED = 0.95
+#: Share of the held-out points' true neighbours that the routed parts must hold, and how many points one is held out of.
+WANTED = 0.98
+HELD_OUT = 8
 #: Rows of a part compared by one call; a larger part is several blocks.
 BLOCK_ROWS = 4_096
 QUERY_ROWS = 1_024
@@ -67,7 +68,7 @@ def usable(vector: str = "embedding") -> Column:
     return F.coalesce(v.isNotNull() & (F.size(v) > 0) & sound & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
-def fit(vectors: DataFrame, n_rows: int, sample: int = SAMPLE) -> Index | None:
+def fit(vectors: DataFrame, n_rows: int, sample: int = SAMPLE, k: int = K) -> Index | None:
     """The index for ``vectors`` (id, v), from at most ``sample`` of them; None if there are none.
 
     Vectors must have one length. The sample and all sizes here are bounded by parameters, so the fit runs in the
@@ -83,12 +84,14 @@ def fit(vectors: DataFrame, n_rows: int, sample: int = SAMPLE) -> Index | None:
         return None
     rows = hashed.filter(F.col("h") <= least[-1]).groupBy("h").agg(F.first("v").alias("v")).orderBy("h")
     points = np.array([r.v for r in rows.collect()], np.float64)
-    parts = int(max(1, min(MOST_PARTS, n_rows**0.5 // ROOT_SHARE, len(points) // (2 * NEIGHBOURS))))
-    near = _graph(points, min(NEIGHBOURS, len(points) - 1))
+    held = np.arange(len(points)) % HELD_OUT == HELD_OUT - 1
+    known = points[~held]
+    parts = int(max(1, min(MOST_PARTS, n_rows**0.5 // ROOT_SHARE, len(known) // (2 * NEIGHBOURS))))
+    near = _graph(known, min(NEIGHBOURS, len(known) - 1))
     of = _balanced_parts(near, parts)
-    weights = _classifier(_inputs(points), of, near, parts)
+    weights = _classifier(_inputs(known), of, near, parts)
     index = Index(weights, parts, 1, points.shape[1])
-    return Index(weights, parts, _probes(index, points, near), points.shape[1])
+    return Index(weights, parts, _probes(index, points, held, k) if parts > 1 else 1, points.shape[1])
 
 
 def _graph(points, k: int):
@@ -188,15 +191,21 @@ def _classifier(inputs, of, near, parts: int, rounds: int = 40):
     return tuple(weights)
 
 
-def _probes(index: Index, points, near) -> int:
-    """The fewest parts that hold the wanted share of the sample's neighbours, where the classifier puts them.
+def _probes(index: Index, points, held, k: int) -> int:
+    """The fewest parts that hold the wanted share of the k neighbours of the points held out of the training, where
+    the classifier puts them.
 
     The sample's neighbours lie further off than those among all rows, so the share errs low.
     """
     import numpy as np
 
+    asking = np.flatnonzero(held)
+    products = points[asking] @ points.T
+    products[np.arange(len(asking)), asking] = -np.inf
+    k = min(k, len(points) - 1)
+    near = np.argpartition(-products, k - 1, axis=1)[:, :k]
     odds = index.probabilities(points)
-    rank = np.argsort(np.argsort(-odds, axis=1), axis=1)
+    rank = np.argsort(np.argsort(-odds[asking], axis=1), axis=1)
     at = np.take_along_axis(rank, odds.argmax(axis=1)[near], axis=1)
     for probes in range(1, index.parts + 1):
         if (at < probes).mean() >= WANTED:
@@ -228,7 +237,7 @@ def search(rows: DataFrame, queries: Column, id_col: str = "vec_id", vector: str
 
 def _search_length(sound: DataFrame, n_rows: int, kind: str, k: int, sample: int) -> DataFrame:
     """``search`` over ``sound`` (id, v, asks, row) of ``n_rows`` rows, with vectors of one length."""
-    index = fit(sound, n_rows, sample)
+    index = fit(sound, n_rows, sample, k)
     placed = stage(_placed(sound, index, kind), "placed")
     sizes = placed.groupBy("part").agg(F.count_if(~F.col("asking")).alias("rows"), F.count_if("asking").alias("queries"))
     counts = {r.part: (-(-r.rows // BLOCK_ROWS), -(-r.queries // QUERY_ROWS)) for r in sizes.collect()}
