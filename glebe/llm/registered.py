@@ -86,7 +86,7 @@ def op3_warc(spark, sf_dir):
 def op4_chunk_dedup(spark, sf_dir):
     """Spans of all documents that repeat passages of other documents or of their own."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    spans = chunks.repeated_spans(chunks.numbered(docs, "doc_id", "text"))
+    spans = chunks.repeated_passages(chunks.numbered(docs, "doc_id", "text"))
     return spans.select(F.col("id").alias("doc_id"), "start", "end", "words", F.col("first_ids").alias("first_doc_ids"))
 
 

@@ -94,3 +94,47 @@ def test_texts_without_their_repeats(spark, odd_docs, no_docs):
     odd = chunks.drop_repeats(odd_docs)
     assert odd.columns == odd_docs.columns and odd.count() == odd_docs.count()
     assert chunks.drop_repeats(no_docs).count() == 0 and spans_of(no_docs) == []
+
+
+def passages_of(texts, spark):
+    frame = spark.createDataFrame(texts, "doc_id bigint, text string").coalesce(1)
+    return {r.id: r for r in chunks.repeated_passages(chunks.numbered(frame, "doc_id", "text")).collect()}
+
+
+def test_short_passages_are_found_whole(spark):
+    planted = {1000 + i: prose(5000 + i, 51) for i in range(60)}
+    texts = [(i - 1000, prose(i, 30) + " <" + p + "> " + prose(i + 100, 30)) for i, p in planted.items()]
+    texts += [(i, prose(i + 7000, 40) + " (" + p + ") " + prose(i + 8000, 40)) for i, p in planted.items()]
+    got, of = passages_of(texts, spark), dict(texts)
+    assert sorted(got) == sorted(planted)
+    for i, span in got.items():
+        covered = of[i][span.start:span.end].split()
+        # The words at both ends differ by their bracket and stay; all between are in the span.
+        assert covered == planted[i].split()[1:-1] and span.words == 49 and span.first_ids == [i - 1000]
+
+
+def test_passages_grow_past_a_chunk_of_another_text(spark):
+    common, passage = prose(1, 8), prose(2, 60)
+    whole = passage[:150] + " " + common + " " + passage[150:]
+    texts = [(0, prose(3, 20) + " " + common + " " + prose(4, 20)), (1, prose(5, 20) + " " + whole + " " + prose(6, 20)),
+             (2, prose(7, 20) + " " + whole + " " + prose(8, 20))]
+    span = passages_of(texts, spark)[2]
+    at = texts[2][1].index(whole)
+    assert at - 2 <= span.start <= at and at + len(whole) <= span.end <= at + len(whole) + 2
+
+
+def test_texts_without_white_space(spark):
+    rng = random.Random(3)
+    glyphs = lambda n: "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(n))
+    passage = glyphs(150)
+    texts = [(1, glyphs(400) + passage + glyphs(300)), (2, glyphs(133) + passage + glyphs(90)), (3, glyphs(500))]
+    got = passages_of(texts, spark)
+    assert list(got) == [2] and (got[2].start, got[2].end) == (133, 283) and got[2].words >= 16
+
+
+def test_matches_beyond_the_first_reach(spark, monkeypatch):
+    monkeypatch.setattr(chunks, "REACH", 3)
+    p = prose(11, 60)
+    texts = [(1, "start " + p + " end"), (2, "other words " + p + " more")]
+    span = passages_of(texts, spark)[2]
+    assert texts[1][1][span.start:span.end].strip() == p
