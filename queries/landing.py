@@ -139,6 +139,19 @@ def sales_from_csv(spark, sf):
     return _read_sales(spark, sf).select(SALE_COLUMNS)
 
 
+#: Lines of a landed file, about.
+FILE_LINES = 50_000
+
+
+def _dealt_lines(rows, name: str, ending: str, line):
+    """(name, lines): lines of a year dealt into files of bounded size, however many rows the year has."""
+    files = max(1, -(-rows.count() // FILE_LINES))
+    number = F.pmod(F.monotonically_increasing_id(), F.lit(files))
+    # Partition ids are the high bits, so each partition deals its rows evenly.
+    dealt = rows.select("annee", line.alias("line"), number.alias("number"))
+    return dealt.groupBy(F.format_string(f"{name}.{ending}", "annee", "number").alias("name")).agg(F.collect_list("line").alias("lines"))
+
+
 def _landed_files(rows, path, header: str, packed: bool):
     """Real files: one CSV or ZIP per row of ``rows`` (name, lines), with that header and quoted line breaks."""
 
@@ -164,8 +177,8 @@ def _landed_files(rows, path, header: str, packed: bool):
             yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(bodies, pa.binary())], ["name", "body"])
 
     files = rows.mapInArrow(write, "name string, body binary").select("name", F.col("body").cast("string").alias("value"))
-    for name in sorted(r.name for r in rows.select("name").collect()):
-        files.filter(F.col("name") == name).select("value").coalesce(1).write.option("lineSep", "\n").text(f"{path}/{name}")
+    # All lines of a file are in one row, so each folder gets one part file; files of a year are written side by side.
+    files.write.mode("append").partitionBy("name").option("lineSep", "\n").text(path)
     return files
 
 
@@ -175,9 +188,9 @@ def _named_files(spark, path: str) -> str:
     fs = hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
     out = f"{path}-named"
     fs.mkdirs(hadoop.Path(out))
-    for folder in fs.listStatus(hadoop.Path(path)):
+    for folder in fs.globStatus(hadoop.Path(path, "name=*")):
         part = fs.globStatus(hadoop.Path(folder.getPath(), "part-*"))[0].getPath()
-        fs.rename(part, hadoop.Path(out, folder.getPath().getName()))
+        fs.rename(part, hadoop.Path(out, folder.getPath().getName().removeprefix("name=")))
     return out
 
 
@@ -195,11 +208,11 @@ def loaded_quotes_job(spark, sf):
     header = "annee;produit;marche;prix_moyen"
     for packed, ending in ((False, "csv"), (True, "zip")):
         part = quotes.filter(F.pmod("annee", F.lit(2)) == int(packed))
-        lines = part.groupBy(F.concat(F.lit("rnm_"), F.col("annee"), F.lit(f".{ending}")).alias("name")).agg(F.collect_list(line).alias("lines"))
+        lines = _dealt_lines(part, "rnm_%s_%s", ending, line)
         _landed_files(lines, path, header, packed)
     first = quotes.agg(F.min("annee")).first()[0]
     for name in (f"rnm_{first}_suite.zip", f"rnm_{first}.xlsx"):
-        spark.range(1).select(F.lit("no archive").alias("value")).coalesce(1).write.text(f"{path}/{name}")
+        spark.range(1).select(F.lit("no archive").alias("value")).coalesce(1).write.text(f"{path}/name={name}")
     years = [r.annee for r in quotes.select("annee").distinct().collect()]
     out, bad = scratch_path(spark, "quotes_table"), scratch_path(spark, "quarantine")
     summary = jobs.load_quotes(spark, _named_files(spark, path), out, years, quarantine=bad)
@@ -222,7 +235,7 @@ def loaded_sales_job(spark, sf):
     path = scratch_path(spark, "sale_files")
     for packed, ending in ((False, "csv"), (True, "zip")):
         part = sales.filter(F.col("annee") % 2 == int(packed))
-        lines = part.unionAll(part).groupBy(F.concat(F.lit("dvf_"), F.col("annee"), F.lit(f"_T1.{ending}")).alias("name")).agg(F.collect_list(line).alias("lines"))
+        lines = _dealt_lines(part.unionAll(part), "dvf_%s_T1_%s", ending, line)
         _landed_files(lines, path, "date_mutation,valeur_fonciere,code_departement,id_parcelle,nature_mutation", packed)
     out = scratch_path(spark, "sales_table")
     counts = jobs.load_sales(spark, _named_files(spark, path), out, [2015, 2016, 2017], ["72"])

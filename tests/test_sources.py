@@ -289,3 +289,21 @@ def test_tables(spark, tmp_path):
     assert spark.read.parquet(log).count() == 1
     filled, absent = tables.with_missing_columns(spark.range(1).withColumn("date", F.current_date()), WEATHER_DAILY)
     assert "latitude" in absent and "date" not in absent and set(WEATHER_DAILY.fieldNames()) <= set(filled.columns)
+
+
+def test_landed_sales_are_dealt_into_files_of_bounded_size(spark, monkeypatch):
+    from queries import landing as landed
+
+    monkeypatch.setattr(landed, "FILE_LINES", 60)
+    sizes, before = [], landed._landed_files
+    monkeypatch.setattr(landed, "_landed_files", lambda rows, *rest: (
+        sizes.extend(len(r.lines) for r in rows.collect()), before(rows, *rest)))
+    sf = "/root/testdata/sf0.001"
+    got = {r.annee: (r.n, r.total) for r in landed.loaded_sales_job(spark, sf).select("annee", "n", "total").collect()}
+    parts = spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", "p_retailprice").collect()
+    assert sum(sizes) == 2 * len(parts) and max(sizes) <= 60 + 16
+    wanted = {}
+    for key, price in parts:
+        n, total = wanted.get(2015 + key % 4, (0, 0.0))
+        wanted[2015 + key % 4] = (n + 1, total + float(price // 1))
+    assert got == {year: wanted[year] for year in (2015, 2016, 2017)}
