@@ -90,6 +90,7 @@ def restore(filled: DataFrame, output_col: str = "output", form_col: str = "form
 
     def gather(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         for batch in batches:
             column = batch.column(output_col)
@@ -97,7 +98,7 @@ def restore(filled: DataFrame, output_col: str = "output", form_col: str = "form
             forms = batch.column(form_col).to_numpy(zero_copy_only=False)
             texts = _strings(*_gather(data, ends, forms))
             if column.null_count:
-                texts = pa.compute.if_else(column.is_valid(), texts, pa.scalar(None, pa.string()))
+                texts = pc.if_else(column.is_valid(), texts, pa.scalar(None, pa.string()))
             names = [n for n in batch.schema.names if n != output_col]
             yield pa.RecordBatch.from_arrays([batch.column(n) for n in names] + [texts], [*names, restored_col])
 
@@ -112,9 +113,10 @@ def _buffer(column):
     """The bytes of all texts of an Arrow column in a row, and where each text starts, the end of the last added."""
     import numpy as np
     import pyarrow as pa
+    import pyarrow.compute as pc
 
     # Nulls become empty texts, and own no bytes then.
-    column = pa.compute.fill_null(column.cast(pa.large_binary()), b"")
+    column = pc.fill_null(column.cast(pa.large_binary()), b"")
     _, offsets, data = column.buffers()
     places = np.frombuffer(offsets, np.int64)[column.offset:column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
     bytes_ = np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)
