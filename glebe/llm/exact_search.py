@@ -1,10 +1,10 @@
 """Exact top-k search by no-random-access aggregation.
 
-Rows are dealt to blocks. A block keeps one list per component, sorted by its value; a query reads the lists from their
-better ends, all to one depth, deeper round by round. A row's lower bound takes the worst value of every list it has not
-yet been read in, its upper bound the value that list was last read at. Reading stops when few rows are left whose upper
-bound reaches the k-th lower bound; all others, read or not, cannot qualify, and the scores of the few are resolved. The best
-of all blocks are merged.
+Rows are dealt to blocks, and a block to segments. A segment keeps one list per component, sorted by its value; a query
+reads the lists from their better ends, all to one depth, deeper round by round. A row's lower bound takes the worst value
+of every list it has not yet been read in, its upper bound the value that list was last read at. Reading stops when few rows
+are left whose upper bound reaches the k-th lower bound, or the k-th score of the segments before; all others, read or not,
+cannot qualify, and the scores of the few are resolved. The best of all blocks are merged.
 """
 
 from __future__ import annotations
@@ -18,13 +18,15 @@ from glebe.llm.common import in_batches, stage
 K = 10
 SCALE = 1024
 #: Components of a block's rows at most, about, which bounds a task's memory; and blocks that a small table is dealt to.
-BLOCK_VALUES = 1 << 22
+BLOCK_VALUES = 1 << 21
 BLOCKS = 64
-BLOCK_ROWS = 2048
+BLOCK_ROWS = 16_384
+#: Rows that share a set of lists.
+SEGMENT = 2048
 #: Parts of the lists to which they are read before the bounds are compared.
-DEPTHS = (1 / 64, 1 / 16, 1 / 4, 1 / 2, 5 / 8, 3 / 4, 13 / 16, 7 / 8, 15 / 16, 31 / 32)
-#: Rows that may be left when reading stops, as a multiple of k; also the rows whose scores are resolved.
-LEFT = 8
+DEPTHS = (1 / 16, 5 / 8, 3 / 4, 7 / 8, 15 / 16, 1)
+#: Rows that may be left when reading stops, as a multiple of k; their scores are resolved.
+LEFT = 25
 
 
 def quantised(vector: str, scale: int = SCALE) -> Column:
@@ -113,84 +115,75 @@ def _columns(batches, length: int):
 
 
 class Block:
-    """Rows with one sorted list per component."""
+    """Rows in segments, which a query reads one after the other: what it has found is a bound for the next."""
 
     def __init__(self, ids: list, vectors, counts):
-        import numpy as np
-
-        self.ids, self.vectors, self.counts = ids, vectors, counts
-        names = np.empty(len(ids), object)
-        names[:] = ids
-        self.names = np.array(ids) if isinstance(ids[0], int) else names
-        #: Row numbers and values of each list, smallest value first.
-        self.order = np.argsort(vectors.T, axis=1, kind="stable").astype(np.int32)
-        self.values = np.take_along_axis(vectors.T, self.order, axis=1).astype(np.float64)
-        self.largest = np.abs(self.values).max(axis=1, initial=0.0)
+        self.segments = [Segment(ids[at:at + SEGMENT], vectors[at:at + SEGMENT], counts[at:at + SEGMENT])
+                         for at in range(0, len(ids), SEGMENT)]
 
     def best(self, query, own, k: int) -> list[tuple]:
         """(id, score, count) of the k best rows for a query, but those of its own id."""
+        found: list[tuple] = []
+        for segment in self.segments:
+            at_least = found[k - 1][1] if len(found) >= k else None
+            found = sorted(found + segment.candidates(query, own, k, at_least), key=lambda hit: (-hit[1], hit[0]))[:k]
+        return found
+
+
+class Segment:
+    """Rows with one sorted list per component, to be read from either end."""
+
+    def __init__(self, ids: list, vectors, counts):
         import numpy as np
 
-        if float(np.abs(query.astype(np.float64)) @ self.largest) >= 2.0**63:
+        self.ids, self.vectors, self.counts = ids, vectors, counts
+        self.names = np.empty(len(ids), object)
+        self.names[:] = ids
+        if isinstance(ids[0], int):
+            self.names = np.array(ids)
+        order = np.argsort(vectors.T, axis=1, kind="stable")
+        values = np.take_along_axis(vectors.T, order, axis=1).astype(np.float64)
+        self.largest = np.abs(values).max(axis=1, initial=0.0)
+        # All lists from their small ends, then all from their large ends.
+        self.rows, self.values = (np.concatenate([x, x[:, ::-1]]) for x in (order, values))
+
+    def candidates(self, query, own, k: int, at_least=None) -> list[tuple]:
+        """(id, score, count) of the rows, but those of the query's own id, that may be among the k best; ``at_least``
+        is a score that k rows elsewhere have."""
+        import numpy as np
+
+        weights = query.astype(np.float64)
+        if float(np.abs(weights) @ self.largest) >= 2.0**63:
             raise OverflowError("a score does not fit 64 bits")
-        left = self._left(query.astype(np.float64), self.names == own, k)
+        left = self._left(weights, np.flatnonzero(self.names != own), k, at_least)
         scores = (self.vectors[left] @ query).tolist()
-        ranked = sorted(zip(scores, (self.ids[i] for i in left), self.counts[left].tolist(), strict=True), key=lambda x: (-x[0], x[1]))
-        return [(name, score, count) for score, name, count in ranked[:k]]
+        return [(self.ids[i], score, n) for i, score, n in zip(left, scores, self.counts[left].tolist(), strict=True)]
 
-    def _left(self, query, barred, k: int):
-        """Rows that may be among the k best, by reading the lists until these are few or the lists end."""
+    def _left(self, query, able, k: int, at_least):
+        """The rows whose upper bound reaches the k-th lower bound, when these are few or the lists are read far enough."""
         import numpy as np
 
-        n = len(self.ids)
-        few = max(LEFT * k, k)
-        rising, falling = np.flatnonzero(query < 0), np.flatnonzero(query > 0)
-        lists = np.concatenate([rising, falling])
-        weights = query[lists]
-        able = np.flatnonzero(~barred)
-        if len(able) <= few or not len(lists):
-            return able if len(able) <= few else self._first(able, k)
-        worst = np.concatenate([self.values[rising, -1], self.values[falling, 0]]) * weights
-        # Rounding in sums of exact products; 0.5 and less leaves whole numbers apart.
-        slack = float(np.abs(query) @ self.largest) * 2.0**-50
-        seen, unread, depth = np.zeros(n), np.full(n, worst.sum()), 0
+        n, heavy = len(self.ids), np.flatnonzero(query)
+        # A list is read from the end that has its largest products; where the weight is 0 all products are 0.
+        lists, weights = np.where(query < 0, 0, len(query))[heavy] + heavy, query[heavy]
+        worst = self.values[lists, -1] * weights
+        # Sums of products may be off by so much; below a half, whole numbers stay apart.
+        slack = float(np.abs(query) @ self.largest) * 2.0**-48
+        few, left = LEFT * k, able
         for share in DEPTHS:
-            deeper = max(depth, int(n * share))
-            if deeper == depth:
-                continue
-            rows = self._read(self.order, rising, falling, depth, deeper)
-            value = self._read(self.values, rising, falling, depth, deeper)
-            seen += np.bincount(rows.ravel(), (value * weights[:, None]).ravel(), n)
-            unread -= np.bincount(rows.ravel(), np.repeat(worst, deeper - depth), n)
-            depth = deeper
-            at_least = np.partition((seen + unread)[able], len(able) - k)[len(able) - k] - slack
-            last = value[:, -1] * weights
-            rest = last.sum()
-            # What no list has shown scores no more than the last values together, and no row can score more than its
-            # values seen and, for the other lists, these.
-            if rest > at_least and depth < n // 2:
-                continue
-            rows = self._read(self.order, rising, falling, 0, depth)
-            at_most = seen + rest - np.bincount(rows.ravel(), np.repeat(last, depth), n) + slack
-            left = able[at_most[able] >= at_least]
             if len(left) <= few:
-                return left
-        # Lists read to the end: all scores are known but for rounding.
-        rows = self._read(self.order, rising, falling, depth, n)
-        seen += np.bincount(rows.ravel(), (self._read(self.values, rising, falling, depth, n) * weights[:, None]).ravel(), n)
-        at_least = np.partition(seen[able], len(able) - k)[len(able) - k] - 2 * slack
-        return able[seen[able] >= at_least]
-
-    @staticmethod
-    def _read(table, rising, falling, start: int, end: int):
-        """What the lists hold between two depths: from the small end for weights below 0, else from the large one."""
-        import numpy as np
-
-        n = table.shape[1]
-        return np.concatenate([table[rising, start:end], table[falling, n - end:n - start][:, ::-1]])
-
-    def _first(self, able, k: int):
-        """The k least ids, where all scores are 0."""
+                break
+            depth = max(1, int(n * share))
+            rows, products = self.rows[lists, :depth], self.values[lists, :depth]
+            products *= weights[:, None]
+            floor = at_least
+            if at_least is None:
+                floor = np.partition(self._sums(rows, products, worst)[able], len(able) - k)[len(able) - k] - slack
+            left = able[self._sums(rows, products, products[:, -1])[able] + slack >= floor]
+        return left
+
+    def _sums(self, rows, products, others):
+        """Per row its products read, and for lists it was not read in what ``others`` has for them."""
         import numpy as np
 
-        return np.array(sorted(able.tolist(), key=lambda i: self.ids[i])[:k], np.int64)
+        return others.sum() + np.bincount(rows.ravel(), (products - others[:, None]).ravel(), len(self.ids))

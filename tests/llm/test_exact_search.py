@@ -87,13 +87,28 @@ def test_bounds_lose_nothing(seed, n, length, k, width):
     assert [(-s, i) for i, s, _ in block.best(query, own, k)] == plain[:k]
 
 
-def test_reading_stops_early_where_a_list_decides():
+def test_reading_stops_early_where_a_list_decides(monkeypatch):
     rng = np.random.default_rng(2)
-    vectors = rng.integers(-3, 4, (4000, 6))
-    vectors[:, 2] = rng.permutation(4000) - 2000
-    block = es.Block(list(range(4000)), vectors, np.ones(4000, np.int64))
-    depths = []
-    read = es.Block._read
-    block._read = lambda table, rising, falling, start, end: depths.append(end) or read(table, rising, falling, start, end)
-    left = block._left(np.array([1.0, -1, 50, 0, 1, 1]), np.zeros(4000, bool), 10)
-    assert len(left) <= 80 and max(depths) <= 1000
+    vectors = rng.integers(-3, 4, (2000, 6))
+    vectors[:, 2] = rng.permutation(2000) - 1000
+    segment = es.Segment(list(range(2000)), vectors, np.ones(2000, np.int64))
+    query, depths, sums = np.array([1, -1, 50, 0, 1, 1]), [], segment._sums
+    segment._sums = lambda rows, products, others: depths.append(rows.shape[1]) or sums(rows, products, others)
+    left = segment.candidates(query, -1, 10)
+    assert len(left) <= 160 and max(depths) <= 1250
+    best = sorted(left, key=lambda hit: (-hit[1], hit[0]))[:10]
+    depths.clear()
+    # Ten scores from elsewhere spare reading further.
+    assert set(best) <= set(segment.candidates(query, -1, 10, best[-1][1])) and max(depths) <= 500
+
+
+def test_segments_give_what_one_does(monkeypatch):
+    rng = np.random.default_rng(4)
+    vectors = rng.integers(-2, 3, (700, 5))
+    ids = rng.permutation(700).tolist()
+    whole = es.Block(ids, vectors, np.ones(700, np.int64))
+    monkeypatch.setattr(es, "SEGMENT", 60)
+    parts = es.Block(ids, vectors, np.ones(700, np.int64))
+    assert len(parts.segments) == 12
+    for q in rng.integers(-2, 3, (20, 5)):
+        assert whole.best(q, 5, 7) == parts.best(q, 5, 7)
