@@ -413,7 +413,7 @@ def block_answers(counts: DataFrame, sums: DataFrame, upper, buckets: int, depth
                         words = dict(zip(_unpack_words(told), _unpack_ints(n).tolist(), strict=True))
                 elif bucket < buckets:
                     own = figures[np.searchsorted(keys, _unpack_ints(told))]
-                    out.append((block, bucket, told, own.astype("<f4").tobytes()))
+                    out.append((block, bucket, told, own.astype("<f8").tobytes()))
                 else:
                     out.append((block, bucket, told, _pack_ints(np.array([words[w] for w in _unpack_words(told)]))))
             if out:
@@ -468,16 +468,16 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         import pyarrow as pa
 
         count: dict[bytes, int] = {}
-        keys, values = [np.empty(0, np.int64)], [np.empty(0, "<f4")]
+        keys, values = [np.empty(0, np.int64)], [np.empty(0)]
         for bucket, told, figures in zip(*(model.column(c).to_pylist() for c in ("bucket", "keys", "figures")), strict=True):
             if bucket < buckets:
                 keys.append(_unpack_ints(told))
-                values.append(np.frombuffer(figures, "<f4"))
+                values.append(np.frombuffer(figures, "<f8"))
             else:
                 count.update(zip(_unpack_words(told), _unpack_ints(figures).tolist(), strict=True))
         keys, values = np.concatenate(keys), np.concatenate(values)
         order = np.argsort(keys, kind="stable")
-        keys, values = keys[order], values[order].astype(np.float64)
+        keys, values = keys[order], values[order]
         out: list[list] = [[] for _ in range(7)]
         for ids, is_held, sizes, data in zip(*(rows.column(c).to_pylist() for c in ("ids", "held", "sizes", "data")), strict=True):
             data = _texts(sizes, data)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
@@ -21,18 +22,22 @@ def uniform(seed: int, *keys: Column) -> Column:
 
 
 def poisson_count(rate: Column, draw: Column) -> Column:
-    """The count whose Poisson distribution function first exceeds the draw.
+    """The count whose Poisson distribution function first exceeds the draw, for any rate.
 
-    A rate of hundreds is split off into whole copies first: whole hundreds are certain, so that exp(-rate) keeps
-    its precision, and the rest is drawn.
+    The sum starts where the mass below is nothing (twelve deviations below the rate), with the logarithm of the
+    probability there, so that no rate underflows.
     """
-    certain = F.floor(F.greatest(rate - 100, F.lit(0.0)))
-    rest = rate - certain
-    zero = F.struct(F.exp(-rest).alias("p"), F.exp(-rest).alias("upto"), F.lit(0).alias("n"))
-    steps = F.sequence(F.lit(1), F.lit(1) + F.ceil(rest + 12 * F.sqrt(rest) + 12).cast("int"))
-    drawn = F.aggregate(steps, zero, lambda acc, k: F.when(acc.upto > draw, acc).otherwise(
-        F.struct((acc.p * rest / k).alias("p"), (acc.upto + acc.p * rest / k).alias("upto"), k.alias("n"))))
-    return (certain + drawn.n).cast("int")
+    lowest = F.floor(rate - 12 * F.sqrt(rate) - 12).cast("double")
+    first = F.when(lowest >= 50, lowest).otherwise(0.0)
+    x = first + 1
+    # The logarithm of the factorial by Stirling's series, good to 15 digits from 50 on.
+    factorial = (x - 0.5) * F.log(x) - x + math.log(2 * math.pi) / 2 + 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * F.pow(x, F.lit(5)))
+    p = F.exp(F.when(first > 0, first * F.log(rate) - factorial).otherwise(0.0) - rate)
+    start = F.struct(p.alias("p"), p.alias("upto"), first.alias("n"))
+    steps = F.transform(F.sequence(F.lit(1), F.ceil(rate - first + 12 * F.sqrt(rate) + 12).cast("int")), lambda i: first + i)
+    drawn = F.aggregate(steps, start, lambda acc, k: F.when(acc.upto > draw, acc).otherwise(
+        F.struct((acc.p * rate / k).alias("p"), (acc.upto + acc.p * rate / k).alias("upto"), k.alias("n"))))
+    return drawn.n.cast("int")
 
 
 def repetition_rates(docs: DataFrame, source_col: str = "source", weights: Mapping[str, float] | None = None,

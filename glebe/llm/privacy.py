@@ -1,18 +1,17 @@
 """Personal data and information-theoretic sanitisation.
 
-Personal data are found by their form. Which further terms reveal them is told from the corpus: a term that stands
-near one protected value in several different texts, and hardly ever elsewhere, discloses that value. With
-P(value | term) = texts with the term near the value / texts with the term, the pointwise mutual information of term
-and value is log2 P(value | term) - log2 P(value), that is the value's information content less the log2 of
-1 / P(value | term). A term discloses the value if at most a fraction of the value's information stays hidden, that
-is if P(value | term) reaches the threshold.
+Personal data are found by their form. Which further terms reveal them is told from the corpus, by co-occurrence in whole
+texts: a term that stands in several different texts with a protected entity, and hardly ever without it, discloses that
+entity. Entities are the protected values themselves, their kinds, and personal data of any kind. With P(entity | term) =
+texts with both / texts with the term, the pointwise mutual information of term and entity is log2 P(entity | term) -
+log2 P(entity), that is the entity's information content less the log2 of 1 / P(entity | term). A term discloses the entity
+if at most a fraction of the entity's information stays hidden, that is if P(entity | term) reaches the threshold. Rare
+terms tell P badly, so its lower confidence bound has to.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_left, bisect_right
-from itertools import chain
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,12 +20,13 @@ from pyspark.sql import types as T
 from glebe.llm.common import in_batches, rows_of, stage, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
-#: Words on each side of a protected value that may reveal it.
-WINDOW = 5
-#: Least number of different texts in which a term stands near a value.
-SUPPORT = 5
-#: Least share of the texts with a term that have it near the value.
+#: Least share of the texts with a term that hold the entity.
 DISCLOSURE = 0.5
+#: Normal quantiles of the lower bound of that share. Of a value 90 %, so that two texts of two suffice; kinds are common
+#: and meet many terms by chance, so theirs is 99 %, for which it takes six of six.
+VALUE_Z, KIND_Z = 1.28, 2.33
+#: Terms that a task counts before it passes the counts on.
+_HELD_TERMS = 200_000
 #: Bits of the Bloom filter that preselects words: 256 KB at any size. Overfull, it only passes more words to the join.
 FILTER_BITS = 21
 _SPANS = "array<struct<kind:string,start:int,end:int>>"
@@ -90,17 +90,16 @@ def _luhn(digits: list[int]) -> bool:
     return (sum(digits[-1::-2]) + sum(doubled)) % 10 == 0
 
 
-def _neighbours(text: str, spans: list[tuple[str, int, int]], window: int):
-    """(term, protected value) for the words around each span; words that touch a span are no terms."""
-    words = [m.span() for m in _WORD.finditer(text)]
-    starts, ends = [s for s, _ in words], [e for _, e in words]
-    inside = [(bisect_right(ends, start), bisect_left(starts, end)) for _, start, end in spans]
-    touched = {i for first, last in inside for i in range(first, last)}
-    for (kind, start, end), (first, last) in zip(spans, inside, strict=True):
-        value = f"{kind}:{text[start:end].lower()}"
-        for i in chain(range(max(0, first - window), first), range(last, min(len(words), last + window))):
-            if i not in touched and (term := _term(text[slice(*words[i])])):
-                yield term, value
+def _terms(text: str, spans: list[tuple[str, int, int]]) -> list[str]:
+    """The distinct terms of a text; words that touch a span are none."""
+    found, at = set(), 0
+    ordered = sorted((start, end) for _, start, end in spans)
+    for m in _WORD.finditer(text):
+        while at < len(ordered) and ordered[at][1] <= m.start():
+            at += 1
+        if all(start >= m.end() or end <= m.start() for start, end in ordered[at:at + len(KINDS)]):
+            found.add(_term(m.group()))
+    return sorted(found - {""})
 
 
 def _term(word: str) -> str:
@@ -108,9 +107,11 @@ def _term(word: str) -> str:
     return word.encode().strip(_MARKS).lower().decode()
 
 
-def find_personal(docs: DataFrame, carry: list[str], text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """(doc, mark, base, near): per row its carried columns, a digest of its text, the spans found by form, and the
-    terms near them as (term, value). A null text has none. Rows are handled one by one, whatever their ids.
+def find_personal(docs: DataFrame, carry: list[str], text_col: str = "text") -> DataFrame:
+    """(doc, mark, base, values, terms): per row its carried columns, a digest of its text, the spans found by form, their
+    distinct values as kind:value, and, where there are any, all terms of the text.
+
+    A null text has none. Rows are handled one by one, whatever their ids.
     """
     doc = F.struct(*(F.col(f"`{c}`") for c in carry))
     kind = docs.select(doc.alias("doc")).schema[0].dataType
@@ -118,40 +119,109 @@ def find_personal(docs: DataFrame, carry: list[str], text_col: str = "text", win
     def found(batches):
         import pyarrow as pa
 
-        near_type = pa.list_(pa.struct([("term", pa.string()), ("value", pa.string())]))
         for batch in batches:
-            base, near = [], []
+            base, values, terms = [], [], []
             for text in batch.column("text").to_pylist():
                 spans = personal_spans(text)
                 base.append([{"kind": k, "start": s, "end": e} for k, s, e in spans])
-                pairs = sorted(set(_neighbours(text, spans, window))) if spans else []
-                near.append([{"term": t, "value": v} for t, v in pairs])
+                values.append(sorted({f"{k}:{text[s:e].lower()}" for k, s, e in spans}))
+                terms.append(_terms(text, spans) if spans else [])
+            lists = pa.list_(pa.string())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc"), batch.column("mark"), pa.array(base, _spans_type()), pa.array(near, near_type)],
-                ["doc", "mark", "base", "near"])
+                [batch.column("doc"), batch.column("mark"), pa.array(base, _spans_type()), pa.array(values, lists), pa.array(terms, lists)],
+                ["doc", "mark", "base", "values", "terms"])
 
     text = text_or_empty(text_col)
     schema = T.StructType([T.StructField("doc", kind), T.StructField("mark", T.StringType())])
-    for name, form in (("base", _SPANS), ("near", "array<struct<term:string,value:string>>")):
+    for name, form in (("base", _SPANS), ("values", "array<string>"), ("terms", "array<string>")):
         schema.add(name, T.DataType.fromDDL(form))
     return in_batches(docs.select(doc.alias("doc"), F.md5(text).alias("mark"), text.alias("text")), found, schema)
 
 
-def disclosing_terms(found: DataFrame, docs: DataFrame, text_col: str = "text", support: int = SUPPORT,
-                     disclosure: float = DISCLOSURE) -> DataFrame:
-    """Staged (term, value): terms that disclose a protected value, by co-occurrence over the whole corpus.
+def disclosing_terms(found: DataFrame, docs: DataFrame, text_col: str = "text", disclosure: float = DISCLOSURE,
+                     value_z: float = VALUE_Z, kind_z: float = KIND_Z) -> DataFrame:
+    """Staged (term, entity): terms that disclose an entity, by exact counts of different texts over the whole corpus.
 
-    Copies of one text count once, in the co-occurrence and in the texts that hold a term.
+    Entities are values ("kind:value"), kinds, and "any". Copies of one text count once, in the texts that hold term and
+    entity and in those that hold the term.
+    """
+    texts = stage(found.filter(F.size("values") > 0).select("mark", "values", "terms").dropDuplicates(["mark"]), "personal-texts")
+    # A value of one text cannot be told from the text's other words.
+    shared = texts.select(F.explode("values").alias("entity")).groupBy("entity").count().filter("count > 1").select("entity")
+    of_values = texts.select("terms", F.explode("values").alias("entity")).join(shared, "entity").select(
+        "entity", F.explode("terms").alias("term")).groupBy("term", "entity").agg(F.count("*").alias("together"))
+    holds = [F.exists("values", _is_a(kind)).alias(kind) for kind in KINDS]
+    sums = [F.struct(F.lit(kind).alias("entity"), F.count_if(kind).alias("together")) for kind in KINDS]
+    of_kinds = texts.select(*holds, F.explode("terms").alias("term")).groupBy("term").agg(F.array(
+        *sums, F.struct(F.lit("any").alias("entity"), F.count("*").alias("together"))).alias("sums"))
+    # What even a term without other texts could not reach is out before texts are read.
+    together = of_kinds.select("term", F.inline("sums")).withColumn("z", F.lit(kind_z)).unionByName(
+        of_values.withColumn("z", F.lit(value_z))).filter(_least_share(F.col("together"), F.col("together"), F.col("z")) >= disclosure)
+    together = stage(together, "together")
+    held = text_frequencies(docs, together.select("term").distinct(), found, text_col)
+    told = together.join(held, "term").filter(_least_share(F.col("together"), F.col("texts"), F.col("z")) >= disclosure)
+    return stage(told.select("term", "entity"), "disclosing")
+
+
+def _is_a(kind: str):
+    return lambda value: value.startswith(f"{kind}:")
+
+
+def _least_share(hits: Column, of: Column, z: Column) -> Column:
+    """The lower bound of a share by Wilson's interval; that of nothing is 0."""
+    of, zz = F.greatest(of, F.lit(1)), z * z
+    share = hits / of
+    spread = z * F.sqrt(share * (1 - share) / of + zz / (4 * of * of))
+    return (share + zz / (2 * of) - spread) / (1 + zz / of)
+
+
+def text_frequencies(docs: DataFrame, terms: DataFrame, found: DataFrame, text_col: str = "text") -> DataFrame:
+    """(term, texts): in how many different texts each of the terms stands; ``found`` has the digests of all texts.
+
+    Texts are not shuffled. Tasks count terms in texts that occur once; texts that a Bloom filter of the digests of copies
+    passes hand on their terms, and are counted after their copies are dropped.
     """
-    pairs = found.filter(F.size("near") > 0).select("mark", F.explode("near").alias("n")).select("mark", "n.*").distinct()
-    together = pairs.groupBy("term", "value").agg(F.count("*").alias("together")).filter(F.col("together") >= support)
-    # Texts that have the term near any value are some of those that hold it: common words are out before any text is read.
-    least = pairs.select("term", "mark").distinct().groupBy("term").agg(F.count("*").alias("least"))
-    together = stage(together.join(least, "term").filter(F.col("together") >= disclosure * F.col("least")), "together")
-    holding = term_spans(docs, together.select("term").distinct(), text_col)
-    texts = holding.select("term", "mark").distinct().groupBy("term").agg(F.count("*").alias("texts"))
-    told = together.join(texts, "term").filter(F.col("together") >= disclosure * F.col("texts"))
-    return stage(told.select("term", "value"), "disclosing")
+    bits = _bloom(terms, "term")
+    if not bits:
+        return docs.sparkSession.createDataFrame([], "term string, texts bigint")
+    copied = _bloom(found.groupBy("mark").count().filter("count > 1"), "mark")
+
+    def counted(batches):
+        from collections import Counter
+
+        import pyarrow as pa
+
+        shape = (pa.string(), pa.list_(pa.string()), pa.int64())
+
+        def rows(out):
+            columns = zip(*out, strict=True) if out else ((), (), ())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, shape, strict=True)], ["mark", "terms", "n"])
+
+        counts, seen = Counter(), set()
+        for batch in batches:
+            out = []
+            texts = [(mark, text.encode().split()) for text, mark in rows_of(batch, "text", "mark")]
+            passing = _passing(set().union(*(words for _, words in texts)), bits)
+            for mark, words in texts:
+                hits = {passing[word] for word in passing.keys() & words}
+                if not _holds(copied, mark.encode()):
+                    counts.update(hits)
+                elif hits and mark not in seen:
+                    if len(seen) < _HELD_TERMS:
+                        seen.add(mark)
+                    out.append((mark, sorted(hits), None))
+            yield rows(out)
+            if len(counts) > _HELD_TERMS:
+                yield rows([(None, [term], n) for term, n in counts.items()])
+                counts = Counter()
+        yield rows([(None, [term], n) for term, n in counts.items()])
+
+    text = text_or_empty(text_col)
+    told = stage(in_batches(docs.select(text.alias("text"), F.md5(text).alias("mark")), counted,
+                            "mark string, terms array<string>, n bigint"), "frequencies")
+    once = told.filter("mark is null").select(F.col("terms")[0].alias("term"), "n")
+    copies = told.filter("mark is not null").dropDuplicates(["mark"]).select(F.explode("terms").alias("term"), F.lit(1).cast("bigint").alias("n"))
+    return once.unionAll(copies).groupBy("term").agg(F.sum("n").alias("texts")).join(terms, "term", "left_semi")
 
 
 def term_spans(docs: DataFrame, terms: DataFrame, text_col: str = "text") -> DataFrame:
@@ -159,7 +229,7 @@ def term_spans(docs: DataFrame, terms: DataFrame, text_col: str = "text") -> Dat
 
     Words pass a Bloom filter of the terms, and what passes is joined with the terms themselves.
     """
-    bits = _bloom(terms)
+    bits = _bloom(terms, "term")
     shape = "term string, mark string, places array<struct<start:int,end:int>>"
     if not bits:
         return docs.sparkSession.createDataFrame([], shape)
@@ -188,9 +258,9 @@ def term_spans(docs: DataFrame, terms: DataFrame, text_col: str = "text") -> Dat
     return hits.join(terms, "term", "left_semi")
 
 
-def _bloom(terms: DataFrame) -> bytes:
-    """A Bloom filter of the terms, empty if there are none; at most 2^FILTER_BITS / 8 bytes come to the driver."""
-    hashed = terms.select(F.xxhash64("term").alias("h"))
+def _bloom(rows: DataFrame, column: str) -> bytes:
+    """A Bloom filter of a column, empty if there are no rows; at most 2^FILTER_BITS / 8 bytes come to the driver."""
+    hashed = rows.select(F.xxhash64(column).alias("h"))
     mask = F.lit((1 << FILTER_BITS) - 1)
     places = hashed.select(F.explode(F.array(*(
         F.shiftrightunsigned("h", i * FILTER_BITS).bitwiseAND(mask) for i in range(3)))).alias("at"))
@@ -202,31 +272,29 @@ def _bloom(terms: DataFrame) -> bytes:
     return bytes(bits)
 
 
-def _passing(found: set[bytes], bits: bytes) -> dict[bytes, str]:
-    """The words whose term the Bloom filter holds, with the term."""
+def _holds(bits: bytes, key: bytes) -> bool:
+    """Whether a Bloom filter may hold a text."""
     from xxhash import xxh64_intdigest
 
-    out, mask = {}, (1 << FILTER_BITS) - 1
-    for word in found:
-        term = word.strip(_MARKS).lower()
-        h = xxh64_intdigest(term, 42)
-        at = h & mask
-        if bits[at >> 3] >> (at & 7) & 1 and term:
-            rest = ((h >> FILTER_BITS) & mask, (h >> 2 * FILTER_BITS) & mask)
-            if all(bits[at >> 3] >> (at & 7) & 1 for at in rest):
-                out[word] = term.decode()
-    return out
+    h, mask = xxh64_intdigest(key, 42), (1 << FILTER_BITS) - 1
+    places = (h & mask, (h >> FILTER_BITS) & mask, (h >> 2 * FILTER_BITS) & mask)
+    return bool(bits) and all(bits[at >> 3] >> (at & 7) & 1 for at in places)
+
+
+def _passing(found: set[bytes], bits: bytes) -> dict[bytes, str]:
+    """The words whose term the Bloom filter holds, with the term."""
+    terms = {word: word.strip(_MARKS).lower() for word in found}
+    return {word: term.decode() for word, term in terms.items() if term and _holds(bits, term)}
 
 
-def all_spans(docs: DataFrame, carry: list[str], text_col: str = "text", window: int = WINDOW, support: int = SUPPORT,
-              disclosure: float = DISCLOSURE) -> DataFrame:
+def all_spans(docs: DataFrame, carry: list[str], text_col: str = "text", disclosure: float = DISCLOSURE) -> DataFrame:
     """(doc, base, spans): per row its carried columns, the spans found by form, and all spans.
 
     ``spans`` adds to ``base`` every place of a disclosing term, in whichever text it stands, as kind "term"; both
     are sorted by start, then kind. Texts are not shuffled: added spans are joined by the digest of the text.
     """
-    found = stage(find_personal(docs, carry, text_col, window), "personal")
-    terms = disclosing_terms(found, docs, text_col, support, disclosure).select("term").distinct()
+    found = stage(find_personal(docs, carry, text_col), "personal")
+    terms = disclosing_terms(found, docs, text_col, disclosure).select("term").distinct()
     places = term_spans(docs, terms, text_col).select("mark", F.explode("places").alias("at"))
     spans = places.select("mark", F.struct(F.lit("term").alias("kind"), "at.start", "at.end").alias("span")).distinct()
     # Staged, so that Spark knows its size: the rows that carry texts are only shuffled if it is large.
@@ -247,8 +315,8 @@ def _spans_type():
     return pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
 
-def sanitise(docs: DataFrame, text_col: str = "text", labels: dict[str, str] | None = None, window: int = WINDOW,
-             support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
+def sanitise(docs: DataFrame, text_col: str = "text", labels: dict[str, str] | None = None,
+             disclosure: float = DISCLOSURE) -> DataFrame:
     """The rows with personal data generalised to a label of their kind and disclosing terms removed.
 
     ``labels`` gives the text put in place of each kind; an empty one removes. Spans that overlap become the label
@@ -256,7 +324,7 @@ def sanitise(docs: DataFrame, text_col: str = "text", labels: dict[str, str] | N
     """
     put = {**{kind: f"[{kind}]" for kind in KINDS}, "term": "[...]", **(labels or {})}
     columns = docs.columns
-    spans = all_spans(docs, columns, text_col, window, support, disclosure)
+    spans = all_spans(docs, columns, text_col, disclosure)
     schema = spans.select("doc").schema[0].dataType
 
     def cleaned(batches):

@@ -2,8 +2,10 @@
 
 Sequential covering: a rule is a conjunction of thresholds on text statistics, grown one condition at a time on the
 labelled rows of a growing part by its gain in information, pruned on the rows of a pruning part, and kept if it
-holds there; the rows it covers are set aside and the next rule is grown. What is left has the default verdict. Every
-step reads one histogram of (statistic, bin, label) counts, so labelled rows are aggregated in Spark, however many.
+holds there; the rows it covers are set aside and the next rule is grown. A rule that does not hold takes its growing rows
+aside as well, so that one mixed kind of rows does not end the search. It ends when no rule gains more bits than it takes to
+write down. What is left has the default verdict. Every step reads one histogram of (statistic, bin, label) counts, so
+labelled rows are aggregated in Spark, however many.
 """
 
 from __future__ import annotations
@@ -23,7 +25,6 @@ MAX_REPEAT_PERCENT = 30
 #: Candidate thresholds per statistic.
 BINS = 24
 MAX_CONDITIONS = 3
-MAX_RULES = 12
 #: A rule is kept if at least this share of the labelled rows it covers, pruning part included, is of low quality.
 PRECISION = 0.95
 MIN_COVERED = 5
@@ -68,7 +69,7 @@ def text_statistics(docs: DataFrame, text_col: str = "text", window: int = WINDO
 
     ``n_words``, ``word_chars`` (code points in words), ``n_symbols``, ``n_dup_lines`` (lines with a word, equal to an
     earlier line), ``n_repeat_words`` (words in windows of ``window`` words found twice or more in the text), and the
-    shares in TESTED. A null text has no words. Windows are compared by 64-bit hash within one text.
+    shares in TESTED. A null text has no words; a repeated row is a row. Windows are compared by 64-bit hash within one text.
     """
     text = F.coalesce(F.col(f"doc.{text_col}"), F.lit(""))
     doc = docs.select(whole_row(docs).alias("doc"))
@@ -109,15 +110,19 @@ def learn_rules(labelled: DataFrame) -> list[Rule]:
     """An ordered decision list from rows of the TESTED statistics, ``low`` (1: low quality) and ``part`` (0: grow,
     1: prune). Nothing is learned without both kinds of rows. Only histograms come to the driver.
     """
-    thresholds = _thresholds(labelled)
     rules: list[Rule] = []
-    left = labelled
-    while thresholds and len(rules) < MAX_RULES:
-        rule = _prune(left, _grow(left.filter("part = 0"), thresholds))
-        if rule is None:
+    left, growing = labelled, labelled.filter("part = 0")
+    # Cut points are worked out anew from the rows that no rule covers yet.
+    while thresholds := _thresholds(growing):
+        rule, gain = _grow(growing, thresholds)
+        candidates = 2 * sum(map(len, thresholds.values()))
+        if rule is None or gain < len(rule.conditions) * log2(candidates):
             break
-        rules.append(rule)
-        left = left.filter(~rule.column())
+        kept = _prune(left, rule)
+        if kept is not None:
+            rules.append(kept)
+            left = left.filter(~kept.column())
+        growing = growing.filter(~(kept or rule).column())
     return rules
 
 
@@ -134,45 +139,48 @@ def _thresholds(labelled: DataFrame) -> dict[str, list[float]]:
     return {s: [(a + b) / 2 for a, b in zip(values, values[1:], strict=False)] for s, values in seen.items()}
 
 
-def _grow(rows: DataFrame, thresholds: dict[str, list[float]]) -> Rule | None:
-    """Conditions added by the greatest information gain while rows of good quality are still covered."""
+def _grow(rows: DataFrame, thresholds: dict[str, list[float]]) -> tuple[Rule | None, float]:
+    """Conditions added by the greatest information gain while rows of good quality are still covered, and the bits
+    that all of them gain for the rows of low quality they cover."""
     conditions: list[Condition] = []
-    while len(conditions) < MAX_CONDITIONS:
+    prior, reached, total = 0.0, 0.0, 0.0
+    bins = [F.struct(F.lit(s).alias("statistic"), F.size(F.filter(
+        F.array(*(F.lit(t) for t in cuts)), _below(s))).alias("bin")) for s, cuts in thresholds.items() if cuts]
+    while bins and len(conditions) < MAX_CONDITIONS:
         covered = rows.filter(Rule(tuple(conditions)).column())
-        bins = [F.struct(F.lit(s).alias("statistic"), F.size(F.filter(
-            F.array(*(F.lit(t) for t in cuts)), _below(s))).alias("bin")) for s, cuts in thresholds.items() if cuts]
         counts: dict[str, dict[int, list[int]]] = {}
         for r in covered.select("low", F.explode(F.array(*bins)).alias("b")).groupBy("b", "low").count().collect():
             counts.setdefault(r.b.statistic, {}).setdefault(r.b.bin, [0, 0])[r.low] += r["count"]
         if not counts:
-            return None
+            break
         good, low = map(sum, zip(*next(iter(counts.values())).values(), strict=True))
         if not low or not good:
             break
-        best, found = 0.0, None
+        reached = log2(low / (low + good))
+        prior = prior if conditions else reached
+        best, found, share = 0.0, None, 0.0
         for statistic, cuts in thresholds.items():
             below = [0, 0]
             for place, cut in enumerate(cuts):
                 for kind in (0, 1):
                     below[kind] += counts.get(statistic, {}).get(place, (0, 0))[kind]
                 for at_most, (g, p) in ((True, below), (False, (good - below[0], low - below[1]))):
-                    gain = p * (log2(p / (p + g)) - log2(low / (low + good))) if p else 0.0
+                    gain = p * (log2(p / (p + g)) - reached) if p else 0.0
                     if gain > best + 1e-9:
-                        best, found = gain, Condition(statistic, at_most, cut)
+                        best, found, share = gain, Condition(statistic, at_most, cut), p * (log2(p / (p + g)) - prior)
         if found is None:
             break
         conditions.append(found)
-    return Rule(tuple(conditions)) if conditions else None
+        total = share
+    return (Rule(tuple(conditions)) if conditions else None), total
 
 
 def _below(statistic: str):
     return lambda cut: F.col(statistic) > cut
 
 
-def _prune(rows: DataFrame, rule: Rule | None) -> Rule | None:
+def _prune(rows: DataFrame, rule: Rule) -> Rule | None:
     """The rule cut back to the first conditions that do best on the pruning part, if it is precise enough."""
-    if rule is None:
-        return None
     shorter = [Rule(rule.conditions[:k]) for k in range(1, len(rule.conditions) + 1)]
     sums = []
     for k, r in enumerate(shorter):

@@ -48,8 +48,8 @@ WITH sizes AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
 rates AS (
     SELECT source, sqrt(n) / (SELECT sum(sqrt(n)) FROM sizes) * (SELECT sum(n) FROM sizes) / n AS rate FROM sizes),
 steps AS (
-    SELECT source, k, rate, exp(-rate) * pow(rate, k) / gamma(k + 1.0) AS p
-    FROM rates, (SELECT unnest(range(0, 60)) AS k)),
+    SELECT source, k, rate, exp(k * ln(rate) - rate - lgamma(k + 1.0)) AS p
+    FROM rates, (SELECT unnest(range(0, (SELECT ceil(max(rate) + 12 * sqrt(max(rate)) + 12)::BIGINT FROM rates))) AS k)),
 upto AS (SELECT source, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS f FROM steps),
 drawn AS (
     SELECT d.doc_id, d.text, d.source, d.lang, d.n_chars, count(u.k) AS n

@@ -31,9 +31,28 @@ def test_counts_invert_the_distribution(spark, rate):
     assert abs(sum(got.values()) / len(draws) - rate) < 0.05 * rate + 0.02
 
 
-def test_large_rates_keep_whole_copies(spark):
-    got = [r.n for r in spark.range(500).select(mixing.poisson_count(F.lit(1000.0), mixing.uniform(1, F.col("id"))).alias("n")).collect()]
-    assert min(got) >= 900 and abs(sum(got) / 500 - 1000) < 5
+def exact_poisson(rate, u):
+    """By the logarithm of each probability, from far below the rate on."""
+    n = max(0, int(rate - 20 * math.sqrt(rate)) - 20)
+    upto = math.exp(n * math.log(rate) - rate - math.lgamma(n + 1))
+    while upto <= u:
+        n += 1
+        upto += math.exp(n * math.log(rate) - rate - math.lgamma(n + 1))
+    return n
+
+
+@pytest.mark.parametrize("rate", [99.5, 150.0, 260.0, 320.5, 1000.0, 40_000.0])
+def test_large_rates_are_poisson_too(spark, rate):
+    draws = [(i + 0.5) / 499 for i in range(499)] + [1e-7, 1 - 1e-7]
+    frame = spark.createDataFrame([(u,) for u in draws], "u double").repartition(1)
+    got = {r.u: r.n for r in frame.select("u", mixing.poisson_count(F.lit(rate), F.col("u")).alias("n")).collect()}
+    assert got == {u: exact_poisson(rate, u) for u in draws}
+
+
+def test_variance_is_the_rate(spark):
+    row = spark.range(20_000).select(mixing.poisson_count(F.lit(1000.0), mixing.uniform(1, F.col("id"))).alias("n")).agg(
+        F.avg("n").alias("mean"), F.variance("n").alias("variance")).first()
+    assert abs(row.mean - 1000) < 1 and abs(row.variance - 1000) < 50
 
 
 def test_mixture_matches_brute_force(spark):

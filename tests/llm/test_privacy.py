@@ -1,4 +1,7 @@
+import math
+import random
 import re
+from collections import Counter
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -71,11 +74,55 @@ def test_support_and_threshold(spark):
     few = corpus(spark).filter("doc_id not between 4 and 99")
     assert all("term" not in r.s for r in privacy.all_spans(few, ["doc_id"]).select(
         privacy.spans_text(F.col("spans")).alias("s")).collect())
-    # In 8 of 11 texts the term stands near the value.
+    # In 8 of 11 texts the term stands with the value.
     strict = privacy.all_spans(corpus(spark), ["doc_id"], disclosure=0.8)
     assert all("term" not in r.s for r in strict.select(privacy.spans_text(F.col("spans")).alias("s")).collect())
 
 
+def plainly_disclosing(texts, disclosure, value_z, kind_z):
+    """{(term, entity)} by counting different texts one by one."""
+
+    def least(hits, of, z):
+        p = hits / of
+        return (p + z * z / (2 * of) - z * math.sqrt(p * (1 - p) / of + z * z / (4 * of * of))) / (1 + z * z / of)
+
+    having, together, values = Counter(), Counter(), Counter()
+    for text in {t or "" for t in texts}:
+        spans = plain_spans(text)
+        words = [m for m in re.finditer(r"[^\x20\x09-\x0D]+", text)]
+
+        def term(m):
+            return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in m.group().strip(".,;:!?()[]{}<>\"'"))
+
+        having.update({term(m) for m in words} - {""})
+        if spans:
+            free = {term(m) for m in words if not any(s < m.end() and m.start() < e for _, s, e in spans)} - {""}
+            held = {f"{k}:{text[s:e].lower()}" for k, s, e in spans}
+            values.update(held)
+            together.update((t, entity) for t in free for entity in held | {k for k, _, _ in spans} | {"any"})
+    return {(t, entity) for (t, entity), n in together.items() if (":" not in entity or values[entity] > 1)
+            and least(n, having[t], value_z if ":" in entity else kind_z) >= disclosure}
+
+
+def test_terms_equal_plain_counts(spark, odd_docs):
+    rng = random.Random(7)
+    values = ["zor@x.com", "1.2.3.4", "+1 (555) 010-9999", "4111 1111 1111 1111", "a.b@example.org"]
+    texts = [None, ""] + [r.text for r in odd_docs.collect()]
+    for i in range(400):
+        words = [f"w{rng.randrange(60) if rng.random() < 0.8 else rng.randrange(3000)}" for _ in range(rng.randrange(1, 40))]
+        if rng.random() < 0.3:
+            v = rng.randrange(5)
+            words[rng.randrange(len(words))] = values[v] + rng.choice(["", ",", "x"])
+            words.append(f"Name{v}." if rng.random() < 0.8 else "other")
+        texts += [" ".join(words)] * rng.choice([1, 1, 1, 2, 30])
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id int, text string").repartition(5)
+    for disclosure in (0.3, 0.5, 0.8):
+        got = privacy.disclosing_terms(privacy.find_personal(docs, ["doc_id"]), docs, disclosure=disclosure)
+        wanted = plainly_disclosing(texts, disclosure, privacy.VALUE_Z, privacy.KIND_Z)
+        assert {(r.term, r.entity) for r in got.collect()} == wanted
+        assert wanted or disclosure == 0.8
+
+
 def test_copies_count_once(spark):
     rows = [(i, "filler Zorblax, at zor@x.com") for i in range(40)] + [(99, "Zorblax is nice")]
     docs = spark.createDataFrame(rows, "doc_id int, text string")

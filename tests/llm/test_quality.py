@@ -101,3 +101,29 @@ def test_no_python_in_the_plan(spark, operator):
     frame = quality.text_statistics(docs) if operator == "statistics" else quality.judge(docs, labels)[0]
     plan = frame._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_a_mixed_kind_does_not_end_the_learning(spark):
+    """Long texts are mostly of low quality, but not enough for a rule; texts full of marks are all."""
+    rows = [(i, prose(i, 150 + i % 40)) for i in range(300)] + [(1000 + i, prose(i, 40 + i % 9)) for i in range(300)]
+    rows += [(2000 + i, " ".join(w + "##" for w in prose(i, 45).split())) for i in range(100)]
+    labels = [(i, int(i % 20 < 3 if i < 300 else i < 2000), 0) for i, _ in rows if i % 3]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    judged, _ = quality.judge(docs, spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int"))
+    kept = {r.doc_id: r.kept for r in judged.select("doc.doc_id", "kept").collect()}
+    assert not any(kept[2000 + i] for i in range(100))
+    assert sum(kept[1000 + i] for i in range(300)) >= 290
+
+
+def test_many_kinds_are_all_learned(spark):
+    """More kinds of low quality than a dozen, each a band of word counts that no other rule reaches."""
+    rows, labels = [], []
+    for i in range(2400):
+        band = i % 32
+        rows.append((i, prose(i, 30 + 12 * band)))
+        labels.append((i, int(band % 2 == 0), 0))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    judged, rules = quality.judge(docs, spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int"))
+    assert len(rules) > 12
+    right = sum(r.kept == (r.doc_id % 2 == 0) for r in judged.select("doc.doc_id", "kept").collect())
+    assert right >= 0.95 * 2400
