@@ -34,6 +34,12 @@ def forget_staged(spark, first: int, last: int | None = None) -> None:
     _staged[first:last] = [""] * len(_staged[first:last])
 
 
+def reads_staged(df: DataFrame, first: int, last: int | None = None) -> bool:
+    """Whether rows are still to be read from what was staged between two marks."""
+    staged = [path.split(":", 1)[-1].lstrip("/") + "/" for path in _staged[first:last] if path]
+    return any(part in file for file in (df.inputFiles() if staged else ()) for part in staged)
+
+
 def whole_row(df: DataFrame) -> Column:
     """All columns of a row as one struct, so that they travel beside an operator's own columns without clashes."""
     return F.struct(*(F.col(f"`{c}`") for c in df.columns))

@@ -80,7 +80,7 @@ def op3_warc(spark, sf_dir):
     """All pages written as archives and read back."""
     path = scratch_path(spark, "archives")
     warc.write_archives(table(spark, sf_dir, "pages").select("page_id", "url", "html"), path)
-    found = warc.records(warc.read_archives(spark, path, with_payload=False))
+    found = warc.whole_records(warc.read_archives(spark, path, with_payload=False))
     return found.select(F.col("key").cast("bigint").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
                         F.col("refers_to").cast("bigint").alias("refers_to"))
 

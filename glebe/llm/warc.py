@@ -23,6 +23,8 @@ VERSION = "WARC/1.1"
 DATE = "1970-01-01T00:00:00Z"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _ROW = "urn:x-row:"
+#: Longer headers are damage.
+HEADER_BYTES = 1 << 20
 _MEMBER = b"\x1f\x8b\x08"
 _VERSION = re.compile(rb"WARC/[0-9]\.[0-9]\r\n")
 _START = re.compile(re.escape(_MEMBER) + b"|" + _VERSION.pattern)
@@ -115,10 +117,10 @@ def salvage(data: bytes) -> Iterator[Piece]:
     Plain records and gzip members may be mixed. A member with a damaged record among its records still gives the
     others; its gap is told with the member's place.
     """
-    at, gap, reason = 0, None, ""
+    at, gap, reason, ends = 0, None, "", _Ends(data)
     while at < len(data):
         try:
-            pieces, end = _member(data, at) if data.startswith(_MEMBER, at) else _plain(data, at)
+            pieces, end = _member(data, at) if data.startswith(_MEMBER, at) else _plain(data, at, ends)
         except _Damaged as problem:
             if gap is None:
                 gap, reason = at, str(problem)
@@ -148,10 +150,10 @@ def _member(data: bytes, at: int) -> tuple[list[Piece], int]:
         raise _Damaged("gzip: ends early")
     end = min(fed, len(data)) - len(unpack.unused_data)
     content = b"".join(parts)
-    pieces, inner, bad = [], 0, None
+    pieces, inner, bad, ends = [], 0, None, _Ends(content)
     while inner < len(content):
         try:
-            found, inner = _plain(content, inner)
+            found, inner = _plain(content, inner, ends)
             pieces += found
         except _Damaged as problem:
             bad = bad or str(problem)
@@ -162,19 +164,38 @@ def _member(data: bytes, at: int) -> tuple[list[Piece], int]:
     return [Piece(at, end, p.headers, p.block) for p in pieces] + ([Piece(at, end, reason=bad)] if bad else []), end
 
 
-def _plain(data: bytes, at: int) -> tuple[list[Piece], int]:
+class _Ends:
+    """Where headers end next. The place is remembered, so that many starts in a row read the bytes after them once."""
+
+    def __init__(self, data: bytes):
+        self.data, self.asked, self.found = data, 0, -1
+
+    def after(self, at: int) -> int | None:
+        if not self.asked <= at <= self.found:
+            found = self.data.find(_END, at)
+            self.asked, self.found = at, found if found >= 0 else len(self.data)
+        return self.found if self.found < len(self.data) else None
+
+
+def _plain(data: bytes, at: int, ends: _Ends) -> tuple[list[Piece], int]:
     version = _VERSION.match(data, at)
     if not version:
         raise _Damaged("neither a member nor a version line")
-    stop = data.find(_END, at)
-    if stop < 0:
+    stop = ends.after(at)
+    if stop is None:
         raise _Damaged("headers do not end")
-    headers = {}
-    for line in data[version.end():stop].decode("utf-8", "replace").split("\r\n"):
-        name, colon, value = line.partition(":")
+    if stop - at > HEADER_BYTES:
+        raise _Damaged("the headers are too long")
+    headers, line_at = {}, version.end()
+    # Line by line, so that a start without headers costs no more than its first line.
+    while line_at <= stop:
+        line_end = data.find(b"\r\n", line_at, stop)
+        line_end = stop if line_end < 0 else line_end
+        name, colon, value = data[line_at:line_end].decode("utf-8", "replace").partition(":")
         if not colon:
             raise _Damaged("not a header line")
         headers[name.strip().lower()] = value.strip()
+        line_at = line_end + 2
     size = headers.get("content-length", "")
     if not re.fullmatch("[0-9]{1,18}", size) or "warc-type" not in headers or "warc-record-id" not in headers:
         raise _Damaged("a mandatory header is missing")
@@ -254,6 +275,12 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = True) ->
     return in_batches(files, pieces, _PIECES)
 
 
+def whole_records(pieces: DataFrame) -> DataFrame:
+    """The records; a gap is an error, for archives that must not have lost any."""
+    lost = F.raise_error(F.concat(F.lit("gap in "), "path", F.lit(": "), "reason")).cast("boolean")
+    return pieces.filter(F.when(F.col("reason").isNull(), True).otherwise(lost)).drop("reason")
+
+
 def records(pieces: DataFrame) -> DataFrame:
     return pieces.filter("reason is null").drop("reason")
 

@@ -64,7 +64,15 @@ def test_stages_with_odd_and_no_documents(spark, odd_docs, no_docs, folder):
     assert len(ODD_COLUMNS.split(",")) == len(odd_docs.columns) - 5
 
 
+def test_stages_chain_without_being_written(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    good = corpus_pipeline.quality_rules(spark, docs, folder)
+    chained = corpus_pipeline.near_duplicates(spark, good, folder)
+    other = corpus_pipeline.quality_rules(spark, docs, folder)
+    assert chained.count() < good.count() == other.count()
+
+
 def test_every_operator_is_registered():
     names = set(registered.QUERIES)
-    assert "pipeline" in names and {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 11)}
+    assert "pipeline" in names and {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 14)}
     assert set(registered.ORACLES) <= names and chunks.LEAST_WORDS < 50

@@ -2,6 +2,7 @@ import base64
 import gzip
 import hashlib
 import random
+import time
 import uuid
 from pathlib import Path
 
@@ -131,3 +132,19 @@ def test_quarantine_log_of_damaged_files(spark, tmp_path):
     assert warc.records(pieces).count() == 23
     (gap,) = warc.gaps(pieces).collect()
     assert gap.path.endswith("bad.warc.gz") and (gap.start, gap.end) == (starts[2], starts[2] + 50)
+
+
+def test_damage_takes_linear_time():
+    started = time.perf_counter()
+    for bare in (b"WARC/1.0\r\n", b"WARC/1.0\r\na: b\r\n", b"WARC/1.0\r\nContent-Length: 9\r\n\r\n", b"\x1f\x8b\x08\x00"):
+        data = bare * (10_000_000 // len(bare))
+        assert [p.reason is None for p in warc.salvage(data)] == [False]
+    assert time.perf_counter() - started < 60
+
+
+def test_lost_records_are_an_error_where_asked(spark, tmp_path):
+    (tmp_path / "a.warc").write_bytes(b"WARC/1.0\r\nbroken")
+    pieces = warc.read_archives(spark, str(tmp_path))
+    assert warc.records(pieces).count() == 0 and warc.gaps(pieces).count() == 1
+    with pytest.raises(Exception, match="gap in"):
+        warc.whole_records(pieces).collect()
