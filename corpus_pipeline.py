@@ -2,37 +2,48 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next
 one's documents. All but the last return the columns of the documents they get, whatever those are. What a stage has
-staged for its result is deleted when the next stage starts, since its result has been written by then.
+staged for its result is deleted when the next stage starts on documents that are read from elsewhere, since the result has
+been written by then; stages that are chained without a write keep what they read.
 """
 
 from __future__ import annotations
 
+import threading
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glebe.llm import mixing, packing, privacy, quality, simhash
-from glebe.llm.common import forget_staged, stage, staged_so_far
+from glebe.llm.common import forget_staged, reads_staged, stage, staged_so_far
 
-_last: list[tuple[int, int]] = []
+#: By thread and folder: marks of what the last stage called there has staged.
+_last: dict[tuple[int, str], tuple[str, int, int]] = {}
 
 
 def _tidy(function):
-    """A stage that deletes what the stage before it has staged."""
+    """A stage that deletes what the stage before it has staged, unless the documents it gets are still read from there."""
+    name = function.__name__
 
     @wraps(function)
     def tidy(spark, docs, sf_dir):
-        while _last:
-            forget_staged(spark, *_last.pop())
+        run = (threading.get_ident(), sf_dir)
+        before = _last.pop(run, None)
+        if before and _follows(name, before[0]) and not reads_staged(docs, *before[1:]):
+            forget_staged(spark, *before[1:])
         first = staged_so_far()
         out = function(spark, docs, sf_dir)
-        _last.append((first, staged_so_far()))
+        _last[run] = (name, first, staged_so_far())
         return out
 
     return tidy
 
 
+def _follows(name: str, before: str) -> bool:
+    order = [stage_name for stage_name, _ in STAGES]
+    return order.index(name) == order.index(before) + 1
+
+
 @_tidy
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the rules learned from the labels keep; a null text is rejected."""
