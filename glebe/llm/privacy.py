@@ -27,6 +27,8 @@ DISCLOSURE = 0.5
 VALUE_Z, KIND_Z = 1.28, 2.33
 #: Terms that a task counts before it passes the counts on.
 _HELD_TERMS = 200_000
+#: Groups of terms whose counts travel packed; a group is added up by one task.
+_BUCKETS = 1024
 #: Bits of the Bloom filter that preselects words: 256 KB at any size. Overfull, it only passes more words to the join.
 FILTER_BITS = 21
 _SPANS = "array<struct<kind:string,start:int,end:int>>"
@@ -188,14 +190,22 @@ def text_frequencies(docs: DataFrame, terms: DataFrame, found: DataFrame, text_c
 
     def counted(batches):
         from collections import Counter
+        from zlib import crc32
 
         import pyarrow as pa
 
-        shape = (pa.string(), pa.list_(pa.string()), pa.int64())
+        lists = pa.list_(pa.string())
+        shape = (pa.string(), pa.int32(), lists, pa.list_(pa.int64()))
 
         def rows(out):
-            columns = zip(*out, strict=True) if out else ((), (), ())
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, shape, strict=True)], ["mark", "terms", "n"])
+            columns = zip(*out, strict=True) if out else ((), (), (), ())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, shape, strict=True)], ["mark", "bucket", "terms", "n"])
+
+        def packed(counts):
+            dealt: dict[int, list] = {}
+            for item in counts.items():
+                dealt.setdefault(crc32(item[0].encode()) % _BUCKETS, []).append(item)
+            return rows([(None, bucket, *zip(*items, strict=True)) for bucket, items in dealt.items()])
 
         counts, seen = Counter(), set()
         for batch in batches:
@@ -209,19 +219,31 @@ def text_frequencies(docs: DataFrame, terms: DataFrame, found: DataFrame, text_c
                 elif hits and mark not in seen:
                     if len(seen) < _HELD_TERMS:
                         seen.add(mark)
-                    out.append((mark, sorted(hits), None))
+                    out.append((mark, None, sorted(hits), None))
             yield rows(out)
             if len(counts) > _HELD_TERMS:
-                yield rows([(None, [term], n) for term, n in counts.items()])
+                yield packed(counts)
                 counts = Counter()
-        yield rows([(None, [term], n) for term, n in counts.items()])
+        yield packed(counts)
+
+    def summed(table):
+        from collections import Counter
+
+        import pyarrow as pa
+
+        counts = Counter()
+        for terms_, n in rows_of(table, "terms", "n"):
+            for term, times in zip(terms_, n, strict=True):
+                counts[term] += times
+        return pa.table([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["term", "texts"])
 
     text = text_or_empty(text_col)
     told = stage(in_batches(docs.select(text.alias("text"), F.md5(text).alias("mark")), counted,
-                            "mark string, terms array<string>, n bigint"), "frequencies")
-    once = told.filter("mark is null").select(F.col("terms")[0].alias("term"), "n")
-    copies = told.filter("mark is not null").dropDuplicates(["mark"]).select(F.explode("terms").alias("term"), F.lit(1).cast("bigint").alias("n"))
-    return once.unionAll(copies).groupBy("term").agg(F.sum("n").alias("texts")).join(terms, "term", "left_semi")
+                            "mark string, bucket int, terms array<string>, n array<bigint>"), "frequencies")
+    once = told.filter("mark is null").groupBy("bucket").applyInArrow(summed, "term string, texts bigint")
+    copies = told.filter("mark is not null").dropDuplicates(["mark"]).select(
+        F.explode("terms").alias("term"), F.lit(1).cast("bigint").alias("texts"))
+    return once.unionAll(copies).groupBy("term").agg(F.sum("texts").alias("texts")).join(terms, "term", "left_semi")
 
 
 def term_spans(docs: DataFrame, terms: DataFrame, text_col: str = "text") -> DataFrame:
