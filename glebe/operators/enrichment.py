@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from glebe.functions.numbers import rounded
 from glebe.operators.quantiles import pick_quantiles, value_counts, wanted_slices
-from glebe.operators.spatial import CROWDED_CELL_SPOTS, nearest, radius_parts
+from glebe.operators.spatial import nearest, nearest_in, radius_parts
+from glebe.operators.tree import Tree, build
 
 # Narrow value slices in one of a block, as a power of two.
 _BLOCK_SLICE_BITS = 2
@@ -95,28 +96,27 @@ def _price_at(places: DataFrame, sales: DataFrame, radius_km: float) -> DataFram
         usable_sales(sales).select("latitude", "longitude", price_per_ha().alias("prix_ha"))
         .groupBy("latitude", "longitude", "prix_ha").agg(F.count(F.lit(1)).alias("copies"))
     )
-    medians = median_within(places, spots, radius_km, "prix_ha", "copies")
+    medians = median_within(places, build(spots, weight="copies"), radius_km, "prix_ha", "copies")
     return medians.select("lat", "lon", rounded("prix_ha", 0).alias("prix_ha"), F.col("n").alias("n_sales"))
 
 
 def _wells_at(places: DataFrame, wells: DataFrame, radius_km: float) -> DataFrame:
-    spots = wells.groupBy("latitude", "longitude").agg(F.count(F.lit(1)).alias("copies"))
-    counts = count_within(places, spots, radius_km, "copies").withColumnRenamed("n", "n_wells")
-    # A block counts as a whole, so the nearest well is looked up by itself.
-    closest = nearest(places, wells.select("latitude", "longitude").distinct(), 1).filter(F.col("distance") <= radius_km)
+    tree = build(wells.groupBy("latitude", "longitude").agg(F.count(F.lit(1)).alias("copies")), weight="copies")
+    counts = count_within(places, tree, radius_km, "copies").withColumnRenamed("n", "n_wells")
+    # A node counts as a whole, so the nearest well is looked up by itself, in the same tree.
+    closest = nearest_in(tree, places).filter(F.col("distance") <= radius_km)
     return closest.select("lat", "lon", F.col("distance").alias("nearest_km")).join(counts, ["lat", "lon"])
 
 
-def median_within(places: DataFrame, spots: DataFrame, radius_km: float, value: str, weight: str,
-                  crowded_cell_spots: int = CROWDED_CELL_SPOTS) -> DataFrame:
-    """Exact weighted median and count of the spots within the radius of each place (lat, lon).
+def median_within(places: DataFrame, tree: Tree, radius_km: float, value: str, weight: str) -> DataFrame:
+    """Exact weighted median and count of a tree's spots within the radius of each place (lat, lon).
 
-    Blocks of spots and single spots first add up to a histogram of value slices; values are only read from the slices
-    that hold a place's median. A slice is some 1.6 % of the value wide, so a block costs a place some hundred rows at
+    Nodes of spots and single spots first add up to a histogram of value slices; values are only read from the slices
+    that hold a place's median. A slice is some 1.6 % of the value wide, so a node costs a place some hundred rows at
     most, however many different values it has, and about one in a hundred of its values.
     """
     keys, wishes = ["lat", "lon"], {value: (0.5, "linear")}
-    parts = radius_parts(places, spots, radius_km, weight, crowded_cell_spots=crowded_cell_spots)
+    parts = radius_parts(places, tree, radius_km)
     block = list(parts.block_key)
 
     def counted(rows: DataFrame, by: list[str]) -> DataFrame:
@@ -136,10 +136,9 @@ def median_within(places: DataFrame, spots: DataFrame, radius_km: float, value:
     return pick_quantiles(values, keys, wishes)
 
 
-def count_within(places: DataFrame, spots: DataFrame, radius_km: float, weight: str,
-                 crowded_cell_spots: int = CROWDED_CELL_SPOTS) -> DataFrame:
-    """Spots (``n``) within the radius of each place (lat, lon)."""
-    parts = radius_parts(places, spots, radius_km, weight, crowded_cell_spots=crowded_cell_spots)
+def count_within(places: DataFrame, tree: Tree, radius_km: float, weight: str) -> DataFrame:
+    """A tree's spots (``n``, by their weight) within the radius of each place (lat, lon)."""
+    parts = radius_parts(places, tree, radius_km)
     hits = parts.pairs.select("lat", "lon", F.col(weight).alias("n")).unionByName(
         parts.blocks.select("lat", "lon", F.col("_n").alias("n")))
     return hits.groupBy("lat", "lon").agg(F.sum("n").alias("n"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from glebe.functions.numbers import rounded
 from glebe.operators.conform import concat
 from glebe.operators.enrichment import count_within
+from glebe.operators.tree import build
 from glebe.operators.quantiles import group_quantiles
 from glebe.operators.spatial import nearest, points_in_zones
 
@@ -121,7 +122,7 @@ def uncovered(cells: DataFrame, producers: DataFrame, radius_km: float, zone: st
 def density(cells: DataFrame, producers: DataFrame, radius_km: float = 15.0) -> DataFrame:
     """Producers within the radius of each cell centre (0 without one)."""
     spots = producers.groupBy("latitude", "longitude").agg(F.count(F.lit(1)).alias("copies"))
-    counts = count_within(cells.select("lat", "lon").distinct(), spots, radius_km, "copies")
+    counts = count_within(cells.select("lat", "lon"), build(spots, weight="copies"), radius_km, "copies")
     return cells.join(counts, ["lat", "lon"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 

@@ -1,8 +1,8 @@
 """Spatial filters and joins without cross joins.
 
-``radius_join`` turns "within R km" into an equi join on grid cells. ``nearest`` walks down a pyramid
-of cells and drops every cell that cannot hold one of the k nearest points, so a site is compared with
-few points however many there are. Both are exact at cell borders, poles and the date line.
+``radius_join`` turns "within R km" into an equi join on grid cells. ``nearest`` and ``radius_parts`` walk down a packed
+tree of the targets (see ``tree``) and drop every node that cannot matter, so a site is compared with few points however
+many there are. All are exact at cell borders, poles and the date line.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from glebe.functions import geo
 from glebe.functions.numbers import rounded
+from glebe.operators.tree import Tree, build, far, in_range, near, staged_places, with_axes
 
 # More points than this in one cell are spread over several join keys.
 HOT_CELL_ROWS = 200_000
@@ -22,10 +23,6 @@ HOT_CELL_ROWS = 200_000
 CELL_PAIRS = 2_000_000
 
 
-def _in_range(lat: Column, lon: Column) -> Column:
-    return lat.between(-90.0, 90.0) & lon.between(-540.0, 540.0)
-
-
 def within_box(df: DataFrame, lat: float, lon: float, radius_km: float,
                lat_col: str = "latitude", lon_col: str = "longitude") -> DataFrame:
     """Rows inside the box around one point. Plain column bounds, so they reach the file scan."""
@@ -109,12 +106,12 @@ def radius_join(sites: DataFrame, targets: DataFrame, radius_km: float,
     s_lat, s_lon = F.col(site_lat), F.col(site_lon)
 
     placed = (
-        targets.filter(_in_range(t_lat, t_lon))
+        targets.filter(in_range(t_lat, t_lon))
         .withColumn("_band", grid.band(t_lat))
         .withColumn("_cell", grid.cell_of(F.col("_band"), t_lon))
     )
     probes = (
-        sites.filter(_in_range(s_lat, s_lon))
+        sites.filter(in_range(s_lat, s_lon))
         .withColumn("_band", F.explode(grid.bands_around(s_lat)))
         .withColumn("_cell", F.explode(grid.cells_around(F.col("_band"), s_lat, s_lon)))
     )
@@ -152,192 +149,81 @@ def radius_join(sites: DataFrame, targets: DataFrame, radius_km: float,
 
 # ---- k nearest --------------------------------------------------------------------------------------
 
-_FAN_BITS = 3  # each cell has 8 cells per axis below it
-# A smallest cell with more targets than this is divided further, by _MORE_LEVELS levels.
-CROWDED_LEAF = 512
-_DEPTH, _MORE_LEVELS = 4, 3
-
-
-class _Plane:
-    """Raw degrees: rank by squared degrees, no wrap at the date line."""
-
-    axes = ("_u", "_v")
-    root_size, offset = 512.0, 256.0
-
-    @staticmethod
-    def coordinates(lat: Column, lon: Column) -> tuple[Column, ...]:
-        return lat, lon
-
-    distance = staticmethod(geo.squared_degrees)
-
-
-class _Sphere:
-    """Points on the unit sphere: rank by great-circle distance, no special case anywhere."""
-
-    axes = ("_u", "_v", "_w")
-    root_size, offset = 4.0, 2.0
-
-    @staticmethod
-    def coordinates(lat: Column, lon: Column) -> tuple[Column, ...]:
-        phi, lam = F.radians(lat), F.radians(lon)
-        return F.cos(phi) * F.cos(lam), F.cos(phi) * F.sin(lam), F.sin(phi)
-
-    distance = staticmethod(geo.haversine_km)
-
-
-_METRICS = {"planar": _Plane, "haversine": _Sphere}
-
-
-def _cell_columns(axes: tuple[str, ...]) -> tuple[list[str], list[str]]:
-    return [f"_c{a}" for a in axes], [f"_p_c{a}" for a in axes]
-
-
-def _with_leaf(points: DataFrame, space, lat: Column, lon: Column, depth: int) -> DataFrame:
-    """Points with their coordinates in the search space and their leaf cell."""
-    size = space.root_size / (1 << (_FAN_BITS * depth))
-    placed = points.select("*", *(c.alias(a) for a, c in zip(space.axes, space.coordinates(lat, lon))))
-    return placed.selectExpr("*", *(f"floor(({a} + {space.offset}D) / {size!r}D) AS _c{a}" for a in space.axes))
-
-
-def _pyramid(points: DataFrame, axes: tuple[str, ...], depth: int, weight: Column | None = None) -> list[DataFrame]:
-    """Per level, leaves first: parent cell -> its non-empty cells (index, weight, tight box), at most 8 per axis.
-
-    Each level is built from ``_children`` alone, so one shuffle serves the search and the level above.
-    """
-    leaf, parent = _cell_columns(axes)
-    low, high = [f"_lo{a}" for a in axes], [f"_hi{a}" for a in axes]
-    leaves = points.groupBy(*leaf).agg(
-        F.sum(F.lit(1) if weight is None else weight).cast("bigint").alias("_n"),
-        *(F.min(a).alias(c) for a, c in zip(axes, low)), *(F.max(a).alias(c) for a, c in zip(axes, high)))
-    up_one = [F.expr(f"shiftright({c}, {_FAN_BITS})").alias(q) for c, q in zip(leaf, parent)]
-    children = F.expr(f"collect_list(struct({', '.join([*leaf, '_n', *low, *high])}))").alias("_children")
-    as_cells = [
-        *(f"{q} AS {c}" for c, q in zip(leaf, parent)),
-        "aggregate(_children, 0L, (n, c) -> n + c._n) AS _n",
-        *(f"array_min(transform(_children, c -> c.{c})) AS {c}" for c in low),
-        *(f"array_max(transform(_children, c -> c.{c})) AS {c}" for c in high),
-    ]
-    levels = [leaves.groupBy(*up_one).agg(children)]
-    while len(levels) < depth:
-        levels.append(levels[-1].selectExpr(*as_cells).groupBy(*up_one).agg(children))
-    return levels
-
-
-def _near(axes: tuple[str, ...], cell: str) -> str:
-    """Squared distance from a place to the near side of a cell's box."""
-    return " + ".join(f"pow(greatest({cell}._lo{a} - {a}, {a} - {cell}._hi{a}, 0D), 2D)" for a in axes)
-
-
-def _far(axes: tuple[str, ...], cell: str) -> str:
-    """Squared distance from a place to the far side of a cell's box."""
-    return " + ".join(f"pow(greatest({cell}._hi{a} - {a}, {a} - {cell}._lo{a}), 2D)" for a in axes)
 
 
 def nearest(sites: DataFrame, targets: DataFrame, k: int = 1, metric: str = "haversine",
             site_lat: str = "lat", site_lon: str = "lon",
-            target_lat: str = "latitude", target_lon: str = "longitude",
-            tie_break: list[str] | None = None, depth: int = _DEPTH, crowded_leaf: int = CROWDED_LEAF) -> DataFrame:
+            target_lat: str = "latitude", target_lon: str = "longitude", tie_break: list[str] | None = None) -> DataFrame:
     """The k nearest targets of every site: site columns, target columns, ``distance``, ``rank``.
 
     ``distance`` is km for "haversine" and squared degrees for "planar". Ties go to the smallest
     ``tie_break`` columns (default: the target coordinates, then all target columns). Sites or targets
     without valid coordinates never match. Each place is searched once, however many sites share it;
     at one coordinate only the k first targets can win, so the others are dropped before the search.
-    ``depth`` levels of cells are searched everywhere, and three more below the smallest cells with over
-    ``crowded_leaf`` targets, where cells are some ten metres wide.
     """
     shared = set(sites.columns) & set(targets.columns)
     if shared:
         raise ValueError(f"both sides have columns {sorted(shared)}")
     if k < 1:
         raise ValueError("k must be at least 1")
-    space = _METRICS[metric]
-    axes = space.axes
-    s_lat, s_lon, t_lat, t_lon = (F.col(c) for c in (site_lat, site_lon, target_lat, target_lon))
-    order = tie_break or [target_lat, target_lon]
-    order = [*order, *(c for c in targets.columns if c not in order)]
-
-    # Targets: at most k rows per coordinate, with their leaf cell.
-    points = targets.filter(_in_range(t_lat, t_lon))
+    order = _order(targets, target_lat, target_lon, tie_break)
+    points = targets.filter(in_range(F.col(target_lat), F.col(target_lon)))
     if k == 1:
         first = F.min(F.struct(*order)).alias("_t")
         points = points.groupBy(target_lat, target_lon).agg(first).select("_t.*").select(*targets.columns)
     else:
         here = Window.partitionBy(target_lat, target_lon).orderBy(*order)
         points = points.withColumn("_here", F.row_number().over(here)).filter(F.col("_here") <= k).drop("_here")
-    points = _with_leaf(points, space, t_lat, t_lon, depth)
-    leaf, parent = _cell_columns(axes)
-    levels = _pyramid(points, axes, depth)
-    crowded = points.groupBy(*leaf).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > crowded_leaf).select(
-        *(F.col(c).alias(q) for c, q in zip(leaf, parent)))
-    deeper = depth + _MORE_LEVELS
-    finer = _with_leaf(points.drop(*axes).withColumnsRenamed(dict(zip(leaf, parent))).join(crowded, parent, "left_semi").drop(*parent),
-                       space, t_lat, t_lon, deeper)
-
-    def near(cell: str) -> str:
-        return _near(axes, cell)
-
-    def far(cell: str) -> str:
-        return _far(axes, cell)
-
-    limit = "_bound * 1.000000001D + 1e-12D"
-    # The search costs far more than its few bytes per place suggest, so its partitions stay as they are.
-    tasks = int(sites.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # A text key, since partitioning by doubles is not kept from one level to the next.
-    place_key = F.concat_ws(" ", s_lat, s_lon).alias("_place")
-    places = (
-        sites.filter(_in_range(s_lat, s_lon)).select(place_key, s_lat.alias("_slat"), s_lon.alias("_slon"))
-        .repartition(tasks, "_place")
-        .groupBy("_place").agg(F.first("_slat").alias("_slat"), F.first("_slon").alias("_slon"))
-    )
-    found = places.select("*", *(c.alias(a) for a, c in zip(axes, space.coordinates(F.col("_slat"), F.col("_slon")))),
-                          F.lit(math.inf).alias("_bound"))
-    place = ["_place", "_slat", "_slon"]
+    return nearest_in(build(points, metric, lat=target_lat, lon=target_lon), sites, k, site_lat, site_lon, tie_break)
+
+
+def _order(targets: DataFrame, lat: str, lon: str, tie_break: list[str] | None) -> list[str]:
+    order = tie_break or [lat, lon]
+    return [*order, *(c for c in targets.columns if c not in order)]
 
-    def descend(found: DataFrame, levels: list[DataFrame], from_root: bool) -> DataFrame:
-        """The cells below, level by level, that can hold one of the k nearest."""
-        for up, level in reversed(list(enumerate(levels))):
-            if from_root and up == len(levels) - 1:
-                # The root is one cell that holds every point: one row of at most 8 cells per axis.
-                step = found.withColumn("_children", level.select("_children").scalar())
-            else:
-                step = found.join(level, parent)
-            # A cell that holds k points bounds the k-th distance; cells beyond the bound are dropped at once.
-            # The one-element explode keeps the bound from being worked out again for every child.
-            local = f"array_min(transform(filter(_children, c -> c._n >= {k}), c -> {far('c')}))"
-            step = (
-                step.selectExpr(*place, *axes, "_children", f"explode(array(least(_bound, {local}))) AS _bound")
-                .selectExpr(*place, *axes, "_bound", f"explode(filter(_children, c -> {near('c')} <= {limit})) AS _kid")
-                .selectExpr(*place, *axes, "_bound", "_kid", f"{far('_kid')} AS _far")
-            )
-            # The bound over all remaining cells of the place: cells in order of their far side up to k points.
-            kth = "_far"
-            if k > 1:
-                step = step.selectExpr("*", "sum(_kid._n) OVER (PARTITION BY _place ORDER BY _far) AS _upto")
-                kth = f"IF(_upto >= {k}, _far, NULL)"
-            found = (
-                step.selectExpr(*place, *axes, "_kid", f"least(_bound, min({kth}) OVER (PARTITION BY _place)) AS _bound")
-                .filter(f"{near('_kid')} <= {limit}")
-                .selectExpr(*place, *axes, "_bound", *(f"_kid.{c} AS {q}" for c, q in zip(leaf, parent)))
-            )
-        return found
-
-    def compared(found: DataFrame, points: DataFrame) -> DataFrame:
-        cells = found.selectExpr(*place, *(f"{q} AS {c}" for c, q in zip(leaf, parent)))
-        return cells.join(points.drop(*axes), leaf).select(
-            "_place", *targets.columns, space.distance(F.col("_slat"), F.col("_slon"), t_lat, t_lon).alias("distance"))
-
-    found = descend(found, levels, True)
-    dense = descend(found.join(crowded, parent, "left_semi"), _pyramid(finer, axes, _MORE_LEVELS), False)
-    candidates = compared(found.join(crowded, parent, "left_anti"), points).unionByName(compared(dense, finer))
+
+def nearest_in(tree: Tree, sites: DataFrame, k: int = 1, site_lat: str = "lat", site_lon: str = "lon",
+               tie_break: list[str] | None = None) -> DataFrame:
+    """``nearest`` in a tree that is there already, whose points are all candidates. With weights only k = 1 is right."""
+    space, axes = tree.space, tree.space.axes
+    columns = [c for c in tree.points.columns if c not in (*axes, "_key")]
+    s_lat, s_lon, t_lat, t_lon = (F.col(c) for c in (site_lat, site_lon, tree.lat, tree.lon))
+    order = _order(tree.points.select(*columns), tree.lat, tree.lon, tie_break)
+    place = ["_place", "_slat", "_slon"]
+    found = with_axes(staged_places(sites, site_lat, site_lon), space, F.col("_slat"), F.col("_slon")).withColumn(
+        "_bound", F.lit(math.inf))
+    # Rounding may tell two distances apart that are one.
+    limit = "_bound * 1.000000001D + 1e-20D"
+    for i in range(len(tree.shifts)):
+        step = found.withColumn("_children", tree.top()) if i == 0 else found.join(tree.level(i), "_node")
+        # A node that holds k points bounds the k-th distance; nodes beyond the bound are dropped at once.
+        # The one-element explode keeps the bound from being worked out again for every child.
+        local = f"array_min(transform(filter(_children, c -> c._n >= {k}), c -> {far(axes, 'c')}))"
+        step = (
+            step.selectExpr(*place, *axes, "_children", f"explode(array(least(_bound, {local}))) AS _bound")
+            .selectExpr(*place, *axes, "_bound", f"explode(filter(_children, c -> {near(axes, 'c')} <= {limit})) AS _kid")
+            .selectExpr(*place, *axes, "_bound", "_kid", f"{far(axes, '_kid')} AS _far")
+        )
+        # The bound over all remaining nodes of the place: nodes in order of their far side up to k points.
+        kth = "_far"
+        if k > 1:
+            step = step.selectExpr("*", "sum(_kid._n) OVER (PARTITION BY _place ORDER BY _far) AS _upto")
+            kth = f"IF(_upto >= {k}, _far, NULL)"
+        found = (
+            step.selectExpr(*place, *axes, "_kid", f"least(_bound, min({kth}) OVER (PARTITION BY _place)) AS _bound")
+            .filter(f"{near(axes, '_kid')} <= {limit}")
+            .selectExpr(*place, *axes, "_bound", "_kid._node AS _node")
+        )
+    candidates = found.select("_place", "_slat", "_slon", "_node").join(tree.leaf_points().drop(*axes), "_node").select(
+        "_place", *columns, space.distance(F.col("_slat"), F.col("_slon"), t_lat, t_lon).alias("distance"))
     if k == 1:
         row = F.struct("distance", *order)
         best = candidates.groupBy("_place").agg(F.min(row).alias("_t")).select("_place", "_t.*").select(
-            "_place", *targets.columns, "distance", F.lit(1).alias("rank"))
+            "_place", *columns, "distance", F.lit(1).alias("rank"))
     else:
         by_distance = Window.partitionBy("_place").orderBy("distance", *order)
         best = candidates.withColumn("rank", F.row_number().over(by_distance)).filter(F.col("rank") <= k)
-    return sites.select("*", place_key).join(best, "_place").drop("_place")
+    return sites.select("*", F.concat_ws(" ", s_lat, s_lon).alias("_place")).join(best, "_place").drop("_place")
 
 
 def nearest_listing(df: DataFrame, n: int = 15, by: str = "distance_km", key: str = "code_bss") -> DataFrame:
@@ -352,16 +238,12 @@ def by_distance(df: DataFrame, by: str = "distance_km", key: str = "code_bss") -
 
 # ---- radius aggregates ------------------------------------------------------------------------------
 
-# More distinct spots than this in one grid cell are no longer compared one by one.
-CROWDED_CELL_SPOTS = 5_000
-
-
 @dataclass(frozen=True)
 class RadiusParts:
     """What lies within a radius of each place, for aggregates.
 
-    ``pairs``: place and spot columns of single hits. ``blocks``: place, block key and weight ``_n`` of blocks of spots
-    that lie inside the circle as a whole. ``members``: spots of crowded cells with the key of every block they belong to.
+    ``pairs``: place and spot columns of single hits. ``blocks``: place, block key and weight ``_n`` of nodes of spots
+    that lie inside the circle as a whole. ``members``: spots with the key of every node they belong to.
     """
 
     pairs: DataFrame
@@ -370,76 +252,35 @@ class RadiusParts:
     block_key: tuple[str, ...]
 
 
-def radius_parts(places: DataFrame, spots: DataFrame, radius_km: float, weight: str,
-                 place_lat: str = "lat", place_lon: str = "lon", spot_lat: str = "latitude", spot_lon: str = "longitude",
-                 crowded_cell_spots: int = CROWDED_CELL_SPOTS) -> RadiusParts:
-    """Split "all spots within the radius of each place" into single pairs and whole blocks.
+def radius_parts(places: DataFrame, tree: Tree, radius_km: float, place_lat: str = "lat", place_lon: str = "lon") -> RadiusParts:
+    """Split "all spots within the radius of each place" into single pairs and whole nodes of a tree of the spots.
 
-    Spots of grid cells with up to ``crowded_cell_spots`` spots are joined one by one. A crowded cell, about one radius
-    wide, is divided into 64 blocks and each of those into 64 more: blocks inside the circle are taken whole, blocks
-    outside are dropped, and only the smallest blocks on the rim are compared spot by spot. A place next to a million
-    spots thus yields some hundred blocks and the spots of a thin rim, not a million pairs. It is one lazy plan whatever
-    the data; without crowded cells its second part is empty.
+    Nodes inside the circle are taken whole, nodes outside are dropped, and only the leaves on the rim are compared spot
+    by spot. A place next to a million spots thus yields some hundred nodes and the spots of a thin rim, not a million
+    pairs. Results have the place's coordinates only.
     """
-    grid = _LatLonGrid(radius_km)
-    p_lat, p_lon, s_lat, s_lon = (F.col(c) for c in (place_lat, place_lon, spot_lat, spot_lon))
-    cell = ["_band", "_cell"]
-    placed = spots.filter(_in_range(s_lat, s_lon)).withColumn("_band", grid.band(s_lat)).withColumn(
-        "_cell", grid.cell_of(F.col("_band"), s_lon))
-    crowded = placed.groupBy(*cell).agg(F.count(F.lit(1)).alias("_spots")).filter(
-        F.col("_spots") > crowded_cell_spots).select(*cell)
-    probes = (
-        places.filter(_in_range(p_lat, p_lon)).withColumn("_band", F.explode(grid.bands_around(p_lat)))
-        .withColumn("_cell", F.explode(grid.cells_around(F.col("_band"), p_lat, p_lon))))
-    single = radius_join(places, placed.join(crowded, cell, "left_anti").drop(*cell), radius_km,
-                         place_lat, place_lon, spot_lat, spot_lon)
-
-    axes = _Sphere.axes
-    low, high = [f"_lo{a}" for a in axes], [f"_hi{a}" for a in axes]
-    boxes = [*(F.min(a).alias(c) for a, c in zip(axes, low)), *(F.max(a).alias(c) for a, c in zip(axes, high))]
-    n = grid.cells_in_band(F.col("_band"))
-
-    def part(inside: Column) -> Column:
-        return F.greatest(F.lit(0), F.least(F.lit(63), F.floor(inside * 64))).cast("int")
-
-    dense = placed.join(crowded, cell, "left_semi").select(
-        *spots.columns, *cell, *(c.alias(a) for a, c in zip(axes, _Sphere.coordinates(s_lat, s_lon))),
-        part((s_lat + 90.0) / grid.step - F.col("_band")).alias("_y"),
-        part(F.pmod(s_lon + 180.0, F.lit(360.0)) * n / 360.0 - F.col("_cell")).alias("_x"))
-    small = dense.groupBy(*cell, "_x", "_y").agg(F.sum(weight).cast("bigint").alias("_n"), *boxes)
-
-    def grouped(blocks: DataFrame, by: list[str]) -> DataFrame:
-        """At most 64 blocks to a row."""
-        return blocks.groupBy(*by).agg(F.collect_list(F.struct("_x", "_y", "_n", *low, *high)).alias("_kids"))
-
-    of_large = small.withColumns({"_bx": F.shiftright("_x", 3), "_by": F.shiftright("_y", 3)})
-    large = of_large.groupBy(*cell, "_bx", "_by").agg(
-        F.sum("_n").alias("_n"), *(F.min(c).alias(c) for c in low), *(F.max(c).alias(c) for c in high))
-    of_cell = grouped(large.withColumnsRenamed({"_bx": "_x", "_by": "_y"}), cell)
-    of_large = grouped(of_large, [*cell, "_bx", "_by"])
-
+    axes = tree.space.axes
+    columns = [c for c in tree.points.columns if c not in (*axes, "_key")]
+    mine = [place_lat, place_lon]
     chord = (2 * math.sin(min(radius_km / geo.EARTH_KM, math.pi) / 2)) ** 2
-    # Between the two limits rounding could tip the scale; such blocks are looked into.
+    # Between the two limits rounding could tip the scale; such nodes are looked into.
     inside, reach = chord * (1 - 1e-9) - 1e-15, chord * (1 + 1e-9) + 1e-15
-    mine = places.columns
-
-    def reached(found: DataFrame) -> DataFrame:
-        kids = found.selectExpr(*mine, *cell, *axes, f"explode(filter(_kids, c -> {_near(axes, 'c')} <= {reach!r}D)) AS _kid")
-        return kids.selectExpr(*mine, *cell, *axes, "_kid._x", "_kid._y", "_kid._n", f"{_far(axes, '_kid')} <= {inside!r}D AS _whole")
-
-    beside = probes.select(*mine, *cell, *(c.alias(a) for a, c in zip(axes, _Sphere.coordinates(p_lat, p_lon))))
-    above = reached(beside.join(of_cell, cell))
-    below = above.filter("NOT _whole").drop("_n", "_whole").withColumnsRenamed({"_x": "_bx", "_y": "_by"})
-    below = reached(below.join(of_large, [*cell, "_bx", "_by"]).drop("_bx", "_by"))
-    key = [*cell, "_size", "_x", "_y"]
-    blocks = above.filter("_whole").withColumn("_size", F.lit(1)).select(*mine, *key, "_n").unionByName(
-        below.filter("_whole").withColumn("_size", F.lit(0)).select(*mine, *key, "_n"))
-    rim = below.filter("NOT _whole").select(*mine, *cell, "_x", "_y").join(dense.drop(*axes), [*cell, "_x", "_y"]).withColumn(
-        "distance_km", geo.haversine_km(p_lat, p_lon, s_lat, s_lon)).filter(F.col("distance_km") <= radius_km)
-    columns = [*mine, *spots.columns, "distance_km"]
-    members = dense.withColumn("_size", F.explode(F.array(F.lit(0), F.lit(1)))).select(
-        *spots.columns, *cell, "_size", *(F.expr(f"shiftright({c}, 3 * _size)").alias(c) for c in ("_x", "_y")))
-    return RadiusParts(single.select(columns).unionByName(rim.select(columns)), blocks, members, tuple(key))
+    dealt = staged_places(places, place_lat, place_lon).select(F.col("_slat").alias(place_lat), F.col("_slon").alias(place_lon))
+    beside = with_axes(dealt, tree.space, F.col(place_lat), F.col(place_lon))
+    blocks = None
+    for i, shift in enumerate(tree.shifts):
+        found = beside.withColumn("_children", tree.top()) if i == 0 else beside.join(tree.level(i), "_node")
+        reached = found.selectExpr(*mine, *axes, f"explode(filter(_children, c -> {near(axes, 'c')} <= {reach!r}D)) AS _kid")
+        reached = reached.selectExpr(*mine, *axes, "_kid._node", "_kid._n", f"{far(axes, '_kid')} <= {inside!r}D AS _whole")
+        whole = reached.filter("_whole").select(*mine, F.lit(shift).alias("_shift"), "_node", "_n")
+        blocks = whole if blocks is None else blocks.unionByName(whole)
+        beside = reached.filter("NOT _whole").drop("_n", "_whole")
+    pairs = beside.select(*mine, "_node").join(tree.leaf_points().drop(*axes), "_node").withColumn(
+        "distance_km", geo.haversine_km(F.col(place_lat), F.col(place_lon), F.col(tree.lat), F.col(tree.lon)))
+    members = tree.points.withColumn("_shift", F.explode(F.array(*(F.lit(x) for x in tree.shifts)))).select(
+        *columns, "_shift", F.expr("shiftright(_key, _shift)").alias("_node"))
+    return RadiusParts(pairs.filter(F.col("distance_km") <= radius_km).select(*mine, *columns, "distance_km"), blocks, members,
+                       ("_shift", "_node"))
 
 
 # ---- points in polygons -----------------------------------------------------------------------------

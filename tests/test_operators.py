@@ -285,15 +285,17 @@ def test_coverage(spark):
 def test_crowded_areas(spark):
     """Blocks of spots give the same counts, distances and medians as all pairs."""
     from glebe.operators.spatial import radius_parts
+    from glebe.operators.tree import build
     from test_spatial import km
 
     rng = random.Random(8)
-    town = [(47 + rng.gauss(0, .05), rng.gauss(0, .05), round(rng.uniform(1, 1e4), rng.choice([0, 2]))) for _ in range(900)]
+    town = [(47 + rng.gauss(0, .05), rng.gauss(0, .05), round(rng.uniform(1, 1e4), rng.choice([0, 2]))) for _ in range(5000)]
     spread = [(47 + rng.uniform(-1, 1), rng.uniform(-1, 1), rng.uniform(1, 1e4)) for _ in range(200)]
     spots = spark.createDataFrame([(*s, i % 3 + 1) for i, s in enumerate(town + spread)], "latitude double, longitude double, prix double, copies int")
     at = [(47 + rng.gauss(0, .15), rng.gauss(0, .15)) for _ in range(40)] + [(47.8, .9), (10., 10.)]
     places = spark.createDataFrame(at, "lat double, lon double")
-    parts = radius_parts(places, spots, 12.0, "copies", crowded_cell_spots=40)
+    tree = build(spots, weight="copies")
+    parts = radius_parts(places, tree, 12.0)
     expected = {}
     for a in at:
         hits = [(km(*a, *s[:2]), s[2], i % 3 + 1) for i, s in enumerate(town + spread) if km(*a, *s[:2]) <= 12]
@@ -301,8 +303,8 @@ def test_crowded_areas(spark):
             expected[a] = (sum(h[2] for h in hits), statistics.median([v for _, v, c in hits for _ in range(c)]), min(h[0] for h in hits))
     n_pairs = sum(1 for a in at for s in town + spread if km(*a, *s[:2]) <= 12)
     assert parts.pairs.count() + parts.blocks.count() < n_pairs / 2
-    medians = {(r.lat, r.lon): r for r in enrichment.median_within(places, spots, 12.0, "prix", "copies", crowded_cell_spots=40).collect()}
-    counts = {(r.lat, r.lon): r for r in enrichment.count_within(places, spots, 12.0, "copies", crowded_cell_spots=40).collect()}
+    medians = {(r.lat, r.lon): r for r in enrichment.median_within(places, tree, 12.0, "prix", "copies").collect()}
+    counts = {(r.lat, r.lon): r for r in enrichment.count_within(places, tree, 12.0, "copies").collect()}
     assert set(medians) == set(counts) == set(expected)
     for a, (n, median, closest) in expected.items():
         assert medians[a].n == counts[a].n == n

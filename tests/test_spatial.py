@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from glebe.operators import spatial
+from glebe.operators import spatial, tree
 from helpers import plan_of, rows
 
 
@@ -122,13 +122,49 @@ def test_a_crowded_cell_is_split_on_both_sides(spark, n_sites, n_targets):
 @pytest.mark.parametrize("metric", ["haversine", "planar"])
 @pytest.mark.parametrize("k", [1, 3])
 def test_nearest_in_a_dense_town(spark, metric, k):
-    """Most points within some hundred metres: cells with over ten targets are searched further down."""
+    """Most points within some hundred metres."""
     rng = random.Random(5)
     spot = lambda: (47 + rng.gauss(0, 5e-4), 2 + rng.gauss(0, 5e-4)) if rng.random() < .8 else (47 + rng.uniform(-2, 2), 2 + rng.uniform(-2, 2))
     t, s = [spot() for _ in range(500)], [spot() for _ in range(60)]
     targets = spark.createDataFrame([(i, *p) for i, p in enumerate(t)], "tid int, latitude double, longitude double")
     sites = spark.createDataFrame([(i, *p) for i, p in enumerate(s)], "sid int, lat double, lon double")
     distance = km if metric == "haversine" else lambda a, b, c, d: (c - a) ** 2 + (d - b) ** 2
-    got = spatial.nearest(sites, targets, k, metric, crowded_leaf=10).select("sid", "rank", "tid")
+    got = spatial.nearest(sites, targets, k, metric).select("sid", "rank", "tid")
     expected = [(i, r, j) for i, p in enumerate(s) for r, (_, j) in enumerate(sorted((distance(*p, *q), j) for j, q in enumerate(t))[:k], 1)]
     assert rows(got, "sid", "rank") == expected
+
+
+@pytest.mark.parametrize("metric", ["haversine", "planar"])
+def test_nearest_where_all_targets_lie_within_a_metre(spark, metric):
+    rng = random.Random(6)
+    t = [(47 + rng.random() * 9e-6, 2 + rng.random() * 9e-6) for _ in range(6000)]
+    s = [(47 + rng.random() * 9e-6, 2 + rng.random() * 9e-6) for _ in range(20)] + [(10.0, 10.0)]
+    targets = spark.createDataFrame([(i, *p) for i, p in enumerate(t)], "tid int, latitude double, longitude double").repartition(3)
+    sites = spark.createDataFrame([(i, *p) for i, p in enumerate(s)], "sid int, lat double, lon double")
+    distance = km if metric == "haversine" else squared
+    for k in (1, 3):
+        got = {(r.sid, r["rank"]): r.distance for r in spatial.nearest(sites, targets, k, metric).collect()}
+        for i, p in enumerate(s):
+            nearest = sorted(distance(*p, *q) for q in t)[:k]
+            assert [got[i, r + 1] for r in range(k)] == pytest.approx(nearest, rel=1e-6, abs=1e-15)
+
+
+def test_leaves_and_nodes_are_bounded(spark):
+    """However points lie, a leaf has 64 at most and a node 64 below it, over several partitions too."""
+    rng = random.Random(7)
+    rows = [(47 + (rng.random() if i % 10 == 0 else 1e-6 * rng.random()), 2.0 + 1e-9 * i) for i in range(9000)] + [(91.0, 0.0), (None, 1.0)]
+    df = spark.createDataFrame(rows, "latitude double, longitude double").repartition(5)
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        built = tree.build(df)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert built.points.count() == 9000
+    leaves = built.leaf_points().groupBy("_node").count().agg(F.max("count"), F.sum("count")).first()
+    assert leaves[0] <= 64 and leaves[1] == 9000
+    sizes = built.nodes.selectExpr("_shift", "size(_children) AS n", "aggregate(_children, 0L, (a, c) -> a + c._n) AS points").collect()
+    assert max(r.n for r in sizes) <= 64 and len(built.shifts) == 2
+    assert {shift: sum(r.points for r in sizes if r["_shift"] == shift) for shift in built.shifts} == dict.fromkeys(built.shifts, 9000)
+    assert tree._levels({0: 40}) == (6,) and tree._levels({0: 1 << 20}) == (18, 12, 6) and tree._levels({}) == (6,)
+    assert tree._levels(dict.fromkeys(range(1000), 50)) == (39, 6)
