@@ -76,18 +76,12 @@ def replace_unless_empty(df: DataFrame, path: str, year: str | None = None, orde
     return some
 
 
-def _last_path(path: str) -> str:
-    return f"{path.rstrip('/')}_last_days"
-
-
 def last_days(spark: SparkSession, path: str, keys: list[str], date: str = "date") -> DataFrame | None:
     """Last known ``date`` per key of a stored table, None without a table.
 
-    ``upsert_table`` keeps these few rows beside the table. Where they are missing they are read from the table.
+    Read from the table itself, so it can never tell of rows that are not there; only the key and date columns are
+    scanned, and tasks pass on one row a key.
     """
-    known = read_table(spark, _last_path(path))
-    if known is not None and set(known.columns) == {*keys, date}:
-        return known
     table = read_table(spark, path)
     return None if table is None else table.groupBy(*keys).agg(F.max(date).alias(date))
 
@@ -98,23 +92,14 @@ def upsert_table(spark: SparkSession, path: str, new: DataFrame, keys: list[str]
 
     The batch is worked out once. Only the touched years are read and rewritten. The merged years are first written to
     the shared work folder: the table is never read and overwritten by one job, and a lost executor is recovered from
-    files that stay. The last day per key without its date is kept beside the table; if the job stops before that, a
-    later refresh starts a little earlier.
+    files that stay.
     """
     batch, batch_path = staged(new.withColumn(year, F.year(date)), "batch")
     if not batch.isEmpty():
-        places = [k for k in keys if k != date]
-        known = last_days(spark, path, places, date)
-        days = batch.groupBy(*places).agg(F.max(date).alias(date))
-        if known is not None:
-            days = known.unionByName(days).groupBy(*places).agg(F.max(date).alias(date))
-        days, days_path = staged(days, "last-days")
         old = read_table(spark, path)
         if old is not None:
             old = old.join(batch.select(year).distinct(), year, "left_semi")
         merged, merged_path = staged(upsert(old, batch, keys), "upsert")
         write_years(merged, path, year, [k for k in keys if k != year])
-        write_all(days, _last_path(path))
-        drop_scratch(spark, days_path)
         drop_scratch(spark, merged_path)
     drop_scratch(spark, batch_path)

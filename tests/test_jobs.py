@@ -1,5 +1,6 @@
 import datetime as dt
 import json
+import shutil
 import zipfile
 
 import pytest
@@ -10,7 +11,7 @@ from glebe.plans import jobs
 from glebe.schemas import WEATHER_DAILY
 from glebe.session import drop_scratch, scratch_path, work_dir
 from glebe.sources import tables
-from glebe.streaming.weather import stream_weather
+from glebe.streaming.weather import merge_batch, stream_weather
 from helpers import rows
 from test_scoring import PARCEL_ROWS
 from test_sources import DATED, NEW, NO_YEAR, OLD, PAYLOAD, WELL_RECORDS, damaged_zip
@@ -202,3 +203,20 @@ def test_a_table_with_repeated_keys_is_merged(spark, tmp_path):
 def test_empty_merge(spark):
     empty = spark.createDataFrame([], WEATHER_DAILY)
     assert latest.upsert(empty, empty).count() == 0
+
+
+def test_a_removed_table_is_filled_again(spark, tmp_path):
+    """Nothing beside the table remembers days that the table no longer has."""
+    path = str(tmp_path / "t")
+    days = spark.range(200).select(F.lit(46.0).alias("latitude"), F.lit(2.0).alias("longitude"),
+                                   F.expr("date_add(DATE'2024-01-01', cast(id AS int))").alias("date"), F.col("id").cast("double").alias("rain"))
+    for _ in range(2):
+        merge_batch(spark, days, path)
+        assert spark.read.parquet(path).count() == 200
+        shutil.rmtree(path)
+    assert tables.last_days(spark, path, ["latitude", "longitude"]) is None
+    merge_batch(spark, days.limit(50), path)
+    end = tables.last_days(spark, path, ["latitude", "longitude"])
+    assert rows(end) == [(46.0, 2.0, D(2024, 2, 19))]
+    tables.write_all(days.limit(2).withColumn("annee", F.year("date")), path)
+    assert rows(tables.last_days(spark, path, ["latitude", "longitude"])) == [(46.0, 2.0, D(2024, 1, 2))]
