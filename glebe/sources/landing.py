@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from glebe.functions import text
 from glebe.operators.conform import conform_quotes, conform_sales, concat, fill_quote_year, fill_sale_period
 from glebe.schemas import WORK_LOG_FIELDS
+from glebe.sources.csv_records import csv_records, file_lines, parsed_records
 
 
 @dataclass(frozen=True)
@@ -116,17 +117,21 @@ def read_csv_files(spark: SparkSession, manifest: DataFrame, conform: Callable[.
     """All files of a manifest in the target schema, plus ``_file`` and ``_name``.
 
     All cells are read as text; ragged lines are cut or filled with nulls. Files are grouped by dialect
-    and header, so there are as many reads as distinct headers, not as files. Only files whose quoted cells may hold
-    line breaks are read whole; the others are split.
+    and header, so there are as many reads as distinct headers, not as files. All files are split, also those whose
+    quoted cells may hold line breaks; such a break is read as a line feed.
     """
     frames = []
     for (separator, encoding, header, broken), paths in sorted(dialect_groups(manifest).items()):
-        raw = (
-            spark.read.schema(text_schema(header_names(header, separator)))
-            .option("header", True).option("sep", separator).option("encoding", encoding)
-            .option("mode", "PERMISSIVE").option("multiLine", broken).option("escape", '"').csv(paths)
-            .select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_name").alias("_name"))
-        )
+        schema = text_schema(header_names(header, separator))
+        if broken:
+            raw = parsed_records(csv_records(file_lines(spark, paths, encoding), separator), schema.toDDL(), separator)
+        else:
+            raw = (
+                spark.read.schema(schema)
+                .option("header", True).option("sep", separator).option("encoding", encoding)
+                .option("mode", "PERMISSIVE").option("escape", '"').csv(paths)
+                .select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_name").alias("_name"))
+            )
         frames.append(conform(raw, keep=("_file", "_name")))
     return concat(frames) if frames else no_rows(spark, conform)
 
