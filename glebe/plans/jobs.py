@@ -121,12 +121,15 @@ def load_sales(spark: SparkSession, landing_path: str, table: str, years: list[i
 
 
 def load_crop_parcels(spark: SparkSession, landing_path: str, table: str, year: int, lat: float, lon: float,
-                      radius_km: float, layout: str = "lines") -> DataFrame:
+                      radius_km: float, layout: str = "lines", lambert93: bool = False) -> DataFrame:
     """Crop parcels of a year in the box around a site, stored by year; returns that year's ten largest crops.
 
-    Other years stay, and so does this year's if nothing was found.
+    Other years stay, and so does this year's if nothing was found. ``lambert93`` tells that files are in EPSG:2154.
     """
-    features = records.features_in_box(records.read_features(spark, landing_path, layout), lat, lon, radius_km)
+    features = records.read_features(spark, landing_path, layout)
+    if lambert93:
+        features = records.features_from_lambert93(features)
+    features = records.features_in_box(features, lat, lon, radius_km)
     rows = records.crop_parcel_rows(features).withColumn("annee", F.lit(year))
     tables.replace_unless_empty(rows, table, "annee")
     stored = tables.read_table(spark, table, rows.schema)

@@ -175,6 +175,12 @@ def read_features(spark: SparkSession, path: str, layout: str = "lines") -> Data
     raise ValueError(f"unknown layout {layout!r}")
 
 
+def features_from_lambert93(features: DataFrame) -> DataFrame:
+    """Features delivered in Lambert-93 metres (EPSG:2154) with their polygons in degrees; other shapes are lost."""
+    shape = geo.lambert93_shape(F.col("geometry.type"), F.col("geometry.coordinates"))
+    return features.withColumn("geometry", F.col("geometry").withField("coordinates", shape))
+
+
 def crop_parcel_rows(features: DataFrame) -> DataFrame:
     """Features to crop parcels; property names in lower or upper case, missing texts '' and area 0."""
     def prop(name: str):

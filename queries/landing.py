@@ -6,6 +6,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from glebe.functions import geo
 from glebe.functions.numbers import rounded
 from glebe.operators import filters, hours
 from glebe.operators.conform import conform_quotes, conform_sales, fill_quote_year, fill_sale_period
@@ -367,6 +368,47 @@ def crop_parcels_in_box(spark, sf):
     return records.crop_parcel_rows(records.features_in_box(features, SITE_LAT, SITE_LON, 100)).select("id_parcel")
 
 
+def landed_lambert93(spark, sf) -> str:
+    """Triangles of 250 m in metres of EPSG:2154, all over the country; every third one a MultiPolygon with heights."""
+    crops = standin(spark, sf, "crops").withColumn("no", F.col("id_parcel").cast("bigint"))
+    x = (F.lit(150000) + F.col("no") * 7919 % 1000000).cast("double")
+    y = (F.lit(6080000) + F.col("no") * 104729 % 1000000).cast("double")
+    corners = ((x, y), (x + 250, y), (x, y + 250), (x, y))
+    flat = F.to_json(F.array(F.array(*(F.array(a, b) for a, b in corners))))
+    high = F.to_json(F.array(F.array(F.array(*(F.array(a, b, F.lit(80.5)) for a, b in corners)))))
+    several = F.col("no") % 3 == 0
+    geometry = F.concat(F.lit('{"type":"'), F.when(several, "MultiPolygon").otherwise("Polygon"), F.lit('","coordinates":'),
+                        F.when(several, high).otherwise(flat), F.lit("}"))
+    properties = F.to_json(F.struct(F.col("id_parcel").alias("ID_PARCEL"), F.col("code_culture").alias("CODE_CULTU")))
+    path = scratch_path(spark, "lambert93")
+    crops.select(F.concat(F.lit('{"properties":'), properties, F.lit(',"geometry":'), geometry, F.lit("}")).alias("value")).write.text(path)
+    return path
+
+
+# The SQL finds the cone and, by repeated substitution, the latitude on its own; shapes have nine decimals.
+_ISOMETRIC = "ln(tan(pi() / 4 + {0} / 2) * pow((1 - e * sin({0})) / (1 + e * sin({0})), e / 2))"
+_NEXT = "2 * atan(exp(iso) * pow((1 + e * sin({0})) / (1 - e * sin({0})), e / 2)) - pi() / 2"
+_TURNS = "".join(f", s{i + 1} AS (SELECT *, {_NEXT.format(f'phi{i}')} AS phi{i + 1} FROM s{i})" for i in range(8))
+LAMBERT93 = with_tables("crops") + f""", ell AS (SELECT sqrt(2 / 298.257222101::DOUBLE - 1 / pow(298.257222101::DOUBLE, 2)) AS e, radians(44) AS p1, radians(49) AS p2, radians(46.5) AS p0),
+  cone AS (SELECT *, (ln(cos(p1) / sqrt(1 - pow(e * sin(p1), 2))) - ln(cos(p2) / sqrt(1 - pow(e * sin(p2), 2)))) / ({_ISOMETRIC.format('p2')} - {_ISOMETRIC.format('p1')}) AS n FROM ell),
+  scaled AS (SELECT *, 6378137 * cos(p1) / sqrt(1 - pow(e * sin(p1), 2)) * exp(n * {_ISOMETRIC.format('p1')}) / n AS c FROM cone),
+  corners AS (SELECT id_parcel, 150000 + CAST(id_parcel AS BIGINT) * 7919 % 1000000 + dx - 700000 AS x,
+    c * exp(-n * {_ISOMETRIC.format('p0')}) - (6080000 + CAST(id_parcel AS BIGINT) * 104729 % 1000000 + dy - 6600000) AS y, e, n, c
+    FROM crops, scaled, (VALUES (0, 0), (250, 0), (0, 250)) AS d(dx, dy)),
+  turned AS (SELECT *, ln(c / sqrt(x * x + y * y)) / n AS iso, 3 + degrees(atan2(x, y)) / n AS lon FROM corners),
+  s0 AS (SELECT *, 2 * atan(exp(iso)) - pi() / 2 AS phi0 FROM turned){_TURNS},
+  nine AS (SELECT id_parcel, round(lon, 9) AS lon, round(degrees(phi8), 9) AS lat FROM s8),
+  placed AS (SELECT id_parcel, min(lon) AS lon_min, min(lat) AS lat_min, max(lon) AS lon_max, max(lat) AS lat_max FROM nine GROUP BY 1)"""
+
+
+@query(LAMBERT93 + """ SELECT id_parcel, round(lon_min, 5) AS lon_min, round(lat_min, 5) AS lat_min, round(lon_max, 5) AS lon_max, round(lat_max, 5) AS lat_max
+  FROM placed""")
+def crop_parcels_from_lambert93(spark, sf):
+    features = records.features_from_lambert93(records.read_features(spark, landed_lambert93(spark, sf)))
+    box = geo.envelope(geo.polygons(F.col("geometry.type"), F.col("geometry.coordinates")))
+    return features.select(F.col("properties")["ID_PARCEL"].alias("id_parcel"), *(rounded(c, 5).alias(n) for n, c in box.items()))
+
+
 @query(CROPS + f" SELECT libelle_culture, count(*) AS n, round(sum(surface_ha), 1) AS ha FROM landed WHERE {IN_BOX} GROUP BY 1 ORDER BY ha DESC, libelle_culture LIMIT 10")
 def stored_crop_parcels_job(spark, sf):
     return jobs.load_crop_parcels(spark, landed_features(spark, sf), scratch_path(spark, "crops_table"), 2023, SITE_LAT, SITE_LON, 100)
