@@ -22,8 +22,8 @@ AXIS_TITLES = {
     "topographie": "Topographie & Exposition",
 }
 
-# A scenario table is dealt over this many keys, and the parcels over that many.
-_SCENARIO_PARTS, _PARCEL_PARTS = 8, 32
+# Rows of either side that meet under one key of the scenario join; the number of keys follows from the counts.
+SCENARIO_BLOCK = 2000
 SCENARIO = T.StructType([
     T.StructField("scenario", T.StringType(), False),
     *(T.StructField(f"poids_{axis}", T.DoubleType(), False) for axis in DEFAULT_WEIGHTS),
@@ -100,8 +100,9 @@ def score_scenarios(parcels: DataFrame, scenarios: dict[str, dict[str, float]] |
     """Every parcel under every weighting: ``scenario``, its weights and ``score_global``.
 
     Scenarios are a dict of weightings or a table (scenario, poids_economique, poids_eau,
-    poids_topographie) of any length; a sum off 1 stops the query. A table is joined on salted keys, so that both
-    sides are spread over tasks however long either is.
+    poids_topographie) of any length; a sum off 1 stops the query. A table is joined on salted keys, a block of some
+    ``SCENARIO_BLOCK`` rows of either side to a key, so the keys grow with the product, and a parcel is copied once for
+    each block of scenarios. Both sides are counted first, as subqueries of the same plan.
     """
     scored = score_axes(parcels, **options)
     if isinstance(scenarios, DataFrame):
@@ -109,12 +110,17 @@ def score_scenarios(parcels: DataFrame, scenarios: dict[str, dict[str, float]] |
         total = sum((F.col(f"poids_{axis}") for axis in DEFAULT_WEIGHTS), F.lit(0.0))
         checked = F.when(total.between(0.99, 1.01), F.struct(*SCENARIO.fieldNames())).otherwise(
             F.raise_error(F.lit("weights must sum to 1.0")))
-        salt = [F.pmod(F.xxhash64(*SCENARIO.fieldNames()), F.lit(_SCENARIO_PARTS)).alias("_i"),
-                F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(_PARCEL_PARTS - 1).cast("bigint"))).alias("_j")]
-        dealt = rows.select(checked.alias("_s"), *salt)
+        def blocks(side: DataFrame) -> Column:
+            return side.agg(F.greatest(F.ceil(F.count(F.lit(1)) / SCENARIO_BLOCK), F.lit(1))).scalar()
+
+        def all_of(count: Column) -> Column:
+            return F.explode(F.sequence(F.lit(0).cast("bigint"), count - 1))
+
         # Salts come from the rows alone, so that a task that runs again deals its rows alike.
-        spread = scored.withColumn("_j", F.pmod(F.xxhash64(*parcels.columns), F.lit(_PARCEL_PARTS))).withColumn(
-            "_i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(_SCENARIO_PARTS - 1).cast("bigint")))).join(dealt, ["_i", "_j"])
+        dealt = rows.select(checked.alias("_s"), F.pmod(F.xxhash64(*SCENARIO.fieldNames()), blocks(rows)).alias("_i"),
+                            all_of(blocks(parcels)).alias("_j"))
+        spread = scored.withColumn("_j", F.pmod(F.xxhash64(*parcels.columns), blocks(parcels))).withColumn(
+            "_i", all_of(blocks(rows))).join(dealt, ["_i", "_j"])
     else:
         rows = [
             F.struct(F.lit(name).alias("scenario"),

@@ -85,6 +85,17 @@ def test_scenario_table(spark, parcels):
         scoring.score_scenarios(parcels, wrong).collect()
 
 
+def test_scenario_blocks_follow_the_counts(spark, parcels, monkeypatch):
+    monkeypatch.setattr(scoring, "SCENARIO_BLOCK", 2)
+    table = spark.range(9).select(F.col("id").cast("string").alias("scenario"), F.lit(0.3).alias("poids_economique"),
+                                  F.lit(0.3).alias("poids_eau"), F.lit(0.4).alias("poids_topographie"))
+    scored = scoring.score_scenarios(parcels.union(parcels), table)
+    assert scored.count() == 9 * 2 * parcels.count()
+    assert scored.select("id", "scenario").distinct().count() == 9 * parcels.select("id").distinct().count()
+    assert scoring.score_scenarios(parcels, table.filter("false")).count() == 0
+    assert scoring.score_scenarios(parcels.filter("false"), table).count() == 0
+
+
 def test_thousands_of_scenarios(spark, parcels):
     table = spark.range(2500).select(F.col("id").cast("string").alias("scenario"), (F.col("id") % 70 / 100).alias("poids_economique"),
                                      F.lit(0.3).alias("poids_eau"), (F.lit(0.7) - F.col("id") % 70 / 100).alias("poids_topographie"))
