@@ -33,13 +33,23 @@ def _inside_window(rows: DataFrame, plan: DataFrame, keys: list[str]) -> DataFra
     return windowed.filter(F.col("date").between(F.col("debut"), F.col("fin"))).drop("debut", "fin")
 
 
+def _keep_rejects(rows: DataFrame, day: dt.date, path: str) -> None:
+    tables.append_rows(rows.select(F.lit(day).alias("jour"), "raison", "contenu"), path)
+
+
 def refresh_weather(spark: SparkSession, landing_path: str, table: str, points: DataFrame, end: dt.date,
                     backfill_years: int = 5, lookback_days: int = 30, force_full: bool = False,
-                    measures: tuple[str, ...] = GRID_MEASURES, layout: str = "lines") -> DataFrame:
-    """Gridded weather: plan the window per point, read landed payloads, merge, store by year."""
+                    measures: tuple[str, ...] = GRID_MEASURES, layout: str = "lines", rejects: str | None = None) -> DataFrame:
+    """Gridded weather: plan the window per point, read landed payloads, merge, store by year.
+
+    Payloads that cannot be used are appended to the table ``rejects``, if one is named, before the merge: a run that
+    is repeated may list them again, but none is lost.
+    """
     keys = ["latitude", "longitude"]
     plan = latest.refresh_plan(points, tables.last_days(spark, table, keys), end, backfill_years, lookback_days, force_full)
-    rows, _ = records.read_weather(spark, landing_path, measures, layout)
+    rows, unusable = records.read_weather(spark, landing_path, measures, layout)
+    if rejects:
+        _keep_rejects(records.weather_rejects(unusable), end, rejects)
     tables.upsert_table(spark, table, _inside_window(rows, plan, keys), latest.WEATHER_KEYS)
     return summaries.weather_summary(tables.read_table(spark, table))
 
@@ -47,11 +57,14 @@ def refresh_weather(spark: SparkSession, landing_path: str, table: str, points:
 def refresh_station_weather(spark: SparkSession, stations_path: str, records_path: str, table: str, sites: DataFrame,
                             end: dt.date, backfill_years: int = 5, lookback_days: int = 14, force_full: bool = False,
                             stations_layout: str = "array", records_layout: str = "lines",
-                            station_key: str = "station") -> DataFrame:
+                            station_key: str = "station", rejects: str | None = None) -> DataFrame:
     """Station weather: the station nearest to each site, its observations in the window, merge, store by year.
 
-    Sites carry id, lat, lon; observation records carry the station id under ``station_key``.
+    Sites carry id, lat, lon; observation records carry the station id under ``station_key``. Records without a date are
+    appended to the table ``rejects``, if one is named, as in ``refresh_weather``.
     """
+    if rejects:
+        _keep_rejects(records.undated_station_records(spark, records_path, records_layout), end, rejects)
     stations = records.read_stations(spark, stations_path, stations_layout)
     chosen = spatial.nearest(sites, stations, 1, "haversine", tie_break=["id_station"])
     chosen = chosen.select("id_station", "latitude", "longitude").distinct()

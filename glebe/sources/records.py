@@ -93,6 +93,22 @@ def read_station_records(spark: SparkSession, path: str, layout: str = "lines",
     return rows.filter(F.col("date").isNotNull())
 
 
+def rejects(records: DataFrame, reason: str, content: Column) -> DataFrame:
+    """Rows for a table of rejects: ``raison`` and ``contenu`` (the record as text)."""
+    return records.select(F.lit(reason).alias("raison"), content.alias("contenu"))
+
+
+def weather_rejects(payloads: DataFrame) -> DataFrame:
+    """Rejected payloads of ``read_weather`` for a table of rejects: the text itself where it was no JSON."""
+    return rejects(payloads, "no daily.time", F.coalesce("_corrupt_record", F.to_json(F.struct("latitude", "longitude", "daily"))))
+
+
+def undated_station_records(spark: SparkSession, path: str, layout: str = "lines") -> DataFrame:
+    """The records that ``read_station_records`` drops, for a table of rejects."""
+    day = iso_date(text.first_non_empty(_field("reference_time"), _field("DATE"), _field("date")))
+    return rejects(_maps(spark, path, layout).filter(day.isNull()), "no date", F.to_json("r"))
+
+
 def station_weather(records: DataFrame, lat: float, lon: float) -> DataFrame:
     """Observations of one station placed at its coordinates, in date order. No valid row is an error."""
     if records.isEmpty():

@@ -220,3 +220,25 @@ def test_a_removed_table_is_filled_again(spark, tmp_path):
     assert rows(end) == [(46.0, 2.0, D(2024, 2, 19))]
     tables.write_all(days.limit(2).withColumn("annee", F.year("date")), path)
     assert rows(tables.last_days(spark, path, ["latitude", "longitude"])) == [(46.0, 2.0, D(2024, 1, 2))]
+
+
+def test_rejected_records_are_kept(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text("\n".join([payload({D(2024, 4, 1): 1.0}), '{"latitude": 47.5, "error": true}', "{not json"]))
+    points, kept = spark.createDataFrame([(46.0, 2.0)], "latitude double, longitude double"), str(tmp_path / "rejects")
+    assert jobs.refresh_weather(spark, str(tmp_path / "in"), str(tmp_path / "t"), points, D(2024, 4, 4), rejects=kept).first().n_jours == 1
+    got = spark.read.parquet(kept).collect()
+    assert {(r.jour, r.raison) for r in got} == {(D(2024, 4, 4), "no daily.time")} and len(got) == 2
+    assert "{not json" in {r.contenu for r in got} and any(json.loads(r.contenu)["latitude"] == 47.5 for r in got if r.contenu[1] == '"')
+
+    (tmp_path / "stations").mkdir()
+    (tmp_path / "observed").mkdir()
+    (tmp_path / "stations" / "s.json").write_text(json.dumps([{"id": "s1", "nom": "S", "lat": 46.1, "lon": 2.1}]))
+    (tmp_path / "observed" / "o.json").write_text("\n".join(json.dumps(r) for r in [
+        {"station": "s1", "reference_time": "2024-04-01", "TX": 12.0}, {"station": "s1", "DATE": "soon"}, {"station": "s1"}]))
+    sites = spark.createDataFrame([("p", 46.0, 2.0)], "id string, lat double, lon double")
+    done = jobs.refresh_station_weather(spark, str(tmp_path / "stations"), str(tmp_path / "observed"), str(tmp_path / "st"), sites,
+                                        D(2024, 4, 4), rejects=kept)
+    assert done.first().n_jours == 1
+    again = spark.read.parquet(kept).filter("raison = 'no date'").collect()
+    assert sorted(json.loads(r.contenu).get("DATE", "") for r in again) == ["", "soon"]
