@@ -11,6 +11,9 @@ from glebe.functions.dates import date_parts, duration_hours, hours_between, rel
 from glebe.functions.numbers import rounded
 from glebe.functions.text import lenient_double
 
+# Events of one worker that one task pairs, up to the hour that passes it.
+TIMER_BLOCK = 100_000
+
 
 def typed_hours(log: DataFrame) -> DataFrame:
     """Text log to typed rows with date parts; bad dates and numbers become null."""
@@ -40,21 +43,28 @@ def hours_from_timer(events: DataFrame, worker: str = "worker", at: str = "ts",
                      task: str = "poste", seconds: bool = False) -> DataFrame:
     """Start/stop events paired per worker: task, day, start, stop, hours (and whole ``secondes`` if asked).
 
-    A start counts when the worker's next event is a stop; other starts and stray stops are dropped.
-    Time is cut into months so that no worker's whole history has to sit in one task; a pair across the
-    end of a month is kept by also looking at the first event after it.
+    A start counts when the worker's next event is a stop; other starts and stray stops are dropped, and so are events
+    without a time. Equal times are ordered by kind and task.
+
+    Each worker's hours are put together, in order, to blocks of some ``TIMER_BLOCK`` events, so that a badge shared by many
+    is spread over tasks and only an hour of it must fit into one. A pair across the end of a block is kept by also
+    looking at the first event after it.
     """
-    month = F.trunc(F.col(at).cast("date"), "month")
     cut = events.select(worker, F.col(at).alias("_at"), F.col(kind).alias("_kind"), F.col(task).alias("_task"),
-                        month.alias("_month"))
-    # First event of each month, copied to the month before it that has events of the worker.
-    heads = cut.groupBy(worker, "_month").agg(F.min(F.struct("_at", "_kind", "_task")).alias("_head"))
-    previous = F.lag("_month").over(Window.partitionBy(worker).orderBy("_month"))
-    heads = heads.withColumn("_month", previous).filter(F.col("_month").isNotNull()).select(
+                        F.date_trunc("hour", F.col(at)).alias("_hour")).filter(F.col("_at").isNotNull())
+    counted = cut.groupBy(worker, "_hour").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("_at", "_kind", "_task")).alias("_head"))
+    earlier = Window.partitionBy(worker).orderBy("_hour").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = counted.withColumn("_block", F.floor(F.coalesce(F.sum("_n").over(earlier), F.lit(0)) / TIMER_BLOCK))
+    # First event of each block, copied to the block before it.
+    heads = blocks.groupBy(worker, "_block").agg(F.min("_head").alias("_head"))
+    previous = F.lag("_block").over(Window.partitionBy(worker).orderBy("_block"))
+    heads = heads.withColumn("_block", previous).filter(F.col("_block").isNotNull()).select(
         worker, F.col("_head._at").alias("_at"), F.col("_head._kind").alias("_kind"),
-        F.col("_head._task").alias("_task"), "_month").withColumn("_copy", F.lit(True))
-    rows = cut.withColumn("_copy", F.lit(False)).unionByName(heads)
-    order = Window.partitionBy(worker, "_month").orderBy("_at", "_kind", "_task")
+        F.col("_head._task").alias("_task"), "_block").withColumn("_copy", F.lit(True))
+    found = blocks.select(F.col(worker).alias("_worker"), F.col("_hour").alias("_of"), "_block")
+    rows = cut.join(found, F.col(worker).eqNullSafe(F.col("_worker")) & (F.col("_hour") == F.col("_of"))).select(
+        worker, "_at", "_kind", "_task", "_block").withColumn("_copy", F.lit(False)).unionByName(heads)
+    order = Window.partitionBy(worker, "_block").orderBy("_at", "_kind", "_task")
     paired = rows.withColumn("_next", F.lead(F.struct("_at", "_kind")).over(order))
     kept = paired.filter(~F.col("_copy") & (F.col("_kind") == "start") & (F.col("_next._kind") == "stop"))
     exact = [F.timestamp_diff("SECOND", F.col("_at"), F.col("_next._at")).alias("secondes")] if seconds else []

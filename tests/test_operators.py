@@ -233,6 +233,24 @@ def test_timer_pairs(spark):
                    ("w", "night", "23:00", "01:00", 2.0)]
 
 
+def test_timer_pairs_across_blocks(spark, monkeypatch):
+    """A shared badge, cut into blocks of a few events, against one walk through the sorted events."""
+    draw, start = random.Random(3), dt.datetime(2024, 1, 31, 20)
+    events = [(draw.choice(["badge", "badge", "badge", "w", None]), start + dt.timedelta(minutes=draw.randrange(3000)),
+               draw.choice(["start", "stop"]), draw.choice("abc")) for _ in range(600)] + [("w", None, "start", "a")]
+    want = []
+    for worker in {e[0] for e in events}:
+        own = sorted(e[1:] for e in events if e[0] == worker and e[1] is not None)
+        want += [(worker, t, a, round((b - a).total_seconds() / 3600 + 1e-9, 2)) for (a, k, t), (b, after, _) in zip(own, own[1:])
+                 if k == "start" and after == "stop"]
+    given = spark.createDataFrame(events, "worker string, ts timestamp_ntz, kind string, poste string")
+    for size in (1, 7, 100_000):
+        monkeypatch.setattr(hours, "TIMER_BLOCK", size)
+        got = hours.hours_from_timer(given, seconds=True).collect()
+        assert sorted((str(r.worker), r.poste, f"{r.date} {r.debut}", r.duree_h) for r in got) == sorted(
+            (str(w), t, f"{a:%Y-%m-%d %H:%M}", h) for w, t, a, h in want)
+
+
 # ---- summaries, filters, market gap -----------------------------------------------------------------
 
 
