@@ -1,12 +1,12 @@
 """Landed JSON: weather payloads, station records, wells, groundwater, crop parcels, parcel documents.
 
-``layout`` says how records lie in the files: "lines" (one per line, splits well), "array" (one JSON list
-per file) or "data" (a list under the key ``data``, as the water API pages have it).
+``layout`` says how records lie in the files: "lines" (one per line), "array" (one JSON list per file) or "data" (a list
+under the key ``data``, as the water API pages have it). Files of any layout are split.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,34 +16,31 @@ from glebe.operators.conform import crop_label, place_constant, station_measures
 from glebe.operators.spatial import with_distance
 from glebe.operators.validate import broken_rules, with_defaults
 from glebe.schemas import GRID_MEASURES, GROUNDWATER, PARCELS, STATION_FIELDS, WELLS
+from glebe.sources.json_records import json_records
 
 _FIELDS = "map<string,string>"
+# Layouts of lists, and the key that the list stands under.
+_LIST_KEYS = {"array": None, "data": "data", "collection": "features"}
 
 
 def _records(spark: SparkSession, path: str, schema: T.StructType, layout: str) -> DataFrame:
     """Records with declared fields."""
     if layout == "lines":
         return spark.read.schema(schema).json(path)
-    if layout == "array":
-        return spark.read.schema(schema).option("multiLine", True).json(path)
-    if layout == "data":
-        page = T.StructType([T.StructField("data", T.ArrayType(schema))])
-        return spark.read.schema(page).option("multiLine", True).json(path).select(F.inline("data"))
-    raise ValueError(f"unknown layout {layout!r}")
+    return _listed(spark, path, layout).select(F.from_json("value", schema).alias("r")).select("r.*")
+
+
+def _listed(spark: SparkSession, path: str, layout: str) -> DataFrame:
+    """Records of JSON lists as text."""
+    if layout not in _LIST_KEYS:
+        raise ValueError(f"unknown layout {layout!r}")
+    return json_records(spark, path, _LIST_KEYS[layout])
 
 
 def _maps(spark: SparkSession, path: str, layout: str) -> DataFrame:
     """Records as text maps (``r``), for sources whose field names vary in case."""
-    if layout == "lines":
-        return spark.read.text(path).select(F.from_json("value", _FIELDS).alias("r")).filter(F.col("r").isNotNull())
-    whole = spark.read.text(path, wholetext=True)
-    if layout == "array":
-        listed = F.from_json("value", f"array<{_FIELDS}>")
-    elif layout == "data":
-        listed = F.from_json("value", f"struct<data:array<{_FIELDS}>>")["data"]
-    else:
-        raise ValueError(f"unknown layout {layout!r}")
-    return whole.select(F.explode(listed).alias("r"))
+    texts = spark.read.text(path) if layout == "lines" else _listed(spark, path, layout)
+    return texts.select(F.from_json("value", _FIELDS).alias("r")).filter(F.col("r").isNotNull())
 
 
 def _field(name: str):
@@ -183,12 +180,8 @@ _FEATURE = "struct<properties:map<string,string>,geometry:struct<type:string,coo
 
 def read_features(spark: SparkSession, path: str, layout: str = "lines") -> DataFrame:
     """GeoJSON features: ``properties`` and ``geometry``; one per line, or a FeatureCollection per file."""
-    if layout == "lines":
-        return spark.read.text(path).select(F.from_json("value", _FEATURE).alias("f")).select("f.*")
-    if layout == "collection":
-        whole = spark.read.text(path, wholetext=True)
-        return whole.select(F.inline(F.from_json("value", f"struct<features:array<{_FEATURE}>>")["features"]))
-    raise ValueError(f"unknown layout {layout!r}")
+    texts = spark.read.text(path) if layout == "lines" else _listed(spark, path, layout)
+    return texts.select(F.from_json("value", _FEATURE).alias("f")).select("f.*")
 
 
 def features_from_lambert93(features: DataFrame) -> DataFrame:

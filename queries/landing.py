@@ -267,6 +267,17 @@ def stored_quotes_job(spark, sf):
     return jobs.summaries.quote_summary(spark.read.parquet(path)).withColumn("n_origines", F.col("n_origines").cast("int"))
 
 
+def _lists_of(spark, lines_path: str, head: str, tail: str) -> str:
+    """JSON records, one a line, as files of one list each, of a bounded number of records."""
+    lines = spark.read.text(lines_path)
+    files = max(1, -(-lines.count() // FILE_LINES))
+    dealt = lines.groupBy(F.pmod(F.monotonically_increasing_id(), F.lit(files)).alias("number")).agg(
+        F.concat(F.lit(head), F.concat_ws(",\n", F.collect_list("value")), F.lit(tail)).alias("value"))
+    path = scratch_path(spark, "lists")
+    dealt.write.partitionBy("number").text(path)
+    return path
+
+
 def landed_wells(spark, sf) -> str:
     wells = standin(spark, sf, "wells")
     lists = F.when(F.col("nb_mesures_piezo") % 5 == 0, F.array().cast("array<string>")).otherwise(F.array("code_bdlisa", F.lit("autre")))
@@ -290,6 +301,15 @@ def wells_from_json(spark, sf):
                         "nb_mesures_piezo", "code_bdlisa", "distance_km")
 
 
+@query(WELLS + " SELECT * FROM landed")
+def wells_from_pages(spark, sf):
+    """Pages with the list under "data", between other keys that hold objects and lists."""
+    pages = _lists_of(spark, landed_wells(spark, sf), '{"count": 2, "links": [{"data": [{"code_bss": "}"}]}],\n "data" : [', '], "api": {"v": [{}]}}')
+    wells = records.read_wells(spark, pages, SITE_LAT, SITE_LON, "data")
+    return wells.select("code_bss", "code_departement", "nom_departement", "longitude", "latitude", "altitude_station", "profondeur_investigation",
+                        "nb_mesures_piezo", "code_bdlisa", "distance_km")
+
+
 @query(WELLS + f" SELECT nom_departement, count(*) AS n, round(avg(profondeur_investigation), 1) AS prof_moy_m FROM landed WHERE {SITE_KM} <= 350 GROUP BY 1")
 def stored_wells_job(spark, sf):
     return jobs.load_wells(spark, landed_wells(spark, sf), scratch_path(spark, "wells_table"), SITE_LAT, SITE_LON, 350)
@@ -319,6 +339,12 @@ def groundwater_from_json(spark, sf):
     return records.read_groundwater(spark, landed_groundwater(spark, sf)).drop("mode_obtention")
 
 
+@query(GROUNDWATER + " SELECT code_bss, date_mesure, profondeur_nappe, niveau_eau_ngf, qualification, code_qualification FROM landed")
+def groundwater_from_lists(spark, sf):
+    lists = _lists_of(spark, landed_groundwater(spark, sf), "[", "]")
+    return records.read_groundwater(spark, lists, "array").drop("mode_obtention")
+
+
 @query(GROUNDWATER + f""" SELECT code_bss, count(*) AS n, min(date_mesure) AS debut, max(date_mesure) AS fin, round(avg(profondeur_nappe), 2) AS prof_moy_m FROM landed
   WHERE date_mesure BETWEEN DATE '1997-01-01' AND DATE '2000-06-30'
     AND code_bss IN (SELECT code_bss FROM wells WHERE {SITE_KM} <= 350 ORDER BY round({SITE_KM}, 2), code_bss LIMIT 12) GROUP BY 1""")
@@ -358,6 +384,14 @@ def crop_parcels_from_geojson(spark, sf):
     return records.crop_parcel_rows(records.read_features(spark, landed_features(spark, sf)))
 
 
+@query(CROPS + " SELECT id_parcel, code_culture, surface_ha, libelle_culture, geometry_wkt FROM landed")
+def crop_parcels_from_collections(spark, sf):
+    """FeatureCollections as files have them, the reference system before the features."""
+    system = '{"type": "FeatureCollection", "crs": {"type": "name", "properties": {"name": "EPSG:4326"}}, "features": ['
+    collections = _lists_of(spark, landed_features(spark, sf), system, "]}")
+    return records.crop_parcel_rows(records.read_features(spark, collections, "collection"))
+
+
 IN_BOX = f"""geometry_wkt <> '' AND x <= {SITE_LON} + 100 / (111.32::DOUBLE * cos(radians({SITE_LAT}))) AND x + 0.5 >= {SITE_LON} - 100 / (111.32::DOUBLE * cos(radians({SITE_LAT})))
   AND y <= {SITE_LAT} + 100 / 111.32::DOUBLE AND y + 0.5 >= {SITE_LAT} - 100 / 111.32::DOUBLE"""
 
