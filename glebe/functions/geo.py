@@ -150,11 +150,11 @@ def envelope(shape: Column) -> dict[str, Column]:
 
 
 def edges(shape: Column) -> Column:
-    """All edges of all rings of a polygon list: array of (x1, y1, x2, y2)."""
+    """All edges of all rings of a polygon list: array of (x1, y1, x2, y2). A ring that is not closed is closed."""
 
     def of_ring(ring: Column) -> Column:
-        ends = F.slice(ring, F.lit(2), F.greatest(F.size(ring) - 1, F.lit(0)))
-        starts = F.slice(ring, F.lit(1), F.greatest(F.size(ring) - 1, F.lit(0)))
+        starts = F.slice(ring, F.lit(1), F.size(ring))
+        ends = F.concat(F.slice(ring, F.lit(2), F.size(ring)), F.slice(ring, F.lit(1), F.lit(1)))
         return F.zip_with(starts, ends, lambda a, b: F.struct(a[0].alias("x1"), a[1].alias("y1"), b[0].alias("x2"), b[1].alias("y2")))
 
     return F.flatten(F.transform(F.flatten(shape), of_ring))

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from glebe.functions import geo
 from glebe.functions.numbers import rounded
 from glebe.operators.tree import Tree, build, far, in_range, near, staged_places, with_axes
+from glebe.session import scratch_path
 
 # More points than this in one cell are spread over several join keys.
 HOT_CELL_ROWS = 200_000
@@ -291,18 +292,23 @@ def points_in_zones(points: DataFrame, zones: DataFrame, shape_col: str, lat_col
                     hot_cell_rows: int = HOT_CELL_ROWS) -> DataFrame:
     """Each point with the zones that hold it (left join, "within"): the columns of both but the shape.
 
-    A zone is listed under the cells its envelope touches, in each with just the edges that decide there. A zone
-    too large for ``max_cells_per_zone`` uses coarser cells (twice the size until it fits), and points look it up at
-    that size, so no zone is lost. Each place is looked up once, however many points share it; crowded cells are split
-    by a hash of the place, and their zones are repeated.
+    A zone is listed under the cells it touches. A cell carries the edges whose boxes meet it, and the parity of the chains
+    of edges that pass to its right: of such a chain only its two ends matter, and they belong to edges at the cell's
+    column. So inner cells carry no edge and outer ones are not listed. A zone too large for ``max_cells_per_zone`` uses
+    coarser cells (twice the size until it fits), and points look it up at that size, so no zone is lost. Each place is
+    looked up once, however many points share it; crowded cells are split by a hash of the place, and their zones are
+    repeated. Rings that are not closed are closed. The zones are numbered and staged once, by a job of their own.
     """
     shared = set(points.columns) & set(zones.columns)
     if shared:
         raise ValueError(f"both sides have columns {sorted(shared)}")
     lat, lon = F.col("_lat"), F.col("_lon")
     places = points.select(F.col(lat_col).alias("_lat"), F.col(lon_col).alias("_lon")).dropna().distinct()
+    staged = scratch_path(zones.sparkSession, "zones")
+    zones.withColumn("_zone", F.monotonically_increasing_id()).write.parquet(staged)
     box = geo.envelope(F.col(shape_col))
-    boxed = zones.withColumn("_box", F.struct(*(v.alias(n) for n, v in box.items()))).filter("_box.lon_min is not null")
+    boxed = zones.sparkSession.read.parquet(staged).withColumn("_box", F.struct(*(v.alias(n) for n, v in box.items())))
+    boxed = boxed.filter("_box.lon_min is not null")
     width = (F.col("_box.lon_max") - F.col("_box.lon_min")) / cell_degrees + 1
     height = (F.col("_box.lat_max") - F.col("_box.lat_min")) / cell_degrees + 1
     doublings = F.ceil(F.log2(F.greatest(F.lit(1.0), F.sqrt(width * height / max_cells_per_zone),
@@ -315,14 +321,31 @@ def points_in_zones(points: DataFrame, zones: DataFrame, shape_col: str, lat_col
 
     # A little more than the cell, so that rounding at its border does not matter.
     slack = size * 1e-6
-    bottom, top, left = F.col("_y") * size - slack, (F.col("_y") + 1) * size + slack, F.col("_x") * size - slack
+    sides = boxed.select("_zone", "_level", F.explode(geo.edges(F.col(shape_col))).alias("_e"))
+    sides = sides.select("_zone", "_e", *(F.floor(v / size).alias(n) for n, v in (
+        ("_column_1", F.col("_e.x1") - slack), ("_column_2", F.col("_e.x2") - slack),
+        ("_right", F.greatest("_e.x1", "_e.x2") + slack), ("_low", F.least("_e.y1", "_e.y2") - slack),
+        ("_high", F.greatest("_e.y1", "_e.y2") + slack))))
+    first, last = F.least("_column_1", "_column_2"), F.greatest("_column_1", "_column_2")
+    # An edge reaches beyond a column's right border with one end: the end of a chain that lies wholly to the right.
+    reaching = F.when(F.col("_column_1") > F.col("_x"), F.col("_e.y1")).otherwise(F.col("_e.y2"))
+    tip = F.when((first <= F.col("_x")) & (F.col("_x") < last), reaching)
+    carried = (
+        sides.withColumn("_x", F.explode(F.sequence(first, F.col("_right"))))
+        .withColumn("_y", F.explode(F.sequence("_low", "_high")))
+        .groupBy("_zone", "_x", "_y").agg(F.collect_list(F.struct("_e.*", tip.alias("tip"))).alias("_edges"))
+    )
+    passed = F.explode(F.sequence(first, last - 1)).alias("_x")
+    above = sides.filter(first < last).select("_zone", passed, (F.col("_low") - 1).alias("_y"))
+    above = above.groupBy("_zone", "_x", "_y").agg(F.count(F.lit(1)).alias("_above"))
+    from_top = Window.partitionBy("_zone", "_x").orderBy(F.desc("_y")).rowsBetween(Window.unboundedPreceding, 0)
+    cell_of_zone = ["_zone", "_x", "_y"]
     listed = (
-        boxed.withColumn("_edges", geo.edges(F.col(shape_col))).drop(shape_col)
-        .withColumn("_y", F.explode(cells("lat_min", "lat_max")))
-        .withColumn("_edges", F.filter("_edges", lambda e: (F.greatest(e.y1, e.y2) >= bottom) & (F.least(e.y1, e.y2) <= top)))
-        .withColumn("_x", F.explode(cells("lon_min", "lon_max")))
-        .withColumn("_edges", F.filter("_edges", lambda e: F.greatest(e.x1, e.x2) >= left))
-        .filter(F.size("_edges") > 0)
+        boxed.drop(shape_col)
+        .withColumn("_y", F.explode(cells("lat_min", "lat_max"))).withColumn("_x", F.explode(cells("lon_min", "lon_max")))
+        .join(carried, cell_of_zone, "left").join(above, cell_of_zone, "left")
+        .withColumn("_odd", F.coalesce(F.sum("_above").over(from_top), F.lit(0)) % 2 == 1)
+        .filter(F.col("_odd") | F.col("_edges").isNotNull()).drop("_zone", "_above")
     )
     # Few sizes are ever in use: one per doubling of the largest zone.
     sizes = boxed.select(F.sort_array(F.collect_set("_level")).alias("levels")).scalar()
@@ -345,11 +368,13 @@ def points_in_zones(points: DataFrame, zones: DataFrame, shape_col: str, lat_col
         listed.join(crowded, cell, "left")
         .withColumn("_part", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1))).drop("_parts")
     )
+    tips_above = F.size(F.filter("_edges", lambda e: e.tip > lat)) % 2 == 1
     hits = (
         spread.join(listed, [*cell, "_part"])
         .filter(lon.between(F.col("_box.lon_min"), F.col("_box.lon_max"))
                 & lat.between(F.col("_box.lat_min"), F.col("_box.lat_max")))
-        .filter(geo.within_edges(F.col("_edges"), lon, lat))
+        .filter(F.when(F.col("_edges").isNull(), F.col("_odd")).otherwise(
+            geo.within_edges(F.col("_edges"), lon, lat) != (F.col("_odd") != tips_above)))
         .select("_lat", "_lon", *(c for c in zones.columns if c != shape_col))
     )
     return points.join(hits, (F.col(lat_col) == lat) & (F.col(lon_col) == lon), "left").drop("_lat", "_lon")

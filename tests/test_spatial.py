@@ -1,3 +1,4 @@
+import itertools
 import math
 import random
 
@@ -99,6 +100,51 @@ def test_points_in_zones(spark):
     assert sorted(got, key=str) == sorted(expected, key=str)
 
 
+def crossings(shape, x, y):
+    """Even-odd rule over all edges."""
+    odd = False
+    for ring in itertools.chain.from_iterable(shape):
+        for (x1, y1), (x2, y2) in zip(ring, ring[1:] + ring[:1]):
+            if (y1 > y) != (y2 > y) and x < x1 + (y - y1) * (x2 - x1) / (y2 - y1):
+                odd = not odd
+    return odd
+
+
+@pytest.mark.parametrize("most_cells", [4, 64, 4096])
+def test_zones_of_any_form_equal_the_even_odd_rule(spark, most_cells):
+    """Rings that cross themselves, holes, several parts, rings left open, corners on borders of cells."""
+    rng = random.Random(most_cells)
+    corner = lambda: [round(rng.uniform(-3, 3), rng.choice([0, 1, 5])), round(rng.uniform(-3, 3), rng.choice([0, 1, 5]))]
+    zones = []
+    for i in range(25):
+        shape = [[[corner() for _ in range(rng.randrange(3, 9))] for _ in range(rng.randrange(1, 3))] for _ in range(rng.randrange(1, 3))]
+        if i % 2:
+            shape = [[ring + ring[:1] for ring in part] for part in shape]
+        zones.append((f"z{i}", shape))
+    pts = [(i, *corner()) for i in range(400)]
+    got = spatial.points_in_zones(spark.createDataFrame(pts, "pid int, plat double, plon double"),
+                                  spark.createDataFrame(zones, "zone string, shape array<array<array<array<double>>>>"),
+                                  "shape", "plat", "plon", max_cells_per_zone=most_cells)
+    want = []
+    for i, y, x in pts:
+        boxed = [(z, s) for z, s in zones if min(p[0] for g in s for r in g for p in r) <= x <= max(p[0] for g in s for r in g for p in r)
+                 and min(p[1] for g in s for r in g for p in r) <= y <= max(p[1] for g in s for r in g for p in r)]
+        want += [(i, z) for z, s in boxed if crossings(s, x, y)] or [(i, None)]
+    assert sorted(rows(got.select("pid", "zone")), key=str) == sorted(want, key=str)
+
+
+def test_a_zone_of_many_vertices(spark):
+    """A ring of 100,000 corners around a circle, in and out by turns, cut into some thousand cells."""
+    n = 100_000
+    ring = [[(2 + 0.01 * (i % 2)) * math.cos(2 * math.pi * i / n), (2 + 0.01 * (i % 2)) * math.sin(2 * math.pi * i / n)] for i in range(n)]
+    zones = spark.createDataFrame([("ring", [[ring + ring[:1]]])], "zone string, shape array<array<array<array<double>>>>")
+    rng = random.Random(1)
+    pts = [(i, r * math.sin(a), r * math.cos(a)) for i in range(5000) for r, a in [(rng.choice([rng.uniform(0, 1.999), rng.uniform(2.011, 2.9)]), rng.uniform(0, 7))]]
+    points = spark.createDataFrame(pts, "pid int, plat double, plon double")
+    got = rows(spatial.points_in_zones(points, zones, "shape", "plat", "plon").select("pid", "zone"))
+    assert sorted(got) == [(i, "ring" if math.hypot(y, x) < 2 else None) for i, y, x in pts]
+
+
 @pytest.mark.parametrize("n_sites, n_targets", [(3000, 40), (40, 3000), (400, 400)])
 def test_a_crowded_cell_is_split_on_both_sides(spark, n_sites, n_targets):
     """All points lie in one cell and all pairs match; no task may hold them all."""
