@@ -220,21 +220,25 @@ def price_dashboard(quotes: DataFrame, products: list[str], markets: list[str] |
 def lake_status(spark: SparkSession, sources: dict[str, tuple[str, Column]], ref_date: dt.date) -> DataFrame:
     """Freshness of each source: name -> (table path, date column to take the latest of).
 
-    Each source is worked out by itself, so one that cannot be read, for whatever reason (no files, a damaged file, a
-    missing column), gives an error row and the others stay.
+    All sources are one job. If it fails, each half of them is one, and so on, so a source that cannot be read, for whatever
+    reason (no files, a damaged file, a missing column), gives an error row and the others stay.
     """
-    rows = []
-    for name, (path, last) in sources.items():
+    def rows(named: list[str]) -> list:
         try:
-            df = tables.read_table(spark, path)
-            if df is None:
-                status = summaries.failed_source(spark, name, f"no files found at {path}")
-            else:
-                status = summaries.source_status(df, name, last, ref_date)
-            rows.append(status.first())
+            parts = []
+            for name in named:
+                path, last = sources[name]
+                df = tables.read_table(spark, path)
+                parts.append(summaries.failed_source(spark, name, f"no files found at {path}") if df is None
+                             else summaries.source_status(df, name, last, ref_date))
+            return concat(parts).collect()
         except (PySparkException, Py4JJavaError) as problem:
-            rows.append(summaries.failed_source(spark, name, _first_words(problem)).first())
-    return spark.createDataFrame(rows, summaries.STATUS)
+            if len(named) == 1:
+                return summaries.failed_source(spark, named[0], _first_words(problem)).collect()
+            half = len(named) // 2
+            return rows(named[:half]) + rows(named[half:])
+
+    return spark.createDataFrame(rows(list(sources)) if sources else [], summaries.STATUS)
 
 
 def _first_words(problem: Exception) -> str:
