@@ -100,15 +100,26 @@ def score_scenarios(parcels: DataFrame, scenarios: dict[str, dict[str, float]] |
     """Every parcel under every weighting: ``scenario``, its weights and ``score_global``.
 
     Scenarios are a dict of weightings or a table (scenario, poids_economique, poids_eau,
-    poids_topographie) of any length; a sum off 1 stops the query. A table is joined on salted keys, a block of some
-    ``SCENARIO_BLOCK`` rows of either side to a key, so the keys grow with the product, and a parcel is copied once for
-    each block of scenarios. Both sides are counted first, as subqueries of the same plan.
+    poids_topographie) of any length; a sum off 1 stops the query.
+    """
+    return under_scenarios(score_axes(parcels, **options), scenarios, parcels.columns)
+
+
+def under_scenarios(scored: DataFrame, scenarios: dict[str, dict[str, float]] | DataFrame,
+                    own: list[str] | None = None) -> DataFrame:
+    """``score_scenarios`` of rows that have their axis scores; ``own`` names the columns that tell rows apart.
+
+    A table is joined on salted keys, a block of some ``SCENARIO_BLOCK`` rows of either side to a key, so the keys grow
+    with the product, and a row is copied once for each block of scenarios. Both sides are counted first, as subqueries
+    of the same plan. The blocks are dealt to all tasks before they meet, however few files hold the rows. Further columns
+    of the table are kept.
     """
-    scored = score_axes(parcels, **options)
     if isinstance(scenarios, DataFrame):
-        rows = scenarios.select(*(F.col(f.name).cast(f.dataType) for f in SCENARIO))
+        names = SCENARIO.fieldNames()
+        more = [c for c in scenarios.columns if c not in names]
+        rows = scenarios.select(*(F.col(f.name).cast(f.dataType) for f in SCENARIO), *more)
         total = sum((F.col(f"poids_{axis}") for axis in DEFAULT_WEIGHTS), F.lit(0.0))
-        checked = F.when(total.between(0.99, 1.01), F.struct(*SCENARIO.fieldNames())).otherwise(
+        checked = F.when(total.between(0.99, 1.01), F.struct(*names, *more)).otherwise(
             F.raise_error(F.lit("weights must sum to 1.0")))
         def blocks(side: DataFrame) -> Column:
             return side.agg(F.greatest(F.ceil(F.count(F.lit(1)) / SCENARIO_BLOCK), F.lit(1))).scalar()
@@ -117,10 +128,11 @@ def score_scenarios(parcels: DataFrame, scenarios: dict[str, dict[str, float]] |
             return F.explode(F.sequence(F.lit(0).cast("bigint"), count - 1))
 
         # Salts come from the rows alone, so that a task that runs again deals its rows alike.
-        dealt = rows.select(checked.alias("_s"), F.pmod(F.xxhash64(*SCENARIO.fieldNames()), blocks(rows)).alias("_i"),
-                            all_of(blocks(parcels)).alias("_j"))
-        spread = scored.withColumn("_j", F.pmod(F.xxhash64(*parcels.columns), blocks(parcels))).withColumn(
-            "_i", all_of(blocks(rows))).join(dealt, ["_i", "_j"])
+        dealt = rows.select(checked.alias("_s"), F.pmod(F.xxhash64(*names), blocks(rows)).alias("_i"),
+                            all_of(blocks(scored)).alias("_j"))
+        tasks = int(scored.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        spread = scored.withColumn("_j", F.pmod(F.xxhash64(*(own or scored.columns)), blocks(scored))).withColumn(
+            "_i", all_of(blocks(rows))).repartition(tasks, "_i", "_j").join(dealt, ["_i", "_j"])
     else:
         rows = [
             F.struct(F.lit(name).alias("scenario"),
@@ -132,6 +144,27 @@ def score_scenarios(parcels: DataFrame, scenarios: dict[str, dict[str, float]] |
     return spread.withColumn("score_global", _global({axis: F.col(f"poids_{axis}") for axis in DEFAULT_WEIGHTS}))
 
 
+def scenario_totals(parcels: DataFrame, scenarios: DataFrame, **options) -> DataFrame:
+    """``score_scenarios`` of a table summed up: every parcel with ``n_scenarios``, and the ``total``, ``lowest`` and
+    ``highest`` of its ``score_global`` over all of them.
+
+    The global score follows from the three axis scores and the three weights, nothing else. So each combination of axis
+    scores, which are whole points, meets each combination of weights once, with the number of scenarios that have it;
+    parcels then look up their combination. No weight or score is left out, and where none occurs twice every pair is
+    scored, in blocks.
+    """
+    scored = score_axes(parcels, **options)
+    axes, weights = ([f"{kind}_{axis}" for axis in DEFAULT_WEIGHTS] for kind in ("score", "poids"))
+    weightings = scenarios.groupBy(*weights).agg(F.min("scenario").alias("scenario"), F.count(F.lit(1)).alias("_n"))
+    each = under_scenarios(scored.select(*axes).distinct(), weightings)
+    totals = each.groupBy(*axes).agg(
+        F.sum("_n").alias("n_scenarios"), F.sum(F.col("score_global") * F.col("_n")).alias("total"),
+        F.min("score_global").alias("lowest"), F.max("score_global").alias("highest"))
+    totals = totals.withColumnsRenamed({axis: f"_{axis}" for axis in axes})
+    same = [F.col(axis).eqNullSafe(F.col(f"_{axis}")) for axis in axes]
+    return scored.join(totals, same).drop(*(f"_{axis}" for axis in axes))
+
+
 def order_by_score(scored: DataFrame) -> DataFrame:
     """Best parcels first; equal scores by id."""
     return scored.orderBy(F.col("score_global").desc_nulls_last(), "id")

@@ -130,9 +130,9 @@ def parcels_under_all_customers_weights(spark, sf):
     scenarios = customers.select(
         F.col("c_custkey").cast("string").alias("scenario"), first.alias("poids_economique"), F.lit(0.3).alias("poids_eau"),
         (F.lit(1.0) - first - F.lit(0.3)).alias("poids_topographie"))
-    scored = scoring.score_scenarios(standin(spark, sf, "parcels"), scenarios)
-    return scored.groupBy("id").agg(F.count("*").alias("n_scenarios"), F.sum("score_global").alias("total"),
-                                    F.min("score_global").alias("lowest"), F.max("score_global").alias("highest"))
+    each = scoring.scenario_totals(standin(spark, sf, "parcels"), scenarios)
+    return each.groupBy("id").agg(F.sum("n_scenarios").alias("n_scenarios"), F.sum("total").alias("total"),
+                                  F.min("lowest").alias("lowest"), F.max("highest").alias("highest"))
 
 
 @query(SCORED + f" SELECT id, score_global, {rank_sql()} AS rang FROM scored")

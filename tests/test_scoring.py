@@ -105,6 +105,39 @@ def test_thousands_of_scenarios(spark, parcels):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_scenario_blocks_leave_the_task_of_their_file(spark, parcels, monkeypatch, tmp_path):
+    monkeypatch.setattr(scoring, "SCENARIO_BLOCK", 2)
+    parcels.coalesce(1).write.parquet(str(tmp_path / "parcels"))
+    table = spark.range(40).select(F.col("id").cast("string").alias("scenario"), F.lit(0.3).alias("poids_economique"),
+                                   F.lit(0.3).alias("poids_eau"), F.lit(0.4).alias("poids_topographie"))
+    scored = scoring.score_scenarios(spark.read.parquet(str(tmp_path / "parcels")), table)
+    assert scored.select(F.spark_partition_id().alias("task")).distinct().count() > 1
+
+
+def test_totals_score_each_combination_once(spark, parcels, monkeypatch):
+    met = []
+    pairs = scoring.under_scenarios
+
+    def counted(scored, scenarios, own=None):
+        met.append((scored.count(), scenarios.count()))
+        return pairs(scored, scenarios, own)
+
+    table = spark.range(600).select(F.col("id").cast("string").alias("scenario"), (F.col("id") % 30 / 100).alias("poids_economique"),
+                                    F.lit(0.3).alias("poids_eau"), (F.lit(0.7) - F.col("id") % 30 / 100).alias("poids_topographie"))
+    many = parcels.withColumn("id", F.explode(F.array(*(F.concat("id", F.lit(f"-{i}")) for i in range(20)))))
+    each = scoring.score_scenarios(many, table).groupBy("id").agg(
+        F.count("*").alias("n_scenarios"), F.sum("score_global").alias("total"), F.min("score_global").alias("lowest"),
+        F.max("score_global").alias("highest"))
+    monkeypatch.setattr(scoring, "under_scenarios", counted)
+    totals = scoring.scenario_totals(many, table)
+    assert met == [(len(EXPECTED), 30)]
+    assert rows(totals.select(each.columns), "id") == rows(each, "id") and totals.count() == 20 * len(EXPECTED)
+    assert totals.columns[:len(PARCELS)] == parcels.columns
+    with pytest.raises(Exception, match="sum to 1.0"):
+        scoring.scenario_totals(parcels, table.withColumn("poids_eau", F.lit(0.1))).collect()
+    assert scoring.scenario_totals(parcels, table.filter("false")).count() == 0
+
+
 def test_weights():
     with pytest.raises(ValueError):
         scoring.check_weights({"economique": 0.5, "eau": 0.3, "topographie": 0.1})
