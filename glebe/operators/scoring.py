@@ -111,8 +111,8 @@ def under_scenarios(scored: DataFrame, scenarios: dict[str, dict[str, float]] |
 
     A table is joined on salted keys, a block of some ``SCENARIO_BLOCK`` rows of either side to a key, so the keys grow
     with the product, and a row is copied once for each block of scenarios. Both sides are counted first, as subqueries
-    of the same plan. The blocks are dealt to all tasks before they meet, however few files hold the rows. Further columns
-    of the table are kept.
+    of the same plan. The blocks are dealt to all tasks before they meet, however few files hold the rows, and no side is
+    broadcast, as its copies grow with the other. Further columns of the table are kept.
     """
     if isinstance(scenarios, DataFrame):
         names = SCENARIO.fieldNames()
@@ -132,7 +132,7 @@ def under_scenarios(scored: DataFrame, scenarios: dict[str, dict[str, float]] |
                             all_of(blocks(scored)).alias("_j"))
         tasks = int(scored.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         spread = scored.withColumn("_j", F.pmod(F.xxhash64(*(own or scored.columns)), blocks(scored))).withColumn(
-            "_i", all_of(blocks(rows))).repartition(tasks, "_i", "_j").join(dealt, ["_i", "_j"])
+            "_i", all_of(blocks(rows))).repartition(tasks, "_i", "_j").join(dealt.hint("merge"), ["_i", "_j"])
     else:
         rows = [
             F.struct(F.lit(name).alias("scenario"),

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from glebe.functions import geo
 from glebe.operators import spatial, tree
 from helpers import plan_of, rows
 
@@ -41,6 +42,16 @@ def test_radius_join_equals_brute_force(clouds, radius):
     assert "NestedLoop" not in plan_of(joined) and "Cartesian" not in plan_of(joined)
 
 
+def test_radius_join_leaves_the_task_of_its_file(spark, clouds, tmp_path):
+    for name, side in (("sites", clouds[2]), ("targets", clouds[3])):
+        side.coalesce(1).write.parquet(str(tmp_path / name))
+    joined = spatial.radius_join(*(spark.read.parquet(str(tmp_path / name)) for name in ("sites", "targets")), 20.0)
+    assert joined.columns == ["sid", "lat", "lon", "tid", "latitude", "longitude", "distance_km"]
+    km_again = geo.haversine_km(*(F.col(c) for c in ("lat", "lon", "latitude", "longitude")))
+    assert joined.filter(F.col("distance_km") != km_again).count() == 0
+    assert joined.select(F.spark_partition_id().alias("task")).distinct().count() > 1
+
+
 def test_radius_join_around_the_limit(spark):
     rng = random.Random(5)
     pairs = []
