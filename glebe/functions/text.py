@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 # Java number parsing also takes suffixes such as "12f"; only plain decimals are numbers here.
 _PLAIN_NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+_BARE_NUMBER = r"\A[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\z"
 _THOUSANDS = r"^\d{1,3}(,\d{3})+$"
 
 
@@ -33,8 +34,10 @@ def lenient_long(c: Column) -> Column:
 
 def decimal_comma_number(c: Column) -> Column:
     """Quote policy: the first comma is the decimal mark, the first run of blanks is dropped."""
-    dotted = F.regexp_replace(c, r"^([^,]*),", "$1.")
-    return lenient_double(F.regexp_replace(dotted, r"^(\S*)\s+", "$1"))
+    dotted = F.when(F.contains(c, F.lit(",")), F.overlay(c, F.lit("."), F.instr(c, ","), F.lit(1))).otherwise(c)
+    # Most cells hold a number and nothing else; only others are searched for blanks.
+    return F.when(dotted.rlike(_BARE_NUMBER), dotted.try_cast("double")).otherwise(
+        lenient_double(F.regexp_replace(dotted, r"^(\S*)\s+", "$1")))
 
 
 def french_number(c: Column) -> Column:

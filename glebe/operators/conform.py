@@ -89,8 +89,8 @@ def fill_quote_year(quotes: DataFrame, file: str = "_file", file_year: str = "_f
     """Year of quotes from files that have none.
 
     Per file: if every ``annee`` is null, the first four digits of ``date`` give the year when any row has
-    them (rows without stay null), else the year of the file name. One small row per file is joined back,
-    so a large file is never gathered in one task.
+    them (rows without stay null), else the year of the file name. One small row per file is broadcast and joined
+    back, so rows are not shuffled and a large file is never gathered in one task.
     """
     in_date = F.nullif(F.regexp_extract("date", r"(\d{4})", 1), F.lit("")).try_cast("int")
     files = quotes.groupBy(file).agg(
@@ -102,7 +102,7 @@ def fill_quote_year(quotes: DataFrame, file: str = "_file", file_year: str = "_f
         .when(F.col("_has_date"), in_date)
         .otherwise(F.col(file_year))
     )
-    return quotes.join(files, file).withColumn("annee", year).drop("_has_year", "_has_date", file_year)
+    return quotes.join(F.broadcast(files), file).withColumn("annee", year).drop("_has_year", "_has_date", file_year)
 
 
 def fill_sale_period(sales: DataFrame, year: Column | None = None, quarter: Column | None = None) -> DataFrame:

@@ -93,3 +93,14 @@ def test_inside(spark):
     square_with_hole = "[[[0,0],[4,0],[4,4],[0,4],[0,0]],[[1,1],[2,1],[2,2],[1,2],[1,1]]]"
     c = geo.inside(geo.polygons(F.lit("Polygon"), F.lit(square_with_hole)), F.col("x"), F.col("y"))
     assert values(spark, c, [(3.0, 3.0), (1.5, 1.5), (5.0, 1.0), (-1.0, 2.0)], "x double, y double") == [True, False, False, False]
+
+
+def test_quote_numbers_read_as_by_the_full_patterns(spark):
+    """Bare numbers are read at once; every text must give what the two replacements gave."""
+    texts = ["1,5", "1.5", "12", "-3,", ",5", "+,5e2", "1,2,3", "1 200,5", " 7", "7 ", "7\n", "7\n\n", "1,5\u0085", "1\u00a0200", "1 2 3", "nd", "", " ",
+             ",", "12f", "0x1p3", "NaN", "1e400", "1,5 EUR", "\t4,25", "1\u2028", None]
+    c = F.col("t")
+    plain = text.lenient_double(F.regexp_replace(F.regexp_replace(c, r"^([^,]*),", "$1."), r"^(\S*)\s+", "$1"))
+    assert values(spark, text.decimal_comma_number(c), texts, "t string") == values(spark, plain, texts, "t string")
+    explained = spark.createDataFrame([("1,5",)], "t string").select(text.decimal_comma_number(c))._jdf.queryExecution().optimizedPlan().toString()
+    assert "^([^,]*)," not in explained

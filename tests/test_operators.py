@@ -333,3 +333,17 @@ def test_crowded_areas(spark):
     for r in found:
         n, _, closest = expected[r.lat, r.lon]
         assert r.n_wells == n and r.nearest_km == pytest.approx(closest, abs=1e-9)
+
+
+def test_the_year_of_a_file_reaches_its_rows_without_a_shuffle(spark):
+    """Rows of one large file stay in the tasks that read them."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        quotes = spark.range(4000, numPartitions=4).select(
+            F.lit(None).cast("int").alias("annee"), F.lit("03/02/2019").alias("date"), F.lit("a.csv").alias("_file"), F.lit(2018).alias("_file_year"))
+        filled = conform.fill_quote_year(quotes).select("annee", F.spark_partition_id().alias("task"))
+        assert filled.groupBy("task").count().count() == 4
+        assert filled.select("annee").distinct().collect() == [(2019,)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
