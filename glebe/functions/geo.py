@@ -142,9 +142,18 @@ def wkt(kind: Column, coordinates: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
 
+def points_of(shape: Column) -> Column:
+    """All points of a polygon list."""
+    return F.flatten(F.flatten(shape))
+
+
 def envelope(shape: Column) -> dict[str, Column]:
     """Smallest box around all points of a polygon list."""
-    points = F.flatten(F.flatten(shape))
+    return box_of_points(points_of(shape))
+
+
+def box_of_points(points: Column) -> dict[str, Column]:
+    """Smallest box around a list of points."""
     xs, ys = F.transform(points, lambda p: p[0]), F.transform(points, lambda p: p[1])
     return {
         "lon_min": F.array_min(xs), "lat_min": F.array_min(ys),

@@ -181,7 +181,8 @@ _FEATURE = "struct<properties:map<string,string>,geometry:struct<type:string,coo
 def read_features(spark: SparkSession, path: str, layout: str = "lines") -> DataFrame:
     """GeoJSON features: ``properties`` and ``geometry``; one per line, or a FeatureCollection per file."""
     texts = spark.read.text(path) if layout == "lines" else _listed(spark, path, layout)
-    return texts.select(F.from_json("value", _FEATURE).alias("f")).select("f.*")
+    # A list of one keeps the text from being read again for every use of its parts, as in filters.
+    return texts.select(F.explode(F.array(F.from_json("value", _FEATURE))).alias("f")).select("f.*")
 
 
 def features_from_lambert93(features: DataFrame) -> DataFrame:
@@ -211,9 +212,15 @@ def features_in_box(features: DataFrame, lat: float, lon: float, radius_km: floa
     if radius_km <= 0:
         return features
     lon_min, lat_min, lon_max, lat_max = geo.bounding_box_of(lat, lon, radius_km)
-    box = geo.envelope(geo.polygons(F.col("geometry.type"), F.col("geometry.coordinates")))
-    return features.filter((box["lon_min"] <= lon_max) & (box["lon_max"] >= lon_min)
-                           & (box["lat_min"] <= lat_max) & (box["lat_max"] >= lat_min))
+    shape = geo.polygons(F.col("geometry.type"), F.col("geometry.coordinates"))
+
+    def meets(points: Column) -> Column:
+        box = geo.box_of_points(points)
+        return ((box["lon_min"] <= lon_max) & (box["lon_max"] >= lon_min)
+                & (box["lat_min"] <= lat_max) & (box["lat_max"] >= lat_min))
+
+    # A list of one: the text is read once for all four borders.
+    return features.filter(F.exists(F.array(geo.points_of(shape)), meets))
 
 
 # ---- parcel documents -------------------------------------------------------------------------------

@@ -307,3 +307,16 @@ def test_landed_sales_are_dealt_into_files_of_bounded_size(spark, monkeypatch):
         n, total = wanted.get(2015 + key % 4, (0, 0.0))
         wanted[2015 + key % 4] = (n + 1, total + float(price // 1))
     assert got == {year: wanted[year] for year in (2015, 2016, 2017)}
+
+
+def test_features_in_a_box_are_read_once(spark, tmp_path):
+    """One reading of a feature and one of its shape decide, however many borders the box has."""
+    ring = "[[[1.0,46.9],[1.2,46.9],[1.2,47.1],[1.0,46.9]]]"
+    shapes = {"in": ("Polygon", ring), "out": ("Polygon", ring.replace("1.", "31.")), "several": ("MultiPolygon", f"[{ring}]"),
+              "point": ("Point", "[1.0,47.0]"), "none": ("Polygon", "[]")}
+    (tmp_path / "f.json").write_text("\n".join(
+        f'{{"properties":{{"id_parcel":"{k}"}},"geometry":{{"type":"{t}","coordinates":{c}}}}}' for k, (t, c) in shapes.items()) + "\nno json\n")
+    kept = records.features_in_box(records.read_features(spark, str(tmp_path / "f.json")), 47.0, 1.1, 20)
+    assert sorted(r[0] for r in kept.select("properties.id_parcel").collect()) == ["in", "several"]
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") <= 1 + 2 and plan.count("struct<properties") + plan.count("StructField(properties") <= 1
