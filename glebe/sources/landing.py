@@ -15,6 +15,7 @@ from glebe.functions import text
 from glebe.operators.conform import conform_quotes, conform_sales, concat, fill_quote_year, fill_sale_period
 from glebe.schemas import WORK_LOG_FIELDS
 from glebe.sources.csv_records import csv_records, file_lines, parsed_records
+from glebe.sources.tables import staged
 
 
 @dataclass(frozen=True)
@@ -124,7 +125,9 @@ def read_csv_files(spark: SparkSession, manifest: DataFrame, conform: Callable[.
     for (separator, encoding, header, broken), paths in sorted(dialect_groups(manifest).items()):
         schema = text_schema(header_names(header, separator))
         if broken:
-            raw = parsed_records(csv_records(file_lines(spark, paths, encoding), separator), schema.toDDL(), separator)
+            # Put together once: later steps read the rows more than once.
+            whole, _ = staged(csv_records(file_lines(spark, paths, encoding), separator), "csv-records")
+            raw = parsed_records(whole, schema.toDDL(), separator)
         else:
             raw = (
                 spark.read.schema(schema)

@@ -144,9 +144,9 @@ def sales_from_csv(spark, sf):
 FILE_LINES = 50_000
 
 
-def _dealt_lines(rows, name: str, ending: str, line):
-    """(name, lines): lines of a year dealt into files of bounded size, however many rows the year has."""
-    files = max(1, -(-rows.count() // FILE_LINES))
+def _dealt_lines(rows, n: int, name: str, ending: str, line):
+    """(name, lines): lines of a year dealt into files of bounded size, however many rows the year has; ``n`` rows in all."""
+    files = max(1, -(-n // FILE_LINES))
     number = F.pmod(F.monotonically_increasing_id(), F.lit(files))
     # Partition ids are the high bits, so each partition deals its rows evenly.
     dealt = rows.select("annee", line.alias("line"), number.alias("number"))
@@ -207,14 +207,16 @@ def loaded_quotes_job(spark, sf):
     line = F.concat_ws(";", "annee", "produit", place, F.coalesce(F.replace(F.col("prix_moyen").cast("string"), F.lit("."), F.lit(",")), F.lit("")))
     path = scratch_path(spark, "deliveries")
     header = "annee;produit;marche;prix_moyen"
+    counts = {r.annee: r["count"] for r in quotes.groupBy("annee").count().collect()}
     for packed, ending in ((False, "csv"), (True, "zip")):
         part = quotes.filter(F.pmod("annee", F.lit(2)) == int(packed))
-        lines = _dealt_lines(part, "rnm_%s_%s", ending, line)
+        n = sum(count for year, count in counts.items() if year is not None and year % 2 == int(packed))
+        lines = _dealt_lines(part, n, "rnm_%s_%s", ending, line)
         _landed_files(lines, path, header, packed)
-    first = quotes.agg(F.min("annee")).first()[0]
+    first = min((year for year in counts if year is not None), default=None)
     for name in (f"rnm_{first}_suite.zip", f"rnm_{first}.xlsx"):
         spark.range(1).select(F.lit("no archive").alias("value")).coalesce(1).write.text(f"{path}/name={name}")
-    years = [r.annee for r in quotes.select("annee").distinct().collect()]
+    years = list(counts)
     out, bad = scratch_path(spark, "quotes_table"), scratch_path(spark, "quarantine")
     summary = jobs.load_quotes(spark, _named_files(spark, path), out, years, quarantine=bad)
     stored = spark.read.parquet(out)
@@ -236,7 +238,7 @@ def loaded_sales_job(spark, sf):
     path = scratch_path(spark, "sale_files")
     for packed, ending in ((False, "csv"), (True, "zip")):
         part = sales.filter(F.col("annee") % 2 == int(packed))
-        lines = _dealt_lines(part.unionAll(part), "dvf_%s_T1_%s", ending, line)
+        lines = _dealt_lines(part.unionAll(part), 2 * part.count(), "dvf_%s_T1_%s", ending, line)
         _landed_files(lines, path, "date_mutation,valeur_fonciere,code_departement,id_parcelle,nature_mutation", packed)
     out = scratch_path(spark, "sales_table")
     counts = jobs.load_sales(spark, _named_files(spark, path), out, [2015, 2016, 2017], ["72"])

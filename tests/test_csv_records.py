@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from glebe.sources import csv_records, landing
+from helpers import rows
 
 CELLS = ["", "a", "5\" pipe", "x;y", "two\nlines", "say \"so\"", "\"", "\n", "\"\n\"", ";\n;", "\n\n\n", "é"]
 
@@ -100,3 +101,11 @@ def test_long_cells_and_lines(spark):
 def test_no_lines(spark):
     given = spark.createDataFrame([], "path string, name string, block long, line long, value string")
     assert csv_records.csv_records(given, ";").count() == 0
+
+
+def test_whole_records_are_put_together_once(spark, tmp_path):
+    """Years of files and rows both read the records; neither cuts them again."""
+    (tmp_path / "a_2019.csv").write_text('annee;date;produit;marche;prix_moyen\n;2019-01-02;"a\nb";m;1,5\n;2019-01-03;c;"m\n2";2\n')
+    quotes = landing.read_quotes(spark, landing.quote_manifest(spark, str(tmp_path / "a_2019.csv")))
+    assert "Window" not in quotes._jdf.queryExecution().optimizedPlan().toString()
+    assert rows(quotes.select("annee", "produit", "marche", "prix_moyen"), "produit") == [(2019, "a\nb", "m", 1.5), (2019, "c", "m\n2", 2.0)]
