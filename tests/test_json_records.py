@@ -99,3 +99,36 @@ def test_a_large_collection_is_read_by_many_tasks(spark, tmp_path, small_splits)
     assert sorted(int(r.properties["ID_PARCEL"]) for r in read.collect()) == list(range(2000))
     pieces = spark.read.option("lineSep", "}").text(str(tmp_path))
     assert pieces.rdd.getNumPartitions() >= 16
+
+
+def test_pieces_are_staged_in_chunks(spark, tmp_path, monkeypatch):
+    """What is stored, joined and put in order are some chunks of a file, not three pieces a feature."""
+    features = [{"type": "Feature", "properties": {"ID_PARCEL": str(i)}, "geometry": {"type": "Point", "coordinates": [0, 1]}}
+                for i in range(3000)]
+    (tmp_path / "c.json").write_text(json.dumps({"type": "FeatureCollection", "features": features}))
+    paths, new_path = [], json_records.scratch_path
+
+    def noted(*args):
+        paths.append(new_path(*args))
+        return paths[-1]
+
+    monkeypatch.setattr(json_records, "scratch_path", noted)
+    read = records.read_features(spark, str(tmp_path), "collection")
+    assert sorted(int(r.properties["ID_PARCEL"]) for r in read.collect()) == list(range(3000))
+    assert paths and all(1 <= spark.read.parquet(path).count() <= 10 for path in paths)
+
+
+@pytest.mark.parametrize("size", [1, 50, 400])
+@pytest.mark.parametrize("key", [None, "features"])
+def test_records_of_several_chunks(spark, tmp_path, monkeypatch, key, size):
+    """Chunks within one split: records that lie in many, lists that open and close in any, escapes at every place."""
+    monkeypatch.setattr(json_records, "CHUNK_BYTES", size)
+    draw, want = random.Random(size), {}
+    for number in range(30):
+        listed = [record(draw, i) | {"\\" * (i % 4) + '"features': '\\"features\\": [' * i} for i in range(draw.randrange(6))]
+        around = [("before", [{"id": -1}, {"features": [{"id": -2}]}]), ('x"features', [{"id": -3}]), ("after", {"}": [{"id": -4}]})]
+        whole = listed if key is None else dict([*around[:number % 4], (key, listed), *around[number % 4:]])
+        (tmp_path / f"f{number}").write_text(dumped(draw, whole))
+        if listed:
+            want[f"f{number}"] = listed
+    assert found(spark, tmp_path, key) == want
