@@ -4,7 +4,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from glebe.functions import dates, geo, text
+from glebe.functions import dates, geo, numbers, text
 from helpers import values
 
 D = dt.date
@@ -19,6 +19,13 @@ def test_numbers(spark):
     assert values(spark, text.lenient_int(c), ["3", "3.7", "invalide", None], "t string") == [3, None, None, None]
 
 
+def test_quick_rounding_is_rounding(spark):
+    xs = [0.0, -0.0, 0.5, 1.5, 2.675, 1.005, 0.4999995, 0.49999949999999994, 1e-7, 19.9999995, 12.3456785, -2.675, -0.0000004, 4503599627.370495,
+          4503599627.3704965, 1e300, float("inf"), -float("inf"), float("nan"), None] + [round(i * 0.37 + 5e-7, 7) for i in range(50)]
+    plain, quick = (values(spark, f(F.col("x"), 6), xs, "x double") for f in (numbers.rounded, numbers.rounded_quickly))
+    assert list(map(repr, plain)) == list(map(repr, quick))
+
+
 def test_labels_and_lists(spark):
     c = F.col("t")
     assert values(spark, text.short_label(c, 3), ["abc", "abcd"], "t string") == ["abc", "abc…"]

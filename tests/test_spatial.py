@@ -1,6 +1,7 @@
 import itertools
 import math
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -52,6 +53,46 @@ def test_radius_join_leaves_the_task_of_its_file(spark, clouds, tmp_path):
     assert joined.select(F.spark_partition_id().alias("task")).distinct().count() > 1
 
 
+def shuffled_rows(plan):
+    """Rows that all exchanges of a plan have written."""
+    metric = plan.metrics().get("shuffleRecordsWritten")
+    children = plan.children()
+    return (metric.get().value() if metric.isDefined() else 0) + sum(shuffled_rows(children.apply(i)) for i in range(children.size()))
+
+
+def test_radius_join_sends_a_row_a_few_times(spark):
+    """A shuffled row is a row on disk: no copy for each cell that a circle touches, nor for parts of cells that no task is short of."""
+    rng = random.Random(8)
+    place = lambda n: [(i, 47 + rng.random() * 3, 1 + rng.random() * 4) for i in range(n)]
+    s, t = place(3000), place(3000)
+    sites = spark.createDataFrame(s, "sid int, lat double, lon double")
+    targets = spark.createDataFrame(t, "tid int, latitude double, longitude double")
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        joined = spatial.radius_join(sites, targets, 20.0, cell_pairs=500).select("sid", "tid")
+        got = joined.collect()
+        plan = joined._jdf.queryExecution().executedPlan()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert sorted(tuple(r) for r in got) == sorted((a[0], b[0]) for a in s for b in t if abs(a[1] - b[1]) < 0.2 and km(*a[1:], *b[1:]) <= 20)
+    assert shuffled_rows(plan) < 5 * len(s) + 2 * len(t)
+
+
+@pytest.mark.parametrize("tile_rows", [100, 1_000_000])
+def test_radius_join_of_a_crowded_spot(spark, tile_rows):
+    """More points in a cell than one row holds, far more of one side than of the other, and rows that come twice."""
+    rng = random.Random(9)
+    place = lambda n: [(i // 2, 47.05 + rng.random() / 1e3, 0.05 + rng.random() / 1e3) for i in range(n)]
+    crowd, few = place(2500), place(4) + [(None, 47.05, 0.05)] * 2
+    for s, t in ((crowd, few), (few, crowd)):
+        sites = spark.createDataFrame(s, "sid int, lat double, lon double")
+        targets = spark.createDataFrame(t, "tid int, latitude double, longitude double")
+        got = spatial.radius_join(sites, targets, 30.0, tile_rows=tile_rows).groupBy("sid", "tid").count().collect()
+        expected = Counter((a[0], b[0]) for a in s for b in t)
+        assert {(r.sid, r.tid): r["count"] for r in got} == expected
+
+
 def test_radius_join_around_the_limit(spark):
     rng = random.Random(5)
     pairs = []
